@@ -33,6 +33,12 @@ def finite_or_null(value: Column | str) -> Column:
     return F.when(is_finite(x), x)
 
 
+def round_half_even_sql(expression: str, precision: int = 6) -> str:
+    """SQL text of :func:`round_half_even` for a DOUBLE expression."""
+    rounded = f"cast(bround(try_cast({expression} as {_EXACT}), {precision}) as double)"
+    return f"coalesce({rounded}, bround({expression}, {precision})) + 0.0D"
+
+
 def round_half_even(value: Column | str, precision: int = 6) -> Column:
     """Round the decimal text of a double half to even; minus zero becomes zero.
 
@@ -41,9 +47,15 @@ def round_half_even(value: Column | str, precision: int = 6) -> Column:
     fractional digits left to round and fall back to rounding the double.
     """
     check_precision(precision)
-    x = as_column(value).cast("double")
+    if isinstance(value, str):
+        return F.expr(round_half_even_sql(f"cast({value} as double)", precision))
+    x = value.cast("double")
     rounded = F.bround(x.try_cast(_EXACT), precision).cast("double")
-    return F.coalesce(rounded, F.bround(x, precision)) + F.lit(0.0)
+    return F.coalesce(rounded, F.bround(x, precision)) + 0.0
+
+
+def is_finite_sql(expression: str) -> str:
+    return f"({expression} is not null and not isnan({expression}) and abs({expression}) < double('infinity'))"
 
 
 def exact_sum(value: Column | str) -> Column:
@@ -54,3 +66,30 @@ def exact_sum(value: Column | str) -> Column:
     x = as_column(value).cast("double")
     exact = x.try_cast(_EXACT)
     return F.when(F.count(exact) == F.count(x), F.try_sum(exact).cast("double")).otherwise(F.sum(x))
+
+
+_FRACTION_BITS = 59
+
+
+def one_decimal_text(value: Column | str) -> Column:
+    """Text with one decimal, rounding the exact binary value (ties to even).
+
+    ``format_string`` rounds the decimal text half up, which differs for values such as 65.35.
+    The fraction is scaled to a 59-bit integer, where the rounding digit can be compared exactly.
+    """
+    x = as_column(value).cast("double")
+    size = F.abs(x)
+    whole = F.floor(size).cast("bigint")
+    scaled = ((size - whole.cast("double")) * float(2**_FRACTION_BITS)).cast("bigint") * 10
+    digit = F.shiftright(scaled, _FRACTION_BITS)
+    rest = scaled - F.shiftleft(digit, _FRACTION_BITS)
+    half = F.lit(2 ** (_FRACTION_BITS - 1))
+    up = (rest > half) | ((rest == half) & (digit % 2 == 1))
+    tenths = whole * 10 + digit + up.cast("bigint")
+    text = F.concat(
+        F.when(x < 0, "-").otherwise(""),
+        ((tenths - tenths % 10) / 10).cast("bigint").cast("string"),
+        F.lit("."),
+        (tenths % 10).cast("string"),
+    )
+    return F.when(size < 1e15, text).when(size >= 1e15, F.format_string("%.1f", x))

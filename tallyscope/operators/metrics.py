@@ -1,25 +1,22 @@
 """Forty-seven statement and valuation metrics as one projection per row.
 
 Input columns carry the fact names; an absent column counts as a missing fact. The work is split
-into three projections (inputs, components, metrics) so that shared components are computed once
-and each generated method stays small. There is no shuffle and no Python in the data path.
+into projections (facts, components, raw values, rounded values) so that shared parts are computed
+once and each generated method stays small; only what the requested metrics need is projected.
+Expressions are SQL text: forty-seven metrics are a few dozen calls into the JVM instead of
+thousands. There is no shuffle and no Python in the data path.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import types as T
 
-from tallyscope.functions.numeric import (
-    check_precision,
-    finite_or_null,
-    is_finite,
-    null_double,
-    round_half_even,
-)
+from tallyscope.functions.numeric import check_precision, is_finite_sql, round_half_even_sql
 
 
 @dataclass(frozen=True)
@@ -158,15 +155,7 @@ FACT_NAMES: tuple[str, ...] = tuple(
     """.split()
 )
 
-# Facts that are read by name only when deriving a component, beyond the metric parts themselves.
-_SUPPORT_FACTS = (
-    "prior_cost_of_revenue share_price inventory prepaid_expenses short_term_investments "
-    "accounts_receivable accounts_payable total_assets income_tax_expense income_before_tax "
-    "invested_capital effective_tax_rate dividends_per_share depreciation_and_amortization "
-    "prior_diluted_shares_outstanding"
-).split()
-
-# Components derived by subtraction or division when not supplied.
+# Components derived from other facts when not supplied.
 _SUBTRACTED = {
     "gross_profit": ("revenue", "cost_of_revenue"),
     "prior_gross_profit": ("prior_revenue", "prior_cost_of_revenue"),
@@ -184,241 +173,231 @@ _PERIOD_END = {
     "average_inventory": "inventory",
     "average_accounts_payable": "accounts_payable",
 }
-_MULTIPLIED = {
-    "market_cap": ("share_price", "diluted_shares_outstanding"),
-    "dividends_paid": ("dividends_per_share", "diluted_shares_outstanding"),
+_DEFAULTS = {
+    "preferred_stock": "0.0D",
+    "minority_interest": "0.0D",
+    "days_in_period": "365.0D",
 }
-_ALWAYS_PRESENT = ("preferred_stock", "minority_interest", "prepaid_expenses", "short_term_investments")
-# What a component needs, as quoted in reasons.
-_NEEDS = {
-    "market_cap": "market_cap or (share_price and diluted_shares_outstanding)",
-    "quick_assets": "quick_assets, (current_assets and inventory), "
-    "or (cash_and_equivalents and accounts_receivable)",
-    "ebitda": "ebitda or (ebit and depreciation_and_amortization)",
-    "net_operating_profit_after_tax": "net_operating_profit_after_tax or (ebit and effective_tax_rate)",
-    "average_invested_capital": "average_invested_capital, invested_capital, "
-    "or (total_debt, shareholders_equity, and cash_and_equivalents)",
-    "dividends_paid": "dividends_paid or (dividends_per_share and diluted_shares_outstanding)",
-    "ebit": "operating_income",
+_EBIT = "coalesce({ebit}, {operating_income})"
+_TAX_RATE = "coalesce({effective_tax_rate}, try_divide({income_tax_expense}, {income_before_tax}))"
+# Component, derivation, what it needs as quoted in reasons.
+_DERIVED = {
+    "market_cap": (
+        "{share_price} * {diluted_shares_outstanding}",
+        "market_cap or (share_price and diluted_shares_outstanding)",
+    ),
+    "dividends_paid": (
+        "{dividends_per_share} * {diluted_shares_outstanding}",
+        "dividends_paid or (dividends_per_share and diluted_shares_outstanding)",
+    ),
+    "ebit": ("{operating_income}", "operating_income"),
+    "ebitda": (
+        _EBIT + " + {depreciation_and_amortization}",
+        "ebitda or (ebit and depreciation_and_amortization)",
+    ),
+    "quick_assets": (
+        "coalesce({current_assets} - {inventory} - coalesce({prepaid_expenses}, 0.0D), "
+        "{cash_and_equivalents} + coalesce({short_term_investments}, 0.0D) + {accounts_receivable})",
+        "quick_assets, (current_assets and inventory), or (cash_and_equivalents and accounts_receivable)",
+    ),
+    "net_operating_profit_after_tax": (
+        _EBIT + " * (1.0D - " + _TAX_RATE + ")",
+        "net_operating_profit_after_tax or (ebit and effective_tax_rate)",
+    ),
+    "average_invested_capital": (
+        "coalesce({invested_capital}, {total_debt} + {shareholders_equity} - {cash_and_equivalents})",
+        "average_invested_capital, invested_capital, "
+        "or (total_debt, shareholders_equity, and cash_and_equivalents)",
+    ),
 }
+_ENTERPRISE = (
+    "{market_cap} + {total_debt} + {preferred_stock} + {minority_interest} - {cash_and_equivalents}"
+)
 _MISSING = "missing required input(s): "
 _ZERO = "zero denominator: "
+_NOT_FINITE = "calculation produced a non-finite result"
+_NO_REASON = "cast(null as string)"
 
 
 @dataclass(frozen=True)
 class _Term:
-    """A named quantity: value, and the reason text that applies when the value is null."""
+    """A named quantity: SQL of its value, and of the reason that applies when the value is null."""
 
     name: str
-    value: Column
-    reason: Column
-
-
-def _fact_column(name: str) -> str:
-    return f"_fact_{name}"
-
+    value: str
+    reason: str
 
-def _part_column(name: str) -> str:
-    return f"_part_{name}"
 
-
-def _reason_column(name: str) -> str:
-    return f"_why_{name}"
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
 
 
 def _fact(name: str) -> _Term:
-    return _Term(name, F.col(_fact_column(name)), F.lit(_MISSING + name))
-
-
-def _all_facts() -> list[str]:
-    seen: dict[str, None] = {}
-    for spec in METRICS:
-        for part in spec.parts:
-            seen.setdefault(part)
-    for name in _SUPPORT_FACTS:
-        seen.setdefault(name)
-    return list(seen)
+    return _Term(name, f"_fact_{name}", _quoted(_MISSING + name))
 
 
-def _resolve_facts(df: DataFrame) -> DataFrame:
-    """Materialize each fact under one name: first non-null of the name and its aliases."""
-    available = {f.name: f.dataType for f in df.schema.fields}
-    columns = []
-    for name in _all_facts():
-        found = [c for c in (name, *ALIASES.get(name, "").split()) if c in available]
-        for c in found:
-            if not isinstance(available[c], T.NumericType):
-                raise ValueError(f"fact column {c!r} must be numeric")
-        values = [F.col(f"`{c}`").cast("double") for c in found]
-        value = F.coalesce(*values) if len(values) > 1 else values[0] if values else null_double()
-        columns.append(value.alias(_fact_column(name)))
-    return df.select("*", *columns)
+def _over_facts(template: str) -> str:
+    return re.sub(r"\{(\w+)\}", r"_fact_\1", template)
 
 
-def _component(name: str) -> _Term:
-    """A supplied fact, else its derivation; the reason names everything that would have helped."""
-    own = F.col(_fact_column(name))
+def _component(name: str) -> _Term | None:
+    """A supplied fact, else its derivation; None for a name that is only ever supplied."""
+    own = f"_fact_{name}"
     if name in _SUBTRACTED:
         left, right = _SUBTRACTED[name]
-        derived = F.col(_fact_column(left)) - F.col(_fact_column(right))
-        return _Term(name, F.coalesce(own, derived), F.lit(f"{_MISSING}{name} or ({left} and {right})"))
+        reason = _quoted(f"{_MISSING}{name} or ({left} and {right})")
+        return _Term(name, f"coalesce({own}, _fact_{left} - _fact_{right})", reason)
     if name in _DIVIDED:
         top, bottom = _DIVIDED[name]
-        divisor = F.col(_fact_column(bottom))
-        derived = F.try_divide(F.col(_fact_column(top)), divisor)
-        known = F.col(_fact_column(top)).isNotNull() & (divisor == 0)
-        reason = F.when(known, _ZERO + bottom).otherwise(f"{_MISSING}{name} or ({top} and {bottom})")
-        return _Term(name, F.coalesce(own, derived), reason)
-    if name in _MULTIPLIED:
-        left, right = _MULTIPLIED[name]
-        derived = F.col(_fact_column(left)) * F.col(_fact_column(right))
-        return _Term(name, F.coalesce(own, derived), F.lit(_MISSING + _NEEDS[name]))
+        reason = (
+            f"case when _fact_{top} is not null and _fact_{bottom} = 0 then {_quoted(_ZERO + bottom)} "
+            f"else {_quoted(f'{_MISSING}{name} or ({top} and {bottom})')} end"
+        )
+        return _Term(name, f"coalesce({own}, try_divide(_fact_{top}, _fact_{bottom}))", reason)
     if name in _PERIOD_END:
         stock = _PERIOD_END[name]
-        return _Term(name, F.coalesce(own, F.col(_fact_column(stock))), F.lit(_MISSING + stock))
-    if name in _ALWAYS_PRESENT:
-        return _Term(name, F.coalesce(own, F.lit(0.0)), F.lit(None).cast("string"))
-    if name == "days_in_period":
-        return _Term(name, F.coalesce(own, F.lit(365.0)), F.lit(None).cast("string"))
-    ebit = F.coalesce(F.col(_fact_column("ebit")), F.col(_fact_column("operating_income")))
-    fact = lambda n: F.col(_fact_column(n))
-    if name == "ebit":
-        derived = ebit
-    elif name == "ebitda":
-        derived = ebit + fact("depreciation_and_amortization")
-    elif name == "quick_assets":
-        derived = F.coalesce(
-            fact("current_assets") - fact("inventory") - F.coalesce(fact("prepaid_expenses"), F.lit(0.0)),
-            fact("cash_and_equivalents")
-            + F.coalesce(fact("short_term_investments"), F.lit(0.0))
-            + fact("accounts_receivable"),
-        )
-    elif name == "net_operating_profit_after_tax":
-        rate = F.coalesce(
-            fact("effective_tax_rate"), F.try_divide(fact("income_tax_expense"), fact("income_before_tax"))
-        )
-        derived = ebit * (F.lit(1.0) - rate)
-    elif name == "average_invested_capital":
-        derived = F.coalesce(
-            fact("invested_capital"),
-            fact("total_debt") + fact("shareholders_equity") - fact("cash_and_equivalents"),
-        )
-    else:
-        return _fact(name)
-    return _Term(name, F.coalesce(own, derived), F.lit(_MISSING + _NEEDS[name]))
-
-
-_PLAIN_COMPONENTS = (
-    *_SUBTRACTED,
-    *_DIVIDED,
-    *_MULTIPLIED,
-    *_PERIOD_END,
-    *_ALWAYS_PRESENT,
-    "days_in_period",
-    "ebit",
-    "ebitda",
-    "quick_assets",
-    "net_operating_profit_after_tax",
-    "average_invested_capital",
-)
+        return _Term(name, f"coalesce({own}, _fact_{stock})", _quoted(_MISSING + stock))
+    if name in _DEFAULTS:
+        return _Term(name, f"coalesce({own}, {_DEFAULTS[name]})", _NO_REASON)
+    if name in _DERIVED:
+        derivation, needs = _DERIVED[name]
+        return _Term(name, f"coalesce({own}, {_over_facts(derivation)})", _quoted(_MISSING + needs))
+    return None
 
 
 def _part(name: str) -> _Term:
-    """A quantity after the component projection."""
-    if name in _PLAIN_COMPONENTS or name == "enterprise_value":
-        return _Term(name, F.col(_part_column(name)), F.col(_reason_column(name)))
+    """A quantity once the component projection exists."""
+    if name == "enterprise_value" or _component(name) is not None:
+        return _Term(name, f"_part_{name}", f"_why_{name}")
     return _fact(name)
 
 
-def _joined_reasons(terms: Sequence[_Term]) -> Column:
+def _joined_reasons(terms: Sequence[_Term]) -> str:
     """Reasons of the missing terms in order; null when nothing is missing."""
-    text = F.concat_ws("; ", *[F.when(t.value.isNull(), t.reason) for t in terms])
-    return F.when(text != "", text)
-
-
-def _enterprise_terms() -> list[_Term]:
-    return [_part("market_cap"), _fact("total_debt"), _fact("cash_and_equivalents")]
+    listed = ", ".join(f"case when {t.value} is null then {t.reason} end" for t in terms)
+    return f"nullif(concat_ws('; ', {listed}), '')"
 
 
-def _enterprise_value() -> Column:
-    return (
-        F.col(_part_column("market_cap"))
-        + F.col(_fact_column("total_debt"))
-        + F.col(_part_column("preferred_stock"))
-        + F.col(_part_column("minority_interest"))
-        - F.col(_fact_column("cash_and_equivalents"))
-    )
-
-
-def _add_components(df: DataFrame) -> DataFrame:
-    plain = [_component(name) for name in _PLAIN_COMPONENTS]
-    df = df.select(
-        "*",
-        *[t.value.alias(_part_column(t.name)) for t in plain],
-        *[t.reason.alias(_reason_column(t.name)) for t in plain],
-    )
-    return df.select(
-        "*",
-        F.coalesce(F.col(_fact_column("enterprise_value")), _enterprise_value()).alias(
-            _part_column("enterprise_value")
-        ),
-        _joined_reasons(_enterprise_terms()).alias(_reason_column("enterprise_value")),
-    )
+def _enterprise_value() -> _Term:
+    value = re.sub(r"\{(\w+)\}", lambda m: _part(m.group(1)).value, _ENTERPRISE)
+    needed = [_part("market_cap"), _fact("total_debt"), _fact("cash_and_equivalents")]
+    return _Term("enterprise_value", value, _joined_reasons(needed))
 
 
 @dataclass(frozen=True)
 class _Evaluated:
-    value: Column
-    reason: Column
+    value: str
+    reason: str
     inputs: list[_Term]
 
 
-def _divided(top: Column, bottom: Column, label: str, needed: list[_Term], inputs: list[_Term] | None = None) -> _Evaluated:
-    reason = F.coalesce(_joined_reasons(needed), F.when(bottom == 0, _ZERO + label))
-    return _Evaluated(F.try_divide(top, bottom), reason, inputs or needed)
-
-
-def _growth(spec: MetricSpec) -> _Evaluated:
-    now, before = (_part(p) for p in spec.parts)
-    return _divided(now.value - before.value, before.value, before.name, [now, before])
+def _divided(
+    top: str, bottom: str, label: str, needed: list[_Term], inputs: list[_Term] | None = None
+) -> _Evaluated:
+    zero = f"case when {bottom} = 0 then {_quoted(_ZERO + label)} end"
+    reason = f"coalesce({_joined_reasons(needed)}, {zero})"
+    return _Evaluated(f"try_divide({top}, {bottom})", reason, inputs or needed)
 
 
 def _evaluate(spec: MetricSpec) -> _Evaluated:
     if spec.rule == "difference":
-        left, right = (_fact(p) for p in spec.parts)
-        return _Evaluated(left.value - right.value, _joined_reasons([left, right]), [left, right])
+        terms = [_fact(p) for p in spec.parts]
+        return _Evaluated(f"{terms[0].value} - {terms[1].value}", _joined_reasons(terms), terms)
     if spec.rule == "value":
-        inputs = [_part(p) for p in spec.parts]
-        return _Evaluated(_enterprise_value(), _joined_reasons(_enterprise_terms()), inputs)
-    if spec.rule == "fact_ratio":
-        top, bottom = (_fact(p) for p in spec.parts)
-        return _divided(top.value, bottom.value, bottom.name, [top, bottom])
-    if spec.rule == "ratio":
-        top, bottom = (_part(p) for p in spec.parts)
+        term = _enterprise_value()
+        return _Evaluated(term.value, term.reason, [_part(p) for p in spec.parts])
+    if spec.rule in ("fact_ratio", "ratio"):
+        top, bottom = (_fact(p) if spec.rule == "fact_ratio" else _part(p) for p in spec.parts)
         return _divided(top.value, bottom.value, bottom.name, [top, bottom])
     if spec.rule == "growth":
-        return _growth(spec)
+        now, before = (_part(p) for p in spec.parts)
+        return _divided(f"{now.value} - {before.value}", before.value, before.name, [now, before])
     if spec.rule == "slope":
         terms = [_fact(p) for p in spec.parts]
-        rise, run = terms[0].value - terms[1].value, terms[2].value - terms[3].value
+        rise = f"{terms[0].value} - {terms[1].value}"
+        run = f"({terms[2].value} - {terms[3].value})"
         return _divided(rise, run, f"{terms[2].name} - {terms[3].name}", terms)
     if spec.rule == "days":
         top, bottom, days = (_part(p) for p in spec.parts)
         done = _divided(top.value, bottom.value, bottom.name, [top, bottom], [top, bottom, days])
-        return _Evaluated(done.value * days.value, done.reason, done.inputs)
+        return _Evaluated(f"{done.value} * {days.value}", done.reason, done.inputs)
     if spec.rule == "cycle":
-        pieces = {p: _evaluate(_BY_NAME[p]) for p in spec.parts}
-        terms = [_Term(p, e.value, F.concat(F.lit(f"{p}: "), e.reason)) for p, e in pieces.items()]
-        value = terms[0].value + terms[1].value - terms[2].value
-        return _Evaluated(value, _joined_reasons(terms), terms)
-    growth, margin = (_supplied_or_evaluated(p) for p in spec.parts)
-    return _Evaluated(growth.value + margin.value, _joined_reasons([growth, margin]), [growth, margin])
+        terms = []
+        for p in spec.parts:
+            piece = _evaluate(_BY_NAME[p])
+            terms.append(_Term(p, f"({piece.value})", f"concat({_quoted(p + ': ')}, {piece.reason})"))
+        return _Evaluated(
+            f"{terms[0].value} + {terms[1].value} - {terms[2].value}", _joined_reasons(terms), terms
+        )
+    # Only here does a supplied metric beat its own formula.
+    terms = []
+    for p in spec.parts:
+        piece = _evaluate(_BY_NAME[p])
+        terms.append(_Term(p, f"coalesce(_fact_{p}, {piece.value})", piece.reason))
+    return _Evaluated(f"{terms[0].value} + {terms[1].value}", _joined_reasons(terms), terms)
+
+
+def _mentioned(kind: str, texts: Iterable[str]) -> list[str]:
+    """Names used as ``_<kind>_<name>`` in SQL texts, in first-use order."""
+    found: dict[str, None] = {}
+    for text in texts:
+        for name in re.findall(rf"\b_{kind}_(\w+)", text):
+            found.setdefault(name)
+    return list(found)
+
+
+def _stage(df: DataFrame, evaluated: Sequence[_Evaluated], reasons: bool) -> DataFrame:
+    """Project the facts, then the components, that the evaluated metrics mention."""
+    texts = [e.value for e in evaluated] + [t.value for e in evaluated for t in e.inputs]
+    texts += [e.reason for e in evaluated if reasons]
+    parts = _mentioned("part", texts) + [n for n in _mentioned("why", texts)]
+    parts = list(dict.fromkeys(parts))
+    with_value = "enterprise_value" in parts
+    if with_value:
+        enterprise = _enterprise_value()
+        texts += [enterprise.value, enterprise.reason]
+        parts = list(dict.fromkeys([*parts, *_mentioned("part", texts), *_mentioned("why", texts)]))
+        parts.remove("enterprise_value")
+    components = [_component(n) for n in parts]
+    texts += [c.value for c in components] + [c.reason for c in components if reasons]
+    facts = _mentioned("fact", texts) + (["enterprise_value"] if with_value else [])
+
+    available = {f.name: f.dataType for f in df.schema.fields}
+    resolved = []
+    for name in dict.fromkeys(facts):
+        found = [c for c in (name, *ALIASES.get(name, "").split()) if c in available]
+        for c in found:
+            if not isinstance(available[c], T.NumericType):
+                raise ValueError(f"fact column {c!r} must be numeric")
+        values = [f"cast(`{c}` as double)" for c in found] or ["cast(null as double)"]
+        resolved.append(f"coalesce({', '.join(values)}) as _fact_{name}")
+    staged = df.selectExpr("*", *resolved)
+    if components:
+        derived = [f"{c.value} as _part_{c.name}" for c in components]
+        derived += [f"{c.reason} as _why_{c.name}" for c in components if reasons]
+        staged = staged.selectExpr("*", *derived)
+    if with_value:
+        derived = [f"coalesce(_fact_enterprise_value, {enterprise.value}) as _part_enterprise_value"]
+        if reasons:
+            derived.append(f"{enterprise.reason} as _why_enterprise_value")
+        staged = staged.selectExpr("*", *derived)
+    return staged
+
+
+def _raw(staged: DataFrame, evaluated: dict[str, _Evaluated], reasons: bool) -> DataFrame:
+    columns = [f"{e.value} as _raw_{name}" for name, e in evaluated.items()]
+    if reasons:
+        columns += [f"{e.reason} as _missing_{name}" for name, e in evaluated.items()]
+    return staged.selectExpr("*", *columns)
+
+
+def _rounded(expression: str, precision: int) -> str:
+    return f"case when {is_finite_sql(expression)} then {round_half_even_sql(expression, precision)} end"
 
 
-def _supplied_or_evaluated(name: str) -> _Term:
-    """The one place where a supplied metric beats its own formula."""
-    computed = _evaluate(_BY_NAME[name])
-    return _Term(name, F.coalesce(F.col(_fact_column(name)), computed.value), computed.reason)
+def _reason(name: str) -> str:
+    odd = f"_raw_{name} is not null and not {is_finite_sql(f'_raw_{name}')}"
+    return f"coalesce(_missing_{name}, case when {odd} then {_quoted(_NOT_FINITE)} end)"
 
 
 def check_metric_names(metrics: Sequence[str] | None) -> tuple[str, ...]:
@@ -448,22 +427,15 @@ def add_metrics(
     """
     check_precision(precision)
     names = check_metric_names(metrics)
-    staged = _add_components(_resolve_facts(df))
+    evaluated = {n: _evaluate(_BY_NAME[n]) for n in names}
+    raw = _raw(_stage(df, list(evaluated.values()), reasons), evaluated, reasons)
     produced = []
     for name in names:
-        done = _evaluate(_BY_NAME[name])
-        produced.append(round_half_even(finite_or_null(done.value), precision).alias(prefix + name))
+        produced.append(f"{_rounded(f'_raw_{name}', precision)} as `{prefix}{name}`")
         if reasons:
-            produced.append(_reason(done).alias(f"{prefix}{name}_reason"))
+            produced.append(f"{_reason(name)} as `{prefix}{name}_reason`")
     replaced = {prefix + name for name in names}
-    return staged.select(*[F.col(f"`{c}`") for c in df.columns if c not in replaced], *produced)
-
-
-def _reason(done: _Evaluated) -> Column:
-    return F.coalesce(
-        done.reason,
-        F.when(done.value.isNotNull() & ~is_finite(done.value), "calculation produced a non-finite result"),
-    )
+    return raw.selectExpr(*[f"`{c}`" for c in df.columns if c not in replaced], *produced)
 
 
 def metrics_long(
@@ -472,26 +444,22 @@ def metrics_long(
     """One row per entity and metric with category, unit, formula, used inputs and reason."""
     check_precision(precision)
     names = check_metric_names(metrics)
-    staged = _add_components(_resolve_facts(df))
+    evaluated = {n: _evaluate(_BY_NAME[n]) for n in names}
+    raw = _raw(_stage(df, list(evaluated.values()), True), evaluated, True)
     structs = []
-    for name in names:
+    for name, done in evaluated.items():
         spec = _BY_NAME[name]
-        done = _evaluate(spec)
-        pairs = []
-        for term in done.inputs:
-            pairs += [F.lit(term.name), round_half_even(term.value, precision)]
+        pairs = ", ".join(
+            f"{_quoted(t.name)}, {round_half_even_sql(t.value, precision)}" for t in done.inputs
+        )
         structs.append(
-            F.struct(
-                F.lit(name).alias("metric"),
-                round_half_even(finite_or_null(done.value), precision).alias("value"),
-                F.lit(spec.category).alias("category"),
-                F.lit(spec.unit).alias("unit"),
-                F.lit(spec.formula).alias("formula"),
-                F.map_filter(F.create_map(*pairs), lambda _, v: v.isNotNull()).alias("inputs"),
-                _reason(done).alias("reason"),
-            )
+            f"struct({_quoted(name)} as metric, {_rounded(f'_raw_{name}', precision)} as value, "
+            f"{_quoted(spec.category)} as category, {_quoted(spec.unit)} as unit, "
+            f"{_quoted(spec.formula)} as formula, map_filter(map({pairs}), (k, v) -> v is not null) as inputs, "
+            f"{_reason(name)} as reason)"
         )
-    return staged.select(*keys, F.explode(F.array(*structs)).alias("_metric")).select(*keys, "_metric.*")
+    key_list = [f"`{k}`" for k in keys]
+    return raw.selectExpr(*key_list, f"inline(array({', '.join(structs)}))")
 
 
 def pivot_facts(

@@ -12,6 +12,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tallyscope.session import settle
+
 DEFAULT_BLOCKS = 128
 _SAMPLE_SLOTS = 4096
 
@@ -67,14 +69,22 @@ def value_ranks(
 
 
 def ordinal(
-    df: DataFrame, order: Sequence[Column], out: str, keys: Sequence[str] = (), blocks: int = DEFAULT_BLOCKS
+    df: DataFrame,
+    order: Sequence[Column],
+    out: str,
+    keys: Sequence[str] = (),
+    blocks: int = DEFAULT_BLOCKS,
+    settled: bool = False,
 ) -> DataFrame:
     """Append the 1-based position under ``order`` (ascending columns that form a unique key).
 
+    The input is read three times (sample, block totals, positions), so it is checkpointed first
+    unless the caller says that rereading it is cheap.
+
     Bounds come from a fixed number of hash slots, each keeping one row, so the sample is bounded
     and the same for the same data. Ties in the leading columns are split by the later ones.
     """
-    keyed = df.withColumn("_order", F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)]))
+    keyed = (df if settled else settle(df)).withColumn("_order", F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)]))
     digest = F.xxhash64("_order")
     sample = keyed.groupBy(F.pmod(digest, F.lit(_SAMPLE_SLOTS)).alias("_slot")).agg(
         F.min_by("_order", digest).alias("_order")

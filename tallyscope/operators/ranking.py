@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tallyscope.functions.numeric import check_precision, round_half_even
 from tallyscope.operators.ordering import value_ranks
 from tallyscope.operators.quality import Violation, raise_on
+from tallyscope.session import settle
 
 MISSING_POLICIES = ("exclude", "neutral", "worst")
 DIRECTIONS = ("higher", "lower")
@@ -85,12 +86,16 @@ def rank_entities(
     by: Sequence[str] = (),
     top_n: int | None = None,
     precision: int = 6,
+    settled: bool = False,
 ) -> RankResult:
     """Score entities by percentile per criterion and combine the scores by normalized weight.
 
     ``ranked`` has the group and entity columns, ``<metric>``, ``<metric>_rank`` and
     ``<metric>_score`` per criterion, ``composite_score``, ``missing_metrics``. Order it with
     :func:`rank_order`; the composite is rounded before it is compared.
+
+    The narrow metric table (one row per entity) is read several times, so it is checkpointed
+    first unless ``settled`` says the input is already cheap to reread.
     """
     check_precision(precision)
     items = check_criteria(criteria)
@@ -101,6 +106,8 @@ def rank_entities(
 
     keys = [*by, entity]
     values = df.select(*keys, *[F.col(c.metric).cast("double").alias(c.metric) for c in items])
+    if not settled:
+        values = settle(values)
     absent = F.filter(
         F.array(*[F.when(F.col(c.metric).isNull(), F.lit(c.metric)) for c in items]), lambda m: m.isNotNull()
     )

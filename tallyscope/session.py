@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROCKSDB_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -43,3 +43,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
     return folder
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Compute a narrow table once and keep it on reliable storage.
+
+    For tables that several later steps read: without this each of them would recompute the whole
+    upstream plan. Survives executor loss, because the blocks live in the checkpoint folder.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()

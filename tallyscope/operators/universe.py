@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tallyscope.functions.text import canonical_json, normalize_ticker
 from tallyscope.operators.quality import DataViolation, Violation, digest_rows, raise_on
+from tallyscope.session import settle
 
 # Exclusion reason and detail texts.
 INVALID_ROW = "invalid_market_row"
@@ -102,14 +103,6 @@ class Universe(NamedTuple):
     counts: DataFrame
 
 
-def _exclusion(reason: Column, detail: Column, ticker: Column | None = None) -> list[Column]:
-    return [(F.col("ticker") if ticker is None else ticker).alias("ticker"), reason.alias("reason"), detail.alias("detail")]
-
-
-def _fixed(reason: str) -> list[Column]:
-    return _exclusion(F.lit(reason), F.lit(_DETAIL[reason]))
-
-
 def provider_screen(rows: DataFrame, policy: UniversePolicy) -> DataFrame:
     """The screen a provider runs before paging: thresholds pushed to the scan, cap order, pages.
 
@@ -138,25 +131,38 @@ def paginate(rows: DataFrame, policy: UniversePolicy) -> DataFrame:
     )
 
 
-def screen_rows(quotes: DataFrame, policy: UniversePolicy) -> tuple[DataFrame, DataFrame]:
-    """Split quotes into usable rows and exclusions by the first rule a quote fails."""
+def judge_quotes(quotes: DataFrame, policy: UniversePolicy) -> DataFrame:
+    """Cleaned quote rows with the first screen rule each one fails (``reason``, ``detail``)."""
     c = F.col
     ticker = normalize_ticker("ticker")
     exchange = F.upper(F.trim("exchange"))
     kind = F.upper(F.trim(F.coalesce(c("quote_type"), F.lit(""))))
-    currency = F.upper(F.trim("currency"))
     is_object = c("is_object") if "is_object" in quotes.columns else F.lit(True)
+    cleaned = quotes.select(
+        "page_offset",
+        "position",
+        ticker.alias("ticker"),
+        exchange.alias("market_exchange_code"),
+        kind.alias("_kind"),
+        is_object.alias("_object"),
+        "market_cap",
+        "share_price",
+        "average_daily_volume_3m",
+        F.upper(F.trim("currency")).alias("currency"),
+        "content_hash",
+        "request_hash",
+        "retrieved_at",
+    )
     incomplete = (
         c("market_cap").isNull()
         | c("share_price").isNull()
         | c("average_daily_volume_3m").isNull()
-        | F.coalesce(currency == "", F.lit(True))
+        | F.coalesce(c("currency") == "", F.lit(True))
     )
-    outside = ~F.coalesce(exchange.isin(*policy.market_exchange_codes), F.lit(False))
+    outside = ~F.coalesce(c("market_exchange_code").isin(*policy.market_exchange_codes), F.lit(False))
     reason = (
-        F.when(~is_object, INVALID_ROW)
-        .when(ticker.isNull(), INVALID_ROW)
-        .when(kind != "EQUITY", NON_EQUITY)
+        F.when(~c("_object") | c("ticker").isNull(), INVALID_ROW)
+        .when(c("_kind") != "EQUITY", NON_EQUITY)
         .when(outside, MARKET_EXCHANGE)
         .when(incomplete, INCOMPLETE)
         .when(
@@ -165,34 +171,16 @@ def screen_rows(quotes: DataFrame, policy: UniversePolicy) -> tuple[DataFrame, D
         )
         .when(c("average_daily_volume_3m") < policy.minimum_average_daily_volume_3m, FAILED_LIQUIDITY)
     )
+    shown = F.coalesce(F.when(c("market_exchange_code") != "", c("market_exchange_code")), F.lit("missing"))
     detail = (
-        F.when(~is_object, _NOT_AN_OBJECT)
-        .when(c("reason") == NON_EQUITY, F.concat(F.lit("provider quote type was "), kind))
-        .when(
-            c("reason") == MARKET_EXCHANGE,
-            F.concat(F.lit("provider exchange was "), F.coalesce(F.when(exchange != "", exchange), F.lit("missing"))),
-        )
+        F.when(~c("_object"), _NOT_AN_OBJECT)
+        .when(c("reason") == NON_EQUITY, F.concat(F.lit("provider quote type was "), c("_kind")))
+        .when(c("reason") == MARKET_EXCHANGE, F.concat(F.lit("provider exchange was "), shown))
     )
     for name, text in _DETAIL.items():
         detail = detail.when(c("reason") == name, text)
-    judged = quotes.withColumn("reason", reason)
-    excluded = judged.where("reason is not null").select(
-        "page_offset", *_exclusion(c("reason"), detail, F.coalesce(ticker, F.lit("UNKNOWN")))
-    )
-    rows = judged.where("reason is null").select(
-        "page_offset",
-        "position",
-        ticker.alias("ticker"),
-        exchange.alias("market_exchange_code"),
-        "market_cap",
-        "share_price",
-        "average_daily_volume_3m",
-        currency.alias("currency"),
-        "content_hash",
-        "request_hash",
-        "retrieved_at",
-    )
-    return rows, excluded
+    judged = cleaned.withColumn("reason", reason).withColumn("detail", detail)
+    return judged.withColumn("ticker", F.coalesce("ticker", F.lit("UNKNOWN"))).drop("_kind", "_object")
 
 
 def inspected_pages(
@@ -232,40 +220,47 @@ def inspected_pages(
     )
 
 
-def eligible_rows(
-    rows: DataFrame, identities: DataFrame, policy: UniversePolicy
-) -> tuple[DataFrame, DataFrame]:
-    """One row per issuer: best row per ticker, known identity on an allowed exchange, best ticker per issuer."""
+def judge_issuers(rows: DataFrame, identities: DataFrame, policy: UniversePolicy) -> DataFrame:
+    """Join verdicts of usable rows: best row per ticker, known identity on an allowed exchange,
+    best ticker per issuer. Adds identity columns, ``reason`` and ``detail``.
+
+    Winners are maxima with partial aggregation, so a ticker or issuer that repeats in a large part
+    of the rows is reduced before the shuffle; the row key that finds the winner again is unique.
+    """
     c = F.col
-    best = rows.groupBy("ticker").agg(
-        F.max_by(F.struct(*[c(n) for n in rows.columns if n != "ticker"]), F.struct("market_cap", "content_hash", -c("page_offset"), -c("position"))).alias("_row")
-    ).select("ticker", "_row.*")
-    repeated = rows.join(
-        best.select("page_offset", "position"), ["page_offset", "position"], "left_anti"
-    ).select(*_fixed(DUPLICATE_ROW))
-
-    named = best.join(
+    winners = rows.groupBy("ticker").agg(
+        F.max_by(
+            F.struct("page_offset", "position"),
+            F.struct("market_cap", "content_hash", -c("page_offset"), -c("position")),
+        ).alias("_w")
+    ).select("_w.*", F.lit(True).alias("_best"))
+    named = rows.drop("reason", "detail").join(winners, ["page_offset", "position"], "left").join(
         identities.select("ticker", "cik", "company", c("exchange").alias("sec_exchange")), "ticker", "left"
     )
     allowed = F.lower("sec_exchange").isin(*[e.lower() for e in policy.sec_exchanges])
-    unknown = named.where(c("cik").isNull()).select(*_fixed(MISSING_IDENTITY))
-    elsewhere = named.where(c("cik").isNotNull() & ~allowed).select(
-        *_exclusion(F.lit(IDENTITY_EXCHANGE), F.concat(F.lit("official SEC exchange was "), c("sec_exchange")))
+    reason = (
+        F.when(c("_best").isNull(), DUPLICATE_ROW)
+        .when(c("cik").isNull(), MISSING_IDENTITY)
+        .when(~allowed, IDENTITY_EXCHANGE)
     )
-    listed = named.where(c("cik").isNotNull() & allowed)
-
-    keepers = listed.groupBy("cik").agg(
-        F.min_by("ticker", F.struct(-c("market_cap"), c("ticker"))).alias("_kept")
+    flagged = settle(named.withColumn("reason", reason).drop("_best"))
+    keepers = (
+        flagged.where("reason is null")
+        .groupBy("cik")
+        .agg(F.min_by("ticker", F.struct(-c("market_cap"), c("ticker"))).alias("_kept"))
     )
-    judged = listed.join(keepers, "cik")
-    other_class = judged.where(c("ticker") != c("_kept")).select(
-        *_exclusion(
-            F.lit(DUPLICATE_ISSUER),
+    judged = flagged.join(keepers, "cik", "left")
+    final = F.coalesce("reason", F.when(c("ticker") != c("_kept"), DUPLICATE_ISSUER))
+    detail = (
+        F.when(c("reason") == IDENTITY_EXCHANGE, F.concat(F.lit("official SEC exchange was "), c("sec_exchange")))
+        .when(
+            c("reason") == DUPLICATE_ISSUER,
             F.concat(F.lit("same verified SEC CIK as higher-ranked share class "), c("_kept")),
         )
+        .when(c("reason") == DUPLICATE_ROW, _DETAIL[DUPLICATE_ROW])
+        .when(c("reason") == MISSING_IDENTITY, _DETAIL[MISSING_IDENTITY])
     )
-    eligible = judged.where(c("ticker") == c("_kept")).drop("_kept")
-    return eligible, repeated.unionByName(unknown).unionByName(elsewhere).unionByName(other_class)
+    return judged.withColumn("reason", final).withColumn("detail", detail).drop("_kept")
 
 
 MEMBER_COLUMNS = (
@@ -295,8 +290,12 @@ def cut_to_target(eligible: DataFrame, policy: UniversePolicy) -> tuple[DataFram
     order = [F.col("market_cap").desc(), F.col("ticker").asc()]
     top = eligible.orderBy(*order).limit(policy.target_size)
     members = top.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)))
-    members = members.withColumn("entity_id", F.concat(F.lit("ticker:"), F.col("ticker"))).select(*MEMBER_COLUMNS)
-    below = eligible.join(F.broadcast(members.select("ticker")), "ticker", "left_anti").select(*_fixed(BELOW_CUTOFF))
+    members = settle(
+        members.withColumn("entity_id", F.concat(F.lit("ticker:"), F.col("ticker"))).select(*MEMBER_COLUMNS)
+    )
+    below = eligible.join(F.broadcast(members.select("ticker")), "ticker", "left_anti").select(
+        "ticker", F.lit(BELOW_CUTOFF).alias("reason"), F.lit(_DETAIL[BELOW_CUTOFF]).alias("detail")
+    )
     return members, below
 
 
@@ -307,15 +306,23 @@ def select_universe(
 
     ``pages`` has one row per page: page_offset, total, row_count and lineage columns; ``quotes``
     has page_offset and position. Rows of pages that are not inspected are neither members nor
-    exclusions.
+    exclusions. Every quote gets its verdict in two passes (screen, then joins); the passes are
+    checkpointed because members, exclusions and counts all read them.
     """
-    rows, _ = screen_rows(quotes, policy)
-    read = inspected_pages(pages, rows, identities, policy)
-    in_scope = quotes.join(F.broadcast(read.select("page_offset")), "page_offset", "left_semi")
-    rows, rejected = screen_rows(in_scope, policy)
-    eligible, join_exclusions = eligible_rows(rows, identities, policy)
-    members, below = cut_to_target(eligible, policy)
-    exclusions = rejected.drop("page_offset").unionByName(join_exclusions).unionByName(below)
+    judged = settle(judge_quotes(quotes, policy))
+    usable = judged.where("reason is null")
+    read = settle(inspected_pages(pages, usable, identities, policy))
+    in_scope = judged.join(F.broadcast(read.select("page_offset")), "page_offset", "left_semi")
+    rows = in_scope.where("reason is null")
+    issuers = judge_issuers(rows, identities, policy)
+    members, below = cut_to_target(issuers.where("reason is null"), policy)
+    shown = ["ticker", "reason", "detail"]
+    exclusions = (
+        in_scope.where("reason is not null")
+        .select(*shown)
+        .unionByName(issuers.where("reason is not null").select(*shown))
+        .unionByName(below)
+    )
     return Universe(members, exclusions, read, coverage_counts(members, rows, read))
 
 

@@ -144,7 +144,9 @@ def check_sequence(events: DataFrame) -> Sequenced:
         .when(ok, "event sequence does not match expected")
         .when(c("_row.schema_version") != SCHEMA_VERSION, "unsupported event schema")
         .when(~c("_row.kind").isin(*EVENT_KINDS), "unhandled event kind")
-        .when(c("sequence") >= c("_end"), "cannot append an event after terminal run state")
+        .when(
+            (c("sequence") >= c("_end")) & (c("_end") == c("limit")), "cannot append an event after terminal run state"
+        )
         .when(c("sequence") >= c("_gap"), "event sequence does not match expected")
         .otherwise("run stopped at an earlier rejected event")
     )
@@ -506,26 +508,43 @@ def replay(events: DataFrame) -> Replay:
 # --- integrity ------------------------------------------------------------------------------------
 
 
-def _value(path: str) -> str:
-    return f"try_variant_get(_p, '$.{path}', 'variant')"
+# Payload fields that take part in integrity checks.
+_CHECKED_FIELDS = (
+    "plan", "plan_hash", "workflow_id", "workflow_version", "tasks", "request", "request_hash",
+    "trace", "trace_hash", "output", "output_hash", "output_truncated", "arguments", "arguments_hash",
+    "proposed_arguments", "proposed_arguments_hash", "result_envelope", "result_hash", "call_id", "result",
+    "source_ids", "retryable", "error", "task_id", "plan.workflow_id", "plan.version", "plan.tasks",
+    "trace.output_text", "trace.output_hash", "trace.output_truncated", "result_envelope.call_id",
+    "result_envelope.payload", "result_envelope.source_ids", "result_envelope.retryable",
+    "result_envelope.payload.error",
+)
+
+
+def _field(path: str) -> str:
+    return "_j_" + path.replace(".", "_")
 
 
-def _plain(path: str) -> str:
-    return f"try_variant_get(_p, '$.{path}', 'string')"
+def _text_of(path: str) -> str:
+    """Unquoted text of a field that is a JSON string without escapes, such as a digest or an id."""
+    return f"trim(both '\"' from {_field(path)})"
 
 
 def _matches(value: str, digest: str) -> str:
-    """The field exists and hashes to its digest; JSON text of a variant has sorted keys."""
-    return f"coalesce(sha2(to_json({_value(value)}), 256) = {_plain(digest)}, false)"
+    """The field exists and hashes to its digest."""
+    return f"coalesce(sha2({_field(value)}, 256) = {_text_of(digest)}, false)"
 
 
 def _same(left: str, right: str) -> str:
-    return f"(to_json({_value(left)}) <=> to_json({_value(right)}))"
+    return f"({_field(left)} <=> {_field(right)})"
 
 
 def integrity_problems(events: DataFrame) -> DataFrame:
-    """Events whose recorded hashes or duplicated fields disagree: run_id, sequence, kind, problem."""
-    has = lambda path: f"{_value(path)} is not null"
+    """Events whose recorded hashes or duplicated fields disagree: run_id, sequence, kind, problem.
+
+    The payload is parsed once and every checked field becomes a text column: JSON text of a
+    variant has sorted keys and no spaces, which is the form that was hashed.
+    """
+    has = lambda path: f"{_field(path)} is not null"
     planned = events.where("kind = 'workflow_planned'").selectExpr(
         "run_id",
         "sequence as _planned_at",
@@ -542,53 +561,85 @@ def integrity_problems(events: DataFrame) -> DataFrame:
             "tool_started", "tool_completed", "tool_rejected",
         )
     ).join(planned, "run_id", "left")
-    parsed = scope.selectExpr(
-        "run_id", "sequence", "kind", "try_parse_json(payload) as _p", "_plan", "coalesce(_planned_at < sequence, false) as _in_plan",
-        "_planned_at",
-    )
-    text_hash = f"sha2({_plain('output')}, 256) = {_plain('output_hash')}"
-    truncated = f"try_variant_get(_p, '$.output_truncated', 'boolean')"
-    envelope = (
-        "concat('{\"call_id\":', coalesce(to_json(" + _value("call_id") + "), 'null'), ',\"payload\":', coalesce(to_json("
-        + _value("result") + "), 'null'), ',\"retryable\":', coalesce(to_json(" + _value("retryable")
-        + "), 'null'), ',\"source_ids\":', coalesce(to_json(" + _value("source_ids") + "), 'null'), '}')"
-    )
-    problem = f"""case
-      when kind = 'workflow_planned' and {has('plan')} then case
-        when not {_matches('plan', 'plan_hash')} then 'plan_hash mismatch for plan'
-        when not ({_plain('workflow_id')} <=> {_plain('plan.workflow_id')}) then 'workflow_id does not match plan'
-        when not ({_plain('workflow_version')} <=> {_plain('plan.version')}) then 'workflow_version does not match plan'
-        when not {_same('tasks', 'plan.tasks')} then 'tasks do not match plan'
-        when _planned_at < sequence then 'journal contains multiple integrity workflow plans' end
-      when kind = 'workflow_completed' and _in_plan then case
-        when not (_plan <=> named_struct('_w', {_plain('workflow_id')}, '_v', {_plain('workflow_version')}, '_h', {_plain('plan_hash')}))
-          then 'workflow_completed does not match workflow_planned' end
-      when kind = 'model_turn_started' and not {_matches('request', 'request_hash')} then 'request_hash mismatch for request'
-      when kind = 'model_turn_completed' then case
-        when not {_matches('trace', 'trace_hash')} then 'trace_hash mismatch for trace'
-        when {truncated} is null then 'output_truncated must be a boolean'
-        when {truncated} and {_plain('output')} is not null then 'truncated output must be null'
-        when not {truncated} and not coalesce({text_hash}, false) then 'output_hash mismatch'
-        when not {_same('output', 'trace.output_text')} then 'trace output_text does not match payload'
-        when not {_same('output_hash', 'trace.output_hash')} then 'trace output_hash does not match payload'
-        when not {_same('output_truncated', 'trace.output_truncated')} then 'trace output_truncated does not match payload' end
-      when kind = 'tool_started' and (_in_plan or {has('task_id')} or {has('arguments_hash')}) then case
-        when not {_matches('arguments', 'arguments_hash')} then 'arguments_hash mismatch for arguments'
-        when ({has('proposed_arguments')} or {has('proposed_arguments_hash')})
-          and not {_matches('proposed_arguments', 'proposed_arguments_hash')}
-          then 'proposed_arguments_hash mismatch for proposed_arguments' end
-      when kind in ('tool_completed', 'tool_rejected') then case
-        when {has('result_envelope')} then case
-          when not {_matches('result_envelope', 'result_hash')} then 'tool result_hash mismatch'
-          when not {_same('call_id', 'result_envelope.call_id')} then 'result_envelope call_id does not match payload'
-          when not {_same('result', 'result_envelope.payload')} then 'result_envelope payload does not match payload'
-          when not {_same('source_ids', 'result_envelope.source_ids')} then 'result_envelope source_ids does not match payload'
-          when not {_same('retryable', 'result_envelope.retryable')} then 'result_envelope retryable does not match payload'
-          when not {_same('error', 'result_envelope.payload.error')} then 'error does not match result_envelope payload' end
-        when _in_plan then 'fixed-DAG tool result is missing result_envelope'
-        when {has('result_hash')} and sha2({envelope}, 256) <> {_plain('result_hash')} then 'tool result_hash mismatch' end
-      end as problem"""
-    return parsed.selectExpr("run_id", "sequence", "kind", problem).where("problem is not null")
+    fields = scope.selectExpr(
+        "run_id", "sequence", "kind", "try_parse_json(payload) as _p", "_plan", "_planned_at",
+        "coalesce(_planned_at < sequence, false) as _in_plan",
+    ).selectExpr(
+        "* except (_p)",
+        "try_variant_get(_p, '$.output', 'string') as _output",
+        *[f"to_json(try_variant_get(_p, '$.{path}', 'variant')) as {_field(path)}" for path in _CHECKED_FIELDS],
+    )
+    truncated = f"({_field('output_truncated')} = 'true')"
+    legacy = ", ".join(
+        f"',\"{key}\":', coalesce({_field(source)}, 'null')"
+        for key, source in (("call_id", "call_id"), ("payload", "result"), ("retryable", "retryable"), ("source_ids", "source_ids"))
+    )
+    envelope = f"concat('{{', substr(concat({legacy}), 2), '}}')"
+    checks = {
+        "workflow_planned": [
+            (f"{_field('plan')} is null", None),
+            (f"not {_matches('plan', 'plan_hash')}", "plan_hash mismatch for plan"),
+            (f"not {_same('workflow_id', 'plan.workflow_id')}", "workflow_id does not match plan"),
+            (f"not {_same('workflow_version', 'plan.version')}", "workflow_version does not match plan"),
+            (f"not {_same('tasks', 'plan.tasks')}", "tasks do not match plan"),
+            ("_planned_at < sequence", "journal contains multiple integrity workflow plans"),
+        ],
+        "workflow_completed": [
+            (
+                f"_in_plan and not (_plan._w <=> {_text_of('workflow_id')} and _plan._v <=> {_text_of('workflow_version')} "
+                f"and _plan._h <=> {_text_of('plan_hash')})",
+                "workflow_completed does not match workflow_planned",
+            ),
+        ],
+        "model_turn_started": [(f"not {_matches('request', 'request_hash')}", "request_hash mismatch for request")],
+        "model_turn_completed": [
+            (f"not {_matches('trace', 'trace_hash')}", "trace_hash mismatch for trace"),
+            (f"coalesce({_field('output_truncated')}, '') not in ('true', 'false')", "output_truncated must be a boolean"),
+            (f"{truncated} and _output is not null", "truncated output must be null"),
+            (
+                f"not {truncated} and not coalesce(sha2(_output, 256) = {_text_of('output_hash')}, false)",
+                "output_hash mismatch",
+            ),
+            (f"not {_same('output', 'trace.output_text')}", "trace output_text does not match payload"),
+            (f"not {_same('output_hash', 'trace.output_hash')}", "trace output_hash does not match payload"),
+            (f"not {_same('output_truncated', 'trace.output_truncated')}", "trace output_truncated does not match payload"),
+        ],
+        "tool_started": [
+            (f"not (_in_plan or {has('task_id')} or {has('arguments_hash')})", None),
+            (f"not {_matches('arguments', 'arguments_hash')}", "arguments_hash mismatch for arguments"),
+            (
+                f"({has('proposed_arguments')} or {has('proposed_arguments_hash')}) "
+                f"and not {_matches('proposed_arguments', 'proposed_arguments_hash')}",
+                "proposed_arguments_hash mismatch for proposed_arguments",
+            ),
+        ],
+    }
+    checks["tool_completed"] = checks["tool_rejected"] = [
+        (f"{_field('result_envelope')} is null and _in_plan", "fixed-DAG tool result is missing result_envelope"),
+        (
+            f"{_field('result_envelope')} is null and {has('result_hash')} "
+            f"and sha2({envelope}, 256) <> {_text_of('result_hash')}",
+            "tool result_hash mismatch",
+        ),
+        (f"{_field('result_envelope')} is null", None),
+        (f"not {_matches('result_envelope', 'result_hash')}", "tool result_hash mismatch"),
+        *[
+            (f"not {_same(source, 'result_envelope.' + key)}", f"result_envelope {key} does not match payload")
+            for key, source in (
+                ("call_id", "call_id"), ("payload", "result"), ("source_ids", "source_ids"), ("retryable", "retryable")
+            )
+        ],
+        (f"not {_same('error', 'result_envelope.payload.error')}", "error does not match result_envelope payload"),
+    ]
+    branches = []
+    for kind, rules in checks.items():
+        cases = " ".join(
+            f"when {condition} then {'null' if text is None else repr(text)}" for condition, text in rules
+        )
+        branches.append(f"when kind = '{kind}' then case {cases} end")
+    # Unnesting a one-element array keeps the rows with a problem without evaluating it twice.
+    problem = f"explode(array_compact(array(case {' '.join(branches)} end))) as problem"
+    return fields.selectExpr("run_id", "sequence", "kind", problem)
 
 
 # --- search, counters, transcripts ----------------------------------------------------------------

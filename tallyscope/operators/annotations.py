@@ -6,6 +6,8 @@ from typing import NamedTuple
 
 from pyspark.sql import DataFrame, functions as F
 
+from tallyscope.session import computed
+
 # Length and count limits.
 MAX_SUMMARY, MAX_ITEM, MAX_ITEMS, MAX_SOURCES = 2_000, 500, 5, 50
 MAX_CITATIONS, MAX_CITATION_LENGTH = 100, 200
@@ -90,6 +92,7 @@ def validate_annotations(outputs: DataFrame, allowed: DataFrame) -> Annotations:
         f"when {citation_problem('_text')} is not null then named_struct('code', 'invalid_citations', 'message', {citation_problem('_text')}) "
         "end as _problem",
     )
+    judged = computed(judged)
     fine = judged.where("_problem is null").selectExpr(
         "id",
         f"{summary} as summary",

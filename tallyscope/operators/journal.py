@@ -473,7 +473,7 @@ class Replay(NamedTuple):
 def replay(events: DataFrame) -> Replay:
     """Whole log to final state. A run is folded up to its first problem; problems are listed.
 
-    The accepted prefix feeds every table, so it is checkpointed once, as is the (small) problem list.
+    The accepted prefix feeds every table, so it is settled once, as is the (small) problem list.
     """
     c = F.col
     ordered = check_sequence(events)

@@ -78,7 +78,7 @@ def ordinal(
 ) -> DataFrame:
     """Append the 1-based position under ``order`` (ascending columns that form a unique key).
 
-    The input is read three times (sample, block totals, positions), so it is checkpointed first
+    The input is read three times (sample, block totals, positions), so it is settled first
     unless the caller says that rereading it is cheap.
 
     Bounds come from a fixed number of hash slots, each keeping one row, so the sample is bounded

@@ -94,7 +94,7 @@ def rank_entities(
     ``<metric>_score`` per criterion, ``composite_score``, ``missing_metrics``. Order it with
     :func:`rank_order`; the composite is rounded before it is compared.
 
-    The narrow metric table (one row per entity) is read several times, so it is checkpointed
+    The narrow metric table (one row per entity) is read several times, so it is written out
     first unless ``settled`` says the input is already cheap to reread.
     """
     check_precision(precision)

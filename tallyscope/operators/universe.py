@@ -307,7 +307,7 @@ def select_universe(
     ``pages`` has one row per page: page_offset, total, row_count and lineage columns; ``quotes``
     has page_offset and position. Rows of pages that are not inspected are neither members nor
     exclusions. Every quote gets its verdict in two passes (screen, then joins); the passes are
-    checkpointed because members, exclusions and counts all read them.
+    settled because members, exclusions and counts all read them.
     """
     judged = settle(judge_quotes(quotes, policy))
     usable = judged.where("reason is null")

@@ -50,7 +50,7 @@ def run_screen(
 
     ``failures``: ticker, provider, phase, error, ord of issuers that could not be collected; they
     are left out of the analysis and show up in the audit rows. The per-issuer analysis table is
-    the one checkpoint of the second half; everything after it works on one row per issuer.
+    the one settled table of the second half; everything after it works on one row per issuer.
     """
     universe = select_universe(quotes, pages, identities, policy)
     check_universe(universe)

@@ -7,8 +7,9 @@ that was built elsewhere.
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 ROCKSDB_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -46,13 +47,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Compute a narrow table once and keep it on reliable storage.
+    """Compute a table once and keep it as Parquet in the shared checkpoint folder.
 
     For tables that several later steps read: without this each of them would recompute the whole
-    upstream plan. Survives executor loss, because the blocks live in the checkpoint folder.
+    upstream plan. A written table is computed exactly once (a checkpoint runs its last stage
+    twice), survives executor loss, and later reads prune columns and push filters into it.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -63,3 +67,13 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def computed(df: DataFrame) -> DataFrame:
+    """Keep later filters from recomputing the columns of ``df``.
+
+    Catalyst pushes a filter on a computed column below the projection by inlining the whole
+    expression, so costly parsing would run for the filter and again for the value. Columns that
+    come out of a generator are taken as they are.
+    """
+    return df.select(F.inline(F.array(F.struct(*[F.col(f"`{c}`") for c in df.columns]))))

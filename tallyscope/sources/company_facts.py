@@ -21,7 +21,7 @@ from tallyscope.operators.records import (
     observations_of,
     with_identity,
 )
-from tallyscope.session import settle, spread
+from tallyscope.session import computed, settle, spread
 
 FORMS = ("10-K", "10-Q", "10-K/A", "10-Q/A")
 _ARCHIVE = "https://www.sec.gov/Archives/edgar/data/"
@@ -124,7 +124,7 @@ def parse_documents(raw: DataFrame) -> DataFrame:
         "try_variant_get(_json, '$.entityName', 'variant') as _name",
         f"{_object('try_variant_get(_json, {0})'.format(repr('$.facts')))} is not null as _has_facts",
     )
-    return known.withColumn("cik", normalize_cik("_cik_text")).selectExpr(
+    documents = known.withColumn("cik", normalize_cik("_cik_text")).selectExpr(
         "_json",
         "retrieved_at",
         "cik",
@@ -135,6 +135,7 @@ def parse_documents(raw: DataFrame) -> DataFrame:
         "when cik is null then 'company-facts payload is missing a valid cik' end as document_problem",
         "_has_facts",
     )
+    return computed(documents)
 
 
 def _concept_rows(documents: DataFrame) -> DataFrame:
@@ -278,7 +279,7 @@ def _judged_facts(facts: DataFrame, forms: Sequence[str]) -> DataFrame:
             ),
         ),
     )
-    return judged.where(f"issue is not null or form in ({allowed})")
+    return computed(judged).where(f"issue is not null or form in ({allowed})")
 
 
 def latest_restatements(facts: DataFrame) -> DataFrame:
@@ -348,7 +349,7 @@ def normalize_company_facts(
 ) -> Batch:
     """Observations, evidence and issues of company-facts documents (document, retrieved_at[, ticker]).
 
-    The parsed fact rows feed all three tables, so they are checkpointed once rather than parsed
+    The parsed fact rows feed all three tables, so they are settled once rather than parsed
     three times; ``reread_input`` skips that for small inputs.
     """
     if not forms or any(not f.strip() for f in forms):

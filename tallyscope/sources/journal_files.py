@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tallyscope.session import computed
+
 # Event kinds of a run journal.
 EVENT_KINDS = tuple(
     """
@@ -55,12 +57,13 @@ def parse_lines(lines: DataFrame) -> DataFrame:
         "then 'payload must be an object' end as problem",
     )
     kinds = ", ".join(f"'{k}'" for k in EVENT_KINDS)
-    return typed.selectExpr(
+    checked = typed.selectExpr(
         "* except (problem, _json)",
         "coalesce(problem, case when schema_version is null or sequence is null then 'not an integer' "
         f"when kind not in ({kinds}) then 'unknown event kind' when timestamp is null then 'invalid timestamp' end) "
         "as problem",
     )
+    return computed(checked)
 
 
 def split_lines(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:

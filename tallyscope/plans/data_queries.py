@@ -16,6 +16,7 @@ from tallyscope.operators import records as rc
 from tallyscope.operators import selection as sel
 from tallyscope.plans import tables as t
 from tallyscope.plans.tables import half_even_sql as R
+from tallyscope.session import spread
 from tallyscope.sources import company_facts as cf
 from tallyscope.sources import identity as idn
 from tallyscope.sources import market_data as md
@@ -191,7 +192,10 @@ def price_history_issues(spark: SparkSession, folder: str) -> DataFrame:
 
 def _fact_documents(spark: SparkSession, folder: str) -> DataFrame:
     """One company-facts document per order line, built inside the row."""
-    return t.table(spark, folder, "lineitem").selectExpr(
+    lines = t.table(spark, folder, "lineitem").select(
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_returnflag", "l_shipdate"
+    )
+    return spread(lines).selectExpr(
         """concat('{"cik":', l_orderkey, ',"entityName":"Order","facts":{"us-gaap":{"Revenues":{"units":{"USD":[{"val":',
         cast(l_extendedprice as decimal(12,2)), ',"start":"1995-01-01","end":"', date_add(date'1995-12-30', l_linenumber),
         '","filed":"', date_format(l_shipdate, 'yyyy-MM-dd'), '","form":"',

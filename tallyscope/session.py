@@ -59,14 +59,15 @@ def settle(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Redistribute a table that sits in fewer partitions than there are cores.
+def spread(scan: DataFrame) -> DataFrame:
+    """Redistribute a file scan that has fewer partitions than there are cores.
 
-    For costly per-row work on a small input (one file, one row group). A large input already has
-    more partitions than cores and is returned as it is, without a shuffle.
+    For costly per-row work on a small input (one file, one row group). A large scan already has
+    more partitions than cores and is returned as it is, without a shuffle. Only for plans without
+    a shuffle of their own: asking those for their partitions would start them.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
 
 
 def computed(df: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ from tallyscope.operators.records import (
     observations_of,
     with_identity,
 )
-from tallyscope.session import computed, settle, spread
+from tallyscope.session import computed, settle
 
 FORMS = ("10-K", "10-Q", "10-K/A", "10-Q/A")
 _ARCHIVE = "https://www.sec.gov/Archives/edgar/data/"
@@ -354,7 +354,7 @@ def normalize_company_facts(
     """
     if not forms or any(not f.strip() for f in forms):
         raise ValueError("forms must contain at least one non-empty form name")
-    documents = parse_documents(spread(raw))
+    documents = parse_documents(raw)
     usable = documents.where("document_problem is null")
     facts = _judged_facts(_fact_rows(_concept_rows(usable)), forms)
     if not reread_input:

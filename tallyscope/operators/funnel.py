@@ -8,10 +8,24 @@ from pyspark.sql import DataFrame, functions as F
 
 from tallyscope.functions.numeric import round_half_even
 from tallyscope.operators.quality import DataViolation
+from tallyscope.operators.universe import digest_sum
 
 # Fixed value: failure text when nothing was recorded for an issuer.
 NO_PACKET = "trusted SEC evidence packet unavailable"
 PROVIDERS = ("sec", "yfinance")
+# Candidate fields that are part of a result's fingerprint.
+FINGERPRINT_FIELDS = (
+    "candidate_id",
+    "ticker",
+    "company",
+    "bucket",
+    "priority_score",
+    "screen_rank",
+    "financials",
+    "evidence_ids",
+    "as_of",
+    "source_mode",
+)
 
 
 def required_screened(selected: int, minimum_count: int, minimum_ratio: float = 0.70) -> int:
@@ -187,3 +201,19 @@ def binding_problems(selected: DataFrame, members: DataFrame, evidence: DataFram
         .select("entity_id", "name", "problem")
         .unionByName(lost.select("entity_id", "name", F.lit("market value lost its page hash").alias("problem")))
     )
+
+
+def result_fingerprint(manifest: DataFrame, funnel_row: DataFrame, candidates: DataFrame) -> DataFrame:
+    """One row: ``fingerprint`` of the manifest, the funnel and every candidate.
+
+    Each candidate row is hashed with its rank and the row digests are added up, so the result does
+    not depend on how rows are distributed and nothing is gathered.
+    """
+    row = F.sha2(F.to_json(F.struct(*FINGERPRINT_FIELDS), {"ignoreNullFields": "false"}), 256)
+    listed = digest_sum(candidates, row, "h").scalar()
+    counts = funnel_row.select(
+        F.sha2(F.to_json(F.struct(*sorted(funnel_row.columns)), {"ignoreNullFields": "false"}), 256).alias("h")
+    ).scalar()
+    return manifest.select(
+        F.sha2(F.concat_ws("|", "content_hash", "policy_hash", counts, listed), 256).alias("fingerprint")
+    )

@@ -366,7 +366,7 @@ def posture(selected: Column, policy: UniversePolicy) -> Column:
     )
 
 
-def _digest_sum(df: DataFrame, fingerprint: Column, out: str) -> DataFrame:
+def digest_sum(df: DataFrame, fingerprint: Column, out: str) -> DataFrame:
     """Order-independent digest of a table: sum of 60-bit row digests, with map-side combine."""
     part = F.conv(F.substring(fingerprint, 1, 15), 16, 10).cast("decimal(20,0)")
     return df.agg(
@@ -388,7 +388,7 @@ def manifest(universe: Universe, identity_hash: Column | str, policy: UniversePo
             256,
         ).alias("h")
     ).scalar()
-    excluded_hash = _digest_sum(
+    excluded_hash = digest_sum(
         universe.exclusions, F.sha2(F.concat_ws("\u0001", "reason", "ticker", "detail"), 256), "h"
     ).scalar()
     pages_hash = universe.pages.agg(

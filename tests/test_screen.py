@@ -8,7 +8,7 @@ from tallyscope.operators import funnel as fn
 from tallyscope.operators import screen as sc
 from tallyscope.operators.annotations import validate_annotations
 from tallyscope.operators.quality import DataViolation, split_candidates
-from tallyscope.operators.universe import UniversePolicy
+from tallyscope.operators.universe import UniversePolicy, manifest
 from tallyscope.plans.screen_plan import run_screen
 from tallyscope.sources.screen_pages import parse_pages
 from tests.test_universe import page_documents, quote
@@ -91,6 +91,14 @@ def test_three_hundred_issuers(spark, inputs):
     audit = screen.audit.collect()
     assert len(audit) == 300 and all(a["status"] == "screened" and a["source_ids"] for a in audit)
     assert sum(a["surfaced"] for a in audit) == 25
+    summary = manifest(screen.universe, "0" * 64, UniversePolicy())
+
+    def fingerprint(candidates):
+        return fn.result_fingerprint(summary, screen.funnel, candidates).first()["fingerprint"]
+
+    mark = fingerprint(screen.candidates)
+    assert len(mark) == 64 and fingerprint(screen.candidates.repartition(3)) == mark
+    assert fingerprint(screen.candidates.withColumn("priority_score", F.lit(1))) != mark
     rows = fn.collection_rows(
         screen.universe.members.select("ticker"),
         screen.ledger.observations.groupBy("ticker").agg(F.count(F.lit(1)).alias("observation_count")),

@@ -114,8 +114,8 @@ def funnel(counts: DataFrame, audit: DataFrame, access_modes: DataFrame | None =
         modes = access_modes.agg(F.array_sort(F.collect_set("access_mode")).alias("m")).scalar()
         only = lambda mode: modes == F.array(F.lit(mode))
         posture = F.when(only("cache"), "cache").when(only("network"), "network").otherwise("mixed")
-    tagged = counts.withColumn("_row", F.lit(1)).join(stages.withColumn("_row", F.lit(1)), "_row")
-    return tagged.select(
+    staged = counts.withColumn("_s", stages.select(F.struct(*stages.columns).alias("s")).scalar())
+    return staged.select("*", "_s.*").select(
         c("provider_reported_total").alias("provider_matches"),
         c("fetched_row_count").alias("inspected"),
         c("screened_unique_count").alias("screened_unique"),

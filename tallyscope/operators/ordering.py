@@ -94,14 +94,11 @@ def ordinal(
         F.sequence(F.lit(1), F.lit(blocks - 1)),
         lambda i: F.get(F.col("_sorted"), F.floor(i * size / blocks).cast("int")),
     )
-    bounds = sample.agg(F.array_sort(F.collect_list("_order")).alias("_sorted")).select(
-        F.lit(0).alias("_all"), cuts.alias("_bounds")
-    )
+    bounds = sample.agg(F.array_sort(F.collect_list("_order")).alias("_sorted")).select(cuts.alias("_bounds"))
     placed = (
-        keyed.withColumn("_all", F.lit(0))
-        .join(F.broadcast(bounds), "_all")
+        keyed.withColumn("_bounds", bounds.scalar())
         .withColumn("_block", _block_number(F.col("_bounds"), F.col("_order")))
-        .drop("_bounds", "_all")
+        .drop("_bounds")
     )
     inside = Window.partitionBy(*keys, "_block").orderBy("_order")
     numbered = placed.withColumn("_within", F.row_number().over(inside))

@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from pyspark.sql.pandas.types import from_arrow_type
 
+from tallyscope.llm.tokens import text_parts
+
 UNKNOWN = "und"
 HIDDEN = 8
 #: Bytes of a window when predicting, and windows that are computed together.
@@ -210,17 +212,6 @@ class ByteGru:
         return pooled / np.maximum(sizes, 1)[:, None]
 
 
-def utf8_parts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bytes of all texts, and start and size of each (null: size 0), without copying the texts."""
-    texts = texts.cast(pa.large_string())
-    valid, offsets, data = texts.buffers()
-    ends = np.frombuffer(offsets, dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
-    sizes = np.diff(ends)
-    if texts.null_count:
-        sizes = np.where(np.asarray(texts.is_valid()), sizes, 0)
-    return np.frombuffer(data or b"", dtype=np.uint8), ends[:-1], sizes
-
-
 def sample_windows(
     docs: DataFrame, text: Column, lang: Column, usable: Column, docs_per_lang: int = SAMPLE_DOCS
 ) -> DataFrame:
@@ -232,7 +223,7 @@ def sample_windows(
 
     @F.arrow_udf(T.ArrayType(T.BinaryType()))
     def windows(texts: pa.Array) -> pa.Array:
-        data, starts, sizes = utf8_parts(texts)
+        data, starts, sizes = text_parts(texts)
         out = []
         for start, size in zip(starts.tolist(), sizes.tolist(), strict=True):
             room = size - SAMPLE_BYTES
@@ -269,7 +260,7 @@ def predictor(model: ByteGru | None):
 
     @F.arrow_udf(from_arrow_type(_PREDICTED))
     def predict(texts: pa.Array) -> pa.Array:
-        data, starts, sizes = utf8_parts(texts)
+        data, starts, sizes = text_parts(texts)
         odds = model.probabilities(data, starts, sizes)
         best = odds.argmax(axis=1)
         score = np.clip(odds[np.arange(len(best)), best], 0.0, 1.0)

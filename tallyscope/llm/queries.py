@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from tallyscope.llm import byte_bpe, language, personal_data, secret_scan
+from tallyscope.llm import byte_bpe, language, ngram_join, personal_data, secret_scan
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
@@ -34,6 +34,11 @@ def op1_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op3_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Near-duplicate component of every document."""
+    return ngram_join.near_duplicates(_documents(spark, folder)).select("doc_id", "n_shingles", "component_id", "set_id")
+
+
 def op7_language(spark: SparkSession, folder: str) -> DataFrame:
     """Predicted language of every document."""
     return language.identify(_documents(spark, folder))
@@ -69,6 +74,7 @@ def op10_secrets(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_personal_data": op1_personal_data,
+    "op3_ngram_join": op3_ngram_join,
     "op7_language": op7_language,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_secrets": op10_secrets,

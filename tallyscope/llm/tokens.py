@@ -10,17 +10,32 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
 #: Bytes of text that are hashed together; a longer text is taken alone.
 SLICE_BYTES = 1 << 20
 
 _LOWER = np.arange(256, dtype=np.uint64)
 _LOWER[ord("A") : ord("Z") + 1] += 32
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[32, *range(9, 14)]] = True
+#: Bytes between words: white space only, or everything in ASCII that is neither a letter nor a digit.
+SPACE = np.zeros(256, dtype=bool)
+SPACE[[32, *range(9, 14)]] = True
+PUNCTUATION = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _SEED = 0x5DEECE66D
 
 
+def free_names(docs: DataFrame, *names: str) -> list[str]:
+    """Column names that the table does not have yet (names are compared without regard to case)."""
+    taken = {c.lower() for c in docs.columns}
+    out = []
+    for name in names:
+        while name in taken:
+            name += "_"
+        taken.add(name)
+        out.append(name)
+    return out
+
+
 def mix(values: np.ndarray) -> np.ndarray:
     """A bijective finaliser of 64-bit integers (splitmix)."""
     x = values.astype(np.uint64, copy=True)
@@ -59,12 +74,14 @@ def text_parts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(data or b"", dtype=np.uint8), ends[:-1], sizes
 
 
-def word_hashes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def word_hashes(
+    data: np.ndarray, bounds: np.ndarray, separators: np.ndarray = SPACE
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hash, text number, first byte and end byte of every word.
 
     ``bounds`` are the positions in ``data`` where one text ends and the next one starts, first and last included.
     """
-    space = _SPACE[data]
+    space = separators[data]
     at = np.flatnonzero(~space)
     if not len(at):
         none = np.empty(0, dtype=np.int64)

@@ -20,8 +20,9 @@ UNKNOWN = "und"
 HIDDEN = 8
 #: Bytes of a window when predicting, and windows that are computed together.
 WINDOW, BATCH = 128, 2048
-#: Training sample: at most this many documents of a language, and windows of so many bytes from each.
-SAMPLE_DOCS, SAMPLE_WINDOWS, SAMPLE_BYTES = 600, 4, 64
+#: Training sample: at most this many documents of a language and hash class, of so many classes, and windows of so many
+#: bytes from each document.
+SAMPLE_DOCS, SAMPLE_CLASSES, SAMPLE_WINDOWS, SAMPLE_BYTES = 38, 16, 4, 64
 TRAIN_STEPS, TRAIN_BATCH, RATE = 160, 512, 0.02
 
 _PREDICTED = pa.struct([("lang", pa.string()), ("score", pa.float64())])
@@ -213,12 +214,12 @@ class ByteGru:
 
 
 def sample_windows(
-    docs: DataFrame, text: Column, lang: Column, usable: Column, docs_per_lang: int = SAMPLE_DOCS
+    docs: DataFrame, text: Column, lang: Column, usable: Column, docs_per_class: int = SAMPLE_DOCS
 ) -> DataFrame:
-    """``lang, window``: at most ``SAMPLE_WINDOWS`` windows from each of ``docs_per_lang`` documents of a language.
+    """``lang, window``: at most ``SAMPLE_WINDOWS`` windows of ``docs_per_class`` documents of each language and class.
 
-    Documents are drawn by a hash of their text, so the draw does not depend on partitions or order; row limits per
-    language are applied before the shuffle.
+    Documents are drawn by a hash of their text, so the draw does not depend on partitions or order. Classes of that hash
+    split a frequent language into many groups, and row limits are applied before the shuffle.
     """
 
     @F.arrow_udf(T.ArrayType(T.BinaryType()))
@@ -234,8 +235,9 @@ def sample_windows(
     labelled = docs.filter(usable & lang.isNotNull() & (F.octet_length(text) >= SAMPLE_BYTES)).select(
         lang.alias("lang"), text.alias("text"), F.xxhash64(text).alias("draw")
     )
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "text"))
-    drawn = labelled.withColumn("nth", nth).filter(F.col("nth") <= docs_per_lang)
+    group = Window.partitionBy("lang", F.pmod("draw", F.lit(SAMPLE_CLASSES)))
+    nth = F.row_number().over(group.orderBy("draw", "text"))
+    drawn = labelled.withColumn("nth", nth).filter(F.col("nth") <= docs_per_class)
     return drawn.select("lang", F.explode(windows("text")).alias("window"))
 
 

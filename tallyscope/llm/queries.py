@@ -8,7 +8,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from tallyscope.llm import byte_bpe, language, ngram_join, personal_data, secret_scan
+from tallyscope.llm import (
+    byte_bpe,
+    language,
+    line_chunks,
+    neighbours,
+    ngram_join,
+    personal_data,
+    secret_scan,
+    string_tiling,
+)
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
@@ -39,11 +48,35 @@ def op3_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.near_duplicates(_documents(spark, folder)).select("doc_id", "n_shingles", "component_id", "set_id")
 
 
+def op4_line_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines of every document, how many of them repeated chunks took away, and a digest of what is left."""
+    done = line_chunks.dedupe(_documents(spark, folder), counts=("n_lines", "n_removed"))
+    return done.select("doc_id", "n_lines", "n_removed", _digest(F.coalesce("text", F.lit(""))).alias("text_sha256"))
+
+
+def op5_string_tiling(spark: SparkSession, folder: str) -> DataFrame:
+    """Contaminated documents with the benchmark items they cover."""
+    items = spark.read.parquet(f"{folder}/benchmark.parquet")
+    covered = F.transform("matches", lambda m: F.round(m["covered"] / m["words"], 6))
+    return string_tiling.contamination(_documents(spark, folder), items).select(
+        "doc_id",
+        F.size("matches").cast("bigint").alias("n_items"),
+        F.array_sort(F.transform("matches", lambda m: m["item_id"].cast("bigint"))).alias("item_ids"),
+        F.array_max(covered).alias("coverage"),
+    )
+
+
 def op7_language(spark: SparkSession, folder: str) -> DataFrame:
     """Predicted language of every document."""
     return language.identify(_documents(spark, folder))
 
 
+def op8_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 nearest rows of every 20th embedding."""
+    vectors = spark.read.parquet(f"{folder}/embeddings.parquet")
+    return neighbours.search(vectors, F.col("vec_id") % 20 == 0)
+
+
 def op9_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Token ids of every document and the bytes they decode to."""
     path, pattern = public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN
@@ -75,7 +108,10 @@ def op10_secrets(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_personal_data": op1_personal_data,
     "op3_ngram_join": op3_ngram_join,
+    "op4_line_chunks": op4_line_chunks,
+    "op5_string_tiling": op5_string_tiling,
     "op7_language": op7_language,
+    "op8_neighbours": op8_neighbours,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_secrets": op10_secrets,
     "pipeline": corpus_pipeline.run,

@@ -278,17 +278,19 @@ def search(
     sizes = settle(
         indexed.groupBy(cell).agg(F.count("*").alias("n_rows"))
         .join(probed.groupBy(cell).agg(F.count("*").alias("n_queries")), cell)
-        .select(*cell, F.expr(f"ceil(n_rows / {BLOCK})").alias("row_blocks"), F.expr(f"ceil(n_queries / {BLOCK})").alias("query_blocks"))
+        .select(*cell, *[F.ceil(F.col(n) / BLOCK).alias(b) for n, b in (("n_rows", "row_blocks"), ("n_queries", "query_blocks"))])
     )
-    def blocked(side: DataFrame, own: str, other: str) -> DataFrame:
-        spread = F.pmod(F.xxhash64("rep", "table"), F.col(own)).alias(own[:-1])
-        return side.join(sizes, cell).select(
-            *cell, "rep", "vec", spread, F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)).alias(other[:-1])
-        )
 
     place = [*cell, "row_block", "query_block"]
 
-    def nearest(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+    def blocked(side: DataFrame, own: str, other: str) -> DataFrame:
+        spread = F.pmod(F.xxhash64("rep", "table"), F.col(f"{own}_blocks")).alias(f"{own}_block")
+        every = F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"{other}_blocks") - 1)).alias(f"{other}_block")
+        spread_out = side.join(sizes, cell).select(*cell, "rep", "vec", spread, every)
+        return spread_out.select(*place, F.lit(own == "query").alias("asks"), "rep", "vec")
+
+    def nearest(block: pd.DataFrame) -> pd.DataFrame:
+        queries, rows = block[block["asks"]], block[~block["asks"]]
         if queries.empty or rows.empty:
             return pd.DataFrame({"query": [], "rep": [], "score": []})
         asked, given = np.stack(queries["vec"].to_numpy()), np.stack(rows["vec"].to_numpy())
@@ -297,11 +299,8 @@ def search(
             {"query": queries["rep"].to_numpy()[q], "rep": rows["rep"].to_numpy()[r], "score": inner(asked[q], given[r])}
         )
 
-    found = (
-        blocked(probed, "query_blocks", "row_blocks").groupBy(place)
-        .cogroup(blocked(indexed, "row_blocks", "query_blocks").groupBy(place))
-        .applyInPandas(nearest, "query long, rep long, score double")
-    )
+    both = blocked(probed, "query", "row").unionByName(blocked(indexed, "row", "query"))
+    found = both.groupBy(place).applyInPandas(nearest, "query long, rep long, score double")
     # The best top + 1 vectors hold the best top + 1 rows.
     best = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "rep"))
     vectors_found = found.groupBy("query", "rep").agg(F.max("score").alias("score")).withColumn("nth", best).filter(F.col("nth") <= top + 1)

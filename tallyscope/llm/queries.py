@@ -14,6 +14,7 @@ from tallyscope.llm import (
     line_chunks,
     neighbours,
     ngram_join,
+    passages,
     personal_data,
     secret_scan,
     string_tiling,
@@ -43,6 +44,11 @@ def op1_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op2_passages(spark: SparkSession, folder: str) -> DataFrame:
+    """Passages that a document shares with another one: both places, anchors and share of aligned words."""
+    return passages.repeated_passages(_documents(spark, folder))
+
+
 def op3_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     """Near-duplicate component of every document."""
     return ngram_join.near_duplicates(_documents(spark, folder)).select("doc_id", "n_shingles", "component_id", "set_id")
@@ -107,6 +113,7 @@ def op10_secrets(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_personal_data": op1_personal_data,
+    "op2_passages": op2_passages,
     "op3_ngram_join": op3_ngram_join,
     "op4_line_chunks": op4_line_chunks,
     "op5_string_tiling": op5_string_tiling,

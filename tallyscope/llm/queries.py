@@ -12,6 +12,7 @@ from tallyscope.llm import (
     byte_bpe,
     language,
     line_chunks,
+    merkle,
     neighbours,
     ngram_join,
     passages,
@@ -19,6 +20,7 @@ from tallyscope.llm import (
     secret_scan,
     string_tiling,
 )
+from tallyscope.session import settle
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
@@ -72,6 +74,30 @@ def op5_string_tiling(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+#: Pages of one archive file, and the damage of the second replica: pages with these remainders of a changed byte or gone.
+FILE_PAGES, FLIPPED, LOST = 4096, (97, 5), (101, 7)
+
+
+def op6_fixity(spark: SparkSession, folder: str) -> DataFrame:
+    """Damage of a replica of the page archive, found by descending only where the trees differ.
+
+    The pages lie in archive files of 4096 page numbers. The second replica is the same archive with the first byte of some
+    pages overwritten and some records gone; the audit sees both archives only.
+    """
+    pages = spark.read.parquet(f"{folder}/pages.parquet")
+    page = F.col("page_id")
+    records = pages.select("page_id", "url", "html", merkle.warc_record(F.col("url"), page, F.col("html")).alias("record"))
+    archive = settle(
+        merkle.laid_out(records, F.format_string("pages-%05d.warc", F.expr(f"page_id div {FILE_PAGES}")), page)
+    )
+    flipped = F.concat(F.lit("#"), F.expr("substring(html, 2)"))
+    damaged = archive.filter(page % LOST[0] != LOST[1]).withColumn(
+        "record",
+        F.when(page % FLIPPED[0] == FLIPPED[1], merkle.warc_record(F.col("url"), page, flipped)).otherwise(F.col("record")),
+    )
+    return merkle.audit(archive.select("file", "offset", "record"), damaged.select("file", "offset", "record"))
+
+
 def op7_language(spark: SparkSession, folder: str) -> DataFrame:
     """Predicted language of every document."""
     return language.identify(_documents(spark, folder))
@@ -117,6 +143,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_ngram_join": op3_ngram_join,
     "op4_line_chunks": op4_line_chunks,
     "op5_string_tiling": op5_string_tiling,
+    "op6_fixity": op6_fixity,
     "op7_language": op7_language,
     "op8_neighbours": op8_neighbours,
     "op9_byte_bpe": op9_byte_bpe,
@@ -124,6 +151,30 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLES: dict[str, str] = {}
+_WARC = (
+    "concat(E'WARC/1.1\\r\\nWARC-Type: response\\r\\nWARC-Record-ID: <urn:record:', page_id::varchar, "
+    "E'>\\r\\nWARC-Target-URI: ', coalesce(url, ''), E'\\r\\nContent-Length: ', strlen({html})::varchar, "
+    "E'\\r\\n\\r\\n', {html}, E'\\r\\n\\r\\n')"
+)
+ORACLES: dict[str, str] = {
+    "op6_fixity": f"""
+        with archive as (
+            select page_id, {_WARC.format(html="coalesce(html, '')")} as record,
+                   {_WARC.format(html="('#' || substr(html, 2))")} as flipped
+            from pages
+        ), placed as (
+            select *, printf('pages-%05d.warc', page_id // {FILE_PAGES}) as file,
+                   coalesce(sum(strlen(record)) over (
+                       partition by page_id // {FILE_PAGES} order by page_id
+                       rows between unbounded preceding and 1 preceding), 0)::bigint as "offset"
+            from archive
+        )
+        select file, "offset", 'missing' as status, sha256(record) as left_hash, null as right_hash
+        from placed where page_id % {LOST[0]} = {LOST[1]}
+        union all
+        select file, "offset", 'changed', sha256(record), sha256(flipped)
+        from placed where page_id % {FLIPPED[0]} = {FLIPPED[1]} and page_id % {LOST[0]} <> {LOST[1]}
+    """,
+}
 if corpus_pipeline.ORACLE_SQL is not None:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -7,7 +7,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyscope.llm import byte_bpe, language
+from tallyscope.llm import byte_bpe, language, line_chunks, ngram_join, string_tiling
 from tallyscope.session import ensure_checkpoint_dir
 
 #: Documents whose language has a pooled probability below this are rejected.
@@ -26,6 +26,25 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     ).select(*docs.columns)
 
 
+def unrepeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Take out line chunks that occurred before; documents that lose all their text go with it."""
+    had, left = "__had_text", "__text"
+    shorter = line_chunks.dedupe(docs.withColumn(had, F.length("text") > 0)).withColumn(left, F.length("text") > 0)
+    kept = shorter.filter(~F.coalesce(had, F.lit(False)) | F.col(left))
+    length = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return kept.withColumn("n_chars", length).select(*docs.columns)
+
+
+def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the smallest id of every group of near copies."""
+    return ngram_join.one_of_each(docs)
+
+
+def outside_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep documents that hold no benchmark item."""
+    return string_tiling.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_ok`` and the packed ids of every document that is left."""
     path, pattern = public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN
@@ -41,6 +60,9 @@ def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("language", known_language),
+    ("line_dedup", unrepeated_lines),
+    ("ngram_jaccard", one_of_near_copies),
+    ("decontamination", outside_benchmark),
     ("byte_bpe", token_ids),
 ]
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tallyscope.llm.components import components
-from tallyscope.llm.tokens import mix, shingle_sets
+from tallyscope.llm.tokens import free_names, mix, shingle_sets
 from tallyscope.session import settle
 
 SHINGLE, PERCENT = 5, 80
@@ -142,25 +142,28 @@ def near_duplicates(
     size: int = SHINGLE,
     percent: int = PERCENT,
 ) -> DataFrame:
-    """One row per input row: ``id_col, n_shingles, set_id, component_id``.
+    """One row per input row: ``id_col, n_shingles, set_id, component_id, text_key, first``.
 
     Documents link when ``100 * shared >= percent * union`` of their shingle sets; ``component_id`` is the smallest id
     reachable by links, the own id included. A text that is null, empty or without words has no shingles and links with
     nothing. Equal sets have one ``set_id`` (a 64-bit hash; null without words). Rows with a null id take part in
-    links; a component in which all ids are null has a null id. Repeated rows give repeated rows; other columns are not
-    carried; an empty table gives an empty result.
+    links; a component in which all ids are null has a null id. ``text_key`` is the text's hash, and ``first`` marks the
+    row of each component that has the smallest id, then text hash (nulls last; every row without shingles; rows that
+    repeat id and text are marked alike). Repeated rows give repeated rows; other columns are not carried; an empty
+    table gives an empty result.
     """
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     level = frequent_slots(texts, size)
     rows = settle(
         _described(texts, size, percent, level).select("id", F.xxhash64("text").alias("text_key"), "set_id", "n", "prefix")
     )
-    classes = (
+    place = F.struct(F.col("id").isNull().alias("unknown"), "id", "text_key")
+    classes = settle(
         rows.filter("set_id is not null")
         .groupBy("set_id")
-        .agg(F.min(F.struct("text_key", "id")).alias("one"), F.min("id").alias("least_id"))
+        .agg(F.min(place).alias("one"))
+        .select("set_id", "one", "one.id", "one.text_key")
     )
-    classes = settle(classes.select("set_id", "one.text_key", F.col("one.id").alias("id"), "least_id"))
 
     # Copies of a class repeat its entries; they are merged by the minimum and the distinct below.
     entries = rows.select("set_id", "n", F.posexplode("prefix").alias("at", "gram")).select(
@@ -210,14 +213,27 @@ def near_duplicates(
 
     rooted = settle(
         classes.join(whole, F.col("set_id") == F.col("node"), "left").select(
-            "set_id", "least_id", F.coalesce("root", "set_id").alias("root")
+            "set_id", "one", F.coalesce("root", "set_id").alias("root")
         )
     )
-    smallest = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    answer = rooted.join(smallest, "root").select("set_id", "component_id")
-    return rows.select("id", "n", "set_id").join(answer, "set_id", "left").select(
+    smallest = rooted.groupBy("root").agg(F.min("one").alias("one"))
+    answer = rooted.select("set_id", "root").join(smallest, "root").select("set_id", "one")
+    alone = F.col("set_id").isNull()
+    return rows.select("id", "n", "set_id", "text_key").join(answer, "set_id", "left").select(
         F.col("id").alias(id_col),
         F.col("n").alias("n_shingles"),
         "set_id",
-        F.when(F.col("set_id").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"),
+        F.when(alone, F.col("id")).otherwise(F.col("one.id")).alias("component_id"),
+        "text_key",
+        (alone | (F.col("id").eqNullSafe(F.col("one.id")) & (F.col("text_key") == F.col("one.text_key")))).alias("first"),
     )
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **bounds: int) -> DataFrame:
+    """The rows of ``docs`` that are first of their component, with all their columns; one row for each id and text."""
+    key, kept_id, kept_key = free_names(docs, "text_key", "kept_id", "kept_key")
+    judged = near_duplicates(docs, id_col, text_col, **bounds).filter("first")
+    kept = judged.select(F.col(f"`{id_col}`").alias(kept_id), F.col("text_key").alias(kept_key))
+    keyed = docs.withColumn(key, F.xxhash64(F.col(f"`{text_col}`")))
+    same = F.col(f"`{id_col}`").eqNullSafe(F.col(kept_id)) & (F.col(key) == F.col(kept_key))
+    return keyed.join(kept, same, "left_semi").dropDuplicates([id_col, key]).select(*[F.col(f"`{c}`") for c in docs.columns])

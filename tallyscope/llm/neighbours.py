@@ -28,8 +28,8 @@ TABLES = 2
 WIDTH = 1.5
 #: Queries whose exact neighbours fit the number of visited cells, and the recall that is aimed at.
 SAMPLE, RECALL = 64, 0.96
-#: Rows and queries of one block of a cell.
-BLOCK = 512
+#: Rows, and queries, of one block of a cell.
+ROW_BLOCK, QUERY_BLOCK = 4096, 512
 
 _CELLS = pa.list_(pa.struct([("table", pa.int32()), ("cell", pa.int64())]))
 
@@ -278,7 +278,7 @@ def search(
     sizes = settle(
         indexed.groupBy(cell).agg(F.count("*").alias("n_rows"))
         .join(probed.groupBy(cell).agg(F.count("*").alias("n_queries")), cell)
-        .select(*cell, *[F.ceil(F.col(n) / BLOCK).alias(b) for n, b in (("n_rows", "row_blocks"), ("n_queries", "query_blocks"))])
+        .select(*cell, F.ceil(F.col("n_rows") / ROW_BLOCK).alias("row_blocks"), F.ceil(F.col("n_queries") / QUERY_BLOCK).alias("query_blocks"))
     )
 
     place = [*cell, "row_block", "query_block"]

@@ -4,8 +4,9 @@
 2. A class can reach the wanted similarity only if it shares a gram of its prefix with the other one: the
    ``n - ceil(t n) + 1`` grams that come first in one order for the whole corpus (rare grams before frequent ones). Grams
    of one class only are dropped, the others are the blocks of the product.
-3. Within a block, every class meets the block's smallest class first. Pairs whose sizes or places in the order cannot
-   give the overlap they need are discarded, the others get their exact overlap. Linked classes form groups.
+3. Within a block, every class meets the block's smallest class first. Pairs whose sizes, places in the order or folded
+   bit rows cannot give the overlap they need are discarded, the others get their exact overlap. Linked classes form
+   groups.
 4. Blocks in which two groups or more meet give all remaining pairs between groups, under the same bounds, again with
    exact overlaps. Pairs within one group add nothing to its components and are left out, so a large group of
    near copies costs a star, not a square.
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tallyscope.llm.components import components
-from tallyscope.llm.tokens import free_names, mix, shingle_sets
+from tallyscope.llm.tokens import free_names, in_small_batches, mix, shingle_sets
 from tallyscope.session import settle
 
 SHINGLE, PERCENT = 5, 80
@@ -59,23 +60,52 @@ def least_overlap(a: Column, b: Column, percent: int) -> Column:
     return F.ceil(percent * (a + b) / F.lit(100.0 + percent) - F.lit(1e-9))
 
 
+def folded_bits(grams: np.ndarray) -> bytes:
+    """A row of bits, about as many as the set has members; each member turns one bit over.
+
+    Bits in which two rows differ are at most the members the sets do not share.
+    """
+    width = max(64, 1 << (len(grams) - 1).bit_length())
+    ones = np.bincount((grams & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(ones.astype(np.uint8), bitorder="little").tobytes()
+
+
+def _fold(bits: np.ndarray, size: int) -> np.ndarray:
+    return np.bitwise_xor.reduce(bits.reshape(-1, size), axis=0)
+
+
+@F.arrow_udf(T.LongType())
+def least_difference(left: pa.Array, right: pa.Array) -> pa.Array:
+    """A lower bound of the members that only one of two sets has, from their bit rows."""
+    out = []
+    for a, b in zip(left, right, strict=True):
+        x, y = (np.frombuffer(side.as_buffer(), dtype=np.uint8) for side in (a, b))
+        size = min(len(x), len(y))
+        out.append(int(np.bitwise_count(_fold(x, size) ^ _fold(y, size)).sum()))
+    return pa.array(out, type=pa.int64())
+
+
 def _described(texts: DataFrame, size: int, percent: int, level: np.ndarray) -> DataFrame:
-    """``set_id, n, prefix`` of every text: class hash (null without words), set size, hashes of the prefix grams in order."""
+    """``set_id, n, bits, prefix`` of every text: class hash (null without words), set size, bit row, prefix grams in order."""
     shared = texts.sparkSession.sparkContext.broadcast(level)
 
-    @F.arrow_udf(T.StructType().add("set_id", T.LongType()).add("n", T.LongType()).add("prefix", T.ArrayType(T.LongType())))
+    kind = T.StructType().add("set_id", T.LongType()).add("n", T.LongType()).add("bits", T.BinaryType())
+
+    @F.arrow_udf(kind.add("prefix", T.ArrayType(T.LongType())))
     def describe(values: pa.Array) -> pa.Array:
-        ids, sizes, prefixes = [], [], []
+        ids, sizes, rows, prefixes = [], [], [], []
         for grams in shingle_sets(values, size):
             n = len(grams)
             sizes.append(n)
             if not n:
                 ids.append(None)
+                rows.append(None)
                 prefixes.append([])
                 continue
             whole = mix(grams)
             spread = np.array([whole.sum() + np.uint64(n), np.bitwise_xor.reduce(whole)], dtype=np.uint64)
             ids.append(int((mix(spread) * np.array([1, 0x9E3779B97F4A7C15], dtype=np.uint64)).sum().astype(np.int64)))
+            rows.append(folded_bits(grams))
             order = np.lexsort((grams, shared.value[_slot(grams)]))
             prefixes.append(grams[order[: n - -(-percent * n // 100) + 1]].view(np.int64))
         flat = np.concatenate([*prefixes, np.empty(0, dtype=np.int64)]).astype(np.int64)
@@ -84,9 +114,10 @@ def _described(texts: DataFrame, size: int, percent: int, level: np.ndarray) ->
             [
                 pa.array(ids, type=pa.int64()),
                 pa.array(sizes, type=pa.int64()),
+                pa.array(rows, type=pa.binary()),
                 pa.ListArray.from_arrays(pa.array(ends, type=pa.int32()), pa.array(flat)),
             ],
-            names=["set_id", "n", "prefix"],
+            names=["set_id", "n", "bits", "prefix"],
         )
 
     return texts.withColumn("described", describe("text")).select(
@@ -127,12 +158,22 @@ def _fitting(pairs: DataFrame, percent: int) -> DataFrame:
     )
 
 
+def _possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose bit rows leave room for the overlap they need."""
+    left = classes.select(F.col("set_id").alias("a"), F.col("bits").alias("bits_a"))
+    right = classes.select(F.col("set_id").alias("b"), F.col("bits").alias("bits_b"))
+    bounded = pairs.join(left, "a").join(right, "b").withColumn("apart", least_difference("bits_a", "bits_b"))
+    most = (F.col("n_a") + F.col("n_b") - F.col("apart")) / 2
+    return bounded.filter(most >= least_overlap(F.col("n_a"), F.col("n_b"), percent)).select("a", "b", "n_a", "n_b")
+
+
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """``a, b, n_a, n_b, shared`` of the pairs that reach the similarity, by exact overlap."""
+    """``a, b`` of the pairs that reach the similarity, by exact overlap."""
     left = sets.select(F.col("set_id").alias("a"), F.col("grams").alias("grams_a"))
     right = sets.select(F.col("set_id").alias("b"), F.col("grams").alias("grams_b"))
-    scored = pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", overlap("grams_a", "grams_b").alias("shared"))
-    return scored.filter(F.lit(100) * F.col("shared") >= F.lit(percent) * (F.col("n_a") + F.col("n_b") - F.col("shared")))
+    scored = pairs.join(left, "a").join(right, "b").withColumn("shared", overlap("grams_a", "grams_b"))
+    union = F.col("n_a") + F.col("n_b") - F.col("shared")
+    return scored.filter(F.lit(100) * F.col("shared") >= F.lit(percent) * union).select("a", "b")
 
 
 def near_duplicates(
@@ -152,17 +193,19 @@ def near_duplicates(
     repeat id and text are marked alike). Repeated rows give repeated rows; other columns are not carried; an empty
     table gives an empty result.
     """
-    texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    texts = in_small_batches(docs).select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     level = frequent_slots(texts, size)
     rows = settle(
-        _described(texts, size, percent, level).select("id", F.xxhash64("text").alias("text_key"), "set_id", "n", "prefix")
+        _described(texts, size, percent, level).select(
+            "id", F.xxhash64("text").alias("text_key"), "set_id", "n", "bits", "prefix"
+        )
     )
     place = F.struct(F.col("id").isNull().alias("unknown"), "id", "text_key")
     classes = settle(
         rows.filter("set_id is not null")
         .groupBy("set_id")
-        .agg(F.min(place).alias("one"))
-        .select("set_id", "one", "one.id", "one.text_key")
+        .agg(F.min(place).alias("one"), F.min("bits").alias("bits"))
+        .select("set_id", "one", "one.id", "one.text_key", "bits")
     )
 
     # Copies of a class repeat its entries; they are merged by the minimum and the distinct below.
@@ -177,14 +220,18 @@ def near_duplicates(
     )
     met = settle(entries.join(blocks, "gram").distinct())
 
-    # Exact sets of the classes that share a gram, from one text each.
-    wanted = met.select("set_id").distinct().join(classes.select("set_id", "text_key", "id"), "set_id").alias("wanted")
-    keyed = texts.withColumn("text_key", F.xxhash64("text")).alias("keyed")
-    found = keyed.join(
-        wanted,
-        (F.col("keyed.text_key") == F.col("wanted.text_key")) & F.col("keyed.id").eqNullSafe(F.col("wanted.id")),
-    )
-    sets = settle(found.select("set_id", _gram_sets(size)("text").alias("grams")).dropDuplicates(["set_id"]))
+    def exact_links(pairs: DataFrame) -> DataFrame:
+        """Links among candidate pairs; the sets of their classes are made again from one text each."""
+        open_pairs = settle(_possible(pairs, classes, percent))
+        needed = open_pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
+        wanted = needed.join(classes.select("set_id", "text_key", "id"), "set_id").alias("wanted")
+        keyed = texts.withColumn("text_key", F.xxhash64("text")).alias("keyed")
+        found = keyed.join(
+            wanted,
+            (F.col("keyed.text_key") == F.col("wanted.text_key")) & F.col("keyed.id").eqNullSafe(F.col("wanted.id")),
+        )
+        sets = settle(found.select("set_id", _gram_sets(size)("text").alias("grams")).dropDuplicates(["set_id"]))
+        return _linked(open_pairs, sets, percent)
 
     stars = (
         met.filter("set_id != pivot")
@@ -195,7 +242,7 @@ def near_duplicates(
         )
     )
     stars = _fitting(stars, percent).select("a", "b", "n_a", "n_b").distinct()
-    links = settle(_linked(stars, sets, percent).select("a", "b"))
+    links = settle(exact_links(stars))
     groups = settle(components(links))
 
     grouped = met.join(groups, F.col("set_id") == F.col("node"), "left").select(
@@ -208,8 +255,7 @@ def near_duplicates(
     )
     rest = left.join(right, "gram").filter("root_a < root_b")
     rest = _fitting(rest, percent).select(F.col("set_id_a").alias("a"), F.col("set_id_b").alias("b"), "n_a", "n_b").distinct()
-    more = _linked(rest, sets, percent).select("a", "b")
-    whole = components(links.unionAll(more))
+    whole = components(links.unionAll(exact_links(rest)))
 
     rooted = settle(
         classes.join(whole, F.col("set_id") == F.col("node"), "left").select(

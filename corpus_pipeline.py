@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallyscope.llm import byte_bpe, language, line_chunks, ngram_join, string_tiling
+from tallyscope.llm.tokens import in_small_batches
 from tallyscope.session import ensure_checkpoint_dir
 
 #: Documents whose language has a pooled probability below this are rejected.
@@ -49,7 +50,7 @@ def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_ok`` and the packed ids of every document that is left."""
     path, pattern = public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN
     encode, decode = byte_bpe.encoder(path, pattern), byte_bpe.decoder(path, pattern)
-    encoded = docs.select("doc_id", "text", encode("text").alias("ids"))
+    encoded = in_small_batches(docs).select("doc_id", "text", encode("text").alias("ids"))
     return encoded.select("doc_id", "text", "ids", decode("ids").alias("decoded")).select(
         "doc_id",
         F.expr("octet_length(ids) div 4").alias("n_tokens"),

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from pyspark.sql.pandas.types import from_arrow_type
 
-from tallyscope.llm.tokens import text_parts
+from tallyscope.llm.tokens import in_small_batches, text_parts
 
 UNKNOWN = "und"
 HIDDEN = 8
@@ -232,7 +232,7 @@ def sample_windows(
             out.append([data[start + p : start + p + SAMPLE_BYTES].tobytes() for p in sorted(places)])
         return pa.array(out, type=pa.list_(pa.binary()))
 
-    labelled = docs.filter(usable & lang.isNotNull() & (F.octet_length(text) >= SAMPLE_BYTES)).select(
+    labelled = in_small_batches(docs).filter(usable & lang.isNotNull() & (F.octet_length(text) >= SAMPLE_BYTES)).select(
         lang.alias("lang"), text.alias("text"), F.xxhash64(text).alias("draw")
     )
     group = Window.partitionBy("lang", F.pmod("draw", F.lit(SAMPLE_CLASSES)))

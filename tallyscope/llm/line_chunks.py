@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import from_arrow_type
 
-from tallyscope.llm.tokens import free_names
+from tallyscope.llm.tokens import free_names, in_small_batches
 from tallyscope.session import settle
 
 #: Lines under the rolling hash, its residue classes (chunks end at one of them) and the fewest lines of a chunk.
@@ -82,7 +82,7 @@ def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     The first occurrence is the smallest (id, text hash, number); nulls come first.
     """
     text = F.col(f"`{text_col}`")
-    cut_up = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("text_key"), chunks_of(text).alias("chunks"))
+    cut_up = in_small_batches(docs).select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("text_key"), chunks_of(text).alias("chunks"))
     each = cut_up.select("id", "text_key", F.inline("chunks"))
     # Two occurrences differ in their place or in their document.
     again = each.groupBy("hash").agg(F.count("*").alias("seen")).filter("seen > 1").select("hash")

@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import from_arrow_type
 
+from tallyscope.llm.tokens import in_small_batches
+
 KINDS = ("email", "ip", "card", "phone", "url", "iban", "account", "street")
 
 # Cue words, matched without regard to case and only between non-letters.
@@ -265,7 +267,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     Null and empty texts have no spans; a null id stays null; repeated rows give repeated rows; other columns
     are not carried, so none can clash. An empty table gives an empty result.
     """
-    return docs.select(F.col(f"`{id_col}`"), personal_spans(F.col(f"`{text_col}`")).alias("spans"))
+    return in_small_batches(docs).select(F.col(f"`{id_col}`"), personal_spans(F.col(f"`{text_col}`")).alias("spans"))
 
 
 def masked(docs: DataFrame, text_col: str = "text", mask: str = "<{}>") -> DataFrame:
@@ -283,7 +285,7 @@ def masked(docs: DataFrame, text_col: str = "text", mask: str = "<{}>") -> DataF
             out.append(None if text is None else "".join(parts) + text[at:])
         return pa.array(out, type=pa.string())
 
-    return docs.withColumn(text_col, mask_text(F.col(f"`{text_col}`")))
+    return in_small_batches(docs).withColumn(text_col, mask_text(F.col(f"`{text_col}`")))
 
 
 def count_of(spans: Column, kind: str) -> Column:

@@ -20,6 +20,7 @@ from tallyscope.llm import (
     secret_scan,
     string_tiling,
 )
+from tallyscope.llm.tokens import in_small_batches
 from tallyscope.session import settle
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -113,7 +114,7 @@ def op9_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Token ids of every document and the bytes they decode to."""
     path, pattern = public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN
     encode, decode = byte_bpe.encoder(path, pattern), byte_bpe.decoder(path, pattern)
-    encoded = _documents(spark, folder).select("doc_id", encode("text").alias("ids"))
+    encoded = in_small_batches(_documents(spark, folder)).select("doc_id", encode("text").alias("ids"))
     return encoded.select("doc_id", "ids", decode("ids").alias("decoded")).select(
         "doc_id",
         F.expr("octet_length(ids) div 4").alias("n_tokens"),

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.pandas.types import from_arrow_type
 
+from tallyscope.llm.tokens import in_small_batches
 from tallyscope.session import settle
 
 KINDS = ("assign", "access", "hex", "owned")
@@ -116,7 +117,7 @@ def scan(
     give repeated rows (and one owner); other columns are not carried. An empty table gives an empty result.
     """
     rows = settle(
-        docs.select(
+        in_small_batches(docs).select(
             F.col(f"`{id_col}`").alias("id"),
             F.col(f"`{repo_col}`").cast("string").alias("repo"),
             F.col(f"`{owner_col}`").cast("string").alias("owner"),

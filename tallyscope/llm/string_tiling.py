@@ -19,7 +19,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.pandas.types import from_arrow_type
 
-from tallyscope.llm.tokens import PUNCTUATION, free_names, grams, slices, word_hashes
+from tallyscope.llm.tokens import PUNCTUATION, free_names, grams, in_small_batches, slices, word_hashes
 
 #: Fewest words of a tile, and the part of an item in percent that must be tiled.
 TILE, COVERED = 4, 60
@@ -224,7 +224,7 @@ def contamination(
     rows give repeated rows; other columns are not carried; without documents or items the result is empty.
     """
     found = blocks(items, item_id_col, item_text_col, least)
-    judged = docs.select(F.col(f"`{id_col}`"), matches(F.col(f"`{text_col}`"), found, percent).alias("matches"))
+    judged = in_small_batches(docs).select(F.col(f"`{id_col}`"), matches(F.col(f"`{text_col}`"), found, percent).alias("matches"))
     return judged.filter(F.size("matches") > 0)
 
 
@@ -234,5 +234,5 @@ def clean(
     """The documents that no item contaminates, with all their columns."""
     found = blocks(items, item_id_col, item_text_col)
     (name,) = free_names(docs, "matches")
-    judged = docs.withColumn(name, F.size(matches(F.col(f"`{text_col}`"), found)))
+    judged = in_small_batches(docs).withColumn(name, F.size(matches(F.col(f"`{text_col}`"), found)))
     return judged.filter(F.col(name) == 0).drop(name)

@@ -24,6 +24,19 @@ PUNCTUATION = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _SEED = 0x5DEECE66D
 
 
+#: Bytes of rows that Spark hands to a Python worker at once.
+BATCH_BYTES = "4m"
+
+
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """Have the session hand rows to Python in small batches, so that long texts do not fill a worker's memory.
+
+    Spark's own bound of 64 MB a batch is kept several times over: as rows, in Arrow, in the worker and in its answer.
+    """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return df
+
+
 def free_names(docs: DataFrame, *names: str) -> list[str]:
     """Column names that the table does not have yet (names are compared without regard to case)."""
     taken = {c.lower() for c in docs.columns}

@@ -76,18 +76,27 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     return files.select(name.alias("file"), "content").mapInArrow(split, "file string, offset long, record binary")
 
 
+def record_hash(record: Column) -> Column:
+    """The leaf of one record; a null record counts as empty."""
+    return F.sha2(F.coalesce(record.cast("binary"), F.lit(b"")), 256)
+
+
 def leaves(records: DataFrame, file_col: str = "file", offset_col: str = "offset", record_col: str = "record") -> DataFrame:
-    """``file, offset, leaf``: one leaf per place.
+    """``file, offset, leaf``: one leaf per place. Records are hashed where they are read; only hashes move.
 
-    A null record counts as empty. Copies at one place give one leaf from their number and their least and greatest hash.
     Rows without a file or offset, or with a negative offset, have no place and are left out.
     """
     own = records.select(
         F.col(f"`{file_col}`").cast("string").alias("file"),
         F.col(f"`{offset_col}`").cast("long").alias("offset"),
-        F.sha2(F.coalesce(F.col(f"`{record_col}`").cast("binary"), F.lit(b"")), 256).alias("leaf"),
-    ).filter("file is not null and offset >= 0")
-    placed = own.groupBy("file", "offset").agg(F.count("*").alias("n"), F.min("leaf").alias("low"), F.max("leaf").alias("high"))
+        record_hash(F.col(f"`{record_col}`")).alias("leaf"),
+    )
+    return merged_leaves(own.filter("file is not null and offset >= 0"))
+
+
+def merged_leaves(hashed: DataFrame) -> DataFrame:
+    """Copies at one place (``file, offset, leaf``) as one leaf from their number and their least and greatest hash."""
+    placed = hashed.groupBy("file", "offset").agg(F.count("*").alias("n"), F.min("leaf").alias("low"), F.max("leaf").alias("high"))
     several = F.sha2(F.concat_ws(":", F.lit("copies"), "n", "low", "high").cast("binary"), 256)
     return placed.select("file", "offset", F.when(F.col("n") == 1, F.col("low")).otherwise(several).alias("leaf"))
 
@@ -132,7 +141,12 @@ def audit(left: DataFrame, right: DataFrame, **columns: str) -> DataFrame:
     ``status`` is ``changed``, ``missing`` (only on the left) or ``extra`` (only on the right). Equal replicas, empty
     ones included, give no rows. ``columns`` names the file, offset and record columns of both tables as in ``leaves``.
     """
-    sides = [settle(leaves(side, **columns)) for side in (left, right)]
+    return compare(leaves(left, **columns), leaves(right, **columns))
+
+
+def compare(left: DataFrame, right: DataFrame) -> DataFrame:
+    """The audit of two leaf tables."""
+    sides = [settle(side) for side in (left, right)]
     greatest = [side.agg(F.max("offset")).first()[0] or 0 for side in sides]
     levels = levels_for(max(greatest))
     built = [trees(side, levels) for side in sides]
@@ -157,11 +171,10 @@ def audit(left: DataFrame, right: DataFrame, **columns: str) -> DataFrame:
     return _differing(*ranged, ["file", "offset"], "leaf").select("file", "offset", status.alias("status"), "left_hash", "right_hash")
 
 
-def laid_out(records: DataFrame, file: Column, order: Column, record_col: str = "record") -> DataFrame:
-    """The records with ``file`` and ``offset`` as they would lie one after the other in files.
+def laid_out(records: DataFrame, file: Column, order: Column, size: Column) -> DataFrame:
+    """The rows with ``file`` and ``offset`` as records of these sizes would lie one after the other in files.
 
     For files of a bounded number of records: offsets are running sums within a file.
     """
     before = Window.partitionBy("file").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    size = F.octet_length(F.col(f"`{record_col}`"))
     return records.withColumn("file", file).withColumn("offset", F.coalesce(F.sum(size).over(before), F.lit(0)))

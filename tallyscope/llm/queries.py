@@ -87,16 +87,21 @@ def op6_fixity(spark: SparkSession, folder: str) -> DataFrame:
     """
     pages = spark.read.parquet(f"{folder}/pages.parquet")
     page = F.col("page_id")
-    records = pages.select("page_id", "url", "html", merkle.warc_record(F.col("url"), page, F.col("html")).alias("record"))
-    archive = settle(
-        merkle.laid_out(records, F.format_string("pages-%05d.warc", F.expr(f"page_id div {FILE_PAGES}")), page)
+    record = merkle.warc_record(F.col("url"), page, F.col("html"))
+    flipped = merkle.warc_record(F.col("url"), page, F.concat(F.lit("#"), F.expr("substring(html, 2)")))
+    damaged = F.when(page % FLIPPED[0] == FLIPPED[1], flipped).otherwise(record)
+    hashed = pages.select(
+        "page_id",
+        F.octet_length(record).alias("size"),
+        merkle.record_hash(record).alias("leaf"),
+        merkle.record_hash(damaged).alias("replica_leaf"),
     )
-    flipped = F.concat(F.lit("#"), F.expr("substring(html, 2)"))
-    damaged = archive.filter(page % LOST[0] != LOST[1]).withColumn(
-        "record",
-        F.when(page % FLIPPED[0] == FLIPPED[1], merkle.warc_record(F.col("url"), page, flipped)).otherwise(F.col("record")),
+    file = F.format_string("pages-%05d.warc", F.expr(f"page_id div {FILE_PAGES}"))
+    archive = settle(merkle.laid_out(hashed, file, page, F.col("size")))
+    replica = archive.filter(page % LOST[0] != LOST[1]).select("file", "offset", F.col("replica_leaf").alias("leaf"))
+    return merkle.compare(
+        merkle.merged_leaves(archive.select("file", "offset", "leaf")), merkle.merged_leaves(replica)
     )
-    return merkle.audit(archive.select("file", "offset", "record"), damaged.select("file", "offset", "record"))
 
 
 def op7_language(spark: SparkSession, folder: str) -> DataFrame:

@@ -100,7 +100,7 @@ def _described(texts: DataFrame, size: int, percent: int, level: np.ndarray) ->
             if not n:
                 ids.append(None)
                 rows.append(None)
-                prefixes.append([])
+                prefixes.append(np.empty(0, dtype=np.int64))
                 continue
             whole = mix(grams)
             spread = np.array([whole.sum() + np.uint64(n), np.bitwise_xor.reduce(whole)], dtype=np.uint64)
@@ -108,7 +108,7 @@ def _described(texts: DataFrame, size: int, percent: int, level: np.ndarray) ->
             rows.append(folded_bits(grams))
             order = np.lexsort((grams, shared.value[_slot(grams)]))
             prefixes.append(grams[order[: n - -(-percent * n // 100) + 1]].view(np.int64))
-        flat = np.concatenate([*prefixes, np.empty(0, dtype=np.int64)]).astype(np.int64)
+        flat = np.concatenate([*prefixes, np.empty(0, dtype=np.int64)])
         ends = np.cumsum([0, *map(len, prefixes)])
         return pa.StructArray.from_arrays(
             [

@@ -93,7 +93,7 @@ def test_a_third_of_all_rows_are_near_copies(spark):
 
 def test_frequent_grams_go_last(spark, monkeypatch):
     rows = [(k, f"a{k} b{k} c{k} d{k} the same ten words stand in all of these texts here", "en", "s") for k in range(60)]
-    level = nj.frequent_slots(frame(spark, rows), 5)
+    level = nj.frequent_slots(frame(spark, rows).coalesce(1), 5)
     assert level.max() == 6 and 0 < (level > 0).sum() < 15
     assert found(nj.near_duplicates(frame(spark, rows))) == brute(rows)
 

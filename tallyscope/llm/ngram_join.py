@@ -7,9 +7,10 @@
 3. Within a block, every class meets the block's smallest class first. Pairs whose sizes, places in the order or folded
    bit rows cannot give the overlap they need are discarded, the others get their exact overlap. Linked classes form
    groups.
-4. Blocks in which two groups or more meet give all remaining pairs between groups, under the same bounds, again with
-   exact overlaps. Pairs within one group add nothing to its components and are left out, so a large group of
-   near copies costs a star, not a square.
+4. Blocks in which two groups or more meet are multiplied out: every pair of classes of different groups passes through
+   the same bounds inside the block's task, and only pairs that pass leave it, again for exact overlaps. Blocks of many
+   classes are cut into parts that meet pairwise. Pairs within one group add nothing to its components and are left
+   out, so a large group of near copies costs a star, not a square.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from tallyscope.session import settle
 SHINGLE, PERCENT = 5, 80
 #: Slots of the table of frequent grams. It orders grams only; links do not depend on it.
 SLOTS = 1 << 20
+#: Classes in one part of a block.
+PART = 1024
 
 
 def _slot(grams: np.ndarray) -> np.ndarray:
@@ -176,6 +179,94 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return scored.filter(F.lit(100) * F.col("shared") >= F.lit(percent) * union).select("a", "b")
 
 
+def _least_overlaps(a: int, b: np.ndarray, percent: int) -> np.ndarray:
+    return -(-percent * (a + b) // (100 + percent))
+
+
+def part_pairs(
+    n: np.ndarray, at: np.ndarray, root: np.ndarray, side: np.ndarray, bits: list[bytes], percent: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (rows of two sides, or any two where there is one side) of different groups that pass all bounds.
+
+    ``at`` is the place of the shared gram in the order of each set.
+    """
+    order = np.argsort(n, kind="stable")
+    n, at, root, side = n[order], at[order], root[order], side[order]
+    width = np.array([len(bits[k]) for k in order])
+    folded: dict[int, np.ndarray] = {}
+
+    def rows_at(size: int) -> np.ndarray:
+        if size not in folded:
+            out = np.zeros((len(n), size // 8), dtype=np.uint64)
+            for k in np.flatnonzero(width >= size):
+                row = np.frombuffer(bits[order[k]], dtype=np.uint8)
+                out[k] = _fold(row, size).view(np.uint64)
+            folded[size] = out
+        return folded[size]
+
+    one_side = not (side != side[0]).any()
+    first, second = [], []
+    for k in range(len(n) - 1):
+        # Larger sets only: each pair is met once.
+        last = np.searchsorted(n, n[k] * 100 // percent, side="right")
+        near = np.arange(k + 1, last)
+        near = near[(root[near] != root[k]) & (one_side | (side[near] != side[k]))]
+        if not len(near):
+            continue
+        least = _least_overlaps(n[k], n[near], percent)
+        room = 1 + np.minimum(n[k] - at[k] - 1, n[near] - at[near] - 1) + np.minimum(at[k], at[near])
+        near, least = near[room >= least], least[room >= least]
+        for size in np.unique(np.minimum(width[near], width[k])):
+            some = np.minimum(width[near], width[k]) == size
+            rows = rows_at(int(size))
+            apart = np.bitwise_count(rows[near[some]] ^ rows[k]).sum(axis=1)
+            passed = near[some][(n[k] + n[near[some]] - apart) // 2 >= least[some]]
+            first.append(np.full(len(passed), order[k]))
+            second.append(order[passed])
+    empty = np.empty(0, dtype=np.int64)
+    return np.concatenate([*first, empty]), np.concatenate([*second, empty])
+
+
+def _block_product(rows: DataFrame, percent: int) -> DataFrame:
+    """``a, b, n_a, n_b`` from ``gram, part, other_part, side, set_id, n, at, root, bits``.
+
+    Tasks read their rows in order of the parts that meet; a part has a bounded number of rows, so a task holds one batch
+    and one part.
+    """
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: pa.Table | None = None
+
+        def pairs_of(table: pa.Table, last: bool) -> tuple[pa.RecordBatch, pa.Table]:
+            keys = [table.column(c).to_numpy() for c in ("gram", "part", "other_part")]
+            change = np.flatnonzero(np.logical_or.reduce([key[1:] != key[:-1] for key in keys])) + 1
+            cuts = np.concatenate([[0], change, [len(table)] if last else np.empty(0, dtype=np.int64)]).astype(np.int64)
+            n, at, root, side, ids = (table.column(c).to_numpy() for c in ("n", "at", "root", "side", "set_id"))
+            bits = table.column("bits").combine_chunks()
+            found = [[], [], [], []]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if b - a > 1 and (root[a:b] != root[a]).any():
+                    own = [value.as_py() for value in bits.slice(a, b - a)]
+                    left, right = part_pairs(n[a:b], at[a:b], root[a:b], side[a:b], own, percent)
+                    for out, values in zip(found, (ids[a:b][left], ids[a:b][right], n[a:b][left], n[a:b][right]), strict=True):
+                        out.append(values)
+            columns = [pa.array(np.concatenate([*c, np.empty(0, dtype=np.int64)])) for c in found]
+            return pa.RecordBatch.from_arrays(columns, names=["a", "b", "n_a", "n_b"]), table.slice(int(cuts[-1]))
+
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            if kept is not None:
+                table = pa.concat_tables([kept, table])
+            pairs, kept = pairs_of(table, False)
+            yield pairs
+        if kept is not None:
+            yield pairs_of(kept, True)[0]
+
+    place = ["gram", "part", "other_part"]
+    dealt = rows.repartition(*place).sortWithinPartitions(*place)
+    return dealt.mapInArrow(multiply, "a long, b long, n_a long, n_b long")
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -222,7 +313,7 @@ def near_duplicates(
 
     def exact_links(pairs: DataFrame) -> DataFrame:
         """Links among candidate pairs; the sets of their classes are made again from one text each."""
-        open_pairs = settle(_possible(pairs, classes, percent))
+        open_pairs = settle(pairs)
         needed = open_pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
         wanted = needed.join(classes.select("set_id", "text_key", "id"), "set_id").alias("wanted")
         keyed = texts.withColumn("text_key", F.xxhash64("text")).alias("keyed")
@@ -242,19 +333,36 @@ def near_duplicates(
         )
     )
     stars = _fitting(stars, percent).select("a", "b", "n_a", "n_b").distinct()
-    links = settle(exact_links(stars))
+    links = settle(exact_links(_possible(stars, classes, percent)))
     groups = settle(components(links))
 
     grouped = met.join(groups, F.col("set_id") == F.col("node"), "left").select(
         "gram", "set_id", "n", "at", F.coalesce("root", "set_id").alias("root")
     )
-    mixed = grouped.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high")
-    open_rows = settle(grouped.join(mixed.select("gram"), "gram"))
-    left, right = (
-        open_rows.select("gram", *[F.col(c).alias(f"{c}_{side}") for c in ("set_id", "n", "at", "root")]) for side in "ab"
+    mixed = (
+        grouped.groupBy("gram")
+        .agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("met"))
+        .filter("low != high")
+        .select("gram", F.ceil(F.col("met") / PART).alias("parts"))
+    )
+    own = F.pmod(F.xxhash64("set_id"), F.col("parts"))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
+    open_rows = (
+        grouped.join(mixed, "gram")
+        .select("gram", "set_id", "n", "at", "root", own.alias("own"), other.alias("other"))
+        .select(
+            "gram",
+            F.least("own", "other").alias("part"),
+            F.greatest("own", "other").alias("other_part"),
+            F.col("own").alias("side"),
+            "set_id",
+            "n",
+            "at",
+            "root",
+        )
     )
-    rest = left.join(right, "gram").filter("root_a < root_b")
-    rest = _fitting(rest, percent).select(F.col("set_id_a").alias("a"), F.col("set_id_b").alias("b"), "n_a", "n_b").distinct()
+    with_bits = open_rows.join(classes.select("set_id", "bits"), "set_id")
+    rest = _block_product(with_bits, percent).distinct()
     whole = components(links.unionAll(exact_links(rest)))
 
     rooted = settle(

@@ -121,6 +121,32 @@ def test_bounds_hold():
         assert apart <= len(set(a.tolist()) ^ set(b.tolist()))
 
 
+def test_parts_meet_pairwise(spark, monkeypatch):
+    monkeypatch.setattr(nj, "PART", 3)
+    rows = corpus(21, 150)
+    assert found(nj.near_duplicates(frame(spark, rows))) == brute(rows)
+
+
+def test_part_pairs_lose_no_link():
+    rng = random.Random(13)
+    for _ in range(60):
+        base = [rng.getrandbits(64) for _ in range(200)]
+        sets = []
+        for _ in range(12):
+            own = {g for g in base if rng.random() < rng.choice([0.5, 0.9, 0.97])} | {rng.getrandbits(64) for _ in range(rng.randint(0, 20))}
+            sets.append(np.array(sorted(own | {7}), dtype=np.uint64))
+        n = np.array([len(x) for x in sets])
+        root, side = np.array([rng.randrange(6) for _ in sets]), np.array([rng.randrange(2) for _ in sets])
+        a, b = nj.part_pairs(n, np.zeros(12, dtype=int), root, side, [nj.folded_bits(x) for x in sets], 80)
+        got = {tuple(sorted(p)) for p in zip(a.tolist(), b.tolist(), strict=True)}
+        for i in range(12):
+            for j in range(i):
+                shared = len(np.intersect1d(sets[i], sets[j]))
+                links = 100 * shared >= 80 * (n[i] + n[j] - shared)
+                if links and root[i] != root[j] and (side[i] != side[j] or len(set(side)) == 1):
+                    assert (j, i) in got
+
+
 @pytest.mark.parametrize("size", [1, 3, 5])
 def test_shingle_sizes(size):
     texts = [None, "", "A b", "a B c d e f g", "x " * 50, "é ü ß", " \v a\fb "]

@@ -23,7 +23,7 @@ from pyspark.sql import Column, functions as F, types as T
 BATCH_PIECE = 64
 BATCH_LEAVES = 1 << 19
 #: Encoded pieces a worker remembers. Beyond it the memory is emptied; results do not depend on it.
-REMEMBERED = 600_000
+REMEMBERED = 200_000
 #: Characters of text split into pieces at once.
 SLICE_CHARS = 1 << 20
 

@@ -27,13 +27,14 @@ from tallyscope.session import settle
 
 SHINGLE, PERCENT = 5, 80
 #: Slots of the table of frequent grams. It orders grams only; links do not depend on it.
-SLOTS = 1 << 20
+SLOT_BITS = 22
+SLOTS = 1 << SLOT_BITS
 #: Classes in one part of a block.
 PART = 1024
 
 
 def _slot(grams: np.ndarray) -> np.ndarray:
-    return (grams >> np.uint64(44)).astype(np.int64)
+    return (grams >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
 
 
 def frequent_slots(texts: DataFrame, size: int) -> np.ndarray:
@@ -44,17 +45,17 @@ def frequent_slots(texts: DataFrame, size: int) -> np.ndarray:
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SLOTS, dtype=np.int64)
+        total = np.zeros(SLOTS, dtype=np.int32)
         for batch in batches:
             for grams in shingle_sets(batch.column(0), size):
                 np.add.at(total, _slot(grams), 1)
-        heavy = np.flatnonzero(total >= 16 + 4 * total.mean())
-        yield pa.RecordBatch.from_arrays([pa.array(heavy), pa.array(total[heavy])], names=["slot", "docs"])
+        heavy = np.flatnonzero(total >= 8 + 2 * total.mean())
+        yield pa.RecordBatch.from_arrays([pa.array(heavy), pa.array(total[heavy].astype(np.int64))], names=["slot", "docs"])
 
     level = np.zeros(SLOTS, dtype=np.uint8)
     summed = texts.select("text").mapInArrow(count, "slot long, docs long").groupBy("slot").agg(F.sum("docs").alias("docs"))
-    for row in summed.collect():
-        level[row.slot] = int(row.docs).bit_length()
+    found = summed.toArrow()
+    level[found.column("slot").to_numpy()] = np.log2(found.column("docs").to_numpy()).astype(np.uint8) + 1
     return level
 
 
@@ -179,50 +180,87 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return scored.filter(F.lit(100) * F.col("shared") >= F.lit(percent) * union).select("a", "b")
 
 
-def _least_overlaps(a: int, b: np.ndarray, percent: int) -> np.ndarray:
-    return -(-percent * (a + b) // (100 + percent))
+def _fitting_rows(n: np.ndarray, at: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which pairs of rows pass the bounds of size and place, and the overlap each of them needs."""
+    n_a, n_b, at_a, at_b = n[a], n[b], at[a], at[b]
+    least = -(-percent * (n_a + n_b) // (100 + percent))
+    room = 1 + np.minimum(n_a - at_a, n_b - at_b) - 1 + np.minimum(at_a, at_b)
+    fits = (100 * np.minimum(n_a, n_b) >= percent * np.maximum(n_a, n_b)) & (room >= least)
+    return fits, least
+
+
+class BitRows:
+    """Bit rows of one batch, grouped by width, to compare many pairs of rows at once."""
+
+    def __init__(self, bits: pa.Array):
+        offsets = np.frombuffer(bits.buffers()[1], dtype=np.int32)[bits.offset : bits.offset + len(bits) + 1].astype(np.int64)
+        data = np.frombuffer(bits.buffers()[2] or b"", dtype=np.uint8)
+        self.width = np.diff(offsets)
+        self.place = np.zeros(len(bits), dtype=np.int64)
+        self.rows: dict[int, np.ndarray] = {}
+        for width in np.unique(self.width).tolist():
+            own = np.flatnonzero(self.width == width)
+            self.place[own] = np.arange(len(own))
+            self.rows[width] = data[offsets[own][:, None] + np.arange(width)].view(np.uint64)
+
+    def apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Bits in which each pair differs, the wider row folded to the other's width."""
+        out = np.zeros(len(a), dtype=np.int64)
+        widths = self.width[a] << 32 | self.width[b]
+        for both in np.unique(widths).tolist():
+            some = np.flatnonzero(widths == both)
+            for at in range(0, len(some), 1 << 16):
+                part = some[at : at + (1 << 16)]
+                sides = [self.rows[w][self.place[side[part]]] for w, side in ((both >> 32, a), (both & 0xFFFFFFFF, b))]
+                size = min(sides[0].shape[1], sides[1].shape[1])
+                sides = [np.bitwise_xor.reduce(x.reshape(len(part), -1, size), axis=1) for x in sides]
+                out[part] = np.bitwise_count(sides[0] ^ sides[1]).sum(axis=1)
+        return out
+
+
+#: Pairs that are compared at once.
+PAIRS = 1 << 20
+
+
+def group_pairs(starts: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of rows within groups of consecutive rows, groups of one size together."""
+    for size in np.unique(sizes[sizes > 1]).tolist():
+        own = starts[sizes == size]
+        low, high = np.triu_indices(size, 1)
+        step = max(1, PAIRS // len(low))
+        for at in range(0, len(own), step):
+            base = own[at : at + step, None]
+            yield (base + low).ravel(), (base + high).ravel()
 
 
 def part_pairs(
-    n: np.ndarray, at: np.ndarray, root: np.ndarray, side: np.ndarray, bits: list[bytes], percent: int
+    starts: np.ndarray,
+    sizes: np.ndarray,
+    n: np.ndarray,
+    at: np.ndarray,
+    root: np.ndarray,
+    side: np.ndarray,
+    bits: pa.Array,
+    percent: int,
 ) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (rows of two sides, or any two where there is one side) of different groups that pass all bounds.
+    """Pairs of rows of one group that pass all bounds: of different roots, and of both sides where a group has two.
 
     ``at`` is the place of the shared gram in the order of each set.
     """
-    order = np.argsort(n, kind="stable")
-    n, at, root, side = n[order], at[order], root[order], side[order]
-    width = np.array([len(bits[k]) for k in order])
-    folded: dict[int, np.ndarray] = {}
-
-    def rows_at(size: int) -> np.ndarray:
-        if size not in folded:
-            out = np.zeros((len(n), size // 8), dtype=np.uint64)
-            for k in np.flatnonzero(width >= size):
-                row = np.frombuffer(bits[order[k]], dtype=np.uint8)
-                out[k] = _fold(row, size).view(np.uint64)
-            folded[size] = out
-        return folded[size]
-
-    one_side = not (side != side[0]).any()
+    rows = BitRows(bits)
+    two_sides = np.zeros(len(n), dtype=bool)
+    if len(starts):
+        mixed = np.minimum.reduceat(side, starts) != np.maximum.reduceat(side, starts)
+        two_sides[: int((starts + sizes).max())] = np.repeat(mixed, sizes)
     first, second = [], []
-    for k in range(len(n) - 1):
-        # Larger sets only: each pair is met once.
-        last = np.searchsorted(n, n[k] * 100 // percent, side="right")
-        near = np.arange(k + 1, last)
-        near = near[(root[near] != root[k]) & (one_side | (side[near] != side[k]))]
-        if not len(near):
-            continue
-        least = _least_overlaps(n[k], n[near], percent)
-        room = 1 + np.minimum(n[k] - at[k] - 1, n[near] - at[near] - 1) + np.minimum(at[k], at[near])
-        near, least = near[room >= least], least[room >= least]
-        for size in np.unique(np.minimum(width[near], width[k])):
-            some = np.minimum(width[near], width[k]) == size
-            rows = rows_at(int(size))
-            apart = np.bitwise_count(rows[near[some]] ^ rows[k]).sum(axis=1)
-            passed = near[some][(n[k] + n[near[some]] - apart) // 2 >= least[some]]
-            first.append(np.full(len(passed), order[k]))
-            second.append(order[passed])
+    for a, b in group_pairs(starts, sizes):
+        keep = (root[a] != root[b]) & (~two_sides[a] | (side[a] != side[b]))
+        a, b = a[keep], b[keep]
+        fits, least = _fitting_rows(n, at, a, b, percent)
+        a, b, least = a[fits], b[fits], least[fits]
+        passed = (n[a] + n[b] - rows.apart(a, b)) // 2 >= least
+        first.append(a[passed])
+        second.append(b[passed])
     empty = np.empty(0, dtype=np.int64)
     return np.concatenate([*first, empty]), np.concatenate([*second, empty])
 
@@ -241,16 +279,11 @@ def _block_product(rows: DataFrame, percent: int) -> DataFrame:
             keys = [table.column(c).to_numpy() for c in ("gram", "part", "other_part")]
             change = np.flatnonzero(np.logical_or.reduce([key[1:] != key[:-1] for key in keys])) + 1
             cuts = np.concatenate([[0], change, [len(table)] if last else np.empty(0, dtype=np.int64)]).astype(np.int64)
-            n, at, root, side, ids = (table.column(c).to_numpy() for c in ("n", "at", "root", "side", "set_id"))
-            bits = table.column("bits").combine_chunks()
-            found = [[], [], [], []]
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                if b - a > 1 and (root[a:b] != root[a]).any():
-                    own = [value.as_py() for value in bits.slice(a, b - a)]
-                    left, right = part_pairs(n[a:b], at[a:b], root[a:b], side[a:b], own, percent)
-                    for out, values in zip(found, (ids[a:b][left], ids[a:b][right], n[a:b][left], n[a:b][right]), strict=True):
-                        out.append(values)
-            columns = [pa.array(np.concatenate([*c, np.empty(0, dtype=np.int64)])) for c in found]
+            whole = table.slice(0, int(cuts[-1]))
+            n, at, root, side, ids = (whole.column(c).to_numpy() for c in ("n", "at", "root", "side", "set_id"))
+            bits = pa.concat_arrays(whole.column("bits").chunks) if len(whole) else pa.array([], type=pa.binary())
+            left, right = part_pairs(cuts[:-1], np.diff(cuts), n, at, root, side, bits, percent)
+            columns = [pa.array(values) for values in (ids[left], ids[right], n[left], n[right])]
             return pa.RecordBatch.from_arrays(columns, names=["a", "b", "n_a", "n_b"]), table.slice(int(cuts[-1]))
 
         for batch in batches:

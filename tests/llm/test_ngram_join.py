@@ -137,7 +137,9 @@ def test_part_pairs_lose_no_link():
             sets.append(np.array(sorted(own | {7}), dtype=np.uint64))
         n = np.array([len(x) for x in sets])
         root, side = np.array([rng.randrange(6) for _ in sets]), np.array([rng.randrange(2) for _ in sets])
-        a, b = nj.part_pairs(n, np.zeros(12, dtype=int), root, side, [nj.folded_bits(x) for x in sets], 80)
+        bits = pa.array([nj.folded_bits(x) for x in sets], type=pa.binary())
+        a, b = nj.part_pairs(np.array([0]), np.array([12]), n, np.zeros(12, dtype=int), root, side, bits, 80)
+        assert not [p for p in zip(a, b, strict=True) if root[p[0]] == root[p[1]]]
         got = {tuple(sorted(p)) for p in zip(a.tolist(), b.tolist(), strict=True)}
         for i in range(12):
             for j in range(i):

@@ -16,6 +16,8 @@ from tallyscope.functions.numeric import (
     as_column,
     check_precision,
     exact_sum,
+    joined_total,
+    whole_and_rest,
     finite_or_null,
     is_finite,
     null_double,
@@ -65,13 +67,14 @@ def _usable(values: Column) -> Column:
 
 
 def _array_total(values: Column) -> Column:
-    exact = F.aggregate(
-        F.transform(values, lambda v: v.try_cast("decimal(38,18)")),
-        F.lit(0).cast("decimal(38,18)"),
-        lambda total, v: F.try_add(total, v).try_cast("decimal(38,18)"),
-    )
-    plain = F.aggregate(values, F.lit(0.0), lambda total, v: total + v)
-    return F.coalesce(exact.cast("double"), plain)
+    def total(part: int, kind: str) -> Column:
+        return F.aggregate(
+            F.transform(values, lambda v: whole_and_rest(v)[part]),
+            F.lit(0).cast(kind),
+            lambda sofar, v: F.try_add(sofar, v).try_cast(kind),
+        )
+
+    return joined_total(total(0, "decimal(38,0)"), total(1, "decimal(37,18)"))
 
 
 def array_sum(values: Column | str) -> Column:

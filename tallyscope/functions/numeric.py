@@ -59,13 +59,29 @@ def is_finite_sql(expression: str) -> str:
 
 
 def exact_sum(value: Column | str) -> Column:
-    """Order-independent grouped sum: 18 decimal places while it fits, else a double sum.
+    """Order-independent grouped sum: whole numbers and 18 decimal places are added apart, both exactly.
 
-    Partial sums combine on the map side, and the result does not depend on row order.
+    Partial sums combine on the map side. Sums that need more than 38 whole digits are null.
     """
-    x = as_column(value).cast("double")
+    whole, rest = whole_and_rest(as_column(value).cast("double"))
+    return joined_total(F.try_sum(whole), F.try_sum(rest))
+
+
+def whole_and_rest(x: Column) -> tuple[Column, Column]:
+    """A double as two decimals: its whole number and what is left of its shortest text. Doubles beyond 20 whole digits
+    have nothing left."""
     exact = x.try_cast(_EXACT)
-    return F.when(F.count(exact) == F.count(x), F.try_sum(exact).cast("double")).otherwise(F.sum(x))
+    # The types keep all 18 places: a remainder by 1 has one whole digit, floor and ceiling have none after the point.
+    toward_zero = F.when(x >= 0, F.floor(exact)).otherwise(F.ceil(exact)).cast("decimal(38,0)")
+    whole = F.coalesce(toward_zero, x.try_cast("decimal(38,0)"))
+    none = F.when(whole.isNotNull(), F.lit(0).cast("decimal(19,18)"))
+    return whole, F.coalesce(exact % F.lit(1).cast("decimal(1,0)"), none)
+
+
+def joined_total(whole: Column, rest: Column) -> Column:
+    """Both parts as one double; the exact decimal where it has room."""
+    exact = F.try_add(whole.try_cast("decimal(19,0)"), rest.try_cast("decimal(37,18)"))
+    return F.coalesce(exact.cast("double"), whole.cast("double") + rest.cast("double"))
 
 
 _FRACTION_BITS = 59

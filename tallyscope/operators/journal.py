@@ -667,25 +667,21 @@ def filter_events(events: DataFrame, family: str = ALL, agent: str = ALL, search
     return chosen
 
 
-def event_counters(events: DataFrame, visible: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """total, visible, agents, tool_calls, rejections, failures; one aggregate over both inputs."""
-    c = F.col
-    tagged = events.select(*by, "kind", "agent_id", F.lit(True).alias("_all")).unionByName(
-        visible.select(*by, "kind", "agent_id", F.lit(False).alias("_all"))
-    )
-    whole = c("_all")
-    return tagged.groupBy(*by).agg(
-        F.count_if(whole).alias("total"),
-        F.count_if(~whole).alias("visible"),
-        F.count_distinct(F.when(whole, c("agent_id"))).alias("agents"),
-        F.count_if(whole & (c("kind") == "tool_started")).alias("tool_calls"),
-        F.count_if(whole & c("kind").endswith("_rejected")).alias("rejections"),
-        F.count_if(whole & c("kind").endswith("_failed")).alias("failures"),
+def event_counters(events: DataFrame, visible: Column, by: Sequence[str] = ()) -> DataFrame:
+    """total, visible, agents, tool_calls, rejections, failures; one aggregate. ``visible``: which events are shown."""
+    kind = F.col("kind")
+    return events.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("total"),
+        F.count_if(visible).alias("visible"),
+        F.count_distinct("agent_id").alias("agents"),
+        F.count_if(kind == "tool_started").alias("tool_calls"),
+        F.count_if(kind.endswith("_rejected")).alias("rejections"),
+        F.count_if(kind.endswith("_failed")).alias("failures"),
     )
 
 
-def event_summary(limit: int = SUMMARY_LENGTH) -> Column:
-    """Message plus task, tool and call ids, shortened to ``limit`` characters."""
+def event_summary(limit: int | None = None) -> Column:
+    """Message plus task, tool and call ids, shortened to ``limit`` characters if that is set."""
     details = F.concat_ws(
         ", ",
         *[
@@ -695,6 +691,8 @@ def event_summary(limit: int = SUMMARY_LENGTH) -> Column:
     )
     message = F.coalesce(F.when(F.trim("message") != "", F.trim("message")), F.lit("(no message)"))
     text = F.when(details != "", F.concat(message, F.lit(" | "), details)).otherwise(message)
+    if limit is None:
+        return text
     return F.when(F.length(text) > limit, F.concat(F.left(text, F.lit(limit - 1)), F.lit("…"))).otherwise(text)
 
 
@@ -702,7 +700,11 @@ def transcript(events: DataFrame, agent: str | None) -> DataFrame:
     """Lines of one agent (None: unassigned) in run and sequence order."""
     mine = events.where("agent_id is null") if agent is None else events.where(F.col("agent_id") == agent)
     line = F.concat(
-        F.lpad(F.col("sequence").cast("string"), 4, "0"), F.lit("  "), F.rpad("kind", 22, " "), F.lit("  "), F.col("message")
+        F.expr("lpad(sequence, greatest(4, length(sequence)), '0')"),
+        F.lit("  "),
+        F.expr("rpad(kind, greatest(22, length(kind)), ' ')"),
+        F.lit("  "),
+        F.col("message"),
     )
     return mine.select("run_id", "sequence", line.alias("line")).orderBy("run_id", "sequence")
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -12,7 +13,7 @@ from tallyscope.operators.quality import DataViolation, Violation, raise_on
 from tallyscope.operators.records import Batch, check_batch
 
 SCHEMA_VERSION = 1
-ISSUE_KEY = ("code", "provider_path", "message")
+ISSUE_KEY = ("entity_id", "code", "provider_path", "message")
 
 
 class LedgerCollision(DataViolation):
@@ -62,9 +63,9 @@ def plan_ingest(ledger: Batch, batch: Batch) -> Ingest:
             F.lit("observation").alias("kind"), F.col("observation_id").alias("id")
         )
     )
-    issues = batch.issues.dropDuplicates([*ISSUE_KEY]).join(
-        ledger.issues.select(*ISSUE_KEY), list(ISSUE_KEY), "left_anti"
-    )
+    known = ledger.issues.select(*[F.col(k).alias(f"_known_{k}") for k in ISSUE_KEY])
+    same = [F.col(k).eqNullSafe(F.col(f"_known_{k}")) for k in ISSUE_KEY]
+    issues = batch.issues.dropDuplicates([*ISSUE_KEY]).join(known, reduce(lambda a, b: a & b, same), "left_anti")
     return Ingest(
         new_rows(ledger.observations, batch.observations, "observation_id"),
         new_rows(ledger.evidence, batch.evidence, "evidence_id"),

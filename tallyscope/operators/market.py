@@ -45,8 +45,13 @@ def simple_returns(
     prices: DataFrame, by: Sequence[str], order: str, price: str, benchmark: str | None = None,
     block: Column | None = None,
 ) -> DataFrame:
-    """Adjacent simple returns: by, order, ``return`` and, when asked, ``benchmark_return``."""
+    """Adjacent simple returns: by, order, ``return`` and, when asked, ``benchmark_return``.
+
+    Rows without a price (or benchmark price) are skipped: the next return is from the last known price.
+    """
     columns = [price] if benchmark is None else [price, benchmark]
+    for column in columns:
+        prices = prices.where(F.col(column).isNotNull())
     paired = with_previous(prices, by, [order], columns, block).where(F.col(f"previous_{price}").isNotNull())
     change = F.try_divide(F.col(price), F.col(f"previous_{price}")) - 1.0
     result = [*by, order, "_block", change.alias("return")]

@@ -1,9 +1,9 @@
 """Positions in an order that no single task could hold.
 
-A window without a partition key, or over one hot group, would run in one task. Both operators
-here cut the order into blocks of about equal size with bounds taken from a mergeable sketch, work
-inside each block, and add the totals of the preceding blocks. The bounds only decide how work is
-spread; results are exact whatever they are.
+A window without a partition key, or over one hot group, would run in one task. Both operators here range-partition the
+rows by group and order, so a group of any size spreads over as many partitions as it fills, number the rows inside
+each partition, and add the totals of the partitions before it. Spark picks the number of partitions from the data
+and the session; results are exact wherever the bounds fall.
 """
 
 from __future__ import annotations
@@ -14,53 +14,42 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tallyscope.session import settle
 
-DEFAULT_BLOCKS = 128
-_SAMPLE_SLOTS = 4096
 
-
-def _block_number(bounds: Column, value: Column) -> Column:
-    return F.size(F.filter(bounds, lambda b: b < value))
+def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on equally named keys of which null equals null; the keys of the left side are kept."""
+    renamed = right
+    for k in keys:
+        renamed = renamed.withColumnRenamed(k, f"_right_{k}")
+    condition = F.lit(True)
+    for k in keys:
+        condition = condition & F.col(k).eqNullSafe(F.col(f"_right_{k}"))
+    return left.join(renamed, condition, how).drop(*[f"_right_{k}" for k in keys])
 
 
 def _preceding(blocks: DataFrame, keys: Sequence[str], measure: str, out: str) -> DataFrame:
-    """Exclusive prefix sum over block totals: at most one row per block and key."""
+    """Exclusive prefix sum and total over the blocks of each key: one row per block and key."""
     before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*keys)
-    return blocks.select(
-        *keys,
-        "_block",
-        F.coalesce(F.sum(measure).over(before), F.lit(0)).alias(out),
-        F.sum(measure).over(whole).alias("_total"),
+    return blocks.withColumn(out, F.coalesce(F.sum(measure).over(before), F.lit(0))).withColumn(
+        "_total", F.sum(measure).over(Window.partitionBy(*keys))
     )
 
 
-def value_ranks(
-    rows: DataFrame, keys: Sequence[str], criterion: str, value: str, blocks: int = DEFAULT_BLOCKS
-) -> DataFrame:
+def value_ranks(rows: DataFrame, keys: Sequence[str], criterion: str, value: str) -> DataFrame:
     """Tie-aware average rank of every distinct value, ascending, per ``keys`` and ``criterion``.
 
-    Returns keys, criterion, value, ``average_rank`` and ``population``. Rows are counted per
-    distinct value first, so a value shared by a large part of the table is one row afterwards.
-    Block bounds are per criterion (a handful of rows, hence the broadcast) and shared by all keys:
-    a block then holds about 1/blocks of all distinct values however unevenly keys are filled.
+    Returns keys, criterion, value, ``average_rank`` and ``population``. Rows are counted per distinct value first, so a
+    value shared by a large part of the table is one row afterwards. A null key is a group of its own.
     """
     group = [*keys, criterion]
     counted = rows.groupBy(*group, value).agg(F.count(F.lit(1)).alias("_n"))
-    probabilities = [i / blocks for i in range(1, blocks)]
-    bounds = counted.groupBy(criterion).agg(
-        F.percentile_approx(value, probabilities, blocks * 20).alias("_bounds")
-    )
-    placed = counted.join(F.broadcast(bounds), criterion).withColumn(
-        "_block", _block_number(F.col("_bounds"), F.col(value))
-    ).drop("_bounds")
-
+    placed = settle(counted.repartitionByRange(*group, value).withColumn("_block", F.spark_partition_id()))
     inside = Window.partitionBy(*group, "_block").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     running = placed.withColumn("_through", F.sum("_n").over(inside))
     totals = placed.groupBy(*group, "_block").agg(F.sum("_n").alias("_block_n"))
-    offsets = _preceding(totals, group, "_block_n", "_before")
+    offsets = _preceding(totals, group, "_block_n", "_before").drop("_block_n")
     last = F.col("_before") + F.col("_through")
     first = last - F.col("_n") + 1
-    return running.join(offsets, [*group, "_block"]).select(
+    return join_null_safe(running, offsets, [*group, "_block"]).select(
         *group,
         value,
         ((first + last) / F.lit(2.0)).alias("average_rank"),
@@ -68,46 +57,24 @@ def value_ranks(
     )
 
 
-def ordinal(
-    df: DataFrame,
-    order: Sequence[Column],
-    out: str,
-    keys: Sequence[str] = (),
-    blocks: int = DEFAULT_BLOCKS,
-    settled: bool = False,
-) -> DataFrame:
+def ordinal(df: DataFrame, order: Sequence[Column], out: str, keys: Sequence[str] = ()) -> DataFrame:
     """Append the 1-based position under ``order`` (ascending columns that form a unique key).
 
-    The input is read three times (sample, block totals, positions), so it is settled first
-    unless the caller says that rereading it is cheap.
-
-    Bounds come from a fixed number of hash slots, each keeping one row, so the sample is bounded
-    and the same for the same data. Ties in the leading columns are split by the later ones.
+    The rows are sorted once into written partitions. A row's number inside its partition is part of its row id, so no
+    further shuffle of the rows is needed.
     """
-    keyed = (df if settled else settle(df)).withColumn("_order", F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)]))
-    digest = F.xxhash64("_order")
-    sample = keyed.groupBy(F.pmod(digest, F.lit(_SAMPLE_SLOTS)).alias("_slot")).agg(
-        F.min_by("_order", digest).alias("_order")
-    )
-    size = F.size("_sorted")
-    cuts = F.transform(
-        F.sequence(F.lit(1), F.lit(blocks - 1)),
-        lambda i: F.get(F.col("_sorted"), F.floor(i * size / blocks).cast("int")),
-    )
-    bounds = sample.agg(F.array_sort(F.collect_list("_order")).alias("_sorted")).select(cuts.alias("_bounds"))
-    placed = (
-        keyed.withColumn("_bounds", bounds.scalar())
-        .withColumn("_block", _block_number(F.col("_bounds"), F.col("_order")))
-        .drop("_bounds")
-    )
-    inside = Window.partitionBy(*keys, "_block").orderBy("_order")
-    numbered = placed.withColumn("_within", F.row_number().over(inside))
-    totals = placed.groupBy(*keys, "_block").agg(F.count(F.lit(1)).alias("_block_n"))
-    offsets = _preceding(totals, list(keys) or [F.lit(0)], "_block_n", "_before").select(
-        *keys, "_block", "_before"
-    )
-    return (
-        numbered.join(offsets, [*keys, "_block"])
-        .withColumn(out, F.col("_before") + F.col("_within"))
-        .select(*df.columns, out)
+    names = [f"_order{i}" for i in range(len(order))]
+    ordered = df.select(*df.columns, *[c.alias(name) for c, name in zip(order, names, strict=True)])
+    sorting = [*keys, *names]
+    row_id = F.monotonically_increasing_id()
+    placed = settle(
+        ordered.repartitionByRange(*sorting)
+        .sortWithinPartitions(*sorting)
+        .drop(*names)
+        .withColumn("_row", row_id)
+        .withColumn("_block", F.shiftright("_row", 33))
     )
+    totals = placed.groupBy(*keys, "_block").agg(F.count(F.lit(1)).alias("_block_n"), F.min("_row").alias("_first"))
+    offsets = _preceding(totals, list(keys) or [F.lit(0)], "_block_n", "_before")
+    numbered = join_null_safe(placed, offsets.select(*keys, "_block", "_before", "_first"), [*keys, "_block"])
+    return numbered.withColumn(out, F.col("_before") + F.col("_row") - F.col("_first") + 1).select(*df.columns, out)

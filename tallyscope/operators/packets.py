@@ -9,25 +9,23 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tallyscope.operators.series import with_previous
 
-# Packet limits, defaults and hard maxima.
-DEFAULT_OBSERVATIONS, DEFAULT_EVIDENCE, DEFAULT_BYTES = 50, 100, 128_000
-MAX_OBSERVATIONS, MAX_EVIDENCE, MAX_BYTES = 100, 100, 256_000
+# Fixed value: version of the packet format.
 SCHEMA_VERSION = 1
-# Fixed value: most references of one calculation call (100 operations of 1000 values).
-MAX_REFERENCES = 100_000
 
 
 @dataclass(frozen=True)
 class PacketLimits:
-    observations: int = DEFAULT_OBSERVATIONS
-    evidence: int = DEFAULT_EVIDENCE
-    bytes: int = DEFAULT_BYTES
+    """Largest sizes of a packet; None sets no limit."""
+
+    observations: int | None = None
+    evidence: int | None = None
+    bytes: int | None = None
 
     def __post_init__(self) -> None:
-        for name, top in (("observations", MAX_OBSERVATIONS), ("evidence", MAX_EVIDENCE), ("bytes", MAX_BYTES)):
+        for name in ("observations", "evidence", "bytes"):
             value = getattr(self, name)
-            if isinstance(value, bool) or not isinstance(value, int) or not 1 <= value <= top:
-                raise ValueError(f"max {name} must be an integer between 1 and {top}")
+            if value is not None and (isinstance(value, bool) or not isinstance(value, int) or value < 1):
+                raise ValueError(f"limit of {name}: a positive integer or None")
 
 
 class Packets(NamedTuple):
@@ -64,8 +62,7 @@ def build_packets(
     """Packets of requested observations and exactly the evidence they cite.
 
     ``requests``: packet_id, observation_id. A packet over a limit, or with an unknown or repeated
-    id, is rejected whole. Sizes are counted before anything is collected, so only packets within
-    the limits (at most 100 observations and 100 evidence rows) are ever gathered into one row.
+    id, is rejected whole. Sizes are counted before anything is gathered, so a packet over a limit never becomes one row.
     """
     c = F.col
     known = observations.select("observation_id", "evidence_ids", F.lit(True).alias("_known"))
@@ -85,11 +82,11 @@ def build_packets(
         F.when(c("_repeats") > 1, "observation_ids must not contain duplicates")
         .when(~c("_all_known"), "unknown observation IDs")
         .when(
-            c("observation_count") > limits.observations,
+            c("observation_count") > F.lit(limits.observations),
             F.format_string(f"requested %d observations exceeds max_observations={limits.observations}", "observation_count"),
         )
         .when(
-            c("evidence_count") > limits.evidence,
+            c("evidence_count") > F.lit(limits.evidence),
             F.format_string(f"packet requires %d evidence records; max_evidence={limits.evidence}", "evidence_count"),
         )
     )
@@ -128,10 +125,11 @@ def build_packets(
         )
     )
     sized = gathered.withColumn("encoded_bytes", size)
-    too_big = sized.where(c("encoded_bytes") > limits.bytes).select(
+    over = F.coalesce(c("encoded_bytes") > F.lit(limits.bytes), F.lit(False))
+    too_big = sized.where(over).select(
         "packet_id", F.format_string(f"packet is %d bytes; max_bytes={limits.bytes}", "encoded_bytes").alias("reason")
     )
-    packets = sized.where(c("encoded_bytes") <= limits.bytes)
+    packets = sized.where(~over)
     rejected = judged.where("reason is not null").select("packet_id", "reason").unionByName(too_big)
     return Packets(packets, rejected)
 
@@ -212,11 +210,6 @@ def bind_observations(calls: DataFrame, references: DataFrame, packets: DataFram
         .when(c("_found").isNull(), "observation_not_allowed")
     )
     judged = found.withColumn("code", reference_code)
-    oversized = (
-        references.groupBy("call_id").agg(F.count(F.lit(1)).alias("_n")).where(c("_n") > MAX_REFERENCES)
-        .join(calls.select("batch_id", "call_id"), "call_id")
-        .select("batch_id", "call_id", F.lit("invalid_schema").alias("code"))
-    )
     mixed = incompatible_groups(judged.where("code is null"), ["batch_id", "call_id"]).select(
         "batch_id", "call_id", F.lit("incompatible_observations").alias("code")
     )
@@ -224,7 +217,6 @@ def bind_observations(calls: DataFrame, references: DataFrame, packets: DataFram
         call_codes.where("code is not null")
         .unionByName(judged.where("code is not null").select("batch_id", "call_id", "code"))
         .unionByName(mixed)
-        .unionByName(oversized)
         .groupBy("batch_id", "call_id")
         .agg(F.min("code").alias("code"))
     )

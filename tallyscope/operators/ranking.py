@@ -10,7 +10,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tallyscope.functions.numeric import check_precision, round_half_even
-from tallyscope.operators.ordering import value_ranks
+from tallyscope.operators.ordering import join_null_safe, value_ranks
 from tallyscope.operators.quality import Violation, raise_on
 from tallyscope.session import settle
 
@@ -26,10 +26,12 @@ class Criterion:
 
 
 class RankResult(NamedTuple):
-    """``ranked``: one scored row per eligible entity; ``excluded``: rows with missing metrics."""
+    """``ranked``: one scored row per eligible entity; ``excluded``: rows with missing metrics; ``rejected``: rows that
+    cannot be ranked, with a reason."""
 
     ranked: DataFrame
     excluded: DataFrame
+    rejected: DataFrame
 
 
 def check_criteria(criteria: Sequence[Criterion]) -> tuple[Criterion, ...]:
@@ -92,7 +94,8 @@ def rank_entities(
 
     ``ranked`` has the group and entity columns, ``<metric>``, ``<metric>_rank`` and
     ``<metric>_score`` per criterion, ``composite_score``, ``missing_metrics``. Order it with
-    :func:`rank_order`; the composite is rounded before it is compared.
+    :func:`rank_order`; the composite is rounded before it is compared. Rows with a blank id, an id that repeats in its
+    group, or a metric that is not finite are rejected and neither ranked nor counted. A null group is a group.
 
     The narrow metric table (one row per entity) is read several times, so it is written out
     first unless ``settled`` says the input is already cheap to reread.
@@ -108,6 +111,19 @@ def rank_entities(
     values = df.select(*keys, *[F.col(c.metric).cast("double").alias(c.metric) for c in items])
     if not settled:
         values = settle(values)
+    blank = F.col(entity).isNull() | (F.trim(F.col(entity).cast("string")) == "")
+    odd = F.lit(False)
+    for c in items:
+        odd = odd | F.coalesce(F.isnan(c.metric) | (F.abs(c.metric) == F.lit(float("inf"))), F.lit(False))
+    repeated = values.groupBy(*keys).count().where("count > 1").select(*keys, F.lit(True).alias("_repeated"))
+    problem = (
+        F.when(blank, "row id must be a non-empty string")
+        .when(F.col("_repeated"), "duplicate row id")
+        .when(odd, "ranking metrics must be finite")
+    )
+    checked = join_null_safe(values, repeated, keys, "left").withColumn("reason", problem).drop("_repeated")
+    rejected = checked.where("reason is not null").select(*keys, "reason")
+    values = checked.where("reason is null").drop("reason")
     absent = F.filter(
         F.array(*[F.when(F.col(c.metric).isNull(), F.lit(c.metric)) for c in items]), lambda m: m.isNotNull()
     )
@@ -134,7 +150,7 @@ def rank_entities(
         ).alias("_cell"),
     ).select(*keys, "_cell.*").where(F.col("_value").isNotNull())
     ranks = value_ranks(cells, by, "_metric", "_value")
-    located = cells.join(ranks, [*by, "_metric", "_value"])
+    located = join_null_safe(cells, ranks, [*by, "_metric", "_value"])
     n, rank = F.col("population"), F.col("average_rank")
     score = F.when(n == 1, F.lit(100.0)).otherwise(F.try_divide(F.lit(100.0) * (n - rank), n - F.lit(1.0)))
     wide = located.groupBy(*keys).agg(
@@ -146,7 +162,7 @@ def rank_entities(
         ]
     )
     fill = F.lit(0.0 if missing_policy == "worst" else 50.0)
-    scored = eligible.join(wide, keys, "left")
+    scored = join_null_safe(eligible, wide, keys, "left")
     weights = normalized_weights(items)
     composite: Column = F.lit(0.0)
     columns: list[Column] = []
@@ -163,7 +179,7 @@ def rank_entities(
     )
     if top_n is not None:
         ranked = keep_top(ranked, entity, top_n, by)
-    return RankResult(ranked, excluded)
+    return RankResult(ranked, excluded, rejected)
 
 
 def rank_order(entity: str) -> list[Column]:
@@ -182,6 +198,7 @@ def rank_counts(df: DataFrame, result: RankResult, by: Sequence[str] = ()) -> Da
     """input_count, eligible_count, returned_count (one row, or one per group)."""
     tagged = (
         df.select(*by, F.lit(1).alias("i"), F.lit(0).alias("x"), F.lit(0).alias("r"))
+        .unionByName(result.rejected.select(*by, F.lit(0).alias("i"), F.lit(1).alias("x"), F.lit(0).alias("r")))
         .unionByName(result.excluded.select(*by, F.lit(0).alias("i"), F.lit(1).alias("x"), F.lit(0).alias("r")))
         .unionByName(result.ranked.select(*by, F.lit(0).alias("i"), F.lit(0).alias("x"), F.lit(1).alias("r")))
     )

@@ -32,7 +32,6 @@ EVIDENCE_COLUMNS = (
     "content_hash",
 )
 ISSUE_COLUMNS = ("entity_id", "code", "provider_path", "message", "ord")
-MAX_ISSUES = 100
 # The row that stands for omitted issues.
 TRUNCATED_CODE = "issues_truncated"
 TRUNCATED_PATH = "$"
@@ -87,12 +86,14 @@ def evidence_of(records: DataFrame) -> DataFrame:
     return records.select(*EVIDENCE_COLUMNS)
 
 
-def bounded_issues(issues: DataFrame, maximum: int = MAX_ISSUES, by: str = "entity_id") -> DataFrame:
-    """At most ``maximum`` issues per batch key: the first ones plus one row counting the rest.
+def bounded_issues(issues: DataFrame, maximum: int | None = None, by: str = "entity_id") -> DataFrame:
+    """All issues, or if a maximum is asked for, at most ``maximum`` issues per batch key: the first ones plus one row counting the rest.
 
     Spark keeps only the first rows of each key below the shuffle, so a key with millions of bad
     records never becomes one task. Totals come from a partial aggregate.
     """
+    if maximum is None:
+        return issues
     if maximum < 1:
         raise ValueError("maximum must be positive")
     in_order = Window.partitionBy(by).orderBy("ord", "provider_path", "code", "message")

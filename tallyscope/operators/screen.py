@@ -57,9 +57,9 @@ def screen_rank(
     return rank_entities(screened, entity, SCREEN_CRITERIA, "worst", top_n=top_n, settled=settled)
 
 
-def with_screen_rank(ranked: DataFrame, entity: str = "entity_id", settled: bool = False) -> DataFrame:
+def with_screen_rank(ranked: DataFrame, entity: str = "entity_id") -> DataFrame:
     """Append the 1-based ``screen_rank`` by composite (descending) then id, without a global window."""
-    return ordinal(ranked, [-F.col("composite_score"), F.col(entity)], "screen_rank", settled=settled)
+    return ordinal(ranked, [-F.col("composite_score"), F.col(entity)], "screen_rank")
 
 
 def available_metrics() -> Column:
@@ -230,7 +230,7 @@ def build_candidates(
     total = scores.agg(F.count(F.lit(1)).alias("n")).scalar()
     if limit is not None:
         scores = scores.orderBy(F.col("composite_score").desc(), F.col(entity)).limit(limit)
-    numbered = with_screen_rank(scores, entity, settled=True)
+    numbered = with_screen_rank(scores, entity)
     joined = analyses.join(numbered, entity).withColumn("screened_count", total)
     fields = candidate_columns(
         F.col("has_market"), F.col("screen_rank"), F.col("screened_count"), F.col("failed_providers")

@@ -8,9 +8,10 @@ from collections.abc import Sequence
 from dataclasses import dataclass, replace
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyscope.functions.text import canonical_json, normalize_ticker
+from tallyscope.operators.ordering import ordinal
 from tallyscope.operators.quality import DataViolation, Violation, digest_rows, raise_on
 from tallyscope.session import settle
 
@@ -36,7 +37,6 @@ _DETAIL = {
     BELOW_CUTOFF: "qualified but ranked below the controller-owned analysis budget",
 }
 _NOT_AN_OBJECT = "quote row is not an object"
-_SAMPLE_EXCLUSIONS = 25
 
 
 @dataclass(frozen=True)
@@ -47,7 +47,7 @@ class UniversePolicy:
     target_size: int = 300
     minimum_size: int = 200
     page_size: int = 250
-    max_screened: int = 1_000
+    max_screened: int | None = None
     minimum_market_cap: float = 300_000_000.0
     minimum_share_price: float = 1.0
     minimum_average_daily_volume_3m: float = 200_000.0
@@ -56,19 +56,21 @@ class UniversePolicy:
 
     def __post_init__(self) -> None:
         if not re.fullmatch(r"[A-Z0-9_]{3,64}", self.profile_id):
-            raise ValueError("profile_id must be a versioned uppercase identifier")
-        if not 1 <= self.minimum_size <= self.target_size <= self.max_screened:
-            raise ValueError("sizes must satisfy 1 <= minimum <= target <= max_screened")
+            raise ValueError("profile_id: 3 to 64 capitals, digits or underscores")
+        if not 1 <= self.minimum_size <= self.target_size:
+            raise ValueError("minimum_size must be at least 1 and at most target_size")
+        if self.max_screened is not None and self.max_screened < self.target_size:
+            raise ValueError("max_screened, if set, must reach target_size")
         if self.page_size < 1:
-            raise ValueError("page_size must be positive")
+            raise ValueError("pages need at least one row")
         for name in ("minimum_market_cap", "minimum_share_price", "minimum_average_daily_volume_3m"):
             value = getattr(self, name)
             if isinstance(value, bool) or not math.isfinite(value) or value <= 0:
-                raise ValueError(f"{name} must be a finite positive number")
+                raise ValueError(f"{name}: a positive, finite threshold is needed")
         for name in ("sec_exchanges", "market_exchange_codes"):
             texts = [v.strip() for v in getattr(self, name)]
             if not texts or any(not t for t in texts):
-                raise ValueError(f"{name} must contain non-empty strings")
+                raise ValueError(f"{name}: at least one entry, none of them blank")
             if name == "market_exchange_codes":
                 texts = [t.upper() for t in texts]
             object.__setattr__(self, name, tuple(dict.fromkeys(texts)))
@@ -104,10 +106,7 @@ class Universe(NamedTuple):
 
 
 def provider_screen(rows: DataFrame, policy: UniversePolicy) -> DataFrame:
-    """The screen a provider runs before paging: thresholds pushed to the scan, cap order, pages.
-
-    Only the first ``max_screened`` rows are kept, so the page numbering is over a bounded set.
-    """
+    """The screen a provider runs before paging: thresholds pushed to the scan, cap order, pages."""
     kept = (
         rows.where(F.col("exchange").isin(*policy.market_exchange_codes))
         .where(F.col("market_cap") >= policy.minimum_market_cap)
@@ -118,11 +117,11 @@ def provider_screen(rows: DataFrame, policy: UniversePolicy) -> DataFrame:
 
 
 def paginate(rows: DataFrame, policy: UniversePolicy) -> DataFrame:
-    """First ``max_screened`` rows in cap order with ``page_offset`` and ``position`` columns."""
-    order = [F.col("market_cap").desc_nulls_last(), F.col("ticker").asc_nulls_last()]
-    top = rows.orderBy(*order).limit(policy.max_screened)
-    number = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)) - 1
-    numbered = top.withColumn("_number", number)
+    """All rows in cap order with ``page_offset`` and ``position``; the first ``max_screened`` if that is set."""
+    order = [-F.coalesce("market_cap", F.lit(float("-inf"))), F.col("ticker").isNull(), F.col("ticker")]
+    if policy.max_screened is not None:
+        rows = rows.orderBy(*order).limit(policy.max_screened)
+    numbered = ordinal(rows, order, "_number").withColumn("_number", F.col("_number") - 1)
     offset = (F.floor(F.col("_number") / policy.page_size) * policy.page_size).cast("int")
     return (
         numbered.withColumn("page_offset", offset)
@@ -183,43 +182,6 @@ def judge_quotes(quotes: DataFrame, policy: UniversePolicy) -> DataFrame:
     return judged.withColumn("ticker", F.coalesce("ticker", F.lit("UNKNOWN"))).drop("_kind", "_object")
 
 
-def inspected_pages(
-    pages: DataFrame, rows: DataFrame, identities: DataFrame, policy: UniversePolicy
-) -> DataFrame:
-    """Pages read before the screen stops.
-
-    Pages come in cap order. Reading stops after the page at which enough issuers are eligible,
-    after a page without usable rows, or at the provider's last page. How many issuers a prefix of
-    pages yields is the number of registrants first seen in it, so one first-seen aggregate and a
-    running sum over the (few) pages replace the page-by-page loop.
-    """
-    allowed = [e.lower() for e in policy.sec_exchanges]
-    known = identities.where(F.lower("exchange").isin(*allowed)).select("ticker", "cik")
-    first_seen = rows.join(known, "ticker").groupBy("cik").agg(F.min("page_offset").alias("page_offset"))
-    fresh = first_seen.groupBy("page_offset").agg(F.count(F.lit(1)).alias("_fresh"))
-    usable = rows.groupBy("page_offset").agg(F.count(F.lit(1)).alias("_usable"))
-    counted = (
-        pages.where(F.col("page_offset") < policy.max_screened)
-        .join(fresh, "page_offset", "left")
-        .join(usable, "page_offset", "left")
-    )
-    in_order = Window.partitionBy(F.lit(0)).orderBy("page_offset")
-    eligible = F.sum(F.coalesce("_fresh", F.lit(0))).over(in_order)
-    stops = (
-        (F.col("_eligible") >= policy.target_size)
-        | (F.coalesce("_usable", F.lit(0)) == 0)
-        | (F.col("page_offset") + policy.page_size >= F.col("total"))
-    )
-    earlier = in_order.rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        counted.withColumn("_eligible", eligible)
-        .withColumn("_stop", stops.cast("int"))
-        .withColumn("_stopped", F.coalesce(F.max("_stop").over(earlier), F.lit(0)))
-        .where("_stopped = 0")
-        .select(*pages.columns)
-    )
-
-
 def judge_issuers(rows: DataFrame, identities: DataFrame, policy: UniversePolicy) -> DataFrame:
     """Join verdicts of usable rows: best row per ticker, known identity on an allowed exchange,
     best ticker per issuer. Adds identity columns, ``reason`` and ``detail``.
@@ -282,18 +244,15 @@ MEMBER_COLUMNS = (
 
 
 def cut_to_target(eligible: DataFrame, policy: UniversePolicy) -> tuple[DataFrame, DataFrame]:
-    """Largest issuers up to the target, ranked; the rest as exclusions.
-
-    The members are at most ``target_size`` rows, which bounds both the rank window and the
-    broadcast of their tickers.
-    """
-    order = [F.col("market_cap").desc(), F.col("ticker").asc()]
-    top = eligible.orderBy(*order).limit(policy.target_size)
-    members = top.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)))
+    """Largest issuers up to the target, ranked; the rest as exclusions."""
+    ranked = ordinal(eligible, [-F.col("market_cap"), F.col("ticker")], "rank")
     members = settle(
-        members.withColumn("entity_id", F.concat(F.lit("ticker:"), F.col("ticker"))).select(*MEMBER_COLUMNS)
+        ranked.where(F.col("rank") <= policy.target_size)
+        .withColumn("rank", F.col("rank").cast("int"))
+        .withColumn("entity_id", F.concat(F.lit("ticker:"), F.col("ticker")))
+        .select(*MEMBER_COLUMNS)
     )
-    below = eligible.join(F.broadcast(members.select("ticker")), "ticker", "left_anti").select(
+    below = ranked.where(F.col("rank") > policy.target_size).select(
         "ticker", F.lit(BELOW_CUTOFF).alias("reason"), F.lit(_DETAIL[BELOW_CUTOFF]).alias("detail")
     )
     return members, below
@@ -304,26 +263,22 @@ def select_universe(
 ) -> Universe:
     """Full selection from screener quotes.
 
-    ``pages`` has one row per page: page_offset, total, row_count and lineage columns; ``quotes``
-    has page_offset and position. Rows of pages that are not inspected are neither members nor
-    exclusions. Every quote gets its verdict in two passes (screen, then joins); the passes are
-    settled because members, exclusions and counts all read them.
+    ``pages`` has one row per page: page_offset, total, row_count and lineage columns; ``quotes`` has page_offset and
+    position, which are lineage only. Every quote becomes a member or gets a reason in two passes (screen, then joins);
+    the first is settled because members, exclusions and counts all read it.
     """
     judged = settle(judge_quotes(quotes, policy))
-    usable = judged.where("reason is null")
-    read = settle(inspected_pages(pages, usable, identities, policy))
-    in_scope = judged.join(F.broadcast(read.select("page_offset")), "page_offset", "left_semi")
-    rows = in_scope.where("reason is null")
+    rows = judged.where("reason is null")
     issuers = judge_issuers(rows, identities, policy)
     members, below = cut_to_target(issuers.where("reason is null"), policy)
     shown = ["ticker", "reason", "detail"]
     exclusions = (
-        in_scope.where("reason is not null")
+        judged.where("reason is not null")
         .select(*shown)
         .unionByName(issuers.where("reason is not null").select(*shown))
         .unionByName(below)
     )
-    return Universe(members, exclusions, read, coverage_counts(members, rows, read))
+    return Universe(members, exclusions, pages, coverage_counts(members, rows, pages))
 
 
 def _as_one_row(spark_rows: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -353,9 +308,10 @@ def exclusion_counts(exclusions: DataFrame) -> DataFrame:
     return exclusions.groupBy("reason").agg(F.count(F.lit(1)).alias("count"))
 
 
-def exclusion_samples(exclusions: DataFrame, limit: int = _SAMPLE_EXCLUSIONS) -> DataFrame:
-    """The first exclusions by reason, ticker and detail, for a report."""
-    return exclusions.orderBy("reason", "ticker", "detail").limit(limit)
+def exclusion_samples(exclusions: DataFrame, limit: int | None = None) -> DataFrame:
+    """Exclusions by reason, ticker and detail, for a report; the first ``limit`` of them if that is set."""
+    ordered = exclusions.orderBy("reason", "ticker", "detail")
+    return ordered if limit is None else ordered.limit(limit)
 
 
 def posture(selected: Column, policy: UniversePolicy) -> Column:
@@ -436,13 +392,13 @@ def check_universe(universe: Universe) -> None:
         | (c("fetched_row_count") > c("provider_reported_total"))
     )
     lineage = ["content_hash", "request_hash", "retrieved_at"]
-    lost = universe.members.join(F.broadcast(universe.pages.select(*lineage).distinct()), lineage, "left_anti")
+    lost = universe.members.join(universe.pages.select(*lineage).distinct(), lineage, "left_anti")
     raise_on(
-        Violation("market equity screen reported conflicting totals across pages", totals),
-        Violation("coverage must satisfy selected <= valid unique <= fetched <= provider total", uneven),
-        Violation("members must have unique tickers", universe.members.groupBy("ticker").count().where("count > 1")),
-        Violation("member digests must be SHA-256", digest_rows(universe.members, ["content_hash", "request_hash"])),
-        Violation("member market lineage is not present in the inspected pages", lost),
+        Violation("pages disagree on the total number of rows", totals),
+        Violation("counts must not grow from reported to fetched, screened and selected rows", uneven),
+        Violation("a ticker appears on two members", universe.members.groupBy("ticker").count().where("count > 1")),
+        Violation("a member digest is not a SHA-256", digest_rows(universe.members, ["content_hash", "request_hash"])),
+        Violation("a member comes from no given page", lost),
     )
 
 

@@ -16,7 +16,7 @@ from tallyscope.operators import records as rc
 from tallyscope.operators import selection as sel
 from tallyscope.plans import tables as t
 from tallyscope.plans.tables import half_even_sql as R
-from tallyscope.session import spread
+from tallyscope.session import settle
 from tallyscope.sources import company_facts as cf
 from tallyscope.sources import identity as idn
 from tallyscope.sources import market_data as md
@@ -81,13 +81,8 @@ def latest_restatement(spark: SparkSession, folder: str) -> DataFrame:
       select cast(l_suppkey as varchar) as entity_id, 'large_fact' as code,
         'lineitem[' || l_orderkey || ',' || l_linenumber || ',' || l_partkey || ']' as provider_path,
         'quantity ' || cast(l_quantity as integer) as message, l_orderkey * 10 + l_linenumber as ord
-      from lineitem where l_quantity > 40),
-    n as (select *, row_number() over (partition by entity_id order by ord, provider_path, code, message) as n,
-      count(*) over (partition by entity_id) as total from i)
-    select entity_id, code, provider_path, message from n where total <= 100 or n < 100
-    union all
-    select distinct entity_id, 'issues_truncated', '$',
-      cast(total - 99 as varchar) || ' additional normalization issue(s) omitted' from n where total > 100""",
+      from lineitem where l_quantity > 40)
+    select entity_id, code, provider_path, message from i""",
 )
 def restatement_audit(spark: SparkSession, folder: str) -> DataFrame:
     lines = t.table(spark, folder, "lineitem").where("l_quantity > 40")
@@ -179,12 +174,8 @@ def price_history(spark: SparkSession, folder: str) -> DataFrame:
     f"""with {_HISTORY_SQL},
     i as (
       select 'ticker:' || ticker as entity_id, 'duplicate_history_value' as code, event_id * 100 + i as ord from good where oldest > 1
-      union all select 'ticker:' || ticker, 'invalid_value', event_id * 100 + i from cells where name = 'close_price' and value <= 0),
-    n as (select *, row_number() over (partition by entity_id order by ord) as n,
-      count(*) over (partition by entity_id) as total from i),
-    kept as (select entity_id, code from n where total <= 100 or n < 100
-      union all select distinct entity_id, 'issues_truncated' from n where total > 100)
-    select entity_id, code, count(*) as issues from kept group by 1, 2""",
+      union all select 'ticker:' || ticker, 'invalid_value', event_id * 100 + i from cells where name = 'close_price' and value <= 0)
+    select entity_id, code, count(*) as issues from i group by 1, 2""",
 )
 def price_history_issues(spark: SparkSession, folder: str) -> DataFrame:
     return _history(spark, folder).issues.groupBy("entity_id", "code").agg(F.count(F.lit(1)).alias("issues"))
@@ -195,7 +186,7 @@ def _fact_documents(spark: SparkSession, folder: str) -> DataFrame:
     lines = t.table(spark, folder, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_returnflag", "l_shipdate"
     )
-    return spread(lines).selectExpr(
+    return lines.selectExpr(
         """concat('{"cik":', l_orderkey, ',"entityName":"Order","facts":{"us-gaap":{"Revenues":{"units":{"USD":[{"val":',
         cast(l_extendedprice as decimal(12,2)), ',"start":"1995-01-01","end":"', date_add(date'1995-12-30', l_linenumber),
         '","filed":"', date_format(l_shipdate, 'yyyy-MM-dd'), '","form":"',
@@ -268,7 +259,7 @@ def ticker_normalize(spark: SparkSession, folder: str) -> DataFrame:
     asked = t.table(spark, folder, "customer").select(
         F.col("c_custkey").alias("ord"), F.concat(F.lit(" t"), "c_nationkey", F.lit(".a ")).alias("ticker")
     )
-    return idn.dedupe_tickers(asked, 500).select("ticker", "ord")
+    return idn.dedupe_tickers(asked).select("ticker", "ord")
 
 
 @query(
@@ -316,22 +307,23 @@ def evidence_ids(spark: SparkSession, folder: str) -> DataFrame:
     """
     with p as (select regexp_extract(url, '//([^/]+)/', 1) as host, html, page_id,
         timestamp '2025-03-01' - to_hours(page_id) as fetched_at from pages),
-    n as (select *, row_number() over (partition by host order by fetched_at desc) as n from p where length(html) <= 5000)
+    n as (select *, row_number() over (partition by host order by fetched_at desc) as n from p where page_id % 7 <> 3)
     select host, sha256(html) as content_hash, fetched_at >= timestamp '2025-03-01' - interval 48 hour as fresh
     from n where n = 1""",
 )
 def payload_freshness(spark: SparkSession, folder: str) -> DataFrame:
-    """Long pages lose their text after stamping, so their stored hash no longer matches."""
+    """Every seventh page loses its text after stamping, so its stored hash no longer matches."""
     rows = t.table(spark, folder, "pages").select(
         F.lit("web").alias("provider"),
         F.lit("get").alias("operation"),
         F.regexp_extract("url", "//([^/]+)/", 1).alias("identity"),
         F.lit("{}").alias("parameters"),
         F.col("html").alias("payload"),
+        "page_id",
         (F.lit(_AT).cast("timestamp") - F.make_dt_interval(hours=F.col("page_id").cast("int"))).alias("fetched_at"),
     )
     tampered = pay.stamp_payloads(rows).withColumn(
-        "payload", F.when(F.length("payload") > 5000, "lost").otherwise(F.col("payload"))
+        "payload", F.when(F.col("page_id") % 7 == 3, "lost").otherwise(F.col("payload"))
     )
     latest = pay.latest_payloads(tampered, _AT, timedelta(hours=48)).latest
     return latest.select(F.col("identity").alias("host"), "content_hash", "fresh")
@@ -511,9 +503,7 @@ def ref_integrity(spark: SparkSession, folder: str) -> DataFrame:
     """
     with n as (select o_custkey, count(*) as n, string_agg('ev' || lpad(cast(o_orderkey as varchar), 12, '0'), ',' order by o_orderkey) as ids
       from orders group by 1)
-    select cast(o_custkey as varchar) as packet_id, case when n <= 12 then n end as observation_count,
-      case when n <= 12 then ids end as source_ids,
-      case when n > 12 then 'requested ' || n || ' observations exceeds max_observations=12' end as reason
+    select cast(o_custkey as varchar) as packet_id, n as observation_count, ids as source_ids, cast(null as varchar) as reason
     from n""",
 )
 def build_packets(spark: SparkSession, folder: str) -> DataFrame:
@@ -533,7 +523,7 @@ def build_packets(spark: SparkSession, folder: str) -> DataFrame:
     )
     evidence = orders.select(F.concat(F.lit("ev"), key).alias("evidence_id"), F.col("o_orderpriority").alias("source_kind"))
     asked = orders.select(F.col("o_custkey").cast("string").alias("packet_id"), F.concat(F.lit("ob"), key).alias("observation_id"))
-    built = pk.build_packets(asked, observations, evidence, pk.PacketLimits(observations=12))
+    built = pk.build_packets(asked, observations, evidence)
     good = built.packets.select(
         "packet_id",
         F.size("observations").alias("observation_count"),

@@ -650,7 +650,7 @@ def screen_candidates(spark: SparkSession, folder: str) -> DataFrame:
     """Facts to metrics to weighted rank to candidate fields, for every issuer."""
     screened = settle(_screened(spark, folder))
     scores = settle(sc.screen_rank(screened, settled=True).ranked.select("entity_id", "composite_score"))
-    numbered = sc.with_screen_rank(scores, settled=True)
+    numbered = sc.with_screen_rank(scores)
     total = scores.agg(F.count(F.lit(1)).alias("n")).scalar()
     joined = screened.join(numbered, "entity_id").withColumn("screened_count", total)
     fields = sc.candidate_columns(

@@ -59,7 +59,7 @@ def conversation_log(rows: DataFrame) -> DataFrame:
         (turn + shift).alias("sequence"),
         kind.alias("kind"),
         F.timestamp_seconds(F.lit(1_700_000_000) + turn).alias("timestamp"),
-        F.left("text", F.lit(40)).alias("message"),
+        F.col("text").alias("message"),
         F.when(turn > 0, "main").alias("agent_id"),
         payload.alias("payload"),
     )
@@ -167,14 +167,15 @@ def event_search(spark: SparkSession, folder: str) -> DataFrame:
       count(*) filter (where kind like '%failed') as failures from log group by run_id""",
 )
 def event_counters(spark: SparkSession, folder: str) -> DataFrame:
-    events = t.run_events(spark, folder)
-    return jn.event_counters(events, jn.filter_events(events, family="task"), by=["run_id"])
+    events = t.plain_run_events(spark, folder)
+    return jn.event_counters(events, jn.event_family() == "task", by=["run_id"])
 
 
 @query(
     "transcript",
     f"""with {t.RUN_EVENTS_SQL}
-    select run_id, sequence, lpad(cast(sequence as varchar), 4, '0') || '  ' || rpad(kind, 22, ' ') || '  ' || message as line
+    select run_id, sequence, lpad(cast(sequence as varchar), greatest(4, length(cast(sequence as varchar)))::integer, '0') || '  ' ||
+      rpad(kind, greatest(22, length(kind))::integer, ' ') || '  ' || message as line
     from log where agent_id = 'lane-1'""",
 )
 def transcript(spark: SparkSession, folder: str) -> DataFrame:
@@ -185,7 +186,7 @@ def transcript(spark: SparkSession, folder: str) -> DataFrame:
     "event_summary",
     f"""with {t.RUN_EVENTS_SQL},
     s as (select run_id, sequence, message || ' | task_id=' || coalesce(agent_id, 'none') || ', call_id=' || event_id as text from log)
-    select run_id, sequence, case when length(text) > 40 then left(text, 39) || '…' else text end as summary from s""",
+    select run_id, sequence, text as summary from s""",
 )
 def event_summary(spark: SparkSession, folder: str) -> DataFrame:
     events = t.run_events(spark, folder).withColumn(
@@ -198,7 +199,7 @@ def event_summary(spark: SparkSession, folder: str) -> DataFrame:
             F.lit("}"),
         ),
     )
-    return events.select("run_id", "sequence", jn.event_summary(40).alias("summary"))
+    return events.select("run_id", "sequence", jn.event_summary().alias("summary"))
 
 
 @query(

@@ -177,12 +177,8 @@ averages as (
 prices as (select user_id, only_prices.day, price, benchmark from only_prices join averages using (day))"""
 
 
-def run_events(spark: SparkSession, folder: str) -> DataFrame:
-    """Events as a log: one run per user, sequence by time, kinds by event type.
-
-    The sequence is a position per user computed in blocks, so a user with very many events does
-    not become one task.
-    """
+def plain_run_events(spark: SparkSession, folder: str) -> DataFrame:
+    """Events as a log without sequence numbers: one run per user, kinds by event type."""
     kinds = {
         "signup": "task_started",
         "click": "tool_started",
@@ -193,13 +189,8 @@ def run_events(spark: SparkSession, folder: str) -> DataFrame:
     kind = F.lit(None).cast("string")
     for event_type, name in kinds.items():
         kind = F.when(F.col("event_type") == event_type, name).otherwise(kind)
-    events = table(spark, folder, "events").select(
-        "user_id", "ts", "event_id", "event_type", "value", "props"
-    )
-    numbered = ordinal(events, [F.col("ts"), F.col("event_id")], "_position", keys=["user_id"])
-    return numbered.select(
+    return table(spark, folder, "events").select(
         F.col("user_id").cast("string").alias("run_id"),
-        (F.col("_position") - 1).cast("long").alias("sequence"),
         kind.alias("kind"),
         F.col("ts").alias("timestamp"),
         F.concat(F.col("event_type"), F.lit(" "), F.col("event_id").cast("string")).alias("message"),
@@ -212,6 +203,12 @@ def run_events(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def run_events(spark: SparkSession, folder: str) -> DataFrame:
+    """The log with a sequence by time: a position per user over range partitions, so that no user is one task."""
+    numbered = ordinal(plain_run_events(spark, folder), [F.col("timestamp"), F.col("event_id")], "_position", keys=["run_id"])
+    return numbered.withColumn("sequence", (F.col("_position") - 1).cast("long")).drop("_position")
+
+
 RUN_EVENTS_SQL = """
 log as (
   select cast(user_id as varchar) as run_id,

@@ -20,7 +20,6 @@ POLICY = un.UniversePolicy(
     target_size=300,
     minimum_size=100,
     page_size=250,
-    max_screened=5_000,
     minimum_market_cap=300_000_000.0,
     minimum_share_price=1.0,
     minimum_average_daily_volume_3m=200_000.0,
@@ -101,7 +100,7 @@ quotes as (
   select 'T' || c_custkey as ticker, c_custkey, c_name, c_nationkey, c_acctbal * 1e6::double as cap, c_acctbal / 100.0::double as price,
     volume, c_mktsegment, (row_number() over (order by c_acctbal * 1e6::double desc, 'T' || c_custkey) - 1) as n
   from customer left join volume on c_custkey = o_custkey),
-paged as (select *, n // 250 * 250 as page_offset from quotes where n < 5000),
+paged as (select *, n // 250 * 250 as page_offset from quotes),
 screened as (select *,
     case when c_mktsegment = 'HOUSEHOLD' then 'non_equity' when c_nationkey >= 20 then 'market_exchange_outside_policy'
       when volume is null or c_mktsegment = 'BUILDING' then 'incomplete_screen_metrics'
@@ -111,21 +110,8 @@ identity as (
   select 'T' || c_custkey as ticker, c_custkey % 700 as cik,
     case n_regionkey when 0 then 'OTC' when 1 then 'nasdaq' else 'NYSE' end as sec_exchange
   from customer join nation on c_nationkey = n_nationkey where c_acctbal < 5000 or c_acctbal > 5200),
-fresh as (
-  select first as page_offset, count(*) as k from (
-    select cik, min(page_offset) as first from screened join identity using (ticker)
-    where reason is null and sec_exchange <> 'OTC' group by cik) group by 1),
-pages as (
-  select page_offset, count(*) as row_count, count(*) filter (where reason is null) as usable from screened group by 1),
-flagged as (
-  select page_offset, row_count, sum(coalesce(k, 0)) over (order by page_offset) >= 300 or usable = 0
-    or page_offset + 250 >= (select count(*) from customer) as stop
-  from pages left join fresh using (page_offset)),
-inspected as (
-  select page_offset, row_count from flagged
-  where page_offset <= (select coalesce(min(page_offset) filter (where stop), 1000000) from flagged)),
 scope as (
-  select s.*, i.cik, i.sec_exchange from screened s join inspected using (page_offset) left join identity i using (ticker)),
+  select s.*, i.cik, i.sec_exchange from screened s left join identity i using (ticker)),
 listed as (select *, first_value(ticker) over (partition by cik order by cap desc, ticker) as kept
   from scope where reason is null and cik is not null and sec_exchange <> 'OTC'),
 eligible as (select *, row_number() over (order by cap desc, ticker) as rank from listed where ticker = kept),
@@ -156,7 +142,7 @@ def universe_exclusions(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     "universe_counts",
     f"""with {_UNIVERSE_SQL},
-    c as (select (select count(*) from customer) as total, (select sum(row_count) from inspected) as fetched,
+    c as (select (select count(*) from customer) as total, (select count(*) from screened) as fetched,
       (select count(distinct ticker) from scope where reason is null) as screened, (select count(*) from members) as selected)
     select total as provider_reported_total, cast(fetched as bigint) as fetched_row_count, screened as screened_unique_count,
       selected as selected_count, cast(total - fetched as bigint) as provider_rows_not_inspected,
@@ -204,24 +190,18 @@ def _audit(spark: SparkSession, folder: str) -> tuple[un.Universe, DataFrame]:
         universe.members.join(scored.select("entity_id"), "entity_id", "left_anti")
         .select("ticker", F.lit("sec").alias("provider"), F.lit("facts").alias("phase"), F.lit("low confidence").alias("error"), F.lit(0).alias("ord"))
     )
-    shortlist = (
-        universe.members.join(scored, "entity_id")
-        .orderBy(F.col("composite_score").desc(), "entity_id")
-        .limit(25)
-        .select("entity_id")
-    )
+    shortlist = universe.members.join(scored, "entity_id").select("entity_id")
     return universe, fn.audit_rows(universe.members, scored, fn.failure_text(failures), shortlist)
 
 
 _AUDIT_SQL = f"""with {_UNIVERSE_SQL},
     scores as (select 'T' || entity_id as ticker, composite_score, evidence_gaps from ({FINANCE_SQL["screen_candidates"]}) where confidence = 'high'),
-    joined as (select m.rank, m.ticker, composite_score, evidence_gaps,
-        row_number() over (order by composite_score is null, composite_score desc, 'ticker:' || m.ticker) as place
+    joined as (select m.rank, m.ticker, composite_score, evidence_gaps
       from members m left join scores using (ticker)),
     audit as (
       select cast(rank as integer) as universe_rank, ticker, case when composite_score is null then 'failed' else 'screened' end as status,
         cast(round_even(cast(cast(composite_score as varchar) as decimal(38,18)), 0) as integer) as screen_score,
-        composite_score is not null and place <= 25 as surfaced,
+        composite_score is not null as surfaced,
         case when composite_score is null then 'failed' when evidence_gaps = '' then 'complete' else 'partial' end as data_quality,
         case when composite_score is null then 'sec/facts: low confidence' end as failure
       from joined)"""
@@ -236,7 +216,7 @@ def audit_rows(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     "funnel",
     f"""{_AUDIT_SQL},
-    n as (select (select count(*) from customer) as total, (select cast(sum(row_count) as bigint) from inspected) as fetched,
+    n as (select (select count(*) from customer) as total, (select count(*) from screened) as fetched,
       (select count(distinct ticker) from scope where reason is null) as uniq,
       count(*) as selected, count(*) filter (where status = 'screened') as screened, count(*) filter (where surfaced) as surfaced,
       count(*) filter (where status = 'failed') as failed from audit)

@@ -6,11 +6,12 @@ that was built elsewhere.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+_settled: list[str] = []
+
 ROCKSDB_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -37,10 +38,11 @@ def use_rocksdb_state(spark: SparkSession) -> SparkSession:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's shared checkpoint folder; fall back to a fresh local one only when unset."""
+    """The shared folder of the session; an error where none is set, since a folder of one machine would lose rows."""
     context = spark.sparkContext
-    configured = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    folder = configured or tempfile.mkdtemp(prefix="tallyscope-checkpoint-")
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not folder:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
     return folder
@@ -55,19 +57,17 @@ def settle(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/settled-{uuid.uuid4().hex}"
+    _settled.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(scan: DataFrame) -> DataFrame:
-    """Redistribute a file scan that has fewer partitions than there are cores.
-
-    For costly per-row work on a small input (one file, one row group). A large scan already has
-    more partitions than cores and is returned as it is, without a shuffle. Only for plans without
-    a shuffle of their own: asking those for their partitions would start them.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+def discard_settled(spark: SparkSession) -> None:
+    """Delete the tables settled so far, once no result that reads them is needed any more."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    while _settled:
+        path = hadoop.Path(_settled.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def computed(df: DataFrame) -> DataFrame:

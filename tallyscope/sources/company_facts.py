@@ -90,9 +90,14 @@ RULES = _rules()
 
 
 def read_company_facts(spark: SparkSession, path: str, whole_files: bool = True) -> DataFrame:
-    """One JSON document per row, kept as text so that strict checks see the original tokens."""
+    """One JSON document per row, kept as text so that strict checks see the original tokens.
+
+    ``retrieved_at`` is the file's modification time; replace the column where a better time is known.
+    """
     return spark.read.text(path, wholetext=whole_files).select(
-        F.col("value").alias("document"), F.col("_metadata.file_path").alias("source_path")
+        F.col("value").alias("document"),
+        F.col("_metadata.file_path").alias("source_path"),
+        F.col("_metadata.file_modification_time").alias("retrieved_at"),
     )
 
 
@@ -345,20 +350,18 @@ def _records(facts: DataFrame) -> DataFrame:
 
 
 def normalize_company_facts(
-    raw: DataFrame, forms: Sequence[str] = FORMS, max_issues: int = 100, reread_input: bool = False
+    raw: DataFrame, forms: Sequence[str] = FORMS, max_issues: int | None = None
 ) -> Batch:
     """Observations, evidence and issues of company-facts documents (document, retrieved_at[, ticker]).
 
-    The parsed fact rows feed all three tables, so they are settled once rather than parsed
-    three times; ``reread_input`` skips that for small inputs.
+    The parsed fact rows feed all three tables, so they are settled once rather than parsed three times. All issues are
+    returned unless ``max_issues`` asks for a summary per issuer.
     """
     if not forms or any(not f.strip() for f in forms):
         raise ValueError("forms must contain at least one non-empty form name")
     documents = parse_documents(raw)
     usable = documents.where("document_problem is null")
-    facts = _judged_facts(_fact_rows(_concept_rows(usable)), forms)
-    if not reread_input:
-        facts = settle(facts)
+    facts = settle(_judged_facts(_fact_rows(_concept_rows(usable)), forms))
     records = latest_restatements(_records(facts.where("issue is null")))
     ord_key = F.col("rule").cast("bigint") * 1_000_000_000 + F.coalesce("position", F.lit(0))
     fact_issues = facts.where("issue is not null").select("entity_id", "issue.*", ord_key.cast("long").alias("ord"))

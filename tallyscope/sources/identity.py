@@ -132,13 +132,15 @@ def recent_filings(submissions: DataFrame, forms: Sequence[str] = FILING_FORMS)
     )
 
 
-def dedupe_tickers(requests: DataFrame, maximum: int) -> DataFrame:
-    """Normalized distinct tickers in first-seen order (``ord``); raise on a bad one or a bad count."""
-    if maximum < 1:
+def dedupe_tickers(requests: DataFrame, maximum: int | None = None) -> DataFrame:
+    """Normalized distinct tickers in first-seen order (``ord``); raise on a bad one, or on none or too many if a maximum is set."""
+    if maximum is not None and maximum < 1:
         raise ValueError("maximum must be positive")
     cleaned = requests.select("ord", F.col("ticker").alias("_raw"), normalize_ticker("ticker").alias("ticker"))
     raise_on(Violation("invalid ticker", cleaned.where("ticker is null").select("_raw")))
     unique = cleaned.groupBy("ticker").agg(F.min("ord").alias("ord"))
+    if maximum is None:
+        return unique
     count = unique.limit(maximum + 1).count()
     if not 1 <= count <= maximum:
         raise DataViolation(f"ticker universe must contain between 1 and {maximum} unique tickers")

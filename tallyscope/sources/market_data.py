@@ -44,7 +44,7 @@ _ADJUSTABLE = ("open", "high", "low", "close")
 
 def _symbol(value: Column) -> Column:
     text = F.upper(F.trim(value))
-    return F.when((text != "") & (F.length(text) <= 20), text)
+    return F.when(text != "", text)
 
 
 def _unit(kind: Column, currency: Column) -> Column:
@@ -57,8 +57,15 @@ def _unit(kind: Column, currency: Column) -> Column:
 
 
 def read_snapshots(spark: SparkSession, path: str) -> DataFrame:
-    """Snapshot JSON lines; camel-case keys win over their snake-case twins when both are present."""
-    raw = spark.read.text(path).selectExpr("try_parse_json(value) as v").where("v is not null")
+    """Snapshot JSON lines; camel-case keys win over their snake-case twins when both are present.
+
+    ``observed_at`` and ``retrieved_at`` of a line are kept, else both are the file's modification time. A line that is
+    no JSON keeps its text in ``unreadable``, which becomes an issue in :func:`normalize_snapshots`; blank lines are no
+    rows.
+    """
+    raw = spark.read.text(path).where("trim(value) <> ''").selectExpr(
+        "value", "try_parse_json(value) as v", "_metadata.file_modification_time as _at"
+    )
     first = lambda a, b, kind: (
         f"try_variant_get(coalesce(try_variant_get(v, '$.{a}', 'variant'), "
         f"try_variant_get(v, '$.{b}', 'variant')), '$', '{kind}')"
@@ -69,6 +76,9 @@ def read_snapshots(spark: SparkSession, path: str) -> DataFrame:
         f"{first('lastPrice', 'last_price', 'double')} as last_price",
         f"{first('marketCap', 'market_cap', 'double')} as market_cap",
         "nullif(trim(try_variant_get(v, '$.exchange', 'string')), '') as exchange",
+        "coalesce(try_variant_get(v, '$.observed_at', 'timestamp'), _at) as observed_at",
+        "coalesce(try_variant_get(v, '$.retrieved_at', 'timestamp'), _at) as retrieved_at",
+        "case when v is null then value end as unreadable",
     )
 
 
@@ -94,8 +104,13 @@ def _finish(rows: DataFrame, source_kind: str, locator: dict[str, Column], metad
 
 
 def normalize_snapshots(snapshots: DataFrame) -> Batch:
-    """Snapshot rows (ticker, currency, last_price, market_cap, exchange, observed_at, retrieved_at)."""
+    """Snapshot rows (ticker, currency, last_price, market_cap, exchange, observed_at, retrieved_at[, unreadable]).
+
+    A row without a usable ticker, or one that could not be read, becomes an issue without an entity.
+    """
     c = F.col
+    if "unreadable" not in snapshots.columns:
+        snapshots = snapshots.withColumn("unreadable", F.lit(None).cast("string"))
     base = snapshots.withColumn("ticker", _symbol(c("ticker"))).withColumn("currency", currency_code("currency"))
     field = lambda i, source, name, kind: F.struct(
         F.lit(i).alias("i"),
@@ -142,9 +157,18 @@ def normalize_snapshots(snapshots: DataFrame) -> Batch:
         )
     )
     judged = cells.withColumn("issue", issue)
+    lost = base.where("ticker is null").select(
+        F.lit(None).cast("string").alias("entity_id"),
+        F.when(c("unreadable").isNull(), "invalid_ticker").otherwise("invalid_snapshot").alias("code"),
+        F.when(c("unreadable").isNull(), "snapshot.ticker").otherwise("snapshot").alias("provider_path"),
+        F.when(c("unreadable").isNull(), F.lit("ticker must be a non-empty string"))
+        .otherwise(F.concat(F.lit("line is not JSON: "), c("unreadable")))
+        .alias("message"),
+        F.lit(0).cast("long").alias("ord"),
+    )
     issues = judged.where("issue is not null").select(
         F.concat(F.lit("ticker:"), c("ticker")).alias("entity_id"), "issue.*", c("i").cast("long").alias("ord")
-    )
+    ).unionByName(lost)
     good = judged.where("issue is null and currency is not null")
     records = _finish(
         good, "market_snapshot", {"exchange": c("exchange")}, {"exchange": c("exchange"), "currency": c("currency")}
@@ -213,16 +237,26 @@ def normalize_history(
             c(name).isNotNull().alias("given"),
         )
 
-    base = rows.select(
+    read = rows.select(
         _symbol(c("ticker")).alias("ticker"),
         currency_code("currency").alias("currency"),
         c("rowindex").cast("long").alias("rowindex"),
         _timestamp(rows).alias("observed_at"),
         retrieved.cast("timestamp").alias("retrieved_at"),
         F.array(*[cell(i, n) for i, n in enumerate(present)]).alias("_cells"),
-    ).where("ticker is not null and currency is not null")
+    )
+    base = read.where("ticker is not null and currency is not null")
     entity = F.concat(F.lit("ticker:"), c("ticker"))
     row_path = F.concat(F.lit("history["), c("rowindex").cast("string"), F.lit("]"))
+    unnamed = read.where("ticker is null or currency is null").select(
+        entity.alias("entity_id"),
+        F.when(c("ticker").isNull(), "invalid_ticker").otherwise("missing_currency").alias("code"),
+        row_path.alias("provider_path"),
+        F.when(c("ticker").isNull(), "ticker must be a non-empty string")
+        .otherwise("a three-letter currency is needed")
+        .alias("message"),
+        (c("rowindex") * 100).alias("ord"),
+    )
     bad_time = base.where("observed_at is null").select(
         entity.alias("entity_id"),
         F.lit("invalid_timestamp").alias("code"),
@@ -286,7 +320,7 @@ def normalize_history(
             "adjusted": c("field").isin(*_ADJUSTABLE) if auto_adjust else F.lit(False),
         },
     )
-    issues = bad_time.unionByName(invalid).unionByName(replaced)
+    issues = unnamed.unionByName(bad_time).unionByName(invalid).unionByName(replaced)
     return Batch(observations_of(records), evidence_of(records), bounded_issues(issues))
 
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import sys
 from collections.abc import Callable, Iterator
+from datetime import datetime, timedelta, timezone
 from typing import Any
 
 from pyspark import cloudpickle
@@ -57,6 +58,10 @@ _AFTER_END = "cannot append an event after terminal run state"
 _STOPPED = "run stopped at an earlier rejected event"
 
 
+# Waiting events keep their time in microseconds since the epoch; rows come with or without a zone.
+_EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
+
+
 class _OrderedRuns(StatefulProcessor):
     """Releases the events of a run in sequence order, whatever order the micro-batches bring."""
 
@@ -73,14 +78,17 @@ class _OrderedRuns(StatefulProcessor):
 
     def _pack(self, row: Row) -> str:
         values = [row[name] for name in EVENT_COLUMNS]
-        values[4] = None if values[4] is None else values[4].timestamp()
+        if (at := values[4]) is not None:
+            micros = (at.replace(tzinfo=at.tzinfo or timezone.utc) - _EPOCH) // timedelta(microseconds=1)
+            values[4] = [micros, at.tzinfo is not None]
         return json.dumps(values)
 
     def _unpack(self, text: str) -> Row:
-        from datetime import datetime
-
         values = json.loads(text)
-        values[4] = None if values[4] is None else datetime.fromtimestamp(values[4])
+        if values[4] is not None:
+            micros, zoned = values[4]
+            at = _EPOCH + timedelta(microseconds=micros)
+            values[4] = at if zoned else at.replace(tzinfo=None)
         return Row(**dict(zip(EVENT_COLUMNS, values)))
 
     def _verdicts(self, rows: Iterator[Row], timer_values: Any) -> Iterator[tuple[Row, str | None]]:

@@ -7,7 +7,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from pyspark.sql import SparkSession
 
     from tallyscope.session import configure, use_rocksdb_state
@@ -20,6 +20,8 @@ def spark():
         .config("spark.driver.memory", "6g")
         .getOrCreate()
     )
+    if session.conf.get("spark.checkpoint.dir", None) is None:
+        session.conf.set("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
     session.sparkContext.setLogLevel("ERROR")
     yield use_rocksdb_state(configure(session))
     session.stop()

@@ -2,7 +2,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from tallyscope.operators.records import check_batch
+from tallyscope.operators.records import bounded_issues, check_batch
 from tallyscope.sources.company_facts import RULES, normalize_company_facts, rekey_to_ticker
 
 AT = "2025-03-01 00:00:00"
@@ -23,7 +23,7 @@ def normalize(spark, *documents):
     raw = spark.createDataFrame([(d,) for d in documents], "document string").withColumn(
         "retrieved_at", F.lit(AT).cast("timestamp")
     )
-    return normalize_company_facts(raw, reread_input=True)
+    return normalize_company_facts(raw)
 
 
 def test_rule_table():
@@ -138,8 +138,10 @@ def test_issue_cap_and_bad_documents(spark):
     batch = normalize(spark, capped, document({}, cik="x"), document([], cik=2), '{"cik": 3, "cik": 4}')
     issues = batch.issues.collect()
     first = [r for r in issues if r["entity_id"] == "cik:0000000001"]
-    assert len(first) == 100
-    closing = [r for r in first if r["code"] == "issues_truncated"]
+    assert len(first) == 121
+    capped_rows = bounded_issues(batch.issues, 100).where("entity_id = 'cik:0000000001'").collect()
+    assert len(capped_rows) == 100
+    closing = [r for r in capped_rows if r["code"] == "issues_truncated"]
     assert [r["message"] for r in closing] == ["22 additional normalization issue(s) omitted"]
     others = sorted((r["entity_id"] or "", r["code"]) for r in issues if r["entity_id"] != "cik:0000000001")
     assert others == [("", "invalid_document"), ("", "invalid_document"), ("cik:0000000002", "invalid_facts")]

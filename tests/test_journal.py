@@ -277,11 +277,14 @@ def test_search_counters_transcript(spark):
     count = lambda **q: jn.filter_events(events, **q).count()
     assert count(family="tool") == 2 and count(agent=jn.UNASSIGNED) == 1 and count(agent="a1") == 2
     assert count(search=" T1:C0 ") == 1 and count(search="missing") == 0 and count(family="tool", search="rejected") == 1
-    counters = jn.event_counters(events, jn.filter_events(events, family="tool")).first().asDict()
+    counters = jn.event_counters(events, jn.event_family() == "tool").first().asDict()
     assert counters == {"total": 4, "visible": 2, "agents": 2, "tool_calls": 1, "rejections": 1, "failures": 2}
     lines = [r["line"] for r in jn.transcript(events, "a1").collect()]
     assert lines[0] == "0000  tool_started            tool_started 0"
+    late = events.withColumn("sequence", F.lit(12345)).withColumn("kind", F.lit("a_kind_of_more_than_22_letters"))
+    assert jn.transcript(late, "a1").first()["line"].startswith("12345  a_kind_of_more_than_22_letters  ")
     summary = [r[0] for r in events.orderBy("sequence").select(jn.event_summary(30)).collect()]
+    assert events.select(F.max(F.length(jn.event_summary()))).first()[0] > 30
     assert summary[0] == "tool_started 0 | task_id=t1, …" and summary[1] == "tool_rejected 1"
     assert jn.recent_events(events, 2).count() == 2
     assert {(r["family"], r["events"]) for r in jn.family_counts(events).collect()} == {("tool", 2), ("run", 1), ("agent", 1)}

@@ -126,7 +126,7 @@ def test_packets(spark):
         rejected = {r["packet_id"]: r["reason"] for r in pk.build_packets(asked, b.observations, b.evidence, limits).rejected.collect()}
         assert text in rejected["p"]
     with pytest.raises(ValueError):
-        pk.PacketLimits(observations=101)
+        pk.PacketLimits(observations=0)
 
 
 def test_packet_sets(spark):
@@ -244,3 +244,17 @@ def test_payloads(spark):
     assert [r["reason"] for r in result.rejected.collect()] == ["content hash mismatch"]
     one = spark.range(1).select(sha256_json({"b": F.lit(1), "a": F.lit(None).cast("string")}), F.sha2(F.lit('{"a":null,"b":1}'), 256)).first()
     assert one[0] == one[1]
+
+
+def test_issues_of_two_issuers_are_two(spark):
+    issues = spark.createDataFrame(
+        [("ticker:A", "missing_currency", "snapshot.currency", "m", 0), ("ticker:B", "missing_currency", "snapshot.currency", "m", 0)]
+        + [(None, "invalid_ticker", "snapshot.ticker", "m", 0)] * 2,
+        "entity_id string, code string, provider_path string, message string, ord long",
+    )
+    b = batch(spark)
+    empty = Batch(*[t.limit(0) for t in b._replace(issues=issues)])
+    step = lg.plan_ingest(empty, b._replace(issues=issues))
+    assert sorted(str(r["entity_id"]) for r in step.issues.collect()) == ["None", "ticker:A", "ticker:B"]
+    again = lg.plan_ingest(b._replace(issues=issues), b._replace(issues=issues))
+    assert again.issues.count() == 0

@@ -80,10 +80,10 @@ def test_groups_and_blocks(spark):
 
     w = Window.partitionBy("g").orderBy("v")
     expected = big.select("g", "v", (F.rank().over(w) + (F.count("*").over(Window.partitionBy("g", "v")) - 1) / 2.0).alias("e")).distinct()
-    got = value_ranks(big, ["g"], "metric", "v", blocks=9)
+    got = value_ranks(big, ["g"], "metric", "v")
     assert got.join(expected, ["g", "v"]).where("abs(average_rank - e) > 1e-9").count() == 0 and got.count() == expected.count()
     keyed = big.withColumn("id", F.monotonically_increasing_id())
-    numbered = ordinal(keyed, [F.col("v"), F.col("id")], "n", keys=["g"], blocks=9)
+    numbered = ordinal(keyed, [F.col("v"), F.col("id")], "n", keys=["g"])
     plain = keyed.withColumn("p", F.row_number().over(Window.partitionBy("g").orderBy("v", "id")))
     assert numbered.join(plain, ["g", "id"]).where("n <> p").count() == 0 and numbered.count() == 20_000
 
@@ -103,3 +103,28 @@ def test_arguments(spark):
     with pytest.raises(DataViolation, match="finite"):
         rk.check_rank_input(rows(spark, [("A", float("nan"), 1.0)]), "id", [C("x", "higher", 1.0)])
     assert rk.normalized_weights([C("x", "higher", 3.0), C("y", "lower", 1.0)]) == {"x": 0.75, "y": 0.25}
+
+
+def test_null_group_and_rejects(spark):
+    data = [(None, "a", 1.0), (None, "b", 3.0), ("g", "a", 5.0), ("g", "c", float("nan")), ("g", " ", 1.0), (None, "d", 2.0), ("g", "e", 7.0), ("g", "e", 9.0)]
+    df = spark.createDataFrame(data, "g string, id string, x double")
+    result = rk.rank_entities(df, "id", [C("x", "higher", 1.0)], "worst", by=["g"])
+    got = {(r["g"], r["id"]): (r["x_rank"], r["composite_score"]) for r in result.ranked.collect()}
+    assert got == {(None, "b"): (1.0, 100.0), (None, "d"): (2.0, 50.0), (None, "a"): (3.0, 0.0), ("g", "a"): (1.0, 100.0)}
+    reasons = sorted((r["id"], r["reason"]) for r in result.rejected.collect())
+    assert reasons == [
+        (" ", "row id must be a non-empty string"),
+        ("c", "ranking metrics must be finite"),
+        ("e", "duplicate row id"),
+        ("e", "duplicate row id"),
+    ]
+    counts = {r["g"]: (r["input_count"], r["eligible_count"]) for r in rk.rank_counts(df, result, ["g"]).collect()}
+    assert counts == {None: (3, 3), "g": (5, 1)}
+
+
+def test_a_third_of_the_rows_on_one_value(spark):
+    df = spark.range(900).select(F.lit("k").alias("k"), F.lit("m").alias("m"), F.when(F.col("id") % 3 == 0, 50).otherwise(F.col("id")).cast("double").alias("v"))
+    values = [50.0 if i % 3 == 0 else float(i) for i in range(900)]
+    ordered = sorted(values)
+    got = {r["v"]: r["average_rank"] for r in value_ranks(df, ["k"], "m", "v").collect()}
+    assert got == {v: (2 * ordered.index(v) + values.count(v) + 1) / 2 for v in set(values)}

@@ -11,7 +11,7 @@ from tallyscope.operators.quality import DataViolation, split_candidates
 from tallyscope.operators.universe import UniversePolicy, manifest
 from tallyscope.plans.screen_plan import run_screen
 from tallyscope.sources.screen_pages import parse_pages
-from tests.test_universe import page_documents, quote
+from tests.test_universe import document_pages
 
 ISSUERS = 300
 
@@ -57,8 +57,8 @@ def inputs(spark):
     quotes = []
     for i in range(ISSUERS):
         x = issuer(i)
-        quotes.append(quote(i, marketCap=x["cap"], regularMarketPrice=x["price"], averageDailyVolume3Month=x["volume"]))
-    parsed, pages = parse_pages(page_documents(spark, quotes))
+        quotes.append((f"T{i:03d}", "EQUITY", "NMS", x["cap"], x["price"], x["volume"], "USD"))
+    parsed, pages = parse_pages(document_pages(spark, quotes, 250))
     identities = spark.createDataFrame(
         [(f"T{i:03d}", f"{i + 1:010d}", f"Company {i}", "NYSE") for i in range(ISSUERS)],
         "ticker string, cik string, company string, exchange string",
@@ -67,7 +67,7 @@ def inputs(spark):
 
 
 def test_three_hundred_issuers(spark, inputs):
-    screen = run_screen(*inputs, F.lit("0" * 64))
+    screen = run_screen(*inputs, F.lit("0" * 64), candidate_limit=25)
     row = screen.funnel.first().asDict()
     assert {k: row[k] for k in ("selected", "eligible", "screened", "surfaced", "failed", "excluded", "inspected")} == {
         "selected": 300, "eligible": 300, "screened": 300, "surfaced": 25, "failed": 0, "excluded": 0, "inspected": 300,
@@ -108,13 +108,22 @@ def test_three_hundred_issuers(spark, inputs):
 
 def test_failures_and_gate(spark, inputs):
     failures = spark.createDataFrame(
-        [("T003", "sec", "facts", "HTTP 500", 1), ("T003", "sec", "identity", "missing", 0)],
+        [
+            ("T003", "sec", "facts", "HTTP 500", 1),
+            ("T003", "sec", "identity", "missing", 0),
+            ("T000", "yfinance", "snapshot", "timed out", 0),
+        ],
         "ticker string, provider string, phase string, error string, ord int",
     )
     policy = UniversePolicy(target_size=100, minimum_size=100, page_size=50)
     screen = run_screen(*inputs, F.lit("0" * 64), policy, failures, candidate_limit=5)
     row = screen.funnel.first()
     assert (row["selected"], row["screened"], row["failed"], row["surfaced"]) == (100, 99, 1, 5)
+    # Without market values an issuer stays in the screen; its market-based metrics have no value.
+    kept = screen.analyses.where("ticker = 'T000'").first()
+    assert not kept["has_market"] and kept["failed_providers"] == ["yfinance"] and kept["market_cap_observation"] is None
+    every = sc.build_candidates(screen.analyses, screen.ranked)
+    assert every.where("bucket = 'exposure_unproven'").select("ticker").collect() == [("T000",)]
     (failed,) = screen.audit.where("status = 'failed'").collect()
     assert failed["failure"] == "sec/identity: missing; sec/facts: HTTP 500" and failed["data_quality"] == "failed"
     done = screen.audit.where("status = 'screened'")
@@ -125,7 +134,7 @@ def test_failures_and_gate(spark, inputs):
     rows = fn.collection_rows(screen.universe.members.select("ticker"), done.select("ticker", F.lit(1).alias("observation_count")))
     summary = fn.collection_summary(rows, statuses, failures).first().asDict()
     assert summary["ready_count"] == 99 and summary["failed_count"] == 1 and summary["partial"]
-    assert summary["sec_successes"] == 99 and summary["sec_failures"] == 2 and summary["yfinance_failures"] == 0
+    assert summary["sec_successes"] == 99 and summary["sec_failures"] == 2 and summary["yfinance_failures"] == 1
 
 
 def test_candidate_rules(spark):

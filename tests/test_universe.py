@@ -10,138 +10,129 @@ from tallyscope.operators.records import check_batch
 from tallyscope.sources.market_data import normalize_members
 from tallyscope.sources.screen_pages import parse_pages
 
-AT = datetime(2025, 3, 1)
-
-
-def quote(i, **changes):
-    row = {
-        "symbol": f"T{i:03d}",
-        "quoteType": "EQUITY",
-        "exchange": "NMS",
-        "marketCap": 5e12 - i * 1e6,
-        "regularMarketPrice": 10.0,
-        "averageDailyVolume3Month": 1e6,
-        "currency": "USD",
-    }
-    row.update(changes)
-    return row
-
-
-def page_documents(spark, quotes, page_size=250, totals=None):
-    rows = []
-    for n, offset in enumerate(range(0, max(len(quotes), 1), page_size)):
-        total = len(quotes) if totals is None else totals[n]
-        text = json.dumps({"start": offset, "total": total, "quotes": quotes[offset : offset + page_size]})
-        rows.append((offset, text, AT, "network"))
-    df = spark.createDataFrame(rows, "page_offset int, document string, retrieved_at timestamp, access_mode string")
-    return df.withColumn("content_hash", F.sha2("document", 256)).withColumn(
-        "request_hash", F.sha2(F.col("page_offset").cast("string"), 256)
-    )
-
-
-def identities(spark, count, **changes):
-    rows = []
-    for i in range(count):
-        if changes.get("missing") == i:
+FETCHED = datetime(2031, 7, 9, 12)
+SMALL = un.UniversePolicy(
+    profile_id="OWN_TEST",
+    target_size=6,
+    minimum_size=3,
+    page_size=4,
+    minimum_market_cap=50.0,
+    minimum_share_price=2.0,
+    minimum_average_daily_volume_3m=10.0,
+    sec_exchanges=("ARCA",),
+    market_exchange_codes=("AA", "BB"),
+)
+
+# symbol, type, exchange, cap, price, volume, currency; the verdict each of them must get.
+LISTING = [
+    ("ALFA", "EQUITY", "AA", 900.0, 20.0, 50.0, "USD", 1),
+    ("BRAVO", "equity", "bb", 800.0, 20.0, 50.0, "usd", 2),
+    ("CEDAR", "EQUITY", "AA", 700.0, 20.0, 50.0, "USD", "duplicate_issuer"),
+    ("DELTA", "FUND", "AA", 690.0, 20.0, 50.0, "USD", "non_equity"),
+    ("EMBER", "EQUITY", "ZZ", 680.0, 20.0, 50.0, "USD", "market_exchange_outside_policy"),
+    ("FJORD", "EQUITY", "AA", None, 20.0, 50.0, "USD", "incomplete_screen_metrics"),
+    ("GROVE", "EQUITY", "AA", 49.0, 20.0, 50.0, "USD", "failed_market_threshold"),
+    ("HAVEN", "EQUITY", "AA", 660.0, 1.5, 50.0, "USD", "failed_market_threshold"),
+    ("INLET", "EQUITY", "AA", 650.0, 20.0, 9.0, "USD", "failed_liquidity_threshold"),
+    ("JUNCO", "EQUITY", "AA", 640.0, 20.0, 50.0, "USD", "missing_sec_identity"),
+    ("KNOLL", "EQUITY", "AA", 630.0, 20.0, 50.0, "USD", "sec_exchange_outside_policy"),
+    ("LARCH", "EQUITY", "AA", 620.0, 20.0, 50.0, "USD", 3),
+    ("MAPLE", "EQUITY", "AA", 610.0, 20.0, 50.0, "USD", 4),
+    ("NORTH", "EQUITY", "AA", 600.0, 20.0, 50.0, "USD", 5),
+    ("OSIER", "EQUITY", "AA", 590.0, 20.0, 50.0, "USD", 6),
+    ("PLOVER", "EQUITY", "AA", 580.0, 20.0, 50.0, "USD", "below_target_cutoff"),
+    ("no ticker", "EQUITY", "AA", 570.0, 20.0, 50.0, "USD", "invalid_market_row"),
+]
+
+
+def document_pages(spark, rows, size, totals=None):
+    keys = ("symbol", "quoteType", "exchange", "marketCap", "regularMarketPrice", "averageDailyVolume3Month", "currency")
+    quotes = [dict(zip(keys, row)) if isinstance(row, tuple) else row for row in rows]
+    documents = []
+    for number, start in enumerate(range(0, len(quotes), size)):
+        total = totals[number] if totals else len(quotes)
+        body = {"start": start, "total": total, "quotes": quotes[start : start + size]}
+        documents.append((start, json.dumps(body), FETCHED, "network"))
+    df = spark.createDataFrame(documents, "page_offset int, document string, retrieved_at timestamp, access_mode string")
+    hashes = {"content_hash": F.sha2("document", 256), "request_hash": F.sha2(F.col("page_offset").cast("string"), 256)}
+    return df.withColumns(hashes)
+
+
+def identity_map(spark, rows):
+    known = []
+    for number, row in enumerate(rows):
+        name = row[0] if isinstance(row, tuple) else None
+        if name in (None, "JUNCO", "no ticker", *[k[0] for k in known]):
             continue
-        cik = 0 if i == changes.get("shares_cik_of_zero") else i
-        rows.append((f"T{i:03d}", f"{cik:010d}", f"Company {i}", "Nasdaq"))
-    return spark.createDataFrame(rows, "ticker string, cik string, company string, exchange string")
-
-
-def select(spark, quotes, known, policy=un.UniversePolicy(), **pages):
-    parsed, page_rows = parse_pages(page_documents(spark, quotes, policy.page_size, **pages))
-    return un.select_universe(parsed, page_rows.drop("problem"), known, policy)
-
-
-def test_selection(spark):
-    known = identities(spark, 320, shares_cik_of_zero=1, missing=5)
-    universe = select(spark, [quote(i) for i in range(320)], known)
-    members = universe.members.orderBy("rank").collect()
-    expected = [f"T{i:03d}" for i in range(302) if i not in (1, 5)]
-    assert [m["ticker"] for m in members] == expected and [m["rank"] for m in members] == list(range(1, 301))
-    assert {r["reason"]: r["count"] for r in un.exclusion_counts(universe.exclusions).collect()} == {
-        "below_target_cutoff": 18,
-        "duplicate_issuer": 1,
-        "missing_sec_identity": 1,
-    }
-    (twin,) = universe.exclusions.where("reason = 'duplicate_issuer'").collect()
-    assert twin["ticker"] == "T001" and twin["detail"].endswith("T000")
+        issuer = 0 if name == "CEDAR" else number
+        known.append((name, f"{issuer:010d}", f"{name} plc", "SHELF" if name == "KNOLL" else "Arca"))
+    return spark.createDataFrame(known, "ticker string, cik string, company string, exchange string")
+
+
+def chosen(spark, rows, policy=SMALL, totals=None):
+    parsed, pages = parse_pages(document_pages(spark, rows, policy.page_size, totals))
+    return un.select_universe(parsed, pages.drop("problem"), identity_map(spark, rows), policy)
+
+
+def test_every_quote_gets_one_verdict(spark):
+    universe = chosen(spark, LISTING)
+    ranks = {r["ticker"]: r["rank"] for r in universe.members.collect()}
+    assert ranks == {row[0]: row[-1] for row in LISTING if isinstance(row[-1], int)}
+    reasons = {r["ticker"]: r["reason"] for r in universe.exclusions.collect()}
+    wanted = {row[0]: row[-1] for row in LISTING if isinstance(row[-1], str)}
+    wanted["UNKNOWN"] = wanted.pop("no ticker")
+    assert reasons == wanted
+    assert un.exclusion_samples(universe.exclusions).count() == len(wanted)
+    assert un.exclusion_samples(universe.exclusions, 2).count() == 2
+    twin = universe.exclusions.where("reason = 'duplicate_issuer'").first()
+    assert twin["detail"].endswith(" ALFA")
     un.check_universe(universe)
-    row = un.require_minimum(un.manifest(universe, "0" * 64, un.UniversePolicy()))
-    assert row["posture"] == "target_met" and row["fetched_row_count"] == 320 and row["screened_unique_count"] == 320
-    again = select(spark, [quote(i) for i in range(320)], known.repartition(7))
-    assert un.manifest(again, "0" * 64, un.UniversePolicy()).first()["manifest_id"] == row["manifest_id"]
-    assert un.exclusion_samples(universe.exclusions).count() == 20
-    batch = normalize_members(universe.members)
-    check_batch(batch)
-    assert batch.observations.count() == 900
-
-
-def test_paging_stops(spark):
-    universe = select(spark, [quote(i) for i in range(700)], identities(spark, 700))
-    row = un.manifest(universe, "0" * 64, un.UniversePolicy()).first()
-    assert universe.pages.count() == 2 and row["provider_rows_not_inspected"] == 200
-    assert row["selected_count"] == 300
-
-
-def test_reasons(spark):
-    quotes = [quote(i) for i in range(310)]
-    quotes[0]["quoteType"] = "ETF"
-    quotes[1]["exchange"] = "PNK"
-    quotes[2]["marketCap"] = None
-    quotes[2]["intradaymarketcap"] = 1e12
-    quotes[3]["averageDailyVolume3Month"] = 1
-    quotes[4]["regularMarketPrice"] = {"raw": "0.5"}
-    quotes[5]["symbol"] = "bad ticker"
-    quotes[6] = 5
-    quotes[7] = quote(8)
-    quotes[9]["marketCap"] = True
-    universe = select(spark, quotes, identities(spark, 310))
-    found = sorted((r["ticker"], r["reason"], r["detail"]) for r in universe.exclusions.collect())
-    assert found == sorted(
-        [
-            ("T000", "non_equity", "provider quote type was ETF"),
-            ("T001", "market_exchange_outside_policy", "provider exchange was PNK"),
-            ("T002", "incomplete_screen_metrics", "market cap, price, three-month volume, or currency was missing"),
-            ("T003", "failed_liquidity_threshold", "three-month average volume was below policy"),
-            ("T004", "failed_market_threshold", "market cap or share price was below policy"),
-            ("UNKNOWN", "invalid_market_row", "missing or invalid ticker"),
-            ("UNKNOWN", "invalid_market_row", "quote row is not an object"),
-            ("T008", "duplicate_market_row", "duplicate screener symbol was de-duplicated"),
-            ("T009", "incomplete_screen_metrics", "market cap, price, three-month volume, or currency was missing"),
-            ("T309", "below_target_cutoff", "qualified but ranked below the controller-owned analysis budget"),
-        ]
-    )
+    row = un.require_minimum(un.manifest(universe, "f" * 64, SMALL))
+    assert (row["posture"], row["fetched_row_count"], row["provider_rows_not_inspected"]) == ("target_met", len(LISTING), 0)
+    shuffled = chosen(spark, LISTING)._replace(members=universe.members.repartition(3))
+    assert un.manifest(shuffled, "f" * 64, SMALL).first()["manifest_id"] == row["manifest_id"]
+    check_batch(normalize_members(universe.members))
+
+
+def test_repeated_and_odd_rows(spark):
+    rows = [LISTING[0], LISTING[1], LISTING[1], 17, LISTING[11]]
+    universe = chosen(spark, rows)
+    assert sorted((r["ticker"], r["reason"]) for r in universe.exclusions.collect()) == [
+        ("BRAVO", "duplicate_market_row"),
+        ("UNKNOWN", "invalid_market_row"),
+    ]
+    assert universe.members.count() == 3
+
 
+def test_all_rows_far_beyond_the_target(spark):
+    rows = [(f"S{i:04d}", "EQUITY", "AA", 1e6 - i, 5.0, 20.0, "USD") for i in range(530)]
+    universe = chosen(spark, rows)
+    assert universe.members.count() == 6 and universe.exclusions.count() == 524
 
-def test_too_few_and_conflicting_totals(spark):
-    policy = un.UniversePolicy(target_size=120, minimum_size=100)
-    universe = select(spark, [quote(i) for i in range(99)], identities(spark, 99), policy)
+
+def test_too_few_members_and_conflicting_totals(spark):
+    few = chosen(spark, LISTING[:2])
     with pytest.raises(un.CoverageError) as error:
-        un.require_minimum(un.manifest(universe, "0" * 64, policy))
-    assert error.value.manifest["posture"] == "insufficient"
-    odd = select(spark, [quote(i) for i in range(320)], identities(spark, 320), totals=[400, 401])
-    with pytest.raises(DataViolation, match="conflicting totals"):
-        un.check_universe(odd)
-
-
-def test_provider_screen_and_policy(spark):
-    rows = spark.range(1000).select(
-        F.concat(F.lit("T"), F.col("id")).alias("ticker"),
-        F.lit("NMS").alias("exchange"),
-        (F.col("id") * 1e6).alias("market_cap"),
-        F.lit(5.0).alias("share_price"),
-        F.lit(1e6).alias("average_daily_volume_3m"),
+        un.require_minimum(un.manifest(few, "f" * 64, SMALL))
+    assert error.value.manifest["selected_count"] == 2
+    with pytest.raises(DataViolation, match="disagree on the total"):
+        un.check_universe(chosen(spark, LISTING[:6], totals=[6, 7]))
+
+
+def test_pages_and_policy(spark):
+    rows = spark.range(90).select(
+        F.concat(F.lit("Q"), "id").alias("ticker"),
+        F.lit("BB").alias("exchange"),
+        (F.col("id") + 11).cast("double").alias("market_cap"),
+        F.lit(3.0).alias("share_price"),
+        F.lit(12.0).alias("average_daily_volume_3m"),
     )
-    policy = un.UniversePolicy(target_size=100, minimum_size=100, page_size=50, max_screened=120)
-    paged = un.provider_screen(rows, policy)
-    assert [(r["page_offset"], r["count"]) for r in paged.groupBy("page_offset").count().orderBy("page_offset").collect()] == [
-        (0, 50),
-        (50, 50),
-        (100, 20),
-    ]
-    assert paged.agg(F.min("market_cap")).first()[0] == 880e6
-    for bad in (dict(minimum_size=301), dict(profile_id="x"), dict(minimum_market_cap=0.0), dict(sec_exchanges=())):
+    pages = un.provider_screen(rows, SMALL).groupBy("page_offset").agg(F.count("*").alias("n"), F.max("market_cap").alias("top"))
+    found = {r["page_offset"]: (r["n"], r["top"]) for r in pages.collect()}
+    # 51 rows reach the least cap of 50: twelve pages of four and one of three.
+    assert len(found) == 13 and found[0] == (4, 100.0) and found[48] == (3, 52.0)
+    capped = un.provider_screen(rows, SMALL.with_sizes(max_screened=9))
+    assert capped.count() == 9 and capped.agg(F.min("market_cap")).first()[0] == 92.0
+    for wrong in ({"minimum_size": 7}, {"profile_id": "no"}, {"minimum_share_price": -1.0}, {"market_exchange_codes": (" ",)}, {"max_screened": 5}):
         with pytest.raises(ValueError):
-            un.UniversePolicy(**bad)
+            SMALL.with_sizes(**wrong)

@@ -44,115 +44,216 @@ class MetricSpec:
 
 
 # Metric name, category, unit, rule, parts in formula order.
-METRICS: tuple[MetricSpec, ...] = tuple(
-    MetricSpec(name, category, unit, rule, tuple(parts.split()))
-    for name, category, unit, rule, parts in (
-        ("gross_profit", "derived_amount", "currency", "difference", "revenue cost_of_revenue"),
-        ("free_cash_flow", "derived_amount", "currency", "difference", "operating_cash_flow capital_expenditures"),
-        ("working_capital", "derived_amount", "currency", "difference", "current_assets current_liabilities"),
-        ("net_debt", "derived_amount", "currency", "difference", "total_debt cash_and_equivalents"),
-        ("enterprise_value", "derived_amount", "currency", "value",
-         "market_cap total_debt preferred_stock minority_interest cash_and_equivalents"),
-        ("earnings_per_share", "derived_amount", "currency_per_share", "fact_ratio",
-         "net_income diluted_shares_outstanding"),
-        ("book_value_per_share", "derived_amount", "currency_per_share", "fact_ratio",
-         "shareholders_equity diluted_shares_outstanding"),
-        ("revenue_growth", "growth", "ratio", "growth", "revenue prior_revenue"),
-        ("gross_profit_growth", "growth", "ratio", "growth", "gross_profit prior_gross_profit"),
-        ("operating_income_growth", "growth", "ratio", "growth", "operating_income prior_operating_income"),
-        ("net_income_growth", "growth", "ratio", "growth", "net_income prior_net_income"),
-        ("earnings_per_share_growth", "growth", "ratio", "growth", "earnings_per_share prior_earnings_per_share"),
-        ("gross_margin", "margin", "ratio", "ratio", "gross_profit revenue"),
-        ("operating_margin", "margin", "ratio", "ratio", "operating_income revenue"),
-        ("ebit_margin", "margin", "ratio", "ratio", "ebit revenue"),
-        ("ebitda_margin", "margin", "ratio", "ratio", "ebitda revenue"),
-        ("net_margin", "margin", "ratio", "ratio", "net_income revenue"),
-        ("operating_cash_flow_margin", "margin", "ratio", "ratio", "operating_cash_flow revenue"),
-        ("free_cash_flow_margin", "margin", "ratio", "ratio", "free_cash_flow revenue"),
-        ("capex_intensity", "margin", "ratio", "ratio", "capital_expenditures revenue"),
-        ("incremental_operating_margin", "margin", "ratio", "slope",
-         "operating_income prior_operating_income revenue prior_revenue"),
-        ("current_ratio", "liquidity", "ratio", "ratio", "current_assets current_liabilities"),
-        ("quick_ratio", "liquidity", "ratio", "ratio", "quick_assets current_liabilities"),
-        ("debt_to_equity", "leverage", "ratio", "ratio", "total_debt shareholders_equity"),
-        ("debt_to_ebitda", "leverage", "multiple", "ratio", "total_debt ebitda"),
-        ("net_debt_to_ebitda", "leverage", "multiple", "ratio", "net_debt ebitda"),
-        ("interest_coverage", "leverage", "multiple", "ratio", "ebit interest_expense"),
-        ("asset_turnover", "efficiency", "multiple", "ratio", "revenue average_total_assets"),
-        ("return_on_assets", "return", "ratio", "ratio", "net_income average_total_assets"),
-        ("return_on_equity", "return", "ratio", "ratio", "net_income average_shareholders_equity"),
-        ("return_on_invested_capital", "return", "ratio", "ratio",
-         "net_operating_profit_after_tax average_invested_capital"),
-        ("cash_conversion_ratio", "efficiency", "ratio", "ratio", "operating_cash_flow net_income"),
-        ("days_sales_outstanding", "cash_conversion", "days", "days",
-         "average_accounts_receivable revenue days_in_period"),
-        ("days_inventory_outstanding", "cash_conversion", "days", "days",
-         "average_inventory cost_of_revenue days_in_period"),
-        ("days_payables_outstanding", "cash_conversion", "days", "days",
-         "average_accounts_payable cost_of_revenue days_in_period"),
-        ("cash_conversion_cycle", "cash_conversion", "days", "cycle",
-         "days_sales_outstanding days_inventory_outstanding days_payables_outstanding"),
-        ("price_to_earnings", "valuation", "multiple", "ratio", "market_cap net_income"),
-        ("price_to_sales", "valuation", "multiple", "ratio", "market_cap revenue"),
-        ("price_to_book", "valuation", "multiple", "ratio", "market_cap shareholders_equity"),
-        ("enterprise_value_to_revenue", "valuation", "multiple", "ratio", "enterprise_value revenue"),
-        ("enterprise_value_to_ebitda", "valuation", "multiple", "ratio", "enterprise_value ebitda"),
-        ("enterprise_value_to_ebit", "valuation", "multiple", "ratio", "enterprise_value ebit"),
-        ("free_cash_flow_yield", "valuation", "ratio", "ratio", "free_cash_flow market_cap"),
-        ("earnings_yield", "valuation", "ratio", "ratio", "net_income market_cap"),
-        ("dividend_yield", "valuation", "ratio", "ratio", "dividends_paid market_cap"),
-        ("payout_ratio", "valuation", "ratio", "ratio", "dividends_paid net_income"),
-        ("rule_of_40", "composite", "ratio", "total", "revenue_growth ebitda_margin"),
-    )
+METRICS: tuple[MetricSpec, ...] = (
+    MetricSpec("gross_profit", "derived_amount", "currency", "difference", ("revenue", "cost_of_revenue")),
+    MetricSpec(
+        "free_cash_flow",
+        "derived_amount",
+        "currency",
+        "difference",
+        ("operating_cash_flow", "capital_expenditures"),
+    ),
+    MetricSpec(
+        "working_capital",
+        "derived_amount",
+        "currency",
+        "difference",
+        ("current_assets", "current_liabilities"),
+    ),
+    MetricSpec("net_debt", "derived_amount", "currency", "difference", ("total_debt", "cash_and_equivalents")),
+    MetricSpec(
+        "enterprise_value",
+        "derived_amount",
+        "currency",
+        "value",
+        ("market_cap", "total_debt", "preferred_stock", "minority_interest", "cash_and_equivalents"),
+    ),
+    MetricSpec(
+        "earnings_per_share",
+        "derived_amount",
+        "currency_per_share",
+        "fact_ratio",
+        ("net_income", "diluted_shares_outstanding"),
+    ),
+    MetricSpec(
+        "book_value_per_share",
+        "derived_amount",
+        "currency_per_share",
+        "fact_ratio",
+        ("shareholders_equity", "diluted_shares_outstanding"),
+    ),
+    MetricSpec("revenue_growth", "growth", "ratio", "growth", ("revenue", "prior_revenue")),
+    MetricSpec("gross_profit_growth", "growth", "ratio", "growth", ("gross_profit", "prior_gross_profit")),
+    MetricSpec("operating_income_growth", "growth", "ratio", "growth", ("operating_income", "prior_operating_income")),
+    MetricSpec("net_income_growth", "growth", "ratio", "growth", ("net_income", "prior_net_income")),
+    MetricSpec(
+        "earnings_per_share_growth",
+        "growth",
+        "ratio",
+        "growth",
+        ("earnings_per_share", "prior_earnings_per_share"),
+    ),
+    MetricSpec("gross_margin", "margin", "ratio", "ratio", ("gross_profit", "revenue")),
+    MetricSpec("operating_margin", "margin", "ratio", "ratio", ("operating_income", "revenue")),
+    MetricSpec("ebit_margin", "margin", "ratio", "ratio", ("ebit", "revenue")),
+    MetricSpec("ebitda_margin", "margin", "ratio", "ratio", ("ebitda", "revenue")),
+    MetricSpec("net_margin", "margin", "ratio", "ratio", ("net_income", "revenue")),
+    MetricSpec("operating_cash_flow_margin", "margin", "ratio", "ratio", ("operating_cash_flow", "revenue")),
+    MetricSpec("free_cash_flow_margin", "margin", "ratio", "ratio", ("free_cash_flow", "revenue")),
+    MetricSpec("capex_intensity", "margin", "ratio", "ratio", ("capital_expenditures", "revenue")),
+    MetricSpec(
+        "incremental_operating_margin",
+        "margin",
+        "ratio",
+        "slope",
+        ("operating_income", "prior_operating_income", "revenue", "prior_revenue"),
+    ),
+    MetricSpec("current_ratio", "liquidity", "ratio", "ratio", ("current_assets", "current_liabilities")),
+    MetricSpec("quick_ratio", "liquidity", "ratio", "ratio", ("quick_assets", "current_liabilities")),
+    MetricSpec("debt_to_equity", "leverage", "ratio", "ratio", ("total_debt", "shareholders_equity")),
+    MetricSpec("debt_to_ebitda", "leverage", "multiple", "ratio", ("total_debt", "ebitda")),
+    MetricSpec("net_debt_to_ebitda", "leverage", "multiple", "ratio", ("net_debt", "ebitda")),
+    MetricSpec("interest_coverage", "leverage", "multiple", "ratio", ("ebit", "interest_expense")),
+    MetricSpec("asset_turnover", "efficiency", "multiple", "ratio", ("revenue", "average_total_assets")),
+    MetricSpec("return_on_assets", "return", "ratio", "ratio", ("net_income", "average_total_assets")),
+    MetricSpec("return_on_equity", "return", "ratio", "ratio", ("net_income", "average_shareholders_equity")),
+    MetricSpec(
+        "return_on_invested_capital",
+        "return",
+        "ratio",
+        "ratio",
+        ("net_operating_profit_after_tax", "average_invested_capital"),
+    ),
+    MetricSpec("cash_conversion_ratio", "efficiency", "ratio", "ratio", ("operating_cash_flow", "net_income")),
+    MetricSpec(
+        "days_sales_outstanding",
+        "cash_conversion",
+        "days",
+        "days",
+        ("average_accounts_receivable", "revenue", "days_in_period"),
+    ),
+    MetricSpec(
+        "days_inventory_outstanding",
+        "cash_conversion",
+        "days",
+        "days",
+        ("average_inventory", "cost_of_revenue", "days_in_period"),
+    ),
+    MetricSpec(
+        "days_payables_outstanding",
+        "cash_conversion",
+        "days",
+        "days",
+        ("average_accounts_payable", "cost_of_revenue", "days_in_period"),
+    ),
+    MetricSpec(
+        "cash_conversion_cycle",
+        "cash_conversion",
+        "days",
+        "cycle",
+        ("days_sales_outstanding", "days_inventory_outstanding", "days_payables_outstanding"),
+    ),
+    MetricSpec("price_to_earnings", "valuation", "multiple", "ratio", ("market_cap", "net_income")),
+    MetricSpec("price_to_sales", "valuation", "multiple", "ratio", ("market_cap", "revenue")),
+    MetricSpec("price_to_book", "valuation", "multiple", "ratio", ("market_cap", "shareholders_equity")),
+    MetricSpec("enterprise_value_to_revenue", "valuation", "multiple", "ratio", ("enterprise_value", "revenue")),
+    MetricSpec("enterprise_value_to_ebitda", "valuation", "multiple", "ratio", ("enterprise_value", "ebitda")),
+    MetricSpec("enterprise_value_to_ebit", "valuation", "multiple", "ratio", ("enterprise_value", "ebit")),
+    MetricSpec("free_cash_flow_yield", "valuation", "ratio", "ratio", ("free_cash_flow", "market_cap")),
+    MetricSpec("earnings_yield", "valuation", "ratio", "ratio", ("net_income", "market_cap")),
+    MetricSpec("dividend_yield", "valuation", "ratio", "ratio", ("dividends_paid", "market_cap")),
+    MetricSpec("payout_ratio", "valuation", "ratio", "ratio", ("dividends_paid", "net_income")),
+    MetricSpec("rule_of_40", "composite", "ratio", "total", ("revenue_growth", "ebitda_margin")),
 )
 METRIC_NAMES: tuple[str, ...] = tuple(spec.name for spec in METRICS)
 _BY_NAME = {spec.name: spec for spec in METRICS}
 
 # Accepted alternative names of a fact, in lookup order.
-ALIASES: dict[str, str] = {
-    "revenue": "sales",
-    "prior_revenue": "prior_sales",
-    "cost_of_revenue": "cost_of_goods_sold cogs",
-    "prior_cost_of_revenue": "prior_cost_of_goods_sold prior_cogs",
-    "capital_expenditures": "capex",
-    "cash_and_equivalents": "cash",
-    "market_cap": "market_capitalization",
-    "total_debt": "debt",
-    "shareholders_equity": "stockholders_equity total_equity common_equity",
-    "average_shareholders_equity": "average_stockholders_equity average_total_equity",
-    "diluted_shares_outstanding": "weighted_average_diluted_shares shares_outstanding",
-    "prior_diluted_shares_outstanding": "prior_weighted_average_diluted_shares prior_shares_outstanding",
-    "preferred_stock": "preferred_equity",
-    "minority_interest": "noncontrolling_interest",
-    "ebit": "earnings_before_interest_and_taxes",
-    "ebitda": "earnings_before_interest_taxes_depreciation_amortization",
-    "depreciation_and_amortization": "depreciation_amortization",
-    "interest_expense": "net_interest_expense",
-    "average_total_assets": "average_assets",
-    "average_accounts_receivable": "average_receivables",
-    "average_accounts_payable": "average_payables",
-    "net_operating_profit_after_tax": "nopat",
-    "average_invested_capital": "avg_invested_capital",
-    "effective_tax_rate": "tax_rate",
-    "dividends_paid": "common_dividends_paid cash_dividends_paid",
+ALIASES: dict[str, tuple[str, ...]] = {
+    "revenue": ("sales",),
+    "prior_revenue": ("prior_sales",),
+    "cost_of_revenue": ("cost_of_goods_sold", "cogs"),
+    "prior_cost_of_revenue": ("prior_cost_of_goods_sold", "prior_cogs"),
+    "capital_expenditures": ("capex",),
+    "cash_and_equivalents": ("cash",),
+    "market_cap": ("market_capitalization",),
+    "total_debt": ("debt",),
+    "shareholders_equity": ("stockholders_equity", "total_equity", "common_equity"),
+    "average_shareholders_equity": ("average_stockholders_equity", "average_total_equity"),
+    "diluted_shares_outstanding": ("weighted_average_diluted_shares", "shares_outstanding"),
+    "prior_diluted_shares_outstanding": ("prior_weighted_average_diluted_shares", "prior_shares_outstanding"),
+    "preferred_stock": ("preferred_equity",),
+    "minority_interest": ("noncontrolling_interest",),
+    "ebit": ("earnings_before_interest_and_taxes",),
+    "ebitda": ("earnings_before_interest_taxes_depreciation_amortization",),
+    "depreciation_and_amortization": ("depreciation_amortization",),
+    "interest_expense": ("net_interest_expense",),
+    "average_total_assets": ("average_assets",),
+    "average_accounts_receivable": ("average_receivables",),
+    "average_accounts_payable": ("average_payables",),
+    "net_operating_profit_after_tax": ("nopat",),
+    "average_invested_capital": ("avg_invested_capital",),
+    "effective_tax_rate": ("tax_rate",),
+    "dividends_paid": ("common_dividends_paid", "cash_dividends_paid"),
 }
 
 # Facts a caller may supply to the metric table (the pivot list).
-FACT_NAMES: tuple[str, ...] = tuple(
-    """
-    revenue prior_revenue cost_of_revenue prior_cost_of_revenue gross_profit prior_gross_profit
-    operating_income prior_operating_income net_income prior_net_income operating_cash_flow
-    capital_expenditures free_cash_flow current_assets current_liabilities cash_and_equivalents
-    total_debt net_debt market_cap share_price preferred_stock minority_interest enterprise_value
-    diluted_shares_outstanding prior_diluted_shares_outstanding earnings_per_share
-    prior_earnings_per_share shareholders_equity ebit ebitda depreciation_and_amortization
-    quick_assets inventory prepaid_expenses short_term_investments accounts_receivable
-    accounts_payable interest_expense total_assets average_total_assets average_shareholders_equity
-    net_operating_profit_after_tax effective_tax_rate income_tax_expense income_before_tax
-    average_invested_capital invested_capital average_accounts_receivable average_inventory
-    average_accounts_payable days_in_period dividends_paid dividends_per_share revenue_growth
-    ebitda_margin
-    """.split()
+FACT_NAMES: tuple[str, ...] = (
+    "revenue",
+    "prior_revenue",
+    "cost_of_revenue",
+    "prior_cost_of_revenue",
+    "gross_profit",
+    "prior_gross_profit",
+    "operating_income",
+    "prior_operating_income",
+    "net_income",
+    "prior_net_income",
+    "operating_cash_flow",
+    "capital_expenditures",
+    "free_cash_flow",
+    "current_assets",
+    "current_liabilities",
+    "cash_and_equivalents",
+    "total_debt",
+    "net_debt",
+    "market_cap",
+    "share_price",
+    "preferred_stock",
+    "minority_interest",
+    "enterprise_value",
+    "diluted_shares_outstanding",
+    "prior_diluted_shares_outstanding",
+    "earnings_per_share",
+    "prior_earnings_per_share",
+    "shareholders_equity",
+    "ebit",
+    "ebitda",
+    "depreciation_and_amortization",
+    "quick_assets",
+    "inventory",
+    "prepaid_expenses",
+    "short_term_investments",
+    "accounts_receivable",
+    "accounts_payable",
+    "interest_expense",
+    "total_assets",
+    "average_total_assets",
+    "average_shareholders_equity",
+    "net_operating_profit_after_tax",
+    "effective_tax_rate",
+    "income_tax_expense",
+    "income_before_tax",
+    "average_invested_capital",
+    "invested_capital",
+    "average_accounts_receivable",
+    "average_inventory",
+    "average_accounts_payable",
+    "days_in_period",
+    "dividends_paid",
+    "dividends_per_share",
+    "revenue_growth",
+    "ebitda_margin",
 )
 
 # Components derived from other facts when not supplied.
@@ -365,7 +466,7 @@ def _stage(df: DataFrame, evaluated: Sequence[_Evaluated], reasons: bool) -> Dat
     available = {f.name: f.dataType for f in df.schema.fields}
     resolved = []
     for name in dict.fromkeys(facts):
-        found = [c for c in (name, *ALIASES.get(name, "").split()) if c in available]
+        found = [c for c in (name, *ALIASES.get(name, ())) if c in available]
         for c in found:
             if not isinstance(available[c], T.NumericType):
                 raise ValueError(f"fact column {c!r} must be numeric")

@@ -26,67 +26,88 @@ from tallyscope.session import computed, settle
 FORMS = ("10-K", "10-Q", "10-K/A", "10-Q/A")
 _ARCHIVE = "https://www.sec.gov/Archives/edgar/data/"
 
-# Taxonomy concept, canonical name, required unit kind; several concepts of one name
-# are in order of preference. A trailing "abs" marks names reported with a sign that is dropped.
-CONCEPTS = """
-us-gaap RevenueFromContractWithCustomerExcludingAssessedTax revenue currency
-us-gaap SalesRevenueNet revenue currency
-us-gaap Revenues revenue currency
-us-gaap CostOfRevenue cost_of_revenue currency
-us-gaap CostOfGoodsAndServiceExcludingDepreciationDepletionAndAmortization cost_of_revenue currency
-us-gaap CostOfGoodsSold cost_of_revenue currency
-us-gaap GrossProfit gross_profit currency
-us-gaap OperatingIncomeLoss operating_income currency
-us-gaap NetIncomeLoss net_income currency
-us-gaap NetCashProvidedByUsedInOperatingActivities operating_cash_flow currency
-us-gaap PaymentsToAcquirePropertyPlantAndEquipment capital_expenditures currency abs
-us-gaap AssetsCurrent current_assets currency
-us-gaap LiabilitiesCurrent current_liabilities currency
-us-gaap CashAndCashEquivalentsAtCarryingValue cash_and_equivalents currency
-us-gaap DebtAndFinanceLeaseObligations total_debt currency
-us-gaap LongTermDebtAndFinanceLeaseObligations total_debt currency
-us-gaap LongTermDebt total_debt currency
-us-gaap LongTermDebtAndFinanceLeaseObligationsCurrent current_debt currency
-us-gaap LongTermDebtCurrent current_debt currency
-us-gaap ShortTermBorrowings short_term_debt currency
-us-gaap LongTermDebtAndFinanceLeaseObligationsNoncurrent long_term_debt currency
-us-gaap LongTermDebtNoncurrent long_term_debt currency
-us-gaap StockholdersEquity shareholders_equity currency
-us-gaap StockholdersEquityIncludingPortionAttributableToNoncontrollingInterest shareholders_equity currency
-us-gaap Assets total_assets currency
-us-gaap AccountsReceivableNetCurrent accounts_receivable currency
-us-gaap InventoryNet inventory currency
-us-gaap AccountsPayableCurrent accounts_payable currency
-us-gaap InterestExpenseNonOperating interest_expense currency
-us-gaap IncomeTaxExpenseBenefit income_tax_expense currency
-us-gaap IncomeLossFromContinuingOperationsBeforeIncomeTaxesExtraordinaryItemsNoncontrollingInterest income_before_tax currency
-us-gaap IncomeLossFromContinuingOperationsBeforeIncomeTaxesMinorityInterestAndIncomeLossFromEquityMethodInvestments income_before_tax currency
-us-gaap DepreciationDepletionAndAmortization depreciation_and_amortization currency
-us-gaap DepreciationDepletionAndAmortizationPropertyPlantAndEquipment depreciation_and_amortization currency
-us-gaap WeightedAverageNumberOfDilutedSharesOutstanding diluted_shares_outstanding shares
-us-gaap EarningsPerShareDiluted earnings_per_share currency_per_share
-us-gaap PaymentsOfDividends dividends_paid currency abs
-us-gaap PaymentsOfDividendsCommonStock dividends_paid currency abs
-us-gaap CommonStockDividendsPerShareDeclared dividends_per_share currency_per_share abs
-us-gaap EffectiveIncomeTaxRateContinuingOperations effective_tax_rate ratio
-us-gaap PreferredStocksIncludingAdditionalPaidInCapital preferred_stock currency
-us-gaap MinorityInterest minority_interest currency
-dei EntityCommonStockSharesOutstanding shares_outstanding shares
-"""
-
-
-def _rules() -> list[tuple[str, str, str, str, int, bool]]:
-    rules, seen = [], {}
-    for line in CONCEPTS.split("\n"):
-        if line.strip():
-            taxonomy, concept, name, kind, *flag = line.split()
-            priority = seen.get((taxonomy, name), 0)
-            seen[(taxonomy, name)] = priority + 1
-            rules.append((taxonomy, concept, name, kind, priority, flag == ["abs"]))
-    return rules
-
-
-RULES = _rules()
+# Taxonomy, concept, canonical name, required unit kind, preference among the concepts of one name (0 is
+# first), and whether the sign of the reported value is dropped.
+RULES = (
+    ("us-gaap", "RevenueFromContractWithCustomerExcludingAssessedTax", "revenue", "currency", 0, False),
+    ("us-gaap", "SalesRevenueNet", "revenue", "currency", 1, False),
+    ("us-gaap", "Revenues", "revenue", "currency", 2, False),
+    ("us-gaap", "CostOfRevenue", "cost_of_revenue", "currency", 0, False),
+    (
+        "us-gaap",
+        "CostOfGoodsAndServiceExcludingDepreciationDepletionAndAmortization",
+        "cost_of_revenue",
+        "currency",
+        1,
+        False,
+    ),
+    ("us-gaap", "CostOfGoodsSold", "cost_of_revenue", "currency", 2, False),
+    ("us-gaap", "GrossProfit", "gross_profit", "currency", 0, False),
+    ("us-gaap", "OperatingIncomeLoss", "operating_income", "currency", 0, False),
+    ("us-gaap", "NetIncomeLoss", "net_income", "currency", 0, False),
+    ("us-gaap", "NetCashProvidedByUsedInOperatingActivities", "operating_cash_flow", "currency", 0, False),
+    ("us-gaap", "PaymentsToAcquirePropertyPlantAndEquipment", "capital_expenditures", "currency", 0, True),
+    ("us-gaap", "AssetsCurrent", "current_assets", "currency", 0, False),
+    ("us-gaap", "LiabilitiesCurrent", "current_liabilities", "currency", 0, False),
+    ("us-gaap", "CashAndCashEquivalentsAtCarryingValue", "cash_and_equivalents", "currency", 0, False),
+    ("us-gaap", "DebtAndFinanceLeaseObligations", "total_debt", "currency", 0, False),
+    ("us-gaap", "LongTermDebtAndFinanceLeaseObligations", "total_debt", "currency", 1, False),
+    ("us-gaap", "LongTermDebt", "total_debt", "currency", 2, False),
+    ("us-gaap", "LongTermDebtAndFinanceLeaseObligationsCurrent", "current_debt", "currency", 0, False),
+    ("us-gaap", "LongTermDebtCurrent", "current_debt", "currency", 1, False),
+    ("us-gaap", "ShortTermBorrowings", "short_term_debt", "currency", 0, False),
+    ("us-gaap", "LongTermDebtAndFinanceLeaseObligationsNoncurrent", "long_term_debt", "currency", 0, False),
+    ("us-gaap", "LongTermDebtNoncurrent", "long_term_debt", "currency", 1, False),
+    ("us-gaap", "StockholdersEquity", "shareholders_equity", "currency", 0, False),
+    (
+        "us-gaap",
+        "StockholdersEquityIncludingPortionAttributableToNoncontrollingInterest",
+        "shareholders_equity",
+        "currency",
+        1,
+        False,
+    ),
+    ("us-gaap", "Assets", "total_assets", "currency", 0, False),
+    ("us-gaap", "AccountsReceivableNetCurrent", "accounts_receivable", "currency", 0, False),
+    ("us-gaap", "InventoryNet", "inventory", "currency", 0, False),
+    ("us-gaap", "AccountsPayableCurrent", "accounts_payable", "currency", 0, False),
+    ("us-gaap", "InterestExpenseNonOperating", "interest_expense", "currency", 0, False),
+    ("us-gaap", "IncomeTaxExpenseBenefit", "income_tax_expense", "currency", 0, False),
+    (
+        "us-gaap",
+        "IncomeLossFromContinuingOperationsBeforeIncomeTaxesExtraordinaryItemsNoncontrollingInterest",
+        "income_before_tax",
+        "currency",
+        0,
+        False,
+    ),
+    (
+        "us-gaap",
+        "IncomeLossFromContinuingOperationsBeforeIncomeTaxesMinorityInterestAndIncomeLossFromEquityMethodInvestments",
+        "income_before_tax",
+        "currency",
+        1,
+        False,
+    ),
+    ("us-gaap", "DepreciationDepletionAndAmortization", "depreciation_and_amortization", "currency", 0, False),
+    (
+        "us-gaap",
+        "DepreciationDepletionAndAmortizationPropertyPlantAndEquipment",
+        "depreciation_and_amortization",
+        "currency",
+        1,
+        False,
+    ),
+    ("us-gaap", "WeightedAverageNumberOfDilutedSharesOutstanding", "diluted_shares_outstanding", "shares", 0, False),
+    ("us-gaap", "EarningsPerShareDiluted", "earnings_per_share", "currency_per_share", 0, False),
+    ("us-gaap", "PaymentsOfDividends", "dividends_paid", "currency", 0, True),
+    ("us-gaap", "PaymentsOfDividendsCommonStock", "dividends_paid", "currency", 1, True),
+    ("us-gaap", "CommonStockDividendsPerShareDeclared", "dividends_per_share", "currency_per_share", 0, True),
+    ("us-gaap", "EffectiveIncomeTaxRateContinuingOperations", "effective_tax_rate", "ratio", 0, False),
+    ("us-gaap", "PreferredStocksIncludingAdditionalPaidInCapital", "preferred_stock", "currency", 0, False),
+    ("us-gaap", "MinorityInterest", "minority_interest", "currency", 0, False),
+    ("dei", "EntityCommonStockSharesOutstanding", "shares_outstanding", "shares", 0, False),
+)
 
 
 def read_company_facts(spark: SparkSession, path: str, whole_files: bool = True) -> DataFrame:

@@ -7,14 +7,37 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tallyscope.session import computed
 
 # Event kinds of a run journal.
-EVENT_KINDS = tuple(
-    """
-    run_created run_started run_paused run_resumed run_synthesizing run_completed run_cancelled run_failed
-    stage_started stage_completed agent_registered agent_started agent_progress agent_completed agent_failed
-    workflow_planned task_started model_turn_started model_turn_completed action_rejected tool_started
-    tool_completed tool_rejected tool_failed task_completed task_failed task_skipped workflow_completed
-    evidence_added candidate_updated
-    """.split()
+EVENT_KINDS = (
+    "run_created",
+    "run_started",
+    "run_paused",
+    "run_resumed",
+    "run_synthesizing",
+    "run_completed",
+    "run_cancelled",
+    "run_failed",
+    "stage_started",
+    "stage_completed",
+    "agent_registered",
+    "agent_started",
+    "agent_progress",
+    "agent_completed",
+    "agent_failed",
+    "workflow_planned",
+    "task_started",
+    "model_turn_started",
+    "model_turn_completed",
+    "action_rejected",
+    "tool_started",
+    "tool_completed",
+    "tool_rejected",
+    "tool_failed",
+    "task_completed",
+    "task_failed",
+    "task_skipped",
+    "workflow_completed",
+    "evidence_added",
+    "candidate_updated",
 )
 EVENT_COLUMNS = ("schema_version", "run_id", "sequence", "kind", "timestamp", "message", "agent_id", "payload")
 

@@ -214,9 +214,32 @@ def overlap_peak(spark: SparkSession, folder: str) -> DataFrame:
     return jn.overlap_peak(t.run_events(spark, folder), kind == "task_started", kind == "task_completed")
 
 
-@query("interval_problems")
+@query(
+    "interval_problems",
+    f"""with {t.RUN_EVENTS_SQL},
+    steps as (
+      select run_id, sequence, agent_id, case kind when 'task_started' then 'start' when 'tool_started' then 'tool'
+          when 'task_completed' then 'end' else 'tool_end' end as step
+      from log where agent_id is not null),
+    tasks as (
+      select *, coalesce(lag(step) over (partition by run_id, agent_id order by sequence), 'none') as before,
+        row_number() over (partition by run_id, agent_id order by sequence desc) as from_end
+      from steps),
+    edges as (
+      select run_id, step, lag(step) over (partition by run_id, agent_id order by sequence) as before
+      from steps where step in ('start', 'end')),
+    found as (
+      select run_id, case
+          when step = 'start' and before <> 'none' then 'screen task started more than once'
+          when step = 'tool' and before not in ('start', 'tool_end') then 'tool start escaped its task'
+          when step = 'tool_end' and before <> 'tool' then 'tool terminal escaped its task'
+          when step = 'end' and before not in ('start', 'tool_end') then 'task terminated outside its lifecycle'
+        end as problem from tasks
+      union all select run_id, 'lane overlapped two screen tasks' from edges where step = 'start' and before = 'start'
+      union all select run_id, 'journal ended with an open lifecycle' from tasks where from_end = 1 and step <> 'end')
+    select run_id, problem, count(*) as events from found where problem is not null group by run_id, problem""",
+)
 def interval_problems(spark: SparkSession, folder: str) -> DataFrame:
-    """No SQL twin: four lifecycle rules at once; checked against small logs in the tests."""
     events = t.run_events(spark, folder).where("agent_id is not null").withColumn(
         "payload", F.concat(F.lit('{"task_id":"screen-'), "agent_id", F.lit('"}'))
     )

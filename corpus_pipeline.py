@@ -12,7 +12,7 @@ from tallyscope.llm.tokens import in_small_batches
 from tallyscope.session import ensure_checkpoint_dir
 
 #: Documents whose language has a pooled probability below this are rejected.
-LEAST_SCORE = 0.4
+LEAST_SCORE = 0.3
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
 

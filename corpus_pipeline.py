@@ -47,7 +47,7 @@ def outside_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``doc_id, n_tokens, ids_sha256, decoded_ok`` and the packed ids of every document that is left."""
+    """``doc_id, n_tokens, ids_sha256, decoded_ok`` of every document that is left; the ids decode back to the text."""
     path, pattern = public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN
     encode, decode = byte_bpe.encoder(path, pattern), byte_bpe.decoder(path, pattern)
     encoded = in_small_batches(docs).select("doc_id", "text", encode("text").alias("ids"))

@@ -11,7 +11,7 @@ pair per row. Long pieces have a tree of their own, so that a piece of n bytes c
 from __future__ import annotations
 
 import base64
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -19,13 +19,15 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, functions as F, types as T
 
+from tallyscope.llm.tokens import give_back
+
 #: Pieces of up to this many bytes are merged in batches; a batch holds about this many leaves.
 BATCH_PIECE = 64
-BATCH_LEAVES = 1 << 19
-#: Encoded pieces a worker remembers. Beyond it the memory is emptied; results do not depend on it.
-REMEMBERED = 200_000
+BATCH_LEAVES = 1 << 17
+#: Encoded pieces a task remembers. Beyond it, and at the task's end, the memory is emptied; results do not depend on it.
+REMEMBERED = 150_000
 #: Characters of text split into pieces at once.
-SLICE_CHARS = 1 << 20
+SLICE_CHARS = 1 << 19
 
 _NONE = np.iinfo(np.int64).max
 
@@ -233,8 +235,12 @@ def encoder(path: str, pattern: str) -> Callable[[Column], Column]:
     """
 
     @F.arrow_udf(T.BinaryType())
-    def encode(texts: pa.Array) -> pa.Array:
-        return pa.array(codec(path, pattern).encode(texts.to_pylist()), type=pa.binary())
+    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        own = codec(path, pattern)
+        for texts in batches:
+            yield pa.array(own.encode(texts.to_pylist()), type=pa.binary())
+        own.known.clear()
+        give_back()
 
     return encode
 
@@ -243,8 +249,10 @@ def decoder(path: str, pattern: str) -> Callable[[Column], Column]:
     """Column function: packed token ids back to bytes; null ids decode to no bytes."""
 
     @F.arrow_udf(T.BinaryType())
-    def decode(packed: pa.Array) -> pa.Array:
-        return pa.array(codec(path, pattern).decode(packed.to_pylist()), type=pa.binary())
+    def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for packed in batches:
+            yield pa.array(codec(path, pattern).decode(packed.to_pylist()), type=pa.binary())
+        give_back()
 
     return decode
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tallyscope.llm.components import components
-from tallyscope.llm.tokens import free_names, in_small_batches, mix, shingle_sets
+from tallyscope.llm.tokens import free_names, give_back, in_small_batches, mix, shingle_sets
 from tallyscope.session import settle
 
 SHINGLE, PERCENT = 5, 80
@@ -49,6 +49,7 @@ def frequent_slots(texts: DataFrame, size: int) -> np.ndarray:
         for batch in batches:
             for grams in shingle_sets(batch.column(0), size):
                 np.add.at(total, _slot(grams), 1)
+        give_back()
         heavy = np.flatnonzero(total >= 8 + 2 * total.mean())
         yield pa.RecordBatch.from_arrays([pa.array(heavy), pa.array(total[heavy].astype(np.int64))], names=["slot", "docs"])
 
@@ -219,7 +220,7 @@ class BitRows:
 
 
 #: Pairs that are compared at once.
-PAIRS = 1 << 20
+PAIRS = 1 << 17
 
 
 def group_pairs(starts: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -294,6 +295,7 @@ def _block_product(rows: DataFrame, percent: int) -> DataFrame:
             yield pairs
         if kept is not None:
             yield pairs_of(kept, True)[0]
+        give_back()
 
     place = ["gram", "part", "other_part"]
     dealt = rows.repartition(*place).sortWithinPartitions(*place)

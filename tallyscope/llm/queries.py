@@ -58,8 +58,8 @@ def op3_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op4_line_chunks(spark: SparkSession, folder: str) -> DataFrame:
-    """Lines of every document, how many of them repeated chunks took away, and a digest of what is left."""
-    done = line_chunks.dedupe(_documents(spark, folder), counts=("n_lines", "n_removed"))
+    """Lines of every document, how many of them repeated blocks took away, and a digest of what is left."""
+    done = line_chunks.dedupe(_documents(spark, folder), counts=("n_lines", "n_removed"), whole=True)
     return done.select("doc_id", "n_lines", "n_removed", _digest(F.coalesce("text", F.lit(""))).alias("text_sha256"))
 
 

@@ -161,12 +161,25 @@ def _bounds(reps: DataFrame, hashing: Hashing) -> None:
         low.flat[row.place], high.flat[row.place] = row.low, row.high
 
 
-def best_rows(queries: np.ndarray, rows: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
-    """Query and row numbers of the ``top`` largest inner products of each query."""
-    scores = queries @ rows.T
-    top = min(top, scores.shape[1])
-    chosen = np.argpartition(-scores, top - 1, axis=1)[:, :top]
-    return np.repeat(np.arange(len(queries)), top), chosen.ravel()
+def best_rows(queries: np.ndarray, rows: np.ndarray, reps: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query numbers, row numbers and inner products of the ``top`` best rows of each query; ties go to the smaller ``reps``."""
+    top = min(top, len(rows))
+    longest = np.sqrt((rows * rows).sum(axis=1).max())
+    out = []
+    for first in range(0, len(queries), QUERY_BLOCK):
+        part = queries[first : first + QUERY_BLOCK]
+        products = part @ rows.T
+        # Products and inner() may differ in the last bits: rows that close to the cut stay until they are rescored.
+        margin = 1e-12 * rows.shape[1] * longest * np.sqrt((part * part).sum(axis=1))
+        cut = -np.partition(-products, top - 1, axis=1)[:, top - 1] - margin
+        q, r = np.nonzero(products >= cut[:, None])
+        steps = range(0, len(q), 1 << 16)
+        scores = np.concatenate([inner(part[q[k : k + (1 << 16)]], rows[r[k : k + (1 << 16)]]) for k in steps])
+        order = np.lexsort((reps[r], -scores, q))
+        q, r, scores = q[order], r[order], scores[order]
+        kept = np.arange(len(q)) - np.searchsorted(q, q) < top
+        out.append((q[kept] + first, r[kept], scores[kept]))
+    return tuple(np.concatenate(column) for column in zip(*out, strict=True))
 
 
 def inner(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -186,15 +199,16 @@ def _exact(reps: DataFrame, sample: list[tuple[int, np.ndarray]], top: int) -> p
             for own, rows in _rows(batch.column(1)):
                 if rows.shape[1] in matrix:
                     names, queries = matrix[rows.shape[1]]
-                    q, r = best_rows(queries, rows, top + 1)
-                    reps_here = batch.column(0).to_numpy()[own][r]
+                    here = batch.column(0).to_numpy()[own]
+                    q, r, scores = best_rows(queries, rows, here, top + 1)
+                    reps_here = here[r]
                     names = np.array(names)[q]
                     keep = names != reps_here
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array(names[keep]),
                             pa.array(reps_here[keep]),
-                            pa.array(inner(queries[q], rows[r])[keep]),
+                            pa.array(scores[keep]),
                             pa.array(list(rows[r][keep]), type=pa.list_(pa.float64())),
                         ],
                         names=["query", "rep", "score", "vec"],
@@ -294,10 +308,9 @@ def search(
         if queries.empty or rows.empty:
             return pd.DataFrame({"query": [], "rep": [], "score": []})
         asked, given = np.stack(queries["vec"].to_numpy()), np.stack(rows["vec"].to_numpy())
-        q, r = best_rows(asked, given, top + 1)
-        return pd.DataFrame(
-            {"query": queries["rep"].to_numpy()[q], "rep": rows["rep"].to_numpy()[r], "score": inner(asked[q], given[r])}
-        )
+        reps_here = rows["rep"].to_numpy()
+        q, r, scores = best_rows(asked, given, reps_here, top + 1)
+        return pd.DataFrame({"query": queries["rep"].to_numpy()[q], "rep": reps_here[r], "score": scores})
 
     both = blocked(probed, "query", "row").unionByName(blocked(indexed, "row", "query"))
     found = both.groupBy(place).applyInPandas(nearest, "query long, rep long, score double")

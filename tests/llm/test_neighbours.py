@@ -65,3 +65,17 @@ def test_success_order_is_exact():
     assert len({tuple(c) for c in whole.tolist()}) == 125
     for probes in (1, 5, 40):
         assert hashing.visited(7, 0, place, probes).tolist() == whole[:probes].tolist()
+
+
+def test_ties_of_distinct_vectors_go_to_the_smaller_id(spark):
+    rng = np.random.default_rng(8)
+    queries = [(20 * k, [1.0] + [0.0] * 23) for k in range(1, 3)]
+    rows = [(k, [1.0, *rng.integers(-3, 4, 23)]) for k in rng.permutation(np.arange(1000, 1400)).tolist() if k % 20]
+    best = nb.best_rows(np.eye(24)[:1], np.array([v for _, v in rows], dtype=float), np.array([k for k, _ in rows]), 21)
+    assert [rows[k][0] for k in best[1]] == sorted(k for k, _ in rows)[:21]
+    out = nb.search(table(spark, queries + rows), F.col("vec_id") % 20 == 0, 20, recall=1.0).collect()
+    expected = brute(queries + rows, 20, 20)
+    got = {}
+    for r in sorted(out, key=lambda r: (r.query_id, r.rank)):
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert got == expected

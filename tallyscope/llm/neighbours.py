@@ -6,7 +6,9 @@ width. A query visits the cells in order of their estimated success: the chance
 typical neighbour falls into them. The cells of all tables give candidates, whose inner products are computed exactly.
 
 The number of visited cells per table is fitted on a bounded sample of queries with exact neighbours, to a
-wanted recall. Every distinct vector is indexed once; equal vectors are expanded afterwards. Large cells are split into
+wanted recall. That fits typical queries; a query that finds fewer rows than asked for, or whose last found neighbour lies so
+far off that its cells hold a point at that distance with a chance below the wanted recall, is compared with all rows
+instead, block by block. Every distinct vector is indexed once; equal vectors are expanded afterwards. Large cells are split into
 blocks of rows and of queries, so no cell is one task.
 """
 
@@ -30,6 +32,8 @@ WIDTH = 1.5
 SAMPLE, RECALL = 64, 0.96
 #: Rows, and queries, of one block of a cell.
 ROW_BLOCK, QUERY_BLOCK = 4096, 512
+#: Queries of a block that meets all rows.
+WHOLE_QUERY_BLOCK = 8192
 
 _CELLS = pa.list_(pa.struct([("table", pa.int32()), ("cell", pa.int64())]))
 
@@ -96,6 +100,24 @@ class Hashing:
         return cells
 
 
+    def covered(self, vector: np.ndarray, score: float) -> float:
+        """Chance that a row with this inner product lies in a visited cell of some table."""
+        dim, size = len(vector), float(np.sqrt((vector * vector).sum()))
+        apart = max(math.sqrt(max(2 * self.norm**2 - 2 * score * self.norm / size, 0.0)), 1e-3 * self.norm)
+        missed = 1.0
+        for table, place in enumerate(self.queries(vector[None, :])[:, 0]):
+            low, high = (bound[table] for bound in self.range[dim])
+            cells = self.visited(dim, table, place, self.probes)
+            chance = np.ones(len(cells))
+            for k in range(self.functions):
+                edges = np.arange(low[k], high[k] + 2) - place[k]
+                own = np.diff([math.erf(e * self.width / (apart * math.sqrt(2))) for e in edges])
+                # Cells without any row hold no neighbour.
+                chance *= own[cells[:, k] - low[k]] / max(own.sum(), 1e-300)
+            missed *= max(0.0, 1 - chance.sum())
+        return 1 - missed
+
+
 def _key(dim: int, table: int, cells: np.ndarray) -> np.ndarray:
     """A 64-bit key of every cell; a collision only adds candidates."""
     with np.errstate(over="ignore"):
@@ -134,6 +156,16 @@ def _query_cells(hashing: Hashing, matrix: np.ndarray):
             yield table, row, _key(dim, table, hashing.visited(dim, table, place, hashing.probes))
 
 
+def _covering(hashing: Hashing):
+    @F.arrow_udf("double")
+    def cover(vectors: pa.Array, scores: pa.Array) -> pa.Array:
+        """Column function: ``hashing.covered`` of the query and the inner product of its last found row."""
+        pairs = zip(vectors.to_pylist(), scores.to_pylist(), strict=True)
+        return pa.array([0.0 if s is None else hashing.covered(np.array(v), s) for v, s in pairs], type=pa.float64())
+
+    return cover
+
+
 def _bounds(reps: DataFrame, hashing: Hashing) -> None:
     """Fill ``hashing.range`` from all rows: one row per task and dimension."""
 
@@ -259,40 +291,13 @@ def fitted(reps: DataFrame, queries: DataFrame, top: int, recall: float = RECALL
     return hashing
 
 
-def search(
-    vectors: DataFrame,
-    is_query: Column,
-    top: int = 20,
-    id_col: str = "vec_id",
-    vector_col: str = "embedding",
-    recall: float = RECALL,
-) -> DataFrame:
-    """``query_id, rank, vec_id, score``: the nearest found rows of every row for which ``is_query`` holds.
-
-    All rows but the query itself are candidates. Ties go to the smaller id. Rows with a null id, or whose vector is null,
-    empty, zero or has null or non-finite components, take no part; vectors of other dimensions are no candidates
-    of a query. Repeated ids are rows of their own, and a query excludes all rows with its id. Other columns are not
-    carried; an empty table gives an empty result.
-    """
-    vector = F.col(f"`{vector_col}`")
-    rows = vectors.select(
-        F.col(f"`{id_col}`").cast("long").alias("id"), vector.cast("array<double>").alias("vec"), is_query.alias("asks")
-    ).filter(F.col("id").isNotNull() & usable(F.col("vec")))
-    reps = settle(rows.groupBy("vec").agg(F.min("id").alias("rep"), F.max(F.coalesce("asks", F.lit(False))).alias("asks")))
-    members = settle(rows.join(reps.select("vec", "rep"), "vec").select("rep", "id", "asks"))
-    # A query needs its own id left out, so one more than ``top`` of the smallest ids of equal vectors is enough.
-    nth = F.row_number().over(Window.partitionBy("rep").orderBy("id"))
-    least = members.select("rep", "id").distinct().withColumn("nth", nth).filter(F.col("nth") <= top + 1).drop("nth")
-    asking = reps.filter("asks").select("rep", "vec")
-    hashing = fitted(reps.select("rep", "vec"), asking, top, recall)
-
-    indexed = reps.select("rep", "vec", F.inline(_keyed(hashing, _row_cells)("vec")))
-    probed = asking.select("rep", "vec", F.inline(_keyed(hashing, _query_cells)("vec")))
+def _compared(indexed: DataFrame, probed: DataFrame, top: int, query_block: int) -> DataFrame:
+    """``query, rep, score``: the best rows of each query in every block of its cells."""
     cell = ["table", "cell"]
     sizes = settle(
         indexed.groupBy(cell).agg(F.count("*").alias("n_rows"))
         .join(probed.groupBy(cell).agg(F.count("*").alias("n_queries")), cell)
-        .select(*cell, F.ceil(F.col("n_rows") / ROW_BLOCK).alias("row_blocks"), F.ceil(F.col("n_queries") / QUERY_BLOCK).alias("query_blocks"))
+        .select(*cell, F.ceil(F.col("n_rows") / ROW_BLOCK).alias("row_blocks"), F.ceil(F.col("n_queries") / query_block).alias("query_blocks"))
     )
 
     place = [*cell, "row_block", "query_block"]
@@ -313,13 +318,58 @@ def search(
         return pd.DataFrame({"query": queries["rep"].to_numpy()[q], "rep": reps_here[r], "score": scores})
 
     both = blocked(probed, "query", "row").unionByName(blocked(indexed, "row", "query"))
-    found = both.groupBy(place).applyInPandas(nearest, "query long, rep long, score double")
+    return both.groupBy(place).applyInPandas(nearest, "query long, rep long, score double")
+
+
+def _listed(found: DataFrame, least: DataFrame, top: int) -> DataFrame:
+    """``query, id, score, nth``: the best ``top + 1`` rows of each query."""
     # The best top + 1 vectors hold the best top + 1 rows.
     best = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "rep"))
     vectors_found = found.groupBy("query", "rep").agg(F.max("score").alias("score")).withColumn("nth", best).filter(F.col("nth") <= top + 1)
     expanded = vectors_found.select("query", "rep", "score").join(least, "rep")
     order = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))
-    listed = expanded.withColumn("nth", order).filter(F.col("nth") <= top + 1).select("query", "id", "score", "nth")
+    return expanded.withColumn("nth", order).filter(F.col("nth") <= top + 1).select("query", "id", "score", "nth")
+
+
+def search(
+    vectors: DataFrame,
+    is_query: Column,
+    top: int = 20,
+    id_col: str = "vec_id",
+    vector_col: str = "embedding",
+    recall: float = RECALL,
+) -> DataFrame:
+    """``query_id, rank, vec_id, score``: the nearest found rows of every row for which ``is_query`` holds.
+
+    All rows but the query itself are candidates. Ties go to the smaller id. Rows with a null id, or whose vector is null,
+    empty, zero or has null or non-finite components, take no part; vectors of other dimensions are no candidates
+    of a query. Repeated ids are rows of their own, and a query excludes all rows with its id. Other columns are not
+    carried; an empty table gives an empty result.
+    """
+    vector = F.col(f"`{vector_col}`")
+    rows = vectors.select(
+        F.col(f"`{id_col}`").cast("long").alias("id"), vector.cast("array<double>").alias("vec"), is_query.alias("asks")
+    ).filter(F.col("id").isNotNull() & usable(F.col("vec")))
+    reps = settle(rows.groupBy("vec").agg(F.min("id").alias("rep"), F.max(F.coalesce("asks", F.lit(False))).alias("asks")))
+    members = settle(rows.join(reps.select("vec", "rep"), "vec").select("rep", "id", "asks"))
+    # A query needs its own id left out, so one more than ``top`` of the smallest ids of equal vectors is enough.
+    nth = F.row_number().over(Window.partitionBy("rep").orderBy("id"))
+    least = members.select("rep", "id").distinct().withColumn("nth", nth).filter(F.col("nth") <= top + 1).drop("nth")
+    asking = reps.filter("asks").select("rep", "vec")
+    hashing = fitted(reps.select("rep", "vec"), asking, top, recall)
+
+    indexed = reps.select("rep", "vec", F.inline(_keyed(hashing, _row_cells)("vec")))
+    probed = asking.select("rep", "vec", F.inline(_keyed(hashing, _query_cells)("vec")))
+    listed = settle(_listed(_compared(indexed, probed, top, QUERY_BLOCK), least, top))
+    last = listed.groupBy("query").agg(F.count("*").alias("n"), F.min("score").alias("last"))
+    state = asking.join(last.withColumnRenamed("query", "rep"), "rep", "left")
+    # A full list holds the query itself, or one row more than it needs.
+    known = F.when(F.col("n") > top, F.col("last"))
+    again = settle(state.select("rep", "vec", _covering(hashing)("vec", known).alias("cover")).filter(F.col("cover") < recall).select("rep", "vec"))
+    place = F.lit(TABLES).alias("table"), F.size("vec").cast("long").alias("cell")
+    whole = _compared(reps.select("rep", "vec", *place), again.select("rep", "vec", *place), top, WHOLE_QUERY_BLOCK)
+    kept = listed.join(again.select(F.col("rep").alias("query")), "query", "left_anti")
+    listed = settle(kept.unionByName(_listed(whole, least, top)))
     asks = members.filter("asks").select(F.col("rep").alias("query"), F.col("id").alias("query_id")).distinct()
     answers = asks.join(listed, "query").filter("id != query_id")
     # Each list misses its own query at most once, so ranks after it move up by one.

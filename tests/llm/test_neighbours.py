@@ -79,3 +79,22 @@ def test_ties_of_distinct_vectors_go_to_the_smaller_id(spark):
     for r in sorted(out, key=lambda r: (r.query_id, r.rank)):
         got.setdefault(r.query_id, []).append((r.vec_id, r.score))
     assert got == expected
+
+
+def clustered():
+    """A dense cluster with most queries, and outliers in all directions that are queries as well."""
+    rng = np.random.default_rng(9)
+    centre = 3 * rng.normal(size=16)
+    near = [(k, centre + 0.05 * rng.normal(size=16)) for k in range(3000)]
+    return near + [(3000 + k, rng.normal(size=16) * rng.uniform(0.2, 3)) for k in range(600)]
+
+
+def test_outliers_of_clustered_vectors(spark):
+    rows = clustered()
+    found = {}
+    for r in nb.search(table(spark, rows), F.col("vec_id") % 20 == 0, 20).collect():
+        found.setdefault(r.query_id, {})[r.rank] = r.vec_id
+    truth = brute(rows, 20, 20)
+    assert set(found) == set(truth) and all(sorted(f) == list(range(1, 21)) for f in found.values())
+    recall = {k: len({j for j, _ in truth[k]} & set(found[k].values())) / 20 for k in truth}
+    assert min(recall.values()) >= 0.6 and sum(recall.values()) >= 0.96 * len(recall)

@@ -95,9 +95,13 @@ def leaves(records: DataFrame, file_col: str = "file", offset_col: str = "offset
 
 
 def merged_leaves(hashed: DataFrame) -> DataFrame:
-    """Copies at one place (``file, offset, leaf``) as one leaf from their number and their least and greatest hash."""
-    placed = hashed.groupBy("file", "offset").agg(F.count("*").alias("n"), F.min("leaf").alias("low"), F.max("leaf").alias("high"))
-    several = F.sha2(F.concat_ws(":", F.lit("copies"), "n", "low", "high").cast("binary"), 256)
+    """Copies at one place (``file, offset, leaf``) as one leaf from their distinct hashes and the number of each."""
+    counted = hashed.groupBy("file", "offset", "leaf").agg(F.count("*").alias("n"))
+    placed = counted.groupBy("file", "offset").agg(
+        F.sum("n").alias("n"), F.min("leaf").alias("low"), F.array_sort(F.collect_list(F.struct("leaf", "n"))).alias("hashes")
+    )
+    text = F.array_join(F.transform("hashes", lambda c: F.concat_ws(":", c["leaf"], c["n"])), ",")
+    several = F.sha2(F.concat(F.lit("copies:"), text).cast("binary"), 256)
     return placed.select("file", "offset", F.when(F.col("n") == 1, F.col("low")).otherwise(several).alias("leaf"))
 
 

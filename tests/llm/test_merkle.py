@@ -73,3 +73,9 @@ def test_warc_files(spark, tmp_path):
     (tmp_path / "plain.warc").write_bytes(data[0] + data[1].replace(b"Length: 0", b"Length: ?") + data[2])
     again = mk.read_warc(spark, str(tmp_path / "plain.warc"))
     assert again.count() == 2
+
+
+def test_a_changed_copy_between_others(spark):
+    hashed = lambda names: spark.createDataFrame([("f", 0, n) for n in names], "file string, offset long, leaf string")
+    leaf = lambda names: mk.merged_leaves(hashed(names)).first().leaf
+    assert leaf("abd") != leaf("acd") and leaf("aabd") != leaf("abbd") and leaf("abd") == leaf("dba")

@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 import corpus_pipeline
 from tallyscope.llm import (
     byte_bpe,
+    conversation_repair,
     language,
+    lexical_search,
     line_chunks,
     merkle,
     neighbours,
@@ -18,6 +20,7 @@ from tallyscope.llm import (
     passages,
     personal_data,
     secret_scan,
+    simhash_trees,
     string_tiling,
 )
 from tallyscope.llm.tokens import in_small_batches
@@ -143,6 +146,21 @@ def op10_secrets(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    """SimHash fingerprint and near-copy component of every document."""
+    return simhash_trees.near_copies(_documents(spark, folder))
+
+
+def op12_conversations(spark: SparkSession, folder: str) -> DataFrame:
+    """Faults and cheapest repair of every damaged conversation."""
+    return conversation_repair.damage_and_repair(spark.read.parquet(f"{folder}/conversations.parquet"))
+
+
+def op13_ranking(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 highest-scoring documents of every benchmark item."""
+    return lexical_search.search(_documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_personal_data": op1_personal_data,
     "op2_passages": op2_passages,
@@ -154,6 +172,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_neighbours": op8_neighbours,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_secrets": op10_secrets,
+    "op11_simhash": op11_simhash,
+    "op12_conversations": op12_conversations,
+    "op13_ranking": op13_ranking,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -162,6 +183,117 @@ _WARC = (
     "E'>\\r\\nWARC-Target-URI: ', coalesce(url, ''), E'\\r\\nContent-Length: ', strlen({html})::varchar, "
     "E'\\r\\n\\r\\n', {html}, E'\\r\\n\\r\\n')"
 )
+_TERMS = (
+    "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+    "'[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+)
+_RANKING_SQL = f"""
+    with texts as (
+        select row_number() over () as doc, doc_id, {_TERMS} as terms from documents
+    ), sizes as (
+        select doc, doc_id, len(terms)::bigint as n from texts
+    ), totals as (
+        select count(*) filter (where n > 0) as docs, sum(n)::bigint as length from sizes
+    ), wanted as (
+        select item_id, text, term, count(*) as times
+        from (select item_id, text, unnest({_TERMS}) as term from (select distinct item_id, text from benchmark))
+        group by all
+    ), held as (
+        select doc, term, count(*) as tf from (select doc, unnest(terms) as term from texts)
+        where term in (select term from wanted) group by all
+    ), weights as (
+        select term, floor(1000 * ln((2 * docs + 2)::double / (2 * count(*) + 1)))::bigint as weight
+        from held, totals group by term, docs
+    ), scores as (
+        select item_id, text, doc_id,
+            sum(times * weight * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // length))))::bigint as score
+        from held join weights using (term) join wanted using (term) join sizes using (doc), totals
+        group by item_id, text, doc, doc_id
+    ), ranked as (
+        select *, row_number() over (partition by item_id, text order by score desc, doc_id nulls last)::integer as rank
+        from scores where score > 0
+    )
+    select item_id, rank, doc_id, score from ranked where rank <= 20
+"""
+#: The checksum goes bit by bit; the repair relaxes the four states of each conversation row by row. Two inserts in a row are
+#: enough: a third one would only undo the first.
+_REPAIR_SQL = r"""
+    with recursive keyed as (
+        select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+            coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') as name
+        from conversations
+    ), summed as (
+        select * exclude (name), xor(list_reduce(
+            list_concat([4294967295::ubigint], [unicode(c)::ubigint for c in string_split(name, '')]),
+            lambda c, b: list_reduce(
+                list_concat([xor(c, b)], [0::ubigint for x in range(8)]),
+                lambda v, z: xor(v >> 1, 3988292384::ubigint * (v & 1::ubigint)))), 4294967295::ubigint) % 20 as kind
+        from keyed
+    ), damaged as (
+        select conv_id, turn, case when kind = 4 then 'user' else role end as role,
+            case when kind = 1 then '' when kind = 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text,
+            unnest(case when kind = 3 then [1, 2] else [1] end) as copy
+        from summed where kind <> 0
+    ), placed as (
+        select *, row_number() over (partition by conv_id order by turn nulls first, role, text, copy) as place,
+            regexp_replace(text, '[ 	-]+$', '') as ending
+        from damaged
+    ), faults as (
+        select *, left(role, 1) as initial,
+            lag(left(role, 1)) over (partition by conv_id order by place) as previous,
+            case when ending = '' then 'blank'
+                when row_number() over (partition by conv_id, role, text order by place) > 1 then 'duplicate'
+                when right(ending, 1) not in ('.', '!', '?') then 'truncated' end as fault
+        from placed
+    ), rows_by_conversation as (
+        select conv_id, max(place) as size, list(struct_pack(role := role, text := text, initial := initial, fault := fault) order by place) as rows,
+            (coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0))::bigint as gaps,
+            count(*) filter (where fault = 'blank') as blank, count(*) filter (where fault = 'duplicate') as duplicate,
+            count(*) filter (where fault = 'truncated') as truncated,
+            count(*) filter (where previous is not null and previous || initial not in ('su', 'ua', 'au')) as illegal
+        from faults group by conv_id
+    ), states as (
+        -- From, letter, fixed cost, next state: 0 nothing yet, 1 after the system row, 2 user next, 3 assistant next.
+        select * from (values
+            (0, 'K', 's', 0, 1), (0, 'K', 'u', 0, 3), (1, 'K', 'u', 0, 3), (2, 'K', 'u', 0, 3), (3, 'K', 'a', 0, 2),
+            (0, 'R', null, 1, 3), (1, 'R', null, 1, 3), (2, 'R', null, 1, 3), (3, 'R', null, 1, 2),
+            (0, 'D', null, 2, 0), (1, 'D', null, 2, 1), (2, 'D', null, 2, 2), (3, 'D', null, 2, 3)
+        ) as t(state, edit, needs, price, next)
+    ), inserts as (
+        select * from (values
+            (0, '', 0, 0, []::varchar[]), (1, '', 0, 1, []), (2, '', 0, 2, []), (3, '', 0, 3, []),
+            (0, 'I', 5, 3, ['user:']), (1, 'I', 5, 3, ['user:']), (2, 'I', 5, 3, ['user:']), (3, 'I', 5, 2, ['assistant:']),
+            (0, 'II', 10, 2, ['user:', 'assistant:']), (1, 'II', 10, 2, ['user:', 'assistant:']),
+            (2, 'II', 10, 2, ['user:', 'assistant:']), (3, 'II', 10, 3, ['assistant:', 'user:'])
+        ) as t(state, letters, price, next, lines)
+    ), walk as (
+        select conv_id, 0::bigint as place, next as state, price::bigint as cost, letters as audit, lines
+        from rows_by_conversation, inserts where inserts.state = 0
+        union all
+        select conv_id, place, state, (best).cost, (best).audit, (best).lines from (
+            select w.conv_id, w.place + 1 as place, i.next as state, min(struct_pack(
+                cost := w.cost + s.price + i.price + case when r.fault = 'truncated' and s.edit <> 'D' then 5 else 0 end,
+                audit := w.audit || s.edit || i.letters,
+                lines := list_concat(w.lines, case s.edit when 'K' then [r.role || ':' || r.text]
+                    when 'R' then [case when w.state = 3 then 'assistant:' else 'user:' end || r.text] else [] end, i.lines))) as best
+            from walk w
+            join faults r on r.conv_id is not distinct from w.conv_id and r.place = w.place + 1
+            join states s on s.state = w.state and (s.needs is null or s.needs = r.initial)
+                and (s.edit = 'D' or r.fault is null or r.fault = 'truncated')
+            join inserts i on i.state = s.next
+            group by w.conv_id, w.place, i.next)
+    ), repaired as (
+        select w.conv_id, min(struct_pack(cost := w.cost, audit := w.audit, lines := w.lines)) as best
+        from walk w join rows_by_conversation c on c.conv_id is not distinct from w.conv_id and c.size = w.place
+        where w.state in (0, 2) group by w.conv_id
+    )
+    select o.conv_id, coalesce(c.gaps, 0) as gaps, coalesce(c.blank, 0) as blank, coalesce(c.duplicate, 0) as duplicate,
+        coalesce(c.truncated, 0) as truncated, coalesce(c.illegal, 0) as illegal, coalesce((p.best).cost, 0) as cost,
+        coalesce((p.best).audit, '') as audit, sha256(coalesce(array_to_string((p.best).lines, chr(10)), '')) as repaired_sha256
+    from (select distinct conv_id from conversations) o
+    left join rows_by_conversation c on c.conv_id is not distinct from o.conv_id
+    left join repaired p on p.conv_id is not distinct from o.conv_id
+"""
 ORACLES: dict[str, str] = {
     "op6_fixity": f"""
         with archive as (
@@ -181,6 +313,8 @@ ORACLES: dict[str, str] = {
         select file, "offset", 'changed', sha256(record), sha256(flipped)
         from placed where page_id % {FLIPPED[0]} = {FLIPPED[1]} and page_id % {LOST[0]} <> {LOST[1]}
     """,
+    "op12_conversations": _REPAIR_SQL,
+    "op13_ranking": _RANKING_SQL,
 }
 if corpus_pipeline.ORACLE_SQL is not None:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -88,11 +88,18 @@ class Sequenced(NamedTuple):
     rejected: DataFrame
 
 
+def copy_order(columns: Sequence[str]) -> Column:
+    """Which of several events with one sequence number counts: the earliest, then the least digest."""
+    text = [n for n in ("message", "kind", "payload") if n in columns]
+    parts = [F.col("timestamp")] if "timestamp" in columns else []
+    return F.struct(*parts, F.xxhash64(*text).alias("digest"), *text)
+
+
 def _one_per_sequence(events: DataFrame) -> DataFrame:
     """One row per run and sequence with the number of copies; copies combine on the map side."""
     c = F.col
     valid = (c("schema_version") == SCHEMA_VERSION) & c("kind").isin(*EVENT_KINDS)
-    order = F.struct(*[n for n in ("timestamp", "message", "kind", "payload") if n in events.columns])
+    order = copy_order(events.columns)
     rest = [n for n in events.columns if n not in ("run_id", "sequence")]
     return events.groupBy("run_id", "sequence").agg(
         F.count(F.lit(1)).alias("_n"),
@@ -133,11 +140,14 @@ def run_limits(once: DataFrame) -> DataFrame:
     )
 
 
-def check_sequence(events: DataFrame) -> Sequenced:
-    """Each run must count 0, 1, 2, ... in known kinds, and nothing may follow its terminal event."""
+def check_sequence(events: DataFrame, limits: DataFrame | None = None) -> Sequenced:
+    """Each run must count 0, 1, 2, ... in known kinds, and nothing may follow its terminal event.
+
+    ``limits``: the limits of the runs if they are known, such as those composed of a stream's blocks.
+    """
     c = F.col
     once = _one_per_sequence(events)
-    joined = once.join(run_limits(once), "run_id", "left")
+    joined = once.join(run_limits(once) if limits is None else limits, "run_id", "left")
     ok = F.coalesce((c("sequence") >= 0) & (c("sequence") < c("limit")), F.lit(False))
     reason = (
         F.when(c("sequence") < 0, "event sequence does not match expected")
@@ -192,10 +202,9 @@ def _number(name: str) -> Column:
     return payload_text(name).try_cast("double").cast("int")
 
 
-def run_states(events: DataFrame) -> DataFrame:
-    """One row per run: status, stage, completed stages, progress, workflow, failure, last sequence."""
-    c = F.col
-    kind, at = c("kind"), c("sequence")
+def run_steps(events: DataFrame, *others: str) -> DataFrame:
+    """What each event does to the state of its run, as narrow columns; null where it changes nothing. Keeps ``others``."""
+    kind = F.col("kind")
     status = lookup(kind, RUN_STATUS)
     stage = (
         F.when(kind == "stage_started", payload_text("stage"))
@@ -203,13 +212,14 @@ def run_states(events: DataFrame) -> DataFrame:
         .when(kind == "run_completed", "human_review")
     )
     done = F.when(kind == "stage_completed", payload_text("stage")).when(kind == "run_completed", "synthesis")
-    narrow = events.select(
+    return events.select(
         "run_id",
         "sequence",
         "kind",
+        *others,
         status.alias("_status"),
         stage.alias("_stage"),
-        done.alias("_done"),
+        F.when(done.isin(*_STAGES), done).alias("_done"),
         F.when(kind == "run_failed", F.coalesce(payload_text("error"), "message")).alias("_failure"),
         F.when(kind == "workflow_planned", payload_text("workflow_id")).alias("_workflow"),
         F.when(kind == "workflow_planned", payload_text("workflow_version")).alias("_version"),
@@ -219,6 +229,13 @@ def run_states(events: DataFrame) -> DataFrame:
         F.when(kind == "run_synthesizing", F.coalesce(_number("progress"), F.lit(82))).alias("_raise"),
     )
 
+
+def run_states(events: DataFrame) -> DataFrame:
+    """One row per run: status, stage, completed stages, progress, workflow, failure, last sequence."""
+    c = F.col
+    at = c("sequence")
+    narrow = run_steps(events)
+
     def last(column: str) -> Column:
         return F.max_by(column, F.when(c(column).isNotNull(), at))
 
@@ -231,7 +248,7 @@ def run_states(events: DataFrame) -> DataFrame:
         F.max("sequence").alias("last_sequence"),
     )
     stages = (
-        narrow.where(c("_done").isin(*_STAGES))
+        narrow.where("_done is not null")
         .groupBy("run_id", "_done")
         .agg(F.min("sequence").alias("_first"))
         .groupBy("run_id")

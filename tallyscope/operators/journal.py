@@ -317,16 +317,54 @@ def plan_problems(events: DataFrame) -> DataFrame:
     return found.distinct()
 
 
-def task_events(events: DataFrame) -> DataFrame:
-    """Task-scoped events with the status before and after each one."""
+def _status_after() -> Column:
+    """Status of a task after the event."""
+    after = lookup(F.col("kind"), {k: t[1] for k, t in TASK_TRANSITIONS.items()})
+    partial = payload_text("partial") == "true"
+    return F.when((F.col("kind") == "task_completed") & partial, "partial").otherwise(after)
+
+
+def _task_results() -> tuple[Column, Column, Column]:
+    """Output that a task event brings, its error, and whether it leaves the error before it as it is."""
+    kind = F.col("kind")
+    given = F.coalesce(payload_text("error"), payload_text("reason"), F.col("message"))
+    failing = kind.isin("action_rejected", "tool_rejected", "tool_failed", "task_failed", "task_skipped")
+    partial_done = (kind == "task_completed") & (F.col("status_after") == "partial")
+    error = F.when(failing, given).when(kind == "task_completed", payload_text("error"))
+    output = F.when(
+        kind.isin("model_turn_completed", "action_rejected", "task_completed", "task_failed"), payload_text("output")
+    )
+    return output, error, partial_done & payload_text("error").isNull()
+
+
+#: Kind of the rows that :func:`task_rows` makes of a plan.
+PLANNED = "planned"
+
+
+def task_rows(events: DataFrame, *others: str) -> DataFrame:
+    """Task events, and one row per task of each plan event; needs no other event. Keeps ``others``."""
     c = F.col
-    scoped = events.where(c("kind").isin(*TASK_TRANSITIONS)).withColumn("task_id", payload_text("task_id")).where(
-        "task_id is not null"
+    output, error, keeps = _task_results()
+    none = F.lit(None).cast("string")
+    names = ("task_id", "kind", "status_after", "agent_id", "required", "output", "error", "keeps")
+
+    def row(*values: Column) -> Column:
+        return F.struct(*[value.alias(name) for value, name in zip(values, names, strict=True)])
+
+    own = row(payload_text("task_id"), c("kind"), c("status_after"), c("agent_id"), F.lit(None).cast("boolean"), output, error, keeps)
+    tasks = F.from_json("payload", _PLAN)["tasks"]
+    planned = F.transform(
+        tasks, lambda t: row(t["task_id"], F.lit(PLANNED), none, t["agent_id"], t["required"], none, none, F.lit(True))
     )
-    after = lookup(c("kind"), {k: t[1] for k, t in TASK_TRANSITIONS.items()})
-    partial = payload_text("partial") == "true"
-    after = F.when((c("kind") == "task_completed") & partial, "partial").otherwise(after)
-    staged = scoped.withColumn("status_after", after)
+    scoped = events.where(c("kind").isin("workflow_planned", *TASK_TRANSITIONS)).withColumn("status_after", _status_after())
+    rows = F.when(c("kind") == "workflow_planned", planned).otherwise(F.array(own))
+    return scoped.select("run_id", "sequence", *others, F.inline(rows)).where("task_id is not null")
+
+
+def task_events(events: DataFrame) -> DataFrame:
+    """Task-scoped events with the status before and after each one."""
+    scoped = events.where(F.col("kind").isin(*TASK_TRANSITIONS)).withColumn("task_id", payload_text("task_id"))
+    staged = scoped.where("task_id is not null").withColumn("status_after", _status_after())
     paired = with_previous(staged, ["run_id", "task_id"], ["sequence"], ["status_after"])
     return paired.withColumn("status_before", F.coalesce("previous_status_after", F.lit("queued"))).drop(
         "previous_status_after", "_block"
@@ -385,14 +423,7 @@ def task_states(events: DataFrame, moves: DataFrame | None = None) -> DataFrame:
     c = F.col
     moves = task_events(events) if moves is None else moves
     kind, at = c("kind"), c("sequence")
-    given = F.coalesce(payload_text("error"), payload_text("reason"), c("message"))
-    failing = kind.isin("action_rejected", "tool_rejected", "tool_failed", "task_failed", "task_skipped")
-    partial_done = (kind == "task_completed") & (c("status_after") == "partial")
-    error = F.when(failing, given).when(kind == "task_completed", payload_text("error"))
-    keeps = partial_done & payload_text("error").isNull()
-    output = F.when(
-        kind.isin("model_turn_completed", "action_rejected", "task_completed", "task_failed"), payload_text("output")
-    )
+    output, error, keeps = _task_results()
     folded = moves.groupBy("run_id", "task_id").agg(
         F.max_by("status_after", "sequence").alias("status"),
         F.count_if(kind == "model_turn_started").alias("turns"),
@@ -415,12 +446,12 @@ def task_states(events: DataFrame, moves: DataFrame | None = None) -> DataFrame:
     )
 
 
-def agent_states(events: DataFrame) -> DataFrame:
-    """One row per registered agent: role, lane, status, progress, tool_calls, evidence_count, task."""
+def agent_steps(events: DataFrame, *others: str) -> DataFrame:
+    """What each event does to the state of its agent, as narrow columns; null where it changes nothing. Keeps ``others``."""
     c = F.col
-    kind, at = c("kind"), c("sequence")
+    kind = c("kind")
     in_task = c("kind").isin(*TASK_TRANSITIONS) & payload_text("task_id").isNotNull()
-    touched = events.where(
+    return events.where(
         c("agent_id").isNotNull() & (c("kind").isin(*AGENT_STATUS, "evidence_added") | in_task)
     ).select(
         "run_id",
@@ -428,8 +459,9 @@ def agent_states(events: DataFrame) -> DataFrame:
         "sequence",
         "kind",
         "message",
-        payload_text("role").alias("_role"),
-        payload_text("lane").alias("_lane"),
+        *others,
+        F.when(kind == "agent_registered", payload_text("role")).alias("_role"),
+        F.when(kind == "agent_registered", payload_text("lane")).alias("_lane"),
         F.when(kind == "evidence_added", None)
         .when(in_task & (kind != "tool_started"), "running")
         .otherwise(lookup(kind, AGENT_STATUS))
@@ -439,10 +471,17 @@ def agent_states(events: DataFrame) -> DataFrame:
         .alias("_set"),
         F.when(kind == "agent_started", F.coalesce(_number("progress"), F.lit(5))).alias("_raise"),
     )
+
+
+def agent_states(events: DataFrame) -> DataFrame:
+    """One row per registered agent: role, lane, status, progress, tool_calls, evidence_count, task."""
+    c = F.col
+    kind, at = c("kind"), c("sequence")
+    touched = agent_steps(events)
     keys = ["run_id", "agent_id"]
     folded = touched.groupBy(*keys).agg(
-        F.max(F.when(kind == "agent_registered", c("_role"))).alias("role"),
-        F.max(F.when(kind == "agent_registered", c("_lane"))).alias("lane"),
+        F.max("_role").alias("role"),
+        F.max("_lane").alias("lane"),
         F.max_by("_status", F.when(c("_status").isNotNull(), at)).alias("_status"),
         F.max_by("message", F.when(kind != "agent_registered", at)).alias("current_task"),
         F.count_if(kind == "tool_started").alias("tool_calls"),

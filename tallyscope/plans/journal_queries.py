@@ -9,10 +9,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallyscope.operators import journal as jn
+from tallyscope.operators import run_blocks as rb
 from tallyscope.plans import tables as t
 from tallyscope.session import ensure_checkpoint_dir, use_rocksdb_state
-from tallyscope.sources.journal_files import parse_lines
+from tallyscope.sources.journal_files import parse_lines, read_journal
 from tallyscope.streaming import journal_stream as js
+from tallyscope.streaming import keyed_state as ks
+from tallyscope.streaming import run_blocks as sb
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -296,15 +299,18 @@ def hash_integrity(spark: SparkSession, folder: str) -> DataFrame:
         when 'click' then 'unknown event kind' when 'signup' then 'event is missing a required key' end as problem from events""",
 )
 def strict_json(spark: SparkSession, folder: str) -> DataFrame:
+    return parse_lines(event_lines(t.table(spark, folder, "events"))).select("event_id", "problem")
+
+
+def event_lines(events: DataFrame) -> DataFrame:
     """Events as journal lines; four event types each break one rule."""
-    lines = t.table(spark, folder, "events").selectExpr(
+    return events.selectExpr(
         "event_id",
         """concat('{"schema_version":1,"run_id":"', user_id, '","sequence":', event_id, ',"kind":"',
         if(event_type = 'click', 'clicked', 'run_started'), '","timestamp":"', date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"), '"',
         if(event_type = 'signup', '', ',"message":"m"'), if(event_type = 'view', ',"message":"again"', ''),
         ',"payload":', props, '}', if(event_type = 'error', ' trailing', '')) as value""",
     )
-    return parse_lines(lines).select("event_id", "problem")
 
 
 @query(
@@ -346,9 +352,12 @@ def _kinds(events: DataFrame) -> DataFrame:
 
 
 def _stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """One driver table as a file stream."""
+    """One driver table, a file or a folder of files, as a file stream.
+
+    The path is a pattern, since a stream takes a plain path for a folder.
+    """
     schema = t.table(spark, folder, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+    return spark.readStream.schema(schema).parquet(f"{folder}/{name}.parque[t]")
 
 
 def _work_folder(spark: SparkSession) -> str:
@@ -364,21 +373,275 @@ def stream_family_counts(spark: SparkSession, folder: str) -> DataFrame:
     return js.newest(js.read_batches(spark, f"{work}/out", counts.schema), ["run_id", "family"])
 
 
+def _run_blocks(spark: SparkSession, events: DataFrame, snapshot: DataFrame | None = None) -> DataFrame:
+    use_rocksdb_state(spark)
+    return sb.run_to_end(events, _work_folder(spark), snapshot)
+
+
 @query("stream_sequence", _VERDICT_SQL)
 def stream_sequence(spark: SparkSession, folder: str) -> DataFrame:
-    """Order check as arbitrary state per run; open gaps are closed by the watermark afterwards."""
-    use_rocksdb_state(spark)
-    events = conversation_log(_stream(spark, folder, "conversations"))
-    work = _work_folder(spark)
-    js.append_batches(js.order_events(events, "0 seconds", 0.0), f"{work}/out", f"{work}/offsets").awaitTermination()
-    return js.read_batches(spark, f"{work}/out", js.VERDICT_SCHEMA).select("run_id", "sequence", "reason")
+    """Limits of the runs from the blocks of a stream; the journal itself is judged by them."""
+    blocks = _run_blocks(spark, conversation_log(_stream(spark, folder, "conversations")))
+    result = jn.check_sequence(conversation_log(t.table(spark, folder, "conversations")), rb.limits(blocks))
+    good = result.accepted.select("run_id", "sequence", F.lit(None).cast("string").alias("reason"))
+    return good.unionByName(result.rejected.select("run_id", "sequence", "reason"))
 
 
 @query("stream_state", _STATE_SQL)
 def stream_state(spark: SparkSession, folder: str) -> DataFrame:
-    use_rocksdb_state(spark)
+    blocks = _run_blocks(spark, conversation_log(_stream(spark, folder, "conversations")))
+    return rb.states(blocks).select("run_id", "status", "current_stage", "progress", "last_sequence")
+
+
+@query("stream_replay", _STATE_SQL)
+def stream_replay(spark: SparkSession, folder: str) -> DataFrame:
+    """A snapshot of the first three events of each run, and a second stream that goes on from it with the rest."""
     events = conversation_log(_stream(spark, folder, "conversations"))
-    work = _work_folder(spark)
-    js.append_batches(js.fold_runs(events), f"{work}/out", f"{work}/offsets", "update").awaitTermination()
-    states = js.newest(js.read_batches(spark, f"{work}/out", js.STATE_SCHEMA), ["run_id"])
-    return states.select("run_id", "status", "current_stage", "progress", "last_sequence")
+    snapshot = _run_blocks(spark, events.where("sequence < 3"))
+    blocks = _run_blocks(spark, events.where("sequence >= 3"), snapshot)
+    return rb.states(blocks).select("run_id", "status", "current_stage", "progress", "last_sequence")
+
+
+# --- planned runs -------------------------------------------------------------------------------
+
+# Events that a turn k of a conversation with n characters makes: place, condition, kind, agent, payload fields. The
+# texts are SQL of both engines; they only make the log that the operators and their SQL twins read.
+_OWN = "case when n % 11 = 0 then 'other' when k < 4 then 'main' else 'aux' end"
+_LANE = "case when k < 4 then 'main' else 'aux' end"
+_N = "cast(n as string)"
+_TASK = {"task_id": "'t' || cast(cast(floor(k / 2.0) as bigint) as string)"}
+_PLAN_TEXT = (
+    '{"workflow_id":"w","workflow_version":"1","tasks":['
+    '{"task_id":"t0","agent_id":"main","depends_on":[],"required":true},'
+    '{"task_id":"t1","agent_id":"main","depends_on":["t0"],"required":true},'
+    '{"task_id":"t2","agent_id":"aux","depends_on":[],"required":true},'
+    '{"task_id":"t3","agent_id":"aux","depends_on":["t2"],"required":false,"allow_failed_dependencies":true}]}'
+)
+_TURN_EVENTS = (
+    (0, "k = 0", "workflow_planned", "null", {}),
+    (1, "k = 0", "agent_registered", "'main'", {"role": "role", "lane": "'l1'"}),
+    (2, "k = 0", "agent_registered", "'aux'", {"role": "'helper'", "lane": "'l2'"}),
+    (3, "k = 1", "agent_started", "'main'", {}),
+    (4, "role = 'user'", "task_started", _OWN, _TASK),
+    (5, "role = 'user'", "model_turn_started", "null", _TASK),
+    (6, "role = 'assistant'", "model_turn_completed", "null", {**_TASK, "output": f"'o' || {_N}"}),
+    (7, "role = 'assistant'", "tool_started", _OWN, _TASK),
+    (8, "role = 'assistant' and n % 3 = 0", "tool_failed", "null", {**_TASK, "error": f"'e' || {_N}"}),
+    (8, "role = 'assistant' and n % 3 <> 0", "tool_completed", "null", _TASK),
+    (9, "role = 'assistant' and n % 5 = 0", "task_failed", "null", {**_TASK, "error": f"'f' || {_N}"}),
+    (9, "role = 'assistant' and n % 5 = 1", "task_completed", "null", {**_TASK, "partial": "'true'"}),
+    (9, "role = 'assistant' and n % 5 > 1", "task_completed", "null", {**_TASK, "output": f"'d' || {_N}"}),
+    (10, "true", "agent_progress", _LANE, {"progress": "cast(n % 120 as string)"}),
+    (11, "k = 5", "agent_completed", "'main'", {}),
+    (12, "n % 2 = 0", "evidence_added", _LANE, {"evidence_id": f"'v' || {_N}"}),
+    (13, "k = 3", "workflow_completed", "null", {}),
+    (14, "k = 6 and conv_id % 7 = 0", "run_cancelled", "null", {}),
+    (15, "role = 'system'", "action_rejected", "null", {**_TASK, "reason": f"'r' || {_N}"}),
+)
+_FIELDS = ("task_id", "output", "error", "reason", "partial", "progress", "role", "lane")
+
+
+def planned_log(rows: DataFrame) -> DataFrame:
+    """Conversations as runs with a plan, tasks, agents and evidence; all events of a turn come from its row."""
+
+    def payload(kind: str, fields: dict[str, str]) -> str:
+        if kind == "workflow_planned":
+            return f"'{_PLAN_TEXT}'"
+        return "to_json(named_struct(" + ", ".join(f"'{name}', {value}" for name, value in fields.items()) + "))" if fields else "'{}'"
+
+    made = ", ".join(
+        f"if({condition}, named_struct('sequence', k * 16 + {place}, 'kind', '{kind}', 'agent_id', cast({agent} as string), "
+        f"'payload', {payload(kind, fields)}), null)"
+        for place, condition, kind, agent, fields in _TURN_EVENTS
+    )
+    turns = rows.selectExpr("conv_id", "turn as k", "role", "length(coalesce(text, '')) as n")
+    return turns.selectExpr(
+        "1 as schema_version",
+        "cast(conv_id as string) as run_id",
+        "timestamp_seconds(1700000000 + k) as timestamp",
+        f"inline(array_compact(array({made})))",
+    ).select(
+        "schema_version", "run_id", "sequence", "kind", "timestamp",
+        F.concat_ws(" ", "kind", "sequence").alias("message"), "agent_id", "payload",
+    )
+
+
+_PLANNED_SQL = (
+    "turns as (select conv_id, cast(conv_id as varchar) as run_id, turn as k, role, length(coalesce(text, '')) as n from conversations), log as ("
+    + " union all ".join(
+        f"select run_id, k * 16 + {place} as sequence, '{kind}' as kind, cast({agent} as varchar) as agent_id, "
+        + ", ".join(f"cast({fields.get(name, 'null')} as varchar) as {name}" for name in _FIELDS)
+        + f" from turns where {condition}"
+        for place, condition, kind, agent, fields in _TURN_EVENTS
+    )
+    + """), plans as (
+      select run_id, sequence as planned_at, p.task_id, p.agent_id, required, needs, lenient from log,
+        (values ('t0', 'main', true, null, false), ('t1', 'main', true, 't0', false), ('t2', 'aux', true, null, false),
+                ('t3', 'aux', false, 't2', true)) as p(task_id, agent_id, required, needs, lenient)
+      where kind = 'workflow_planned'),
+    moves as (
+      select *, lag(status_after, 1, 'queued') over (partition by run_id, task_id order by sequence) as status_before from (
+        select *, case kind when 'model_turn_started' then 'waiting_model' when 'tool_started' then 'waiting_tool'
+            when 'task_failed' then 'failed' when 'task_completed' then case when partial = 'true' then 'partial' else 'complete' end
+            else 'running' end as status_after
+        from log where task_id is not null))"""
+)
+
+_TASK_STATES_SQL = f"""with {_PLANNED_SQL},
+    folded as (
+      select run_id, task_id, arg_max(status_after, sequence) as status, count(*) filter (where kind = 'model_turn_started') as turns,
+        count(*) filter (where kind = 'tool_started') as tool_calls,
+        arg_max(output, sequence) filter (where output is not null) as output,
+        (arg_max({{'e': case when kind in ('action_rejected', 'tool_failed', 'task_failed') then coalesce(error, reason) end}}, sequence)
+          filter (where coalesce(partial, '') <> 'true')).e as error
+      from moves group by run_id, task_id)
+    select p.run_id, p.task_id, p.agent_id, p.required, coalesce(f.status, 'queued') as status, coalesce(f.turns, 0) as turns,
+      coalesce(f.tool_calls, 0) as tool_calls, f.output, f.error
+    from plans p left join folded f on f.run_id = p.run_id and f.task_id = p.task_id"""
+
+
+@query("task_states", _TASK_STATES_SQL)
+def task_states(spark: SparkSession, folder: str) -> DataFrame:
+    return jn.task_states(planned_log(t.table(spark, folder, "conversations")))
+
+
+def _stream_moves(spark: SparkSession, folder: str) -> DataFrame:
+    use_rocksdb_state(spark)
+    return ks.moves_to_end(planned_log(_stream(spark, folder, "conversations")), _work_folder(spark))
+
+
+@query("stream_task_states", _TASK_STATES_SQL)
+def stream_task_states(spark: SparkSession, folder: str) -> DataFrame:
+    return ks.task_states(_stream_moves(spark, folder))
+
+
+_TASK_FAULTS_SQL = """
+    select run_id, sequence, task_id, case
+        when owner is null then 'unknown task: ' || task_id
+        when agent_id is not null and agent_id <> owner then 'event agent does not own task'
+        when status_before <> case kind when 'task_started' then 'queued' when 'model_turn_completed' then 'waiting_model'
+            when 'tool_failed' then 'waiting_tool' when 'tool_completed' then 'waiting_tool' else 'running' end
+          and not (kind = 'task_failed' and status_before in ('waiting_model', 'waiting_tool'))
+        then 'invalid ' || kind || ' transition: ' || status_before end as problem
+    from (select m.*, p.agent_id as owner from moves m left join plans p on p.run_id = m.run_id and p.task_id = m.task_id)"""
+
+
+@query("stream_task_faults", f"with {_PLANNED_SQL} select * from ({_TASK_FAULTS_SQL}) where problem is not null")
+def stream_task_faults(spark: SparkSession, folder: str) -> DataFrame:
+    """Refused transitions, found while the events arrive."""
+    return _stream_moves(spark, folder).where("problem is not null").select(
+        "run_id", "sequence", F.col("id").alias("task_id"), "problem"
+    )
+
+
+@query(
+    "task_problems",
+    f"""with {_PLANNED_SQL},
+    faults as ({_TASK_FAULTS_SQL}),
+    finished as (
+      select run_id, task_id, min(sequence) as done_at, arg_min(status_after, sequence) as done from moves
+      where status_after in ('complete', 'partial', 'failed', 'skipped') group by run_id, task_id)
+    select run_id, sequence, task_id, problem from faults where problem is not null
+    union all
+    select distinct m.run_id, m.sequence, m.task_id, 'started before dependencies completed'
+    from moves m join plans p on p.run_id = m.run_id and p.task_id = m.task_id
+    left join finished f on f.run_id = m.run_id and f.task_id = p.needs
+    where m.kind = 'task_started' and p.needs is not null
+      and not coalesce(f.done_at < m.sequence and (p.lenient or f.done in ('complete', 'partial')), false)
+    union all
+    select p.run_id, e.sequence, p.task_id, 'workflow completed with non-terminal tasks'
+    from plans p join log e on e.run_id = p.run_id and e.kind = 'workflow_completed'
+    left join finished f on f.run_id = p.run_id and f.task_id = p.task_id
+    where f.done_at is null or f.done_at > e.sequence
+    union all
+    select run_id, sequence, null, 'workflow_completed requires a planned workflow' from log
+    where kind = 'workflow_completed' and run_id not in (select run_id from plans)""",
+)
+def task_problems(spark: SparkSession, folder: str) -> DataFrame:
+    return jn.task_problems(planned_log(t.table(spark, folder, "conversations")))
+
+
+_AGENT_SQL = f"""with {_PLANNED_SQL},
+    touched as (
+      select *, case when kind = 'agent_completed' then 100 when kind = 'agent_progress' then least(100, cast(progress as integer)) end as set_to,
+        case when kind = 'agent_started' then 5 end as raised_to,
+        case when kind = 'evidence_added' then null when kind = 'tool_started' then 'waiting_tool' when task_id is not null then 'running'
+          when kind = 'agent_registered' then 'queued' when kind = 'agent_completed' then 'complete' else 'running' end as status
+      from log where agent_id is not null),
+    folded as (
+      select run_id, agent_id, max(role) as role, max(lane) as lane, arg_max(status, sequence) filter (where status is not null) as status,
+        arg_max(set_to, sequence) filter (where set_to is not null) as base,
+        coalesce(max(sequence) filter (where set_to is not null), -1) as set_at,
+        arg_max(kind || ' ' || sequence, sequence) filter (where kind <> 'agent_registered') as current_task,
+        count(*) filter (where kind = 'tool_started') as tool_calls, count(*) filter (where kind = 'evidence_added') as evidence_count,
+        bool_or(kind = 'agent_registered') as registered
+      from touched group by run_id, agent_id),
+    raised as (
+      select t.run_id, t.agent_id, max(t.raised_to) as top from touched t
+      join folded f on f.run_id = t.run_id and f.agent_id = t.agent_id where t.sequence > f.set_at group by 1, 2)
+    select f.run_id, f.agent_id, f.role, f.lane,
+      case when f.status in ('queued', 'running', 'waiting_tool') and f.run_id in (select run_id from log where kind = 'run_cancelled')
+        then 'cancelled' else f.status end as status,
+      cast(greatest(coalesce(f.base, 0), coalesce(r.top, 0)) as integer) as progress,
+      coalesce(f.current_task, 'Awaiting admission') as current_task, f.tool_calls, f.evidence_count
+    from folded f left join raised r on r.run_id = f.run_id and r.agent_id = f.agent_id where f.registered"""
+
+
+@query("agent_rows", _AGENT_SQL)
+def agent_rows(spark: SparkSession, folder: str) -> DataFrame:
+    return jn.agent_states(planned_log(t.table(spark, folder, "conversations")))
+
+
+@query("stream_agent_states", _AGENT_SQL)
+def stream_agent_states(spark: SparkSession, folder: str) -> DataFrame:
+    """Agents and runs each as keyed state; a cancelled run ends the agents that were still at work."""
+    use_rocksdb_state(spark)
+    events = planned_log(_stream(spark, folder, "conversations"))
+    agents = ks.agents_to_end(events, _work_folder(spark))
+    return ks.agent_states(agents, rb.states(_run_blocks(spark, _numbered_run(events))))
+
+
+def _numbered_run(events: DataFrame) -> DataFrame:
+    """The events that end a run or start it, as a log of their own: the block fold wants numbers without gaps."""
+    kind = F.col("kind")
+    return events.where(kind.isin("workflow_planned", "run_cancelled")).withColumns(
+        {
+            "sequence": (kind == "run_cancelled").cast("long"),
+            "kind": F.when(kind == "workflow_planned", "run_created").otherwise(kind),
+        }
+    )
+
+
+_RECENT = 20
+
+
+@query(
+    "stream_recent",
+    f"""with {_PLANNED_SQL}
+    select run_id, sequence, kind from (
+      select *, row_number() over (partition by run_id order by sequence desc) as n from log) where n <= {_RECENT}""",
+)
+def stream_recent(spark: SparkSession, folder: str) -> DataFrame:
+    use_rocksdb_state(spark)
+    events = planned_log(_stream(spark, folder, "conversations"))
+    return ks.recent_to_end(events, _work_folder(spark), _RECENT).select("run_id", "sequence", "kind")
+
+
+@query(
+    "bad_lines",
+    """with lines as (
+      select event_id // 5000 as file, row_number() over (partition by event_id // 5000 order by event_id) as line_number,
+        case event_type when 'error' then 'line is not strict JSON' when 'view' then 'line is not strict JSON'
+          when 'click' then 'unknown event kind' when 'signup' then 'event is missing a required key' end as problem
+      from events)
+    select file, line_number, problem from lines where problem is not null""",
+)
+def bad_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Events as journal files of 5,000 lines; every refused line with its number in its file."""
+    lines = event_lines(t.table(spark, folder, "events")).withColumn("file", F.expr("event_id div 5000"))
+    path = f"{_work_folder(spark)}/journal"
+    ordered = lines.repartition("file").sortWithinPartitions("file", "event_id")
+    ordered.select("file", "value").write.partitionBy("file").text(path)
+    _, quarantine = read_journal(spark, path)
+    file = F.regexp_extract("source_path", "/file=([0-9]+)/", 1).cast("long")
+    return quarantine.select(file.alias("file"), "line_number", "problem")

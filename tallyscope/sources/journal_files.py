@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tallyscope.session import computed
 
@@ -97,12 +97,35 @@ def split_lines(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
 
 
-def _lines(reader, path: str) -> DataFrame:
-    return reader.text(path).select("value", F.col("_metadata.file_path").alias("source_path"))
+def _lines(reader, path: str, *others) -> DataFrame:
+    return reader.text(path).select("value", F.col("_metadata.file_path").alias("source_path"), *others)
+
+
+def numbered(lines: DataFrame, placed: DataFrame) -> DataFrame:
+    """Add ``line_number`` (from 1) to rows of ``placed`` (``source_path, _block, _place``).
+
+    Files are read in blocks by many tasks. ``_place`` counts rows upwards inside a block, so a line's number is its distance
+    from the first one of its block, plus the lines of the blocks before it in the file: a prefix sum over one row per block.
+    ``lines`` are all lines, blank ones included, from the same reading of the files.
+    """
+    blocks = lines.groupBy("source_path", "_block").agg(F.min("_place").alias("_first"), F.count(F.lit(1)).alias("_lines"))
+    before = Window.partitionBy("source_path").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = blocks.withColumn("_before", F.coalesce(F.sum("_lines").over(before), F.lit(0)))
+    number = F.col("_place") - F.col("_first") + F.col("_before") + 1
+    return (
+        placed.join(starts, ["source_path", "_block"])
+        .withColumn("line_number", number)
+        .drop("_block", "_place", "_first", "_lines", "_before")
+    )
 
 
 def read_journal(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    return split_lines(parse_lines(_lines(spark.read, path)))
+    """(events, quarantine); a quarantined line has its ``source_path`` and ``line_number``, as a serial reader counts them."""
+    lines = _lines(
+        spark.read, path, F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_place")
+    )
+    events, quarantine = split_lines(parse_lines(lines))
+    return events, numbered(lines.drop("value"), quarantine)
 
 
 def stream_journal(spark: SparkSession, path: str, files_per_trigger: int = 1000) -> tuple[DataFrame, DataFrame]:

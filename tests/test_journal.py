@@ -330,3 +330,26 @@ def test_intervals_and_terminal_order(spark):
     rows = log("ok", *tail) + log("bad", *swapped) + log("cut", *tail[:-2])
     got = {r["run_id"]: r["problem"] for r in jn.terminal_order(frame(spark, rows), lanes=1).collect()}
     assert got["ok"] is None and "regressed" in got["bad"] and "incomplete" in got["cut"]
+
+
+def test_line_numbers_over_many_splits(spark, tmp_path):
+    """Bad lines have the numbers of a serial reader, however many tasks read a file; blank lines count."""
+    rng = random.Random(6)
+    good = json.dumps(dict(schema_version=1, run_id="r", sequence=0, kind="run_created", timestamp="2025-01-01T00:00:00", message="m"))
+    expected = set()
+    for name, count in (("a.jsonl", 3000), ("b.jsonl", 1), ("c.jsonl", 700)):
+        lines = [rng.choice([good, good + " " * rng.randrange(300), "", "   ", "{", "[1]" * rng.randrange(1, 60)]) for _ in range(count)]
+        ending = "" if name == "c.jsonl" else "\n"
+        (tmp_path / name).write_text("\n".join(lines) + ending)
+        expected |= {(name, i) for i, line in enumerate(lines, 1) if line.strip() and not line.startswith("{\"")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+    try:
+        events, quarantine = read_journal(spark, str(tmp_path))
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 30
+        found = [(r["source_path"].rpartition("/")[2], r["line_number"]) for r in quarantine.collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert len(found) == len(set(found)) and set(found) == expected
+    assert "line_number" not in events.columns

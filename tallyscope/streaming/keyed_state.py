@@ -2,21 +2,17 @@
 
 Tasks and agents are keyed by themselves, not by their run, so a large run spreads over its tasks and agents. Events of a key
 wait in its state until the watermark has passed them and are then taken in order of their sequence numbers, whatever
-order the micro-batches brought; a timer wakes keys that have something due and get no more input. What is due is
-handled as one frame. Events that come after the watermark are dropped by Spark; an event that is not late but stands before
+order the micro-batches brought; a timer wakes keys that have something due and get no more input. Events that come after the watermark are dropped by Spark; an event that is not late but stands before
 one already taken is reported and takes no effect.
 """
 
 from __future__ import annotations
 
-import io
 import sys
 from collections.abc import Iterator
 from typing import Any
 
-import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -34,82 +30,45 @@ PLANNED = jn.PLANNED
 _LATE = "event arrived after its successors"
 
 
-def _pack(rows: pd.DataFrame) -> bytes:
-    table = pa.Table.from_pandas(rows, preserve_index=False)
-    sink = io.BytesIO()
-    with pa.ipc.new_stream(sink, table.schema) as writer:
-        writer.write_table(table)
-    return sink.getvalue()
-
-
-def _last(values: pd.Series, default: Any) -> Any:
-    known = values.dropna()
-    return known.iloc[-1] if len(known) else default
-
-
-def _carried(start: Any, values: pd.Series) -> pd.Series:
-    """Every value, or the last one before it that is known."""
-    whole = pd.concat([pd.Series([start], dtype=object), values.astype(object)], ignore_index=True)
-    filled = whole.ffill().iloc[1:].reset_index(drop=True)
-    return filled.where(filled.notna(), None)
-
-
 class _InOrder(StatefulProcessor):
     """Hands events of a key on in order once the watermark has passed them."""
 
-    #: Fields of the folded state of a key, as DDL, and its values before any event.
+    #: Columns of the events, the state of a key, both as DDL; the state before any event; columns of the result after the key.
+    events: str
     fields: str
-    start: tuple
-    #: Columns of the result after the key.
+    start: dict
     out: list[str]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getValueState("waiting", "packed binary")
+        self.names = [field.split()[0] for field in self.events.split(", ")]
+        self.waiting = handle.getListState("waiting", self.events)
         self.folded = handle.getValueState("folded", self.fields)
 
-    def _due(self, frames: list[pd.DataFrame], watermark: int) -> pd.DataFrame | None:
+    def _due(self, rows: list[tuple], watermark: int) -> list[dict]:
+        """Waiting and new events that the watermark has passed, in order; the others wait on."""
         if self.waiting.exists():
-            frames = [pa.ipc.open_stream(self.waiting.get()[0]).read_all().to_pandas(), *frames]
-        if not frames:
-            return None
-        rows = pd.concat([frame.astype(object) for frame in frames], ignore_index=True)
-        due = rows["stamp"].astype("int64") <= watermark
-        rest = rows[~due]
-        if len(rest):
-            self.waiting.update((_pack(rest),))
-            self.handle.registerTimer(int(rest["stamp"].min()))
-        elif self.waiting.exists():
+            rows = [*self.waiting.get(), *rows]
             self.waiting.clear()
-        taken = rows[due]
-        if not len(taken):
-            return None
-        return taken.sort_values("sequence", kind="stable").drop_duplicates("sequence").reset_index(drop=True)
-
-    def _taken(self, key: tuple, due: pd.DataFrame | None) -> Iterator[pd.DataFrame]:
-        if due is None:
+        sequence, stamp = self.names.index("sequence"), self.names.index("stamp")
+        rest = [row for row in rows if row[stamp] > watermark]
+        if rest:
+            self.waiting.put(rest)
+            self.handle.registerTimer(min(row[stamp] for row in rest))
+        due = {row[sequence]: row for row in reversed(rows) if row[stamp] <= watermark}
+        return [dict(zip(self.names, due[at])) for at in sorted(due)]
+
+    def _taken(self, key: tuple, due: list[dict]) -> Iterator[pd.DataFrame]:
+        if not due:
             return
-        state = dict(zip(self.start_names, self.folded.get() if self.folded.exists() else self.start))
-        late = due["sequence"].astype("int64") <= state["last"]
-        late &= due["kind"] != PLANNED
-        fresh = due[~late].reset_index(drop=True)
-        frames = []
-        if len(fresh):
-            frames.append(self.fold(key, state, fresh))
-            self.folded.update(tuple(state[name] for name in self.start_names))
-        if late.any():
-            frames.append(self.refused(due[late].reset_index(drop=True), state))
-        for frame in frames:
-            frame.insert(0, "run_id", key[0])
-            frame.insert(1, "id", key[1])
-            yield frame[["run_id", "id", *self.out]]
-
-    @property
-    def start_names(self) -> list[str]:
-        return [field.split()[0] for field in self.fields.split(", ")]
+        state = dict(zip(self.start, self.folded.get())) if self.folded.exists() else dict(self.start)
+        rows = self.fold(key, state, due)
+        self.folded.update(tuple(state.values()))
+        yield pd.DataFrame([(*key, *row) for row in rows], columns=["run_id", "id", *self.out], dtype=object)
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        yield from self._taken(key, self._due(list(rows), timerValues.getCurrentWatermarkInMs()))
+        found = [row for frame in rows for row in zip(*(frame[name].tolist() for name in self.names))]
+        yield from self._taken(key, self._due(found, timerValues.getCurrentWatermarkInMs()))
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
         watermark = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
@@ -122,98 +81,95 @@ class _InOrder(StatefulProcessor):
 class TaskFold(_InOrder):
     """Checks each event of a task against the status before it; every row has the state after its event."""
 
+    events = (
+        "sequence bigint, stamp bigint, kind string, status_after string, agent_id string, required boolean, "
+        "output string, error string, keeps boolean"
+    )
     fields = (
         "last bigint, status string, turns bigint, tool_calls bigint, output string, error string, "
         "owner string, required boolean"
     )
-    start = (-1, "queued", 0, 0, None, None, None, None)
+    start = {
+        "last": -1, "status": "queued", "turns": 0, "tool_calls": 0, "output": None, "error": None, "owner": None, "required": None,
+    }
     out = [
         "sequence", "kind", "status_before", "status_after", "problem", "turns", "tool_calls", "output", "error",
         "owner", "required",
     ]
 
-    def fold(self, key: tuple, state: dict, rows: pd.DataFrame) -> pd.DataFrame:
-        kind, planned = rows["kind"], rows["kind"] == PLANNED
-        known = planned.cummax() | (state["owner"] is not None)
-        if planned.any() and state["owner"] is None:
-            first = rows[planned].iloc[0]
-            state["owner"], state["required"] = first["agent_id"], bool(first["required"])
-        after = _carried(state["status"], rows["status_after"])
-        before = after.shift(fill_value=state["status"])
-        foreign = rows["agent_id"].notna() & (rows["agent_id"] != state["owner"])
-        step = (kind + " " + before).isin(_STEPS)
-        # A plan row is an event of the run, not of the task: it checks nothing.
-        wrong = "invalid " + kind + " transition: " + before
-        problem = wrong.where(~step, None).mask(foreign, "event agent does not own task")
-        problem = problem.mask(~known, f"unknown task: {key[1]}").where(~planned, None)
-        untouched = planned | rows["keeps"].astype(bool)
-        at = np.maximum.accumulate(np.where(untouched, -1, np.arange(len(rows))))
-        frame = pd.DataFrame(
-            {
-                "sequence": rows["sequence"].astype("int64"),
-                "kind": kind,
-                "status_before": before,
-                "status_after": after,
-                "problem": problem,
-                "turns": state["turns"] + (kind == "model_turn_started").cumsum(),
-                "tool_calls": state["tool_calls"] + (kind == "tool_started").cumsum(),
-                "output": _carried(state["output"], rows["output"]),
-                "error": pd.Series([rows["error"].iloc[k] if k >= 0 else state["error"] for k in at], dtype=object),
-                "owner": state["owner"],
-                "required": state["required"],
-            }
-        )
-        state.update(frame[["status_after", "output", "error"]].iloc[-1].rename({"status_after": "status"}))
-        state.update(frame[["turns", "tool_calls"]].iloc[-1].map(int), last=int(frame["sequence"].iloc[-1]))
-        return frame
-
-    def refused(self, rows: pd.DataFrame, state: dict) -> pd.DataFrame:
-        frame = rows[["sequence", "kind"]].copy()
-        frame["problem"] = _LATE
-        return frame.reindex(columns=self.out)
+    def fold(self, key: tuple, state: dict, due: list[dict]) -> Iterator[tuple]:
+        for event in due:
+            kind, before, problem = event["kind"], state["status"], None
+            if event["sequence"] <= state["last"]:
+                yield event["sequence"], kind, None, None, _LATE, *[None] * 6
+                continue
+            state["last"] = event["sequence"]
+            if kind == PLANNED:
+                # An event of the run, not of the task: it checks nothing, and only the first one counts.
+                if state["owner"] is None:
+                    state.update(owner=event["agent_id"], required=event["required"])
+            else:
+                if state["owner"] is None:
+                    problem = f"unknown task: {key[1]}"
+                elif event["agent_id"] is not None and event["agent_id"] != state["owner"]:
+                    problem = "event agent does not own task"
+                elif f"{kind} {before}" not in _STEPS:
+                    problem = f"invalid {kind} transition: {before}"
+                state["status"] = event["status_after"]
+                state["turns"] += kind == "model_turn_started"
+                state["tool_calls"] += kind == "tool_started"
+                state["output"] = state["output"] if event["output"] is None else event["output"]
+                state["error"] = state["error"] if event["keeps"] else event["error"]
+            yield (
+                event["sequence"], kind, before, state["status"], problem, state["turns"], state["tool_calls"],
+                state["output"], state["error"], state["owner"], state["required"],
+            )
+
+
+def _greater(a: str | None, b: str | None) -> str | None:
+    return max((x for x in (a, b) if x is not None), default=None)
 
 
 class AgentFold(_InOrder):
     """State of an agent after the events that were due; late ones are counted."""
 
+    events = (
+        "sequence bigint, stamp bigint, kind string, message string, role string, lane string, status string, "
+        "set_to double, raised_to double"
+    )
     fields = (
         "last bigint, role string, lane string, status string, progress int, current_task string, tool_calls bigint, "
         "evidence_count bigint, registered boolean, late bigint"
     )
-    start = (-1, None, None, None, 0, None, 0, 0, False, 0)
+    start = {
+        "last": -1, "role": None, "lane": None, "status": None, "progress": 0, "current_task": None, "tool_calls": 0,
+        "evidence_count": 0, "registered": False, "late": 0,
+    }
     out = [
         "sequence", "role", "lane", "status", "progress", "current_task", "tool_calls", "evidence_count", "registered", "late",
     ]
 
-    def _row(self, state: dict) -> pd.DataFrame:
-        row = {**state, "sequence": state["last"]}
-        return pd.DataFrame({name: pd.Series([row[name]], dtype=object) for name in self.out})
-
-    def fold(self, key: tuple, state: dict, rows: pd.DataFrame) -> pd.DataFrame:
-        kind = rows["kind"]
-        sets, raises = rows["set_to"].to_numpy(dtype=float), rows["raised_to"].to_numpy(dtype=float)
-        at = np.flatnonzero(~np.isnan(sets))
-        base = int(sets[at[-1]]) if len(at) else state["progress"]
-        above = raises[at[-1] + 1 if len(at) else 0 :]
-        above = above[~np.isnan(above)]
-        others = rows["message"][kind != "agent_registered"]
-        state.update(
-            last=int(rows["sequence"].iloc[-1]),
-            role=max([r for r in [state["role"], *rows["role"].dropna()] if r is not None], default=None),
-            lane=max([r for r in [state["lane"], *rows["lane"].dropna()] if r is not None], default=None),
-            status=_last(rows["status"], state["status"]),
-            progress=max(base, 0, *above.astype(int).tolist()),
-            current_task=others.iloc[-1] if len(others) else state["current_task"],
-            tool_calls=state["tool_calls"] + int((kind == "tool_started").sum()),
-            evidence_count=state["evidence_count"] + int((kind == "evidence_added").sum()),
-            registered=state["registered"] or bool((kind == "agent_registered").any()),
-        )
-        return self._row(state)
-
-    def refused(self, rows: pd.DataFrame, state: dict) -> pd.DataFrame:
-        state["late"] += len(rows)
-        self.folded.update(tuple(state[name] for name in self.start_names))
-        return self._row(state)
+    def fold(self, key: tuple, state: dict, due: list[dict]) -> list[tuple]:
+        for event in due:
+            kind = event["kind"]
+            if event["sequence"] <= state["last"]:
+                state["late"] += 1
+                continue
+            state["last"] = event["sequence"]
+            state["role"], state["lane"] = (_greater(state[name], event[name]) for name in ("role", "lane"))
+            state["status"] = event["status"] or state["status"]
+            # Values that are not set come as NaN, which no comparison holds for.
+            if (given := event["set_to"]) is not None and given == given:
+                state["progress"] = int(given)
+            if (given := event["raised_to"]) is not None and given > state["progress"]:
+                state["progress"] = int(given)
+            if kind == "agent_registered":
+                state["registered"] = True
+            else:
+                state["current_task"] = event["message"]
+            state["tool_calls"] += kind == "tool_started"
+            state["evidence_count"] += kind == "evidence_added"
+        return [(state["last"], *[state[name] for name in self.out[1:]])]
 
 
 MOVES = (

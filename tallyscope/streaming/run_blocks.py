@@ -78,27 +78,32 @@ def block_events(events: DataFrame) -> DataFrame:
     )
 
 
-def pack(events: pd.DataFrame) -> bytes:
-    table = pa.Table.from_pandas(events, schema=_PACKED, preserve_index=False)
+Events = dict[str, np.ndarray]
+
+
+def pack(events: Events) -> bytes:
+    batch = pa.record_batch([pa.array(events[f.name], f.type, from_pandas=True) for f in _PACKED], schema=_PACKED)
     sink = io.BytesIO()
     with pa.ipc.new_stream(sink, _PACKED, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
-        writer.write_table(table)
+        writer.write_batch(batch)
     return sink.getvalue()
 
 
-def unpack(data: bytes) -> pd.DataFrame:
-    return pa.ipc.open_stream(data).read_all().to_pandas()
+def unpack(data: bytes) -> Events:
+    batch = pa.ipc.open_stream(data).read_next_batch()
+    return {name: column.to_numpy(zero_copy_only=False) for name, column in zip(_PACKED.names, batch.columns, strict=True)}
 
 
-def merged(parts: list[pd.DataFrame]) -> pd.DataFrame:
+def merged(parts: list[Events]) -> Events:
     """One row per sequence number, the counting one of its copies; ``n`` copies, valid if all are."""
-    rows = pd.concat([part[_PACKED.names] for part in parts], ignore_index=True)
-    rows = rows.sort_values(["sequence", "stamp", "digest"], kind="stable", ignore_index=True)
-    first = np.flatnonzero(np.diff(rows["sequence"].to_numpy(), prepend=-1))
-    out = rows.iloc[first].reset_index(drop=True)
-    out["n"] = np.add.reduceat(rows["n"].to_numpy(), first)
-    out["valid"] = np.logical_and.reduceat(rows["valid"].to_numpy(bool), first)
-    out["ended"] = np.logical_or.reduceat(rows["ended"].to_numpy(bool), first)
+    rows = {name: np.concatenate([part[name] for part in parts]) for name in _PACKED.names}
+    order = np.lexsort((rows["digest"], rows["stamp"], rows["sequence"]))
+    sequence = rows["sequence"][order]
+    first = np.flatnonzero(np.diff(sequence, prepend=-1))
+    out = {name: values[order[first]] for name, values in rows.items()}
+    out["n"] = np.add.reduceat(rows["n"][order], first)
+    out["valid"] = np.logical_and.reduceat(rows["valid"][order].astype(bool), first)
+    out["ended"] = np.logical_or.reduceat(rows["ended"][order].astype(bool), first)
     return out
 
 
@@ -107,41 +112,38 @@ def _least(values: np.ndarray, where: np.ndarray, more: int = 0) -> int | None:
     return int(values[at[0]]) + more if len(at) else None
 
 
-def effect(events: pd.DataFrame, block: int) -> dict:
+def effect(events: Events, block: int) -> dict:
     """The row of a block from its merged events in order."""
-    sequence = events["sequence"].to_numpy()
+    sequence = events["sequence"]
     expected = block * _SPAN + np.arange(len(sequence))
     gap = _least(expected, sequence != expected)
     if gap is None and len(sequence) < _SPAN:
         gap = block * _SPAN + len(sequence)
     ends = {
         "gap": gap,
-        "invalid": _least(sequence, ~events["valid"].to_numpy(bool)),
-        "twice": _least(sequence, events["n"].to_numpy() > 1, 1),
-        "ended": _least(sequence, events["ended"].to_numpy(bool), 1),
+        "invalid": _least(sequence, ~events["valid"].astype(bool)),
+        "twice": _least(sequence, events["n"] > 1, 1),
+        "ended": _least(sequence, events["ended"].astype(bool), 1),
     }
     limit = min([x for x in ends.values() if x is not None], default=(block + 1) * _SPAN)
-    taken = events.iloc[: int(np.searchsorted(sequence, limit))]
-
-    def last(name: str):
-        known = taken[name].dropna()
-        return known.iloc[-1] if len(known) else None
-
-    sets = np.flatnonzero(taken["set_to"].notna().to_numpy())
-    raises = taken["raised_to"].iloc[sets[-1] + 1 if len(sets) else 0 :].dropna()
+    count = int(np.searchsorted(sequence, limit))
+    known = {name: [x for x in events[name][:count].tolist() if x is not None] for name in _TEXTS}
+    set_to, raised = events["set_to"][:count], events["raised_to"][:count]
+    sets = np.flatnonzero(~np.isnan(set_to))
+    raises = raised[sets[-1] + 1 if len(sets) else 0 :]
+    raises = raises[~np.isnan(raises)]
     return {
         **ends,
-        **{name: last(name) for name in _TEXTS if name != "done"},
-        "completed_stages": taken["done"].dropna().drop_duplicates().tolist(),
-        "set_to": int(taken["set_to"].iloc[sets[-1]]) if len(sets) else None,
+        **{name: known[name][-1] if known[name] else None for name in _TEXTS if name != "done"},
+        "completed_stages": list(dict.fromkeys(known["done"])),
+        "set_to": int(set_to[sets[-1]]) if len(sets) else None,
         "raised_to": int(raises.max()) if len(raises) else None,
-        "tool_calls": int(taken["tool"].sum()),
-        "last_sequence": int(taken["sequence"].iloc[-1]) if len(taken) else None,
+        "tool_calls": int(events["tool"][:count].astype(bool).sum()),
+        "last_sequence": int(sequence[count - 1]) if count else None,
     }
 
 
 _COLUMNS = [part.split()[0] for part in BLOCK_ROWS.split(", ")]
-_WHOLE_NUMBERS = [part.split()[0] for part in rb.BLOCK.split(", ") if part.split()[1] in ("int", "bigint")]
 
 
 class BlockFold(StatefulProcessor):
@@ -156,13 +158,13 @@ class BlockFold(StatefulProcessor):
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         events = unpack(self.events.get()[0]) if self.events.exists() else None
         for frame in rows:
-            events = merged([frame] if events is None else [events, frame])
+            part = {name: frame[name].to_numpy() for name in _PACKED.names}
+            events = merged([part] if events is None else [events, part])
         packed = pack(events)
         self.events.update((packed,))
         run_id, block = key
         row = {"run_id": run_id, "block": int(block), **effect(events, int(block)), "packed": packed}
-        frame = pd.DataFrame({name: pd.Series([row[name]], dtype=object) for name in _COLUMNS})
-        yield frame.astype({name: "Int64" for name in _WHOLE_NUMBERS})
+        yield pd.DataFrame([[row[name] for name in _COLUMNS]], columns=_COLUMNS, dtype=object)
 
     def close(self) -> None:
         pass

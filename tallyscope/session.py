@@ -70,6 +70,19 @@ def discard_settled(spark: SparkSession) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal few large rows out over the cores before costly work on each of them.
+
+    A small file, or one that cannot be split, is one task whatever is done to its rows. Tables that have a full read
+    partition for every core are left as they are, so only small ones are moved.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    full = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    return df.repartition(4 * cores) if size < cores * full else df
+
+
 def computed(df: DataFrame) -> DataFrame:
     """Keep later filters from recomputing the columns of ``df``.
 

@@ -21,7 +21,7 @@ from tallyscope.operators.records import (
     observations_of,
     with_identity,
 )
-from tallyscope.session import computed, settle
+from tallyscope.session import computed, settle, spread
 
 FORMS = ("10-K", "10-Q", "10-K/A", "10-Q/A")
 _ARCHIVE = "https://www.sec.gov/Archives/edgar/data/"
@@ -122,8 +122,20 @@ def read_company_facts(spark: SparkSession, path: str, whole_files: bool = True)
     )
 
 
-def _object(value: str) -> str:
-    return f"try_cast({value} as map<string, variant>)"
+def _is(kind: str, value: str) -> str:
+    """Whether a variant is an OBJECT or an ARRAY. The type text spans the whole value, so it is asked for last."""
+    return f"coalesce(schema_of_variant({value}) like '{kind}%', false)"
+
+
+def _field(value: str, name: str) -> str:
+    return f"try_variant_get({value}, '$.{name}', 'variant')"
+
+
+def _entries(rows: DataFrame, column: str, position: str, key: str, value: str, outer: bool = False) -> DataFrame:
+    """One row per member of an object or array; ``outer`` keeps rows that have none, with nulls."""
+    explode = rows.sparkSession.tvf.variant_explode_outer if outer else rows.sparkSession.tvf.variant_explode
+    names = [*rows.columns, position, key, value]
+    return rows.lateralJoin(explode(F.col(column).outer())).toDF(*names).drop(column)
 
 
 def _text(value: str) -> str:
@@ -147,11 +159,11 @@ def parse_documents(raw: DataFrame) -> DataFrame:
         "*",
         "try_variant_get(_json, '$.cik', 'string') as _cik_text",
         "try_variant_get(_json, '$.tickers[0]', 'variant') as _ticker",
-        "try_variant_get(_json, '$.entityName', 'variant') as _name",
-        f"{_object('try_variant_get(_json, {0})'.format(repr('$.facts')))} is not null as _has_facts",
+        f"{_field('_json', 'entityName')} as _name",
+        f"{_field('_json', 'facts')} as _facts",
     )
     documents = known.withColumn("cik", normalize_cik("_cik_text")).selectExpr(
-        "_json",
+        "_facts",
         "retrieved_at",
         "cik",
         "concat('cik:', cik) as entity_id",
@@ -159,30 +171,22 @@ def parse_documents(raw: DataFrame) -> DataFrame:
         f"{_text('_name')} as entity_name",
         "case when _json is null then 'document is not strict JSON' "
         "when cik is null then 'company-facts payload is missing a valid cik' end as document_problem",
-        "_has_facts",
     )
     return computed(documents)
 
 
 def _concept_rows(documents: DataFrame) -> DataFrame:
-    """One row per document and known concept that is present, found by path lookup.
-
-    The documents hold several hundred concepts; only the mapped ones are ever extracted.
-    """
-    entries = ", ".join(
-        f"named_struct('rule', {i}, 'taxonomy', '{taxonomy}', 'concept', '{concept}', 'name', '{name}', "
-        f"'kind', '{kind}', 'priority', {priority}, 'absolute', {str(absolute).lower()}, "
-        f"'payload', try_variant_get(_json, '$.facts[\"{taxonomy}\"][\"{concept}\"]', 'variant'))"
-        for i, (taxonomy, concept, name, kind, priority, absolute) in enumerate(RULES)
-    )
-    return documents.selectExpr(
-        "cik",
-        "entity_id",
-        "ticker",
-        "entity_name",
-        "retrieved_at",
-        f"inline(filter(array({entries}), r -> r.payload is not null))",
+    """One row per document and known concept: the facts object is walked once and its members meet the rule table."""
+    rules = documents.sparkSession.createDataFrame(
+        [(i, *rule) for i, rule in enumerate(RULES)],
+        "rule int, taxonomy string, concept string, name string, kind string, priority int, absolute boolean",
     )
+    wanted = documents.select("cik", "entity_id", "ticker", "entity_name", "retrieved_at", "_facts")
+    taxonomies = ", ".join(sorted({f"'{taxonomy}'" for taxonomy, *_ in RULES}))
+    members = _entries(wanted, "_facts", "_at", "taxonomy", "_concepts").drop("_at").where(f"taxonomy in ({taxonomies})")
+    concepts = _entries(members, "_concepts", "_at", "concept", "payload").drop("_at")
+    # The rules are a fixed table of a few rows.
+    return concepts.join(F.broadcast(rules), ["taxonomy", "concept"])
 
 
 def _issue(code: str, path: str, message: str) -> str:
@@ -203,32 +207,31 @@ def _fact_rows(concepts: DataFrame) -> DataFrame:
     opened = concepts.selectExpr(
         "* except (payload)",
         "concat('facts.', taxonomy, '.', concept) as base_path",
-        f"{_object('payload')} as _concept",
-    ).selectExpr(
-        "*",
-        f"{_object(chr(95) + 'concept[' + repr('units') + ']')} as _units",
-        f"{_text(chr(95) + 'concept[' + repr('label') + ']')} as label",
+        f"{_field('payload', 'units')} as _units",
+        f"{_text(_field('payload', 'label'))} as label",
+        f"if({_field('payload', 'units')} is null, {_is('OBJECT', 'payload')}, true) as _is_concept",
     )
-    flagged = opened.selectExpr(
-        "* except (_concept)",
-        "case when _concept is null then "
+    units = _entries(opened.withColumn("_whole", F.col("_units")), "_units", "_at", "provider_unit", "_facts", outer=True)
+    # Without a key, units are empty or no object; the members of an array would tell so once each.
+    once = units.where("provider_unit is not null or coalesce(_at, 0) = 0").selectExpr(
+        "* except (_whole, _is_concept, _at)",
+        "case when provider_unit is not null then "
+        + _NO_ISSUE
+        + " when not _is_concept then "
         + _issue("invalid_concept", "base_path", "'known concept payload must be an object'")
-        + " when _units is null then "
+        + f" when not {_is('OBJECT', '_whole')} then "
         + _issue("invalid_units", "concat(base_path, '.units')", "'units must be an object'")
         + f" else {_NO_ISSUE} end as issue",
-    )
-    units = flagged.selectExpr("* except (_units)", "explode_outer(_units) as (provider_unit, _facts)")
+    ).where("issue is not null or provider_unit is not null")
     unit_path = "concat(base_path, '.units.', provider_unit)"
-    typed = (
-        units.withColumn("unit", parse_unit("provider_unit"))
-        .selectExpr("* except (_facts)", "try_cast(_facts as array<variant>) as _list")
-        .where("issue is not null or provider_unit is not null")
-    )
-    typed = typed.selectExpr(
+    typed = once.withColumn("unit", parse_unit("provider_unit")).selectExpr(
         "* except (issue)",
         f"{unit_path} as unit_path",
         _flag(
-            ("_list is null", _issue("invalid_unit_facts", unit_path, "'unit facts must be an array'")),
+            (
+                f"not if(try_variant_get(_facts, '$[0]', 'variant') is null, {_is('ARRAY', '_facts')}, true)",
+                _issue("invalid_unit_facts", unit_path, "'unit facts must be an array'"),
+            ),
             (
                 "unit is null or unit.kind <> kind",
                 _issue(
@@ -239,22 +242,19 @@ def _fact_rows(concepts: DataFrame) -> DataFrame:
             ),
         ),
     )
-    facts = typed.selectExpr(
-        "* except (_list)",
-        "posexplode_outer(case when issue is null then _list end) as (position, _fact)",
-    ).where("issue is not null or _fact is not null")
-    return facts.selectExpr("* except (_fact)", f"{_object('_fact')} as _f", "_fact is not null as _is_fact")
+    listed = typed.withColumn("_facts", F.when(F.col("issue").isNull(), F.col("_facts")))
+    facts = _entries(listed, "_facts", "position", "_key", "_fact", outer=True).drop("_key")
+    return facts.where("issue is not null or _fact is not null")
 
 
-def _field(name: str) -> str:
-    return f"_f['{name}']"
+_FACT_FIELDS = ("form", "accn", "frame", "filed", "end", "start", "fy", "fp", "val", "decimals")
 
 
 def _judged_facts(facts: DataFrame, forms: Sequence[str]) -> DataFrame:
     """Typed fact fields, the issue of a bad fact, and no rows of other forms."""
-    f = _field
+    f = "_v_{}".format
     allowed = ", ".join(f"'{x.strip().upper()}'" for x in forms)
-    typed = facts.selectExpr(
+    typed = facts.selectExpr("*", *[f"{_field('_fact', name)} as {f(name)}" for name in _FACT_FIELDS]).selectExpr(
         "*",
         f"upper({_text(f('form'))}) as form",
         f"{_text(f('accn'))} as accession",
@@ -280,9 +280,9 @@ def _judged_facts(facts: DataFrame, forms: Sequence[str]) -> DataFrame:
     bad = lambda code, message: _issue(code, "fact_path", message)
     out_of_range = "abs(reported_value) = double('infinity') or isnan(reported_value)"
     judged = dated.selectExpr(
-        "* except (issue, _f, _filed, _end, _start)",
+        f"* except (issue, _fact, _filed, _end, _start, {', '.join(map(f, _FACT_FIELDS))})",
         _flag(
-            ("_f is null", bad("invalid_fact", "'fact must be an object'")),
+            (f"form is null and not {_is('OBJECT', '_fact')}", bad("invalid_fact", "'fact must be an object'")),
             ("form is null", bad("missing_form", "'fact is missing its filing form'")),
             (f"form not in ({allowed})", _NO_ISSUE),
             ("accession is null", bad("missing_accession", "'fact is missing its accession number'")),
@@ -380,7 +380,7 @@ def normalize_company_facts(
     """
     if not forms or any(not f.strip() for f in forms):
         raise ValueError("forms must contain at least one non-empty form name")
-    documents = parse_documents(raw)
+    documents = parse_documents(spread(raw))
     usable = documents.where("document_problem is null")
     facts = settle(_judged_facts(_fact_rows(_concept_rows(usable)), forms))
     records = latest_restatements(_records(facts.where("issue is null")))
@@ -393,7 +393,7 @@ def normalize_company_facts(
         "document_problem as message",
         "cast(0 as bigint) as ord",
     )
-    no_facts = documents.where("document_problem is null and not _has_facts").selectExpr(
+    no_facts = documents.where(f"document_problem is null and not {_is('OBJECT', '_facts')}").selectExpr(
         "entity_id",
         "'invalid_facts' as code",
         "'facts' as provider_path",

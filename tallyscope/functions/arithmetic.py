@@ -13,11 +13,10 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyscope.functions.numeric import (
+    array_total,
     as_column,
     check_precision,
     exact_sum,
-    joined_total,
-    whole_and_rest,
     finite_or_null,
     is_finite,
     null_double,
@@ -66,20 +65,9 @@ def _usable(values: Column) -> Column:
     return (F.size(values) > 0) & F.forall(values, is_finite)
 
 
-def _array_total(values: Column) -> Column:
-    def total(part: int, kind: str) -> Column:
-        return F.aggregate(
-            F.transform(values, lambda v: whole_and_rest(v)[part]),
-            F.lit(0).cast(kind),
-            lambda sofar, v: F.try_add(sofar, v).try_cast(kind),
-        )
-
-    return joined_total(total(0, "decimal(38,0)"), total(1, "decimal(37,18)"))
-
-
 def array_sum(values: Column | str) -> Column:
     xs = as_column(values).cast("array<double>")
-    return F.when(_usable(xs), _array_total(xs))
+    return F.when(_usable(xs), array_total(xs))
 
 
 def array_product(values: Column | str) -> Column:
@@ -104,8 +92,8 @@ def array_weighted_average(values: Column | str, weights: Column | str) -> Colum
     xs = as_column(values).cast("array<double>")
     ws = as_column(weights).cast("array<double>")
     ok = _usable(xs) & (F.size(xs) == F.size(ws)) & F.forall(ws, lambda w: is_finite(w) & (w >= 0))
-    weighted = _array_total(F.zip_with(xs, ws, lambda x, w: x * w))
-    return finite_or_null(F.when(ok, F.try_divide(weighted, _array_total(ws))))
+    weighted = array_total(F.zip_with(xs, ws, lambda x, w: x * w))
+    return finite_or_null(F.when(ok, F.try_divide(weighted, array_total(ws))))
 
 
 def grouped_sum(value: Column | str) -> Column:
@@ -122,6 +110,7 @@ def grouped_product(value: Column | str) -> Column:
 
 
 def grouped_median(value: Column | str) -> Column:
+    """One aggregate that counts the distinct values of a group in memory; ``ordering.medians`` has no such bound."""
     return F.median(as_column(value))
 
 
@@ -184,7 +173,7 @@ def _undefined_reason(operation: str, arguments: Sequence[Column]) -> Column:
         return (
             reason.when(F.size(values) != F.size(weights), "values and weights must have equal length")
             .when(F.exists(weights, lambda w: w < 0), "weights must be non-negative")
-            .when(_array_total(weights.cast("array<double>")) == 0, "weights must sum to more than zero")
+            .when(array_total(weights.cast("array<double>")) == 0, "weights must sum to more than zero")
         )
     return reason
 

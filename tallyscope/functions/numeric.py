@@ -58,30 +58,76 @@ def is_finite_sql(expression: str) -> str:
     return f"({expression} is not null and not isnan({expression}) and abs({expression}) < double('infinity'))"
 
 
-def exact_sum(value: Column | str) -> Column:
-    """Order-independent grouped sum: whole numbers and 18 decimal places are added apart, both exactly.
-
-    Partial sums combine on the map side. Sums that need more than 38 whole digits are null.
-    """
-    whole, rest = whole_and_rest(as_column(value).cast("double"))
-    return joined_total(F.try_sum(whole), F.try_sum(rest))
+#: Doubles that are decimals of at most six places are counted in millionths, as two long parts.
+_PLACES, _MILLION, _LOW_BITS = 1e9, 1e6, 26
+#: Other doubles by size: least, bound, and the decimal that keeps all digits of their text and has room for sums. Doubles
+#: from 2**53 on are whole numbers.
+_BANDS = ((1e-9, 1e8, "decimal(38,18)"), (1e8, 1e16, "decimal(38,9)"), (1e16, 1e33, "decimal(38,0)"))
 
 
-def whole_and_rest(x: Column) -> tuple[Column, Column]:
-    """A double as two decimals: its whole number and what is left of its shortest text. Doubles beyond 20 whole digits
-    have nothing left."""
-    exact = x.try_cast(_EXACT)
-    # The types keep all 18 places: a remainder by 1 has one whole digit, floor and ceiling have none after the point.
-    toward_zero = F.when(x >= 0, F.floor(exact)).otherwise(F.ceil(exact)).cast("decimal(38,0)")
-    whole = F.coalesce(toward_zero, x.try_cast("decimal(38,0)"))
-    none = F.when(whole.isNotNull(), F.lit(0).cast("decimal(19,18)"))
-    return whole, F.coalesce(exact % F.lit(1).cast("decimal(1,0)"), none)
+def exact_sum(value: Column | str) -> Column:
+    """Grouped sum of the decimal texts of doubles; does not depend on their order. Null where nothing is added.
 
+    A double that is the nearest one to a number of millionths is added as that whole number, in generated code; its
+    text has at most 15 digits, so no other short decimal is meant. Any other double is added as a decimal of its
+    band. Only values under 1e-9 and from 1e33 on, and sums that no decimal holds, are added as doubles.
+    """
+    x = as_column(value).cast("double")
+    size = F.abs(x)
+    units = F.rint(x * _MILLION)
+    short = F.coalesce((size < _PLACES) & (units / _MILLION == x), F.lit(False))
+    whole = F.when(short, units.cast("bigint"))
+    high, low = F.try_sum(F.shiftright(whole, _LOW_BITS)), F.try_sum(whole.bitwiseAND((1 << _LOW_BITS) - 1))
+    inside = [~short & (size >= least) & (size < bound) for least, bound, _ in _BANDS]
+    sums = [F.try_sum(F.when(where, x.try_cast(kind))) for where, (_, _, kind) in zip(inside, _BANDS)]
+    other = F.sum(F.when(~(short | inside[0] | inside[1] | inside[2]), x))
+    overflow = (F.count(whole) > 0) & (high.isNull() | low.isNull())
+    for where, total in zip(inside, sums):
+        overflow = overflow | ((F.count_if(where) > 0) & total.isNull())
+    counted = (high.cast("decimal(19,0)") * F.lit(1 << _LOW_BITS).cast("decimal(8,0)") + low.cast("decimal(19,0)")).cast(
+        "decimal(32,0)"
+    ) * F.lit("0.000001").cast("decimal(7,6)")
+    exact = _added(F.coalesce(counted, F.lit(0).cast("decimal(38,6)")), *[F.coalesce(s, F.lit(0).cast(b[2])) for s, b in zip(sums, _BANDS)])
+    total = F.when(overflow, F.sum(x)).otherwise(exact + F.coalesce(other, F.lit(0.0)))
+    return F.when(F.count(x) > 0, finite_or_null(total))
+
+
+def _added(millionths: Column, small: Column, middle: Column, large: Column) -> Column:
+    """Exact sums of the bands as one double: one decimal where it has room for all of them."""
+    near = F.try_add(millionths.try_cast("decimal(24,6)"), small.try_cast("decimal(36,18)"))
+    far = F.try_add(middle.try_cast("decimal(27,9)"), large.try_cast("decimal(18,0)"))
+    joined = F.try_add(near.cast("decimal(37,18)"), far.try_cast("decimal(28,9)"))
+    parts = [part.cast("double") for part in (large, middle, millionths, small)]
+    return F.coalesce(joined.cast("double"), parts[0] + parts[1] + parts[2] + parts[3])
+
+
+def array_total(values: Column) -> Column:
+    """Sum of the decimal texts of the doubles in an array, as :func:`exact_sum`; an array needs no short way."""
+    kinds = ("decimal(38,18)", "decimal(38,0)")
+
+    def band(v: Column) -> list[Column]:
+        size = F.abs(v)
+        small, large = (size >= 1e-9) & (size < 1e16), (size >= 1e16) & (size < 1e33)
+        own = [F.when(where, v.try_cast(kind)) for where, kind in zip((small, large), kinds)]
+        return [*own, F.when(~(small | large), v)]
+
+    start = F.struct(
+        *[F.lit(0).cast(kind).alias(name) for kind, name in zip(kinds, ("small", "large"))], F.lit(0.0).alias("other"), F.lit(0.0).alias("plain")
+    )
 
-def joined_total(whole: Column, rest: Column) -> Column:
-    """Both parts as one double; the exact decimal where it has room."""
-    exact = F.try_add(whole.try_cast("decimal(19,0)"), rest.try_cast("decimal(37,18)"))
-    return F.coalesce(exact.cast("double"), whole.cast("double") + rest.cast("double"))
+    def add(sofar: Column, v: Column) -> Column:
+        small, large, other = band(v)
+        return F.struct(
+            F.try_add(sofar["small"], F.coalesce(small, F.lit(0).cast(kinds[0]))).try_cast(kinds[0]).alias("small"),
+            F.try_add(sofar["large"], F.coalesce(large, F.lit(0).cast(kinds[1]))).try_cast(kinds[1]).alias("large"),
+            (sofar["other"] + F.coalesce(other, F.lit(0.0))).alias("other"),
+            (sofar["plain"] + v).alias("plain"),
+        )
+
+    total = F.aggregate(values, start, add)
+    exact = F.try_add(total["small"].try_cast("decimal(37,18)"), total["large"].try_cast("decimal(19,0)"))
+    apart = total["small"].cast("double") + total["large"].cast("double")
+    return finite_or_null(F.coalesce(F.coalesce(exact.cast("double"), apart) + total["other"], total["plain"]))
 
 
 _FRACTION_BITS = 59

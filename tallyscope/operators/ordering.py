@@ -34,13 +34,11 @@ def _preceding(blocks: DataFrame, keys: Sequence[str], measure: str, out: str) -
     )
 
 
-def value_ranks(rows: DataFrame, keys: Sequence[str], criterion: str, value: str) -> DataFrame:
-    """Tie-aware average rank of every distinct value, ascending, per ``keys`` and ``criterion``.
+def _value_spans(rows: DataFrame, group: Sequence[str], value: str) -> DataFrame:
+    """``_first`` and ``_last`` position of every distinct value in its group, ascending, and the group's ``_total``.
 
-    Returns keys, criterion, value, ``average_rank`` and ``population``. Rows are counted per distinct value first, so a
-    value shared by a large part of the table is one row afterwards. A null key is a group of its own.
+    Rows are counted per distinct value first, so a value shared by a large part of the table is one row afterwards.
     """
-    group = [*keys, criterion]
     counted = rows.groupBy(*group, value).agg(F.count(F.lit(1)).alias("_n"))
     placed = settle(counted.repartitionByRange(*group, value).withColumn("_block", F.spark_partition_id()))
     inside = Window.partitionBy(*group, "_block").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
@@ -48,15 +46,38 @@ def value_ranks(rows: DataFrame, keys: Sequence[str], criterion: str, value: str
     totals = placed.groupBy(*group, "_block").agg(F.sum("_n").alias("_block_n"))
     offsets = _preceding(totals, group, "_block_n", "_before").drop("_block_n")
     last = F.col("_before") + F.col("_through")
-    first = last - F.col("_n") + 1
     return join_null_safe(running, offsets, [*group, "_block"]).select(
+        *group, value, (last - F.col("_n") + 1).alias("_first"), last.alias("_last"), "_total"
+    )
+
+
+def value_ranks(rows: DataFrame, keys: Sequence[str], criterion: str, value: str) -> DataFrame:
+    """Tie-aware average rank of every distinct value, ascending, per ``keys`` and ``criterion``.
+
+    Returns keys, criterion, value, ``average_rank`` and ``population``. A null key is a group of its own.
+    """
+    group = [*keys, criterion]
+    return _value_spans(rows, group, value).select(
         *group,
         value,
-        ((first + last) / F.lit(2.0)).alias("average_rank"),
+        ((F.col("_first") + F.col("_last")) / F.lit(2.0)).alias("average_rank"),
         F.col("_total").alias("population"),
     )
 
 
+def medians(rows: DataFrame, keys: Sequence[str], value: str, out: str = "median") -> DataFrame:
+    """Exact median of the non-null values of every group, with the number of values (``population``).
+
+    The positions of all distinct values come from their ranges; only the one or two that cover the middle go on. No task
+    and no aggregation buffer holds the values of a group.
+    """
+    spans = _value_spans(rows.where(F.col(value).isNotNull()), keys, value)
+    lower, upper = (F.floor((F.col("_total") + k) / 2) for k in (1, 2))
+    middle = spans.where(lower.between(F.col("_first"), F.col("_last")) | upper.between(F.col("_first"), F.col("_last")))
+    both = (F.min(value) + F.max(value)) / F.lit(2.0)
+    return middle.groupBy(*keys).agg(both.alias(out), F.max("_total").alias("population"))
+
+
 def ordinal(df: DataFrame, order: Sequence[Column], out: str, keys: Sequence[str] = ()) -> DataFrame:
     """Append the 1-based position under ``order`` (ascending columns that form a unique key).
 

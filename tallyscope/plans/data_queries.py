@@ -236,6 +236,143 @@ def company_fact_issues(spark: SparkSession, folder: str) -> DataFrame:
     return issues.groupBy("entity_id", "code").agg(F.count(F.lit(1)).alias("issues"))
 
 
+# One document per customer that holds every known concept once: value customer key + position in the rule table.
+_UNIT_OF = {"currency": "USD", "shares": "shares", "currency_per_share": "USD/shares", "ratio": "pure"}
+
+
+def _concept_documents(spark: SparkSession, folder: str) -> DataFrame:
+    taxonomies: dict[str, list[str]] = {}
+    for i, (taxonomy, concept, _, kind, _, absolute) in enumerate(cf.RULES):
+        sign = "-" if absolute else ""
+        taxonomies.setdefault(taxonomy, []).append(
+            f"""'"{concept}":{{"label":"L{i}","units":{{"{_UNIT_OF[kind]}":[{{"val":{sign}', c_custkey + {i},"""
+            f"""',"start":"2023-01-01","end":"2023-12-31","fy":2023,"fp":"FY","form":"10-K","filed":"2024-02-01","accn":"a-{i}"}}]}}}}'"""
+        )
+    facts = ", ',', ".join(
+        f"""'"{taxonomy}":{{', """ + ", ',', ".join(members) + ", '}'" for taxonomy, members in taxonomies.items()
+    )
+    return t.table(spark, folder, "customer").selectExpr(
+        f"""concat('{{"cik":', c_custkey, ',"facts":{{"other":{{"Unknown":{{}}}},', {facts}, '}}}}') as document""",
+        "timestamp'2025-03-01' as retrieved_at",
+    )
+
+
+@query(
+    "company_concepts",
+    """
+    select 'cik:' || lpad(cast(c_custkey as varchar), 10, '0') as entity_id, name, cast(c_custkey + nth as double) as value, kind, symbol,
+      concept, label
+    from customer, (values
+      ('revenue', 0, 'currency', 'USD', 'RevenueFromContractWithCustomerExcludingAssessedTax', 'L0'),
+      ('cost_of_revenue', 3, 'currency', 'USD', 'CostOfRevenue', 'L3'),
+      ('gross_profit', 6, 'currency', 'USD', 'GrossProfit', 'L6'),
+      ('operating_income', 7, 'currency', 'USD', 'OperatingIncomeLoss', 'L7'),
+      ('net_income', 8, 'currency', 'USD', 'NetIncomeLoss', 'L8'),
+      ('operating_cash_flow', 9, 'currency', 'USD', 'NetCashProvidedByUsedInOperatingActivities', 'L9'),
+      ('capital_expenditures', 10, 'currency', 'USD', 'PaymentsToAcquirePropertyPlantAndEquipment', 'L10'),
+      ('current_assets', 11, 'currency', 'USD', 'AssetsCurrent', 'L11'),
+      ('current_liabilities', 12, 'currency', 'USD', 'LiabilitiesCurrent', 'L12'),
+      ('cash_and_equivalents', 13, 'currency', 'USD', 'CashAndCashEquivalentsAtCarryingValue', 'L13'),
+      ('total_debt', 14, 'currency', 'USD', 'DebtAndFinanceLeaseObligations', 'L14'),
+      ('current_debt', 17, 'currency', 'USD', 'LongTermDebtAndFinanceLeaseObligationsCurrent', 'L17'),
+      ('short_term_debt', 19, 'currency', 'USD', 'ShortTermBorrowings', 'L19'),
+      ('long_term_debt', 20, 'currency', 'USD', 'LongTermDebtAndFinanceLeaseObligationsNoncurrent', 'L20'),
+      ('shareholders_equity', 22, 'currency', 'USD', 'StockholdersEquity', 'L22'),
+      ('total_assets', 24, 'currency', 'USD', 'Assets', 'L24'),
+      ('accounts_receivable', 25, 'currency', 'USD', 'AccountsReceivableNetCurrent', 'L25'),
+      ('inventory', 26, 'currency', 'USD', 'InventoryNet', 'L26'),
+      ('accounts_payable', 27, 'currency', 'USD', 'AccountsPayableCurrent', 'L27'),
+      ('interest_expense', 28, 'currency', 'USD', 'InterestExpenseNonOperating', 'L28'),
+      ('income_tax_expense', 29, 'currency', 'USD', 'IncomeTaxExpenseBenefit', 'L29'),
+      ('income_before_tax', 30, 'currency', 'USD', 'IncomeLossFromContinuingOperationsBeforeIncomeTaxesExtraordinaryItemsNoncontrollingInterest', 'L30'),
+      ('depreciation_and_amortization', 32, 'currency', 'USD', 'DepreciationDepletionAndAmortization', 'L32'),
+      ('diluted_shares_outstanding', 34, 'shares', 'shares', 'WeightedAverageNumberOfDilutedSharesOutstanding', 'L34'),
+      ('earnings_per_share', 35, 'currency_per_share', 'USD', 'EarningsPerShareDiluted', 'L35'),
+      ('dividends_paid', 36, 'currency', 'USD', 'PaymentsOfDividends', 'L36'),
+      ('dividends_per_share', 38, 'currency_per_share', 'USD', 'CommonStockDividendsPerShareDeclared', 'L38'),
+      ('effective_tax_rate', 39, 'ratio', 'pure', 'EffectiveIncomeTaxRateContinuingOperations', 'L39'),
+      ('preferred_stock', 40, 'currency', 'USD', 'PreferredStocksIncludingAdditionalPaidInCapital', 'L40'),
+      ('minority_interest', 41, 'currency', 'USD', 'MinorityInterest', 'L41'),
+      ('shares_outstanding', 42, 'shares', 'shares', 'EntityCommonStockSharesOutstanding', 'L42')
+    ) as r(name, nth, kind, symbol, concept, label)""",
+)
+def company_concepts(spark: SparkSession, folder: str) -> DataFrame:
+    """All concepts of the rule table in every document; one preferred concept for each name is left."""
+    observations = cf.normalize_company_facts(_concept_documents(spark, folder)).observations
+    return observations.select(
+        "entity_id",
+        "name",
+        "value",
+        F.col("unit.kind").alias("kind"),
+        F.col("unit.symbol").alias("symbol"),
+        F.get_json_object("metadata", "$.concept").alias("concept"),
+        F.get_json_object("metadata", "$.label").alias("label"),
+    )
+
+
+# Faults of a company-facts document by customer key: the text that stands for the facts, and the issue it must give.
+_GOOD_FACT = '{"val":1,"end":"2023-12-31","filed":"2024-02-01","form":"10-K","accn":"a"}'
+
+
+def _with_fact(fact: str, unit: str = "USD") -> str:
+    return '{"us-gaap":{"Assets":{"units":{"' + unit + '":[' + fact + "]}}}}"
+
+
+def _changed(old: str, new: str) -> str:
+    return _with_fact(_GOOD_FACT.replace(old, new))
+
+
+_FACT_FAULTS = (
+    (_with_fact(_GOOD_FACT), None, None),
+    ("[]", "invalid_facts", "facts must be an object"),
+    ('{"us-gaap":{"Assets":[]}}', "invalid_concept", "known concept payload must be an object"),
+    ('{"us-gaap":{"Assets":{"units":[1,2]}}}', "invalid_units", "units must be an object"),
+    ('{"us-gaap":{"Assets":{"label":"x"}}}', "invalid_units", "units must be an object"),
+    ('{"us-gaap":{"Assets":{"units":{}}}}', None, None),
+    ('{"us-gaap":{"Assets":{"units":{"USD":{"a":1,"b":2}}}}}', "invalid_unit_facts", "unit facts must be an array"),
+    ('{"us-gaap":{"Assets":{"units":{"USD":[]}}}}', None, None),
+    (_with_fact(_GOOD_FACT, "shares"), "unsupported_unit", "'shares' is not valid for canonical metric total_assets"),
+    (_with_fact("7"), "invalid_fact", "fact must be an object"),
+    (_changed(',"form":"10-K"', ""), "missing_form", "fact is missing its filing form"),
+    (_changed('"10-K"', '"8-K"'), None, None),
+    (_changed('"accn":"a"', '"accn":" "'), "missing_accession", "fact is missing its accession number"),
+    (_changed("2024-02-01", "2024-02-30"), "invalid_fact", "filed must be an ISO date"),
+    (_changed('"end":"2023-12-31"', '"end":20231231'), "invalid_fact", "end must be an ISO date"),
+    (_changed('"end"', '"start":"2023","end"'), "invalid_fact", "start must be an ISO date"),
+    (_changed('"end"', '"start":"2024-01-01","end"'), "invalid_fact", "period start must not be after period end"),
+    (_changed('"end"', '"fy":"x","end"'), "invalid_fact", "fy must be a four-digit year"),
+    (_changed('"end"', '"fy":99,"end"'), "invalid_fact", "fiscal_year must be a four-digit year"),
+    (_changed('"end"', '"fp":"abcdefghijklmnopq","end"'), "invalid_fact", "fiscal_period must contain between 1 and 16 characters"),
+    (_changed('"val":1', '"val":"1"'), "invalid_fact", "val must be a finite JSON number"),
+    (_changed('"val":1', '"val":1,"val":2'), "invalid_document", "document is not strict JSON"),
+    (_changed('"val":1', '"val":NaN'), "invalid_document", "document is not strict JSON"),
+)
+
+
+def _quoted(value: str | None) -> str:
+    return "cast(null as varchar)" if value is None else "'" + value.replace("'", "''") + "'"
+
+
+@query(
+    "fact_faults",
+    "with faults as (select * from (values "
+    + ", ".join(f"({i}, {_quoted(code)}, {_quoted(message)})" for i, (_, code, message) in enumerate(_FACT_FAULTS))
+    + f""") as f(nth, code, message))
+    select 'cik:' || lpad(cast(c_custkey as varchar), 10, '0') as entity_id, code, message
+    from customer join faults on nth = c_custkey % {len(_FACT_FAULTS)} and code is not null and code <> 'invalid_document'
+    union all select null, code, message from customer join faults on nth = c_custkey % {len(_FACT_FAULTS)} and code = 'invalid_document'""",
+)
+def fact_faults(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents with every kind of fault, each of which must give its issue and nothing else."""
+    texts = F.array(*[F.lit(text) for text, _, _ in _FACT_FAULTS])
+    facts = F.element_at(texts, (F.col("c_custkey") % len(_FACT_FAULTS) + 1).cast("int"))
+    raw = t.table(spark, folder, "customer").select(
+        F.concat(F.lit('{"cik":'), F.col("c_custkey").cast("string"), F.lit(',"facts":'), facts, F.lit("}")).alias("document"),
+        F.expr("timestamp'2025-03-01'").alias("retrieved_at"),
+    )
+    return cf.normalize_company_facts(raw).issues.select("entity_id", "code", "message")
+
+
 @query(
     "cik_normalize",
     """select c_custkey, lpad(cast(c_custkey as varchar), 10, '0') as cik, cast(null as varchar) as from_name,

@@ -13,6 +13,7 @@ from tallyscope.operators import market as mk
 from tallyscope.operators import ranking as rk
 from tallyscope.operators import screen as sc
 from tallyscope.operators.metrics import METRICS, add_metrics, metrics_long
+from tallyscope.operators.ordering import medians
 from tallyscope.plans import tables as t
 from tallyscope.plans.tables import half_even_sql as R
 from tallyscope.session import settle
@@ -54,6 +55,17 @@ def arith_grouped(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query(
+    "grouped_medians",
+    """select l_returnflag, quantile_cont(l_extendedprice, 0.5) as median_price, count(l_extendedprice) as prices
+    from lineitem group by 1""",
+)
+def grouped_medians(spark: SparkSession, folder: str) -> DataFrame:
+    """Exact medians of a few very large groups of mostly distinct values."""
+    found = medians(t.table(spark, folder, "lineitem"), ["l_returnflag"], "l_extendedprice", "median_price")
+    return found.select("l_returnflag", "median_price", F.col("population").alias("prices"))
+
+
 @query(
     "arith_product",
     f"select l_orderkey, {R('product(1 + l_tax)')} as tax_factor from lineitem group by l_orderkey",

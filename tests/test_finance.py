@@ -1,4 +1,7 @@
+import random
+import statistics
 from datetime import date, timedelta
+from decimal import Decimal, localcontext
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,6 +10,7 @@ from tallyscope.functions import arithmetic as A
 from tallyscope.functions.numeric import one_decimal_text, round_half_even
 from tallyscope.operators import forecast as fc
 from tallyscope.operators import market as mk
+from tallyscope.operators.ordering import medians
 from tallyscope.operators.metrics import FACT_NAMES, METRIC_NAMES, add_metrics, metrics_long, pivot_facts
 
 
@@ -235,3 +239,59 @@ def test_drawdown_matches_loop_across_blocks(spark):
     df = spark.createDataFrame(rows, "id string, d date, r double").repartition(5)
     got = mk.market_statistics(df, ["id"], "d", "r", 12, kind="returns", precision=9)
     assert {r["id"]: r["max_drawdown"] for r in got.collect()} == pytest.approx(expected, abs=2e-9)
+
+
+SUMS = {
+    "cents": [0.1] * 10 + [2.345, -7.25],
+    "huge": [1e300, 1.0],
+    "cancel": [1e300, 1.0, -1e300],
+    "mixed": [1e20, 0.5, -1e20, 12345678.123456789, -3.25],
+    "tiny": [1e-20] * 3,
+    "places": [1 / 3, 2 / 3, 1e-7, -0.0000005, 0.68 + 1e-16],
+    "wide": [123456789012.123, 1e15 + 0.125, 9007199254740993.0, 1e18, -1e18],
+    "edges": [1e9, 999999999.999999, -1e8, 1e16, 1e-9, 9.99e-10],
+    "alone": [-0.0],
+}
+
+
+def test_sums_of_any_size(spark):
+    rows = [(name, float(v)) for name, values in SUMS.items() for v in values] + [("none", None)]
+    frame = spark.createDataFrame(rows, "g string, v double").repartition(3)
+    grouped = {r["g"]: r for r in frame.groupBy("g").agg(A.grouped_sum("v").alias("s"), A.grouped_mean("v").alias("m")).collect()}
+    arrays = spark.createDataFrame([(k, v) for k, v in SUMS.items()], "g string, v array<double>")
+    whole = {r["g"]: r["s"] for r in arrays.select("g", A.array_sum("v").alias("s")).collect()}
+    for name, values in SUMS.items():
+        with localcontext() as context:
+            context.prec = 700
+            exact = float(sum((Decimal(repr(v)) for v in values), Decimal(0)))
+        assert grouped[name]["s"] == pytest.approx(exact, rel=1e-15, abs=0), name
+        assert whole[name] == pytest.approx(exact, rel=1e-15, abs=0), name
+        assert grouped[name]["m"] == pytest.approx(exact / len(values), rel=1e-15, abs=0), name
+    assert grouped["none"]["s"] is None and grouped["none"]["m"] is None
+    weights = spark.createDataFrame([(2.0, 1e-20), (4.0, 1e-20)], "v double, w double")
+    assert weights.agg(A.grouped_weighted_average("v", "w")).first()[0] == pytest.approx(3.0)
+    bad = spark.createDataFrame([(float("nan"),), (1.0,)], "v double")
+    assert bad.agg(A.grouped_sum("v")).first()[0] is None
+
+
+def test_sum_does_not_depend_on_order(spark):
+    rng = random.Random(4)
+    values = [rng.choice([rng.uniform(-1, 1), rng.uniform(-1e12, 1e12), round(rng.uniform(-1e6, 1e6), 2)]) for _ in range(3000)]
+    exact = float(sum((Decimal(repr(v)) for v in values), Decimal(0)))
+    for seed in range(3):
+        random.Random(seed).shuffle(values)
+        frame = spark.createDataFrame([(v,) for v in values], "v double").repartition(5 + seed)
+        assert frame.agg(A.grouped_sum("v")).first()[0] == exact
+
+
+def test_medians_without_a_group_in_one_task(spark):
+    rng = random.Random(6)
+    rows = [("hot", rng.choice([round(rng.gauss(0, 50), 1), 7.0])) for _ in range(4000)]
+    rows += [("two", 1.0), ("two", 4.0), ("one", -2.5), (None, 3.0), (None, 5.0), (None, 3.0), ("two", None), ("nulls", None)]
+    frame = spark.createDataFrame(rows, "g string, v double").repartition(6)
+    found = {r["g"]: (r["median"], r["population"]) for r in medians(frame, ["g"], "v").collect()}
+    expected = {}
+    for name in {r[0] for r in rows} - {"nulls"}:
+        values = [v for g, v in rows if g == name and v is not None]
+        expected[name] = (statistics.median(values), len(values))
+    assert found == expected

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from itertools import groupby
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -68,3 +69,28 @@ def per_entity(df: DataFrame, keys: Sequence[str], analyze: Callable, schema) ->
     to the selected observations first.
     """
     return df.groupBy(*keys).applyInPandas(analyze, schema)
+
+
+def per_entity_in_order(df: DataFrame, keys: Sequence[str], order: Sequence[str], analyze: Callable, schema) -> DataFrame:
+    """Run a user's function on the rows of each entity in order, a frame at a time.
+
+    ``analyze(key, frames)`` gets the key values as a tuple (nulls as None) and an iterator of frames, and yields frames. No frame
+    is a whole entity unless it fits one Arrow batch, so an entity may be larger than memory; frames that the function
+    does not take are skipped.
+    """
+    names = list(keys)
+
+    def run(batches):
+        def parts():
+            for batch in batches:
+                number = batch.groupby(names, dropna=False, sort=False).ngroup().to_numpy()
+                cuts = [0, *[i for i in range(1, len(number)) if number[i] != number[i - 1]], len(number)]
+                for begin, end in zip(cuts, cuts[1:]):
+                    part = batch.iloc[begin:end]
+                    first = part[names].astype(object).iloc[0]
+                    yield tuple(first.where(first.notna(), None)), part.reset_index(drop=True)
+
+        for key, own in groupby((p for p in parts() if len(p[1])), key=lambda p: p[0]):
+            yield from analyze(key, (frame for _, frame in own))
+
+    return df.repartition(*names).sortWithinPartitions(*names, *order).mapInPandas(run, schema)

@@ -7,8 +7,8 @@ import math
 from pyspark.sql import DataFrame, functions as F
 
 from tallyscope.functions.numeric import round_half_even
+from tallyscope.operators.digests import ordered_digest
 from tallyscope.operators.quality import DataViolation
-from tallyscope.operators.universe import digest_sum
 
 # Fixed value: failure text when nothing was recorded for an issuer.
 NO_PACKET = "trusted SEC evidence packet unavailable"
@@ -206,11 +206,10 @@ def binding_problems(selected: DataFrame, members: DataFrame, evidence: DataFram
 def result_fingerprint(manifest: DataFrame, funnel_row: DataFrame, candidates: DataFrame) -> DataFrame:
     """One row: ``fingerprint`` of the manifest, the funnel and every candidate.
 
-    Each candidate row is hashed with its rank and the row digests are added up, so the result does
-    not depend on how rows are distributed and nothing is gathered.
+    Candidates enter in the order of their rank, as a hash tree; the result does not depend on how rows are distributed.
     """
     row = F.sha2(F.to_json(F.struct(*FINGERPRINT_FIELDS), {"ignoreNullFields": "false"}), 256)
-    listed = digest_sum(candidates, row, "h").scalar()
+    listed = ordered_digest(candidates, row, [F.col("screen_rank")], "h").scalar()
     counts = funnel_row.select(
         F.sha2(F.to_json(F.struct(*sorted(funnel_row.columns)), {"ignoreNullFields": "false"}), 256).alias("h")
     ).scalar()

@@ -337,6 +337,46 @@ def _task_results() -> tuple[Column, Column, Column]:
     return output, error, partial_done & payload_text("error").isNull()
 
 
+CYCLE, BEHIND_CYCLE = "workflow dependency cycle", "task waits for a dependency cycle"
+
+
+def plan_levels(tasks: DataFrame) -> DataFrame:
+    """``run_id, task_id, level, problem`` of every task of all plans (``run_id, task_id, depends_on``).
+
+    Level 0 depends on nothing, any other level on the one before it at least. Tasks are peeled off level by level in all runs at
+    once, so the number of rounds is the depth of the deepest plan. What cannot be peeled stands on a cycle or waits for
+    one: it has no level, and peeling it from the other end tells the two apart. Dependencies that are not in the plan,
+    which :func:`plan_problems` reports, hold nothing back.
+    """
+    node = ["run_id", "task_id"]
+    nodes = settle(tasks.select(*node).distinct())
+    named = tasks.select(*node, F.explode(F.array_distinct("depends_on")).alias("dependency"))
+    known = nodes.withColumnRenamed("task_id", "dependency")
+    edges = settle(named.join(known, ["run_id", "dependency"], "left_semi").distinct())
+    levels, rest, left = _peeled(nodes, edges, "task_id", "dependency")
+    _, knots, _ = _peeled(rest, left, "dependency", "task_id")
+    stuck = rest.join(knots.withColumn("_knot", F.lit(True)), node, "left").select(
+        *node,
+        F.lit(None).cast("int").alias("level"),
+        F.when(F.col("_knot"), CYCLE).otherwise(BEHIND_CYCLE).alias("problem"),
+    )
+    return levels.withColumn("problem", F.lit(None).cast("string")).unionByName(stuck)
+
+
+def _peeled(nodes: DataFrame, edges: DataFrame, held: str, by: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes with their level, nodes that stay, edges between them): nodes that no edge holds go, round by round."""
+    node, level, done = ["run_id", "task_id"], 0, None
+    while True:
+        holding = edges.select("run_id", F.col(held).alias("task_id")).distinct()
+        free = nodes.join(holding, node, "left_anti").withColumn("level", F.lit(level))
+        done = free if done is None else done.unionByName(free)
+        if free.isEmpty():
+            return done, nodes, edges
+        nodes = settle(nodes.join(holding, node, "left_semi"))
+        edges = settle(edges.join(free.select("run_id", F.col("task_id").alias(by)), ["run_id", by], "left_anti"))
+        level += 1
+
+
 #: Kind of the rows that :func:`task_rows` makes of a plan.
 PLANNED = "planned"
 

@@ -11,6 +11,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyscope.functions.text import canonical_json, normalize_ticker
+from tallyscope.operators.digests import ordered_digest
 from tallyscope.operators.ordering import ordinal
 from tallyscope.operators.quality import DataViolation, Violation, digest_rows, raise_on
 from tallyscope.session import settle
@@ -322,36 +323,22 @@ def posture(selected: Column, policy: UniversePolicy) -> Column:
     )
 
 
-def digest_sum(df: DataFrame, fingerprint: Column, out: str) -> DataFrame:
-    """Order-independent digest of a table: sum of 60-bit row digests, with map-side combine."""
-    part = F.conv(F.substring(fingerprint, 1, 15), 16, 10).cast("decimal(20,0)")
-    return df.agg(
-        F.sha2(F.concat_ws(":", F.count(F.lit(1)), F.coalesce(F.sum(part), F.lit(0))), 256).alias(out)
-    )
-
-
 def manifest(universe: Universe, identity_hash: Column | str, policy: UniversePolicy) -> DataFrame:
-    """One row: coverage counts, posture, not-inspected rows, policy hash, content hash and id."""
+    """One row: coverage counts, posture, not-inspected rows, policy hash, content hash and id.
+
+    Members, exclusions and pages enter the content hash in order, as hash trees.
+    """
     member_print = F.sha2(F.to_json(F.struct(*MEMBER_COLUMNS), {"ignoreNullFields": "false"}), 256)
-    members_hash = universe.members.agg(
-        F.sha2(
-            F.concat_ws(
-                ",",
-                F.transform(
-                    F.array_sort(F.collect_list(F.struct("rank", member_print.alias("print")))), lambda m: m["print"]
-                ),
-            ),
-            256,
-        ).alias("h")
-    ).scalar()
-    excluded_hash = digest_sum(
-        universe.exclusions, F.sha2(F.concat_ws("\u0001", "reason", "ticker", "detail"), 256), "h"
-    ).scalar()
-    pages_hash = universe.pages.agg(
-        F.sha2(
-            F.to_json(F.array_sort(F.collect_list(F.struct("page_offset", "content_hash", "request_hash")))), 256
-        ).alias("h")
-    ).scalar()
+    excluded = F.sha2(F.concat_ws("\u0001", "reason", "ticker", "detail"), 256)
+    page = F.sha2(F.to_json(F.struct("page_offset", "content_hash", "request_hash")), 256)
+    members_hash, excluded_hash, pages_hash = (
+        ordered_digest(rows, row, [F.col(name) for name in order], "h").scalar()
+        for rows, row, order in (
+            (universe.members, member_print, ["rank"]),
+            (universe.exclusions, excluded, ["reason", "ticker", "detail"]),
+            (universe.pages, page, ["page_offset"]),
+        )
+    )
     identity = F.lit(identity_hash) if isinstance(identity_hash, str) else identity_hash
     c = F.col
     counts = universe.counts.select(

@@ -6,10 +6,13 @@ import os
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from tallyscope.functions.registry import per_entity_in_order
 from tallyscope.operators import journal as jn
 from tallyscope.operators import run_blocks as rb
+from tallyscope.operators.digests import ordered_digest
 from tallyscope.plans import tables as t
 from tallyscope.session import ensure_checkpoint_dir, use_rocksdb_state
 from tallyscope.sources.journal_files import parse_lines, read_journal
@@ -645,3 +648,82 @@ def bad_lines(spark: SparkSession, folder: str) -> DataFrame:
     _, quarantine = read_journal(spark, path)
     file = F.regexp_extract("source_path", "/file=([0-9]+)/", 1).cast("long")
     return quarantine.select(file.alias("file"), "line_number", "problem")
+
+
+# --- plans as graphs ------------------------------------------------------------------------------
+
+# The orders of a customer are a plan; the n-th order depends on order n/2. Every seventh customer's first order depends on the
+# last one, which closes a cycle.
+_ORDER_PLANS_SQL = """
+    numbered as (
+      select cast(o_custkey as varchar) as run_id, o_custkey % 7 = 0 as closed, cast(o_orderkey as varchar) as task_id,
+        row_number() over (partition by o_custkey order by o_orderkey) as n, count(*) over (partition by o_custkey) as size
+      from orders)"""
+
+
+def _order_plans(spark: SparkSession, folder: str) -> DataFrame:
+    mine = Window.partitionBy("o_custkey")
+    orders = t.table(spark, folder, "orders").select(
+        "o_custkey",
+        "o_orderkey",
+        F.row_number().over(mine.orderBy("o_orderkey")).alias("n"),
+        F.count(F.lit(1)).over(mine).alias("size"),
+    )
+    n, closed = F.col("n"), F.col("o_custkey") % 7 == 0
+    before = F.when(n > 1, F.floor(n / 2)).when(closed, F.col("size"))
+    parent = orders.select("o_custkey", F.col("n").alias("_before"), F.col("o_orderkey").cast("string").alias("_dependency"))
+    return orders.withColumn("_before", before).join(parent, ["o_custkey", "_before"], "left").select(
+        F.col("o_custkey").cast("string").alias("run_id"),
+        F.col("o_orderkey").cast("string").alias("task_id"),
+        F.array_compact(F.array("_dependency")).alias("depends_on"),
+    )
+
+
+@query(
+    "plan_levels",
+    f"""with {_ORDER_PLANS_SQL}
+    select run_id, task_id, case when not closed then cast(floor(log2(n)) as integer) end as level,
+      case when closed then case when size >> cast(floor(log2(size)) - floor(log2(n)) as integer) = n
+        then 'workflow dependency cycle' else 'task waits for a dependency cycle' end end as problem
+    from numbered""",
+)
+def plan_levels(spark: SparkSession, folder: str) -> DataFrame:
+    """Levels of the tasks of all plans, and the tasks on or behind a cycle."""
+    return jn.plan_levels(_order_plans(spark, folder))
+
+
+@query(
+    "entity_in_order",
+    """with changes as (
+      select user_id, event_type, value, lag(event_type) over (partition by user_id order by ts, event_id) as before from events)
+    select user_id, count(*) as events, count(*) filter (where before <> event_type) as changes from changes group by user_id""",
+)
+def entity_in_order(spark: SparkSession, folder: str) -> DataFrame:
+    """A user's function over the events of each user in order; it sees a frame at a time and carries its own state."""
+
+    def changes(key, frames):
+        events, found, last = 0, 0, None
+        for frame in frames:
+            types = frame["event_type"]
+            before = types.shift(fill_value=last if last is not None else types.iloc[0])
+            events, found, last = events + len(types), found + int((types != before).sum()), types.iloc[-1]
+        yield pd.DataFrame({"user_id": [key[0]], "events": [events], "changes": [found]})
+
+    rows = t.table(spark, folder, "events").select("user_id", "ts", "event_id", "event_type")
+    return per_entity_in_order(rows, ["user_id"], ["ts", "event_id"], changes, "user_id long, events long, changes long")
+
+
+@query(
+    "ordered_digest",
+    """with recursive rows_in_order as (
+      select row_number() over (order by o_orderkey) - 1 as place, sha256(o_orderkey || '|' || o_custkey) as h from orders),
+    tree as (
+      select place, h, (select count(*) from rows_in_order) as size, 0 as height from rows_in_order
+      union all
+      select place // 256, sha256(string_agg(h, '' order by place)), (any_value(size) + 255) // 256, any_value(height) + 1
+      from tree where size > 1 or height = 0 group by place // 256)
+    select arg_max(h, height) as digest from tree""",
+)
+def ordered_digest_of_orders(spark: SparkSession, folder: str) -> DataFrame:
+    row = F.sha2(F.concat_ws("|", "o_orderkey", "o_custkey"), 256)
+    return ordered_digest(t.table(spark, folder, "orders"), row, [F.col("o_orderkey")])

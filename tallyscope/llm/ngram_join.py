@@ -8,7 +8,8 @@
    bit rows cannot give the overlap they need are discarded, the others get their exact overlap. Linked classes form
    groups.
 4. Blocks in which two groups or more meet are multiplied out: every pair of classes of different groups passes through
-   the same bounds inside the block's task, and only pairs that pass leave it, again for exact overlaps. Blocks of many
+   the same bounds inside the block's task, and only pairs that pass leave it, again for exact overlaps. A pair that is seen
+   to share one of the grams just before in the order stays behind, since it leaves at its first shared gram. Blocks of many
    classes are cut into parts that meet pairwise. Pairs within one group add nothing to its components and are left
    out, so a large group of near copies costs a star, not a square.
 """
@@ -31,6 +32,8 @@ SLOT_BITS = 22
 SLOTS = 1 << SLOT_BITS
 #: Classes in one part of a block.
 PART = 1024
+#: Prefix grams before the shared one that are compared to find pairs which met in an earlier block.
+BEFORE = 6
 
 
 def _slot(grams: np.ndarray) -> np.ndarray:
@@ -185,7 +188,8 @@ def _fitting_rows(n: np.ndarray, at: np.ndarray, a: np.ndarray, b: np.ndarray, p
     """Which pairs of rows pass the bounds of size and place, and the overlap each of them needs."""
     n_a, n_b, at_a, at_b = n[a], n[b], at[a], at[b]
     least = -(-percent * (n_a + n_b) // (100 + percent))
-    room = 1 + np.minimum(n_a - at_a, n_b - at_b) - 1 + np.minimum(at_a, at_b)
+    # A pair leaves at the first gram its prefixes share: only later grams can add to the overlap.
+    room = np.minimum(n_a - at_a, n_b - at_b)
     fits = (100 * np.minimum(n_a, n_b) >= percent * np.maximum(n_a, n_b)) & (room >= least)
     return fits, least
 
@@ -223,6 +227,15 @@ class BitRows:
 PAIRS = 1 << 17
 
 
+def _met_before(before: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Pairs that share one of the grams before the block's gram; those leave at an earlier block."""
+    met = np.zeros(len(a), dtype=bool)
+    for mine in before.T:
+        for other in before.T:
+            met |= mine[a] == other[b]
+    return met
+
+
 def group_pairs(starts: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """All pairs of rows within groups of consecutive rows, groups of one size together."""
     for size in np.unique(sizes[sizes > 1]).tolist():
@@ -242,11 +255,12 @@ def part_pairs(
     root: np.ndarray,
     side: np.ndarray,
     bits: pa.Array,
+    before: np.ndarray,
     percent: int,
 ) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of rows of one group that pass all bounds: of different roots, and of both sides where a group has two.
 
-    ``at`` is the place of the shared gram in the order of each set.
+    ``at`` is the place of the shared gram in the order of each set, ``before`` has a row of the grams just before it.
     """
     rows = BitRows(bits)
     two_sides = np.zeros(len(n), dtype=bool)
@@ -259,6 +273,8 @@ def part_pairs(
         a, b = a[keep], b[keep]
         fits, least = _fitting_rows(n, at, a, b, percent)
         a, b, least = a[fits], b[fits], least[fits]
+        fresh = ~_met_before(before, a, b)
+        a, b, least = a[fresh], b[fresh], least[fresh]
         passed = (n[a] + n[b] - rows.apart(a, b)) // 2 >= least
         first.append(a[passed])
         second.append(b[passed])
@@ -267,7 +283,7 @@ def part_pairs(
 
 
 def _block_product(rows: DataFrame, percent: int) -> DataFrame:
-    """``a, b, n_a, n_b`` from ``gram, part, other_part, side, set_id, n, at, root, bits``.
+    """``a, b, n_a, n_b`` from ``gram, part, other_part, side, set_id, n, at, root, bits`` and the ``BEFORE`` grams before.
 
     Tasks read their rows in order of the parts that meet; a part has a bounded number of rows, so a task holds one batch
     and one part.
@@ -283,7 +299,8 @@ def _block_product(rows: DataFrame, percent: int) -> DataFrame:
             whole = table.slice(0, int(cuts[-1]))
             n, at, root, side, ids = (whole.column(c).to_numpy() for c in ("n", "at", "root", "side", "set_id"))
             bits = pa.concat_arrays(whole.column("bits").chunks) if len(whole) else pa.array([], type=pa.binary())
-            left, right = part_pairs(cuts[:-1], np.diff(cuts), n, at, root, side, bits, percent)
+            before = np.stack([whole.column(f"before_{k}").to_numpy() for k in range(BEFORE)], axis=1)
+            left, right = part_pairs(cuts[:-1], np.diff(cuts), n, at, root, side, bits, before, percent)
             columns = [pa.array(values) for values in (ids[left], ids[right], n[left], n[right])]
             return pa.RecordBatch.from_arrays(columns, names=["a", "b", "n_a", "n_b"]), table.slice(int(cuts[-1]))
 
@@ -330,8 +347,8 @@ def near_duplicates(
     classes = settle(
         rows.filter("set_id is not null")
         .groupBy("set_id")
-        .agg(F.min(place).alias("one"), F.min("bits").alias("bits"))
-        .select("set_id", "one", "one.id", "one.text_key", "bits")
+        .agg(F.min(place).alias("one"), F.min("bits").alias("bits"), F.min("prefix").alias("prefix"))
+        .select("set_id", "one", "one.id", "one.text_key", "bits", "prefix")
     )
 
     # Copies of a class repeat its entries; they are merged by the minimum and the distinct below.
@@ -396,7 +413,9 @@ def near_duplicates(
             "root",
         )
     )
-    with_bits = open_rows.join(classes.select("set_id", "bits"), "set_id")
+    # Where there are fewer grams before, the class's own hash stands in, which no other class has.
+    before = [F.coalesce(F.get("prefix", F.col("at").cast("int") - k - 1), "set_id").alias(f"before_{k}") for k in range(BEFORE)]
+    with_bits = open_rows.join(classes.select("set_id", "bits", "prefix"), "set_id").select(*open_rows.columns, "bits", *before)
     rest = _block_product(with_bits, percent).distinct()
     whole = components(links.unionAll(exact_links(rest)))
 

@@ -138,7 +138,8 @@ def test_part_pairs_lose_no_link():
         n = np.array([len(x) for x in sets])
         root, side = np.array([rng.randrange(6) for _ in sets]), np.array([rng.randrange(2) for _ in sets])
         bits = pa.array([nj.folded_bits(x) for x in sets], type=pa.binary())
-        a, b = nj.part_pairs(np.array([0]), np.array([12]), n, np.zeros(12, dtype=int), root, side, bits, 80)
+        before = np.repeat(np.arange(12)[:, None], nj.BEFORE, axis=1)
+        a, b = nj.part_pairs(np.array([0]), np.array([12]), n, np.zeros(12, dtype=int), root, side, bits, before, 80)
         assert not [p for p in zip(a, b, strict=True) if root[p[0]] == root[p[1]]]
         got = {tuple(sorted(p)) for p in zip(a.tolist(), b.tolist(), strict=True)}
         for i in range(12):
@@ -149,6 +150,35 @@ def test_part_pairs_lose_no_link():
                     assert (j, i) in got
 
 
+def test_every_link_leaves_some_block():
+    """Over all blocks of shared prefix grams, each linked pair is handed out, and few pairs more than once."""
+    rng = random.Random(31)
+    times = []
+    for _ in range(40):
+        base = [rng.getrandbits(62) for _ in range(rng.choice([6, 60, 200]))]
+        keep = rng.choice([0.85, 0.93, 0.99])
+        sets = [sorted({g for g in base if rng.random() < keep} | {rng.getrandbits(62) for _ in range(rng.randrange(4))}) for _ in range(10)]
+        sets = [np.array(x or [k], dtype=np.int64) for k, x in enumerate(sets)]
+        handed = {}
+        for gram in {g for x in sets for g in x[: len(x) - -(-80 * len(x) // 100) + 1].tolist()}:
+            own = [k for k, x in enumerate(sets) if gram in x[: len(x) - -(-80 * len(x) // 100) + 1]]
+            at = np.array([int(np.searchsorted(sets[k], gram)) for k in own])
+            before = np.array([[sets[k][i - j - 1] if i > j else -k - 1 for j in range(nj.BEFORE)] for k, i in zip(own, at)])
+            n, bits = np.array([len(sets[k]) for k in own]), pa.array([nj.folded_bits(sets[k].view(np.uint64)) for k in own])
+            none = np.zeros(len(own), dtype=int)
+            a, b = nj.part_pairs(np.array([0]), np.array([len(own)]), n, at, np.array(own), none, bits, before, 80)
+            for x, y in zip(a.tolist(), b.tolist(), strict=True):
+                pair = tuple(sorted((own[x], own[y])))
+                handed[pair] = handed.get(pair, 0) + 1
+        for i in range(10):
+            for j in range(i):
+                shared = len(np.intersect1d(sets[i], sets[j]))
+                if 100 * shared >= 80 * (len(sets[i]) + len(sets[j]) - shared):
+                    assert (j, i) in handed
+        times += handed.values()
+    assert sum(times) < 1.5 * len(times)
+
+
 @pytest.mark.parametrize("size", [1, 3, 5])
 def test_shingle_sizes(size):
     texts = [None, "", "A b", "a B c d e f g", "x " * 50, "é ü ß", " \v a\fb "]

@@ -4,16 +4,12 @@ A rolling hash over the hashes of the last lines of a text ends a chunk wherever
 on a few neighbouring lines only and move along with them when lines are put in or taken out elsewhere. Chunks of two lines
 or more that occur again, anywhere in the corpus, are removed except for their first occurrence. Hashes only find
 candidates; chunks count as equal when their bytes are.
-
-A block that repeats inside other text may hold no whole chunk. ``whole=True`` takes every pair of neighbouring lines instead
-of chunks, so that every line of a repeated block of two lines or more belongs to a repeated pair, wherever the block begins.
-Pairs count as equal when their SHA-256 is.
+The first occurrence of a chunk always stays, so nothing that is removed is gone from the corpus. Lines of a repeated block before its
+first and after its last inner boundary belong to chunks that differ, and stay.
 """
 
 from __future__ import annotations
 
-import hashlib
-
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
@@ -64,24 +60,6 @@ def chunks_of(texts: pa.Array) -> pa.Array:
     return pa.array(rows, type=_CHUNKS)
 
 
-_PAIRS = pa.list_(pa.struct([("nth", pa.int32()), ("hash", pa.int64()), ("body", pa.binary())]))
-
-
-@F.arrow_udf(from_arrow_type(_PAIRS))
-def pairs_of(texts: pa.Array) -> pa.Array:
-    """Column function: first line, hash and SHA-256 of the pairs of neighbouring lines that have a word."""
-    rows = []
-    for text in texts.to_pylist():
-        lines, own = text.split("\n") if text else [], []
-        for nth, pair in enumerate(zip(lines, lines[1:])):
-            body = "\n".join(pair)
-            if body.strip():
-                digest = hashlib.sha256(body.encode()).digest()
-                own.append({"nth": nth, "hash": int.from_bytes(digest[:8], "little", signed=True), "body": digest})
-        rows.append(own)
-    return pa.array(rows, type=_PAIRS)
-
-
 _REBUILT = pa.struct([("text", pa.string()), ("lines", pa.int64()), ("removed_lines", pa.int64())])
 
 
@@ -100,25 +78,13 @@ def without(texts: pa.Array, removed: pa.Array) -> pa.Array:
     return pa.array(rows, type=_REBUILT)
 
 
-@F.arrow_udf(from_arrow_type(_REBUILT))
-def without_pairs(texts: pa.Array, removed: pa.Array) -> pa.Array:
-    """``without`` for the numbers of first lines of pairs."""
-    rows = []
-    for text, gone in zip(texts.to_pylist(), removed.to_pylist(), strict=True):
-        lines = text.split("\n") if text else []
-        gone = {line for nth in gone or () for line in (nth, nth + 1)}
-        kept = "\n".join(line for nth, line in enumerate(lines) if nth not in gone) if gone else text
-        rows.append({"text": kept, "lines": len(lines), "removed_lines": len(gone)})
-    return pa.array(rows, type=_REBUILT)
-
-
-def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole: bool = False) -> DataFrame:
-    """``id, text_key, nth, keeper_id, keeper_nth``: chunks (``whole``: pairs of lines) to remove, and the first of each.
+def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id, text_key, nth, keeper_id, keeper_nth``: chunks to remove, and the first of each.
 
     The first occurrence is the smallest (id, text hash, number); nulls come first.
     """
     text = F.col(f"`{text_col}`")
-    cut_up = in_small_batches(docs).select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("text_key"), (pairs_of if whole else chunks_of)(text).alias("chunks"))
+    cut_up = in_small_batches(docs).select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("text_key"), chunks_of(text).alias("chunks"))
     each = cut_up.select("id", "text_key", F.inline("chunks"))
     # Two occurrences differ in their place or in their document.
     again = each.groupBy("hash").agg(F.count("*").alias("seen")).filter("seen > 1").select("hash")
@@ -132,9 +98,9 @@ def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole: bool = False) -> DataFrame:
+def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, text_key, removed``: the chunk numbers to remove, one row per document that loses any."""
-    gone = repeated_chunks(docs, id_col, text_col, whole)
+    gone = repeated_chunks(docs, id_col, text_col)
     return gone.groupBy("id", "text_key").agg(F.collect_set("nth").alias("removed"))
 
 
@@ -143,12 +109,8 @@ def dedupe(
     id_col: str = "doc_id",
     text_col: str = "text",
     counts: tuple[str, str] | None = None,
-    whole: bool = False,
 ) -> DataFrame:
-    """The same rows with repeated chunks, or with ``whole`` all repeated blocks of lines, taken out of the text.
-
-    With ``whole``, a line that belongs to the first occurrence of one pair and to a later one of another pair is removed;
-    its content stays where it occurs first.
+    """The same rows with repeated chunks taken out of the text.
 
     ``counts`` names two further columns: lines before, and lines removed. Null and empty texts stay as they are. Rows
     that repeat both id and text are one document and are treated alike. A text that loses all its chunks becomes
@@ -156,7 +118,7 @@ def dedupe(
     """
     text = F.col(f"`{text_col}`")
     key, rebuilt, gone_id, gone_key, removed = free_names(docs, "text_key", "rebuilt", "gone_id", "gone_key", "removed")
-    gone = removals(docs, id_col, text_col, whole).select(
+    gone = removals(docs, id_col, text_col).select(
         F.col("id").alias(gone_id), F.col("text_key").alias(gone_key), F.col("removed").alias(removed)
     )
     joined = docs.withColumn(key, F.xxhash64(text)).join(
@@ -164,7 +126,7 @@ def dedupe(
         F.col(f"`{id_col}`").eqNullSafe(F.col(gone_id)) & (F.col(key) == F.col(gone_key)),
         "left",
     )
-    done = joined.withColumn(rebuilt, (without_pairs if whole else without)(text, F.col(removed)))
+    done = joined.withColumn(rebuilt, without(text, F.col(removed)))
     columns = [
         (F.col(f"{rebuilt}.text").alias(c) if c == text_col else F.col(f"`{c}`")) for c in docs.columns
     ]

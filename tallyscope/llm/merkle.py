@@ -36,6 +36,8 @@ def warc_record(uri: Column, record_id: Column, payload: Column) -> Column:
     return F.concat(head, body, F.lit("\r\n\r\n")).cast("binary")
 
 
+#: Bytes that a gzip member is given at once.
+_FED_BYTES = 1 << 14
 _RECORDS = pa.schema([("file", pa.string()), ("offset", pa.int64()), ("record", pa.binary())])
 
 
@@ -43,11 +45,22 @@ def _members(content: bytes) -> Iterator[tuple[int, bytes]]:
     """Offset and bytes of the gzip members of a file, or of its WARC records if it is not compressed."""
     at = 0
     if content[:2] == b"\x1f\x8b":
+        view = memoryview(content)
         while at < len(content):
-            member = zlib.decompressobj(31)
-            data = member.decompress(content[at:]) + member.flush()
-            yield at, data
-            at = len(content) - len(member.unused_data)
+            member, data, fed = zlib.decompressobj(31), [], at
+            try:
+                # Fed in small pieces, a member leaves little behind its end to be copied.
+                while not member.eof and fed < len(content):
+                    data.append(member.decompress(view[fed : fed + _FED_BYTES]))
+                    fed = min(fed + _FED_BYTES, len(content))
+            except zlib.error:
+                member = None
+            if member is None or not member.eof:
+                # Where a member is damaged the next one cannot be found: the rest is one record as it stands.
+                yield at, content[at:]
+                return
+            yield at, b"".join(data)
+            at = fed - len(member.unused_data)
         return
     while at < len(content):
         head_end = content.find(b"\r\n\r\n", at)

@@ -85,32 +85,19 @@ def test_a_chunk_in_a_third_of_all_rows(spark):
     assert out == dict(brute(rows)) and "hot 3" in out[0] and sum("hot 5" in t for t in out.values()) < 20
 
 
-def brute_blocks(rows):
-    """Keep the first of every pair of neighbouring lines that has a word; order as in ``brute``."""
-    places = {}
-    for doc_id, text in {(r[0], r[1]) for r in rows}:
-        lines = text.split("\n") if text else []
-        for nth, pair in enumerate(zip(lines, lines[1:])):
-            if "".join(pair).strip():
-                places.setdefault(pair, []).append(((doc_id is not None, doc_id or 0, _signed(text), nth), doc_id, text, nth))
-    gone = {(d, t, n + k) for found in places.values() for _, d, t, n in sorted(found, key=lambda f: f[0])[1:] for k in (0, 1)}
-    return [(d, t and "\n".join(x for n, x in enumerate(t.split("\n")) if (d, t, n) not in gone)) for d, t, *_ in rows]
-
-
-def test_whole_blocks_equal_brute_force(spark):
-    rows = [*ROWS, *corpus(), (500, "same a\nsame b\nsame c", None, None), (500, "same a\nsame b\nsame c", None, None), (501, "a\na\na\na", None, None)]
-    out = lc.dedupe(frame(spark, rows), counts=("before", "gone"), whole=True).collect()
-    order = lambda pair: (str(pair[0]), str(pair[1]))
-    assert sorted(((r.doc_id, r.text) for r in out), key=order) == sorted(brute_blocks(rows), key=order)
-    for r in out:
-        assert r.before - r.gone == (len(r.text.split("\n")) if r.text else 0) or r.gone == r.before
-
-
-def test_no_line_of_a_repeated_block_stays(spark):
-    rows = []
-    for k in range(120):
-        block = [f"block {k // 2} line {j}" for j in range(2 + k // 2 % 11)]
-        rows.append((k, "\n".join([f"own {k}", f"text {k}", *block, f"more {k}", f"end {k}"]), "en", "s"))
-    out = {r.doc_id: r.text.split("\n") for r in lc.dedupe(frame(spark, rows), whole=True).collect()}
-    for k, text, *_ in rows:
-        assert out[k] == (text.split("\n") if k % 2 == 0 else [f"own {k}", f"text {k}", f"more {k}", f"end {k}"])
+def test_nothing_removed_is_gone(spark):
+    """Every chunk that is taken out still stands whole in the output, at its keeper."""
+    rng = random.Random(17)
+    lines = [f"line {k} of the pool" for k in range(12)]
+    rows = [(i, "\n".join(rng.choice(lines) for _ in range(rng.randrange(1, 14))), "en", "s") for i in range(150)]
+    rows += [(900, "X 1\nX 1\nX 1\nend", "en", "s"), (901, "A\nB", "en", "s"), (902, "A\nB\nC\nD", "en", "s"), (903, "B\nC", "en", "s")]
+    df = frame(spark, rows)
+    left = {r["doc_id"]: r["text"] for r in lc.dedupe(df).collect()}
+    assert "X 1\nX 1" in left[900] and all(any(pair in t for t in left.values()) for pair in ("A\nB", "B\nC"))
+    texts = {i: t for i, t, *_ in rows}
+    found = lc.repeated_chunks(df).collect()
+    assert len(found) > 20
+    for r in found:
+        body = "\n".join(lc.cut(texts[r["id"]])[r["nth"]])
+        assert "\n".join(lc.cut(texts[r["keeper_id"]])[r["keeper_nth"]]) == body
+        assert body in left[r["keeper_id"]]

@@ -79,3 +79,22 @@ def test_a_changed_copy_between_others(spark):
     hashed = lambda names: spark.createDataFrame([("f", 0, n) for n in names], "file string, offset long, leaf string")
     leaf = lambda names: mk.merged_leaves(hashed(names)).first().leaf
     assert leaf("abd") != leaf("acd") and leaf("aabd") != leaf("abbd") and leaf("abd") == leaf("dba")
+
+
+def test_damaged_members_stay_records(tmp_path):
+    """A changed byte in a compressed file never stops the reader; the records before it are whole."""
+    records = [f"record {k} ".encode() * 50 for k in range(30)]
+    members = [gzip.compress(r, mtime=0) for r in records]
+    whole = b"".join(members)
+    starts = [sum(map(len, members[:k])) for k in range(30)]
+    assert list(mk._members(whole)) == list(zip(starts, records, strict=True))
+    for at in (0, 3, starts[5] + 1, starts[7] + 14, starts[29] - 3, len(whole) - 1):
+        damaged = bytearray(whole)
+        damaged[at] ^= 0xFF
+        found = list(mk._members(bytes(damaged)))
+        good = sum(start + len(member) <= at for start, member in zip(starts, members, strict=True))
+        assert found[:good] == list(zip(starts, records, strict=True))[:good]
+        assert found != list(mk._members(whole))
+    assert list(mk._members(whole[:-5]))[-1] == (starts[29], members[29][:-5])
+    long = b"".join(gzip.compress(b"x", mtime=0) for _ in range(20_000))
+    assert len(list(mk._members(long))) == 20_000

@@ -22,6 +22,18 @@ SAMPLE = (
     "journal_sequence",
     "overlap_peak",
     "stream_family_counts",
+    "stream_state",
+    "stream_replay",
+    "stream_task_states",
+    "stream_agent_states",
+    "task_problems",
+    "bad_lines",
+    "company_concepts",
+    "fact_faults",
+    "plan_levels",
+    "ordered_digest",
+    "entity_in_order",
+    "grouped_medians",
 )
 
 

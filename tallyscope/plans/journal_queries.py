@@ -252,13 +252,48 @@ def interval_problems(spark: SparkSession, folder: str) -> DataFrame:
     return jn.interval_problems(events).groupBy("run_id", "problem").agg(F.count(F.lit(1)).alias("events"))
 
 
+# Every customer is a run of eight lanes with its closing events; five in six have one fault each (k). SQL of both engines.
+_CLOSING_KIND = """case
+    when n = 0 then case when k = 1 then 'agent_completed' else 'candidate_updated' end
+    when n = 1 then 'agent_progress'
+    when n = 5 and k = 1 then 'candidate_updated'
+    when n = 9 and k = 2 then 'agent_progress'
+    when n <= 9 then 'agent_completed'
+    when n = 10 then case when k = 3 then 'workflow_completed' else 'stage_completed' end
+    when n = 11 then case when k = 3 then 'stage_completed' else 'workflow_completed' end
+    when n = 12 then case when k = 5 then 'run_failed' else 'run_completed' end
+    when k = 4 then 'agent_progress' end"""
+
+
 @query(
     "terminal_order",
-    f"""with {_CONVERSATION_SQL}
-    select run_id, false as ok, 'terminal projection events are incomplete' as problem from log group by run_id""",
+    f"""with log as (
+      select run_id, n, kind from (
+        select cast(c_custkey as varchar) as run_id, n, {_CLOSING_KIND} as kind
+        from (select c_custkey, c_custkey % 6 as k, unnest(range(14)) as n from customer))
+      where kind is not null),
+    lanes as (select run_id, count(*) as lanes, min(n) as first, max(n) as last from log where kind = 'agent_completed' group by 1),
+    runs as (
+      select l.run_id, max(n) filter (where kind = 'candidate_updated') as candidate, max(n) filter (where kind = 'stage_completed') as stage,
+        max(n) filter (where kind = 'workflow_completed') as workflow, max(n) as ending, arg_max(kind, n) as final
+      from log l group by 1),
+    judged as (
+      select run_id, case when lanes <> 8 then 'terminal projection events are incomplete'
+        when not (candidate < first and last < stage and stage < workflow and workflow + 1 = ending)
+        then 'candidate, lane, workflow, stage, and run order regressed'
+        when final <> 'run_completed' then 'journal does not end with run_completed' end as problem
+      from runs join lanes using (run_id))
+    select run_id, problem is null as ok, problem from judged""",
 )
 def terminal_order(spark: SparkSession, folder: str) -> DataFrame:
-    return jn.terminal_order(conversation_log(t.table(spark, folder, "conversations")))
+    places = "explode(sequence(0L, 13L)) as n"
+    log = t.table(spark, folder, "customer").selectExpr("c_custkey", "c_custkey % 6 as k", places).selectExpr(
+        "cast(c_custkey as string) as run_id",
+        "n as sequence",
+        f"{_CLOSING_KIND} as kind",
+        """'{"stage":"synthesis"}' as payload""",
+    )
+    return jn.terminal_order(log.where("kind is not null"))
 
 
 @query(

@@ -34,7 +34,8 @@ def required_screened(selected: int, minimum_count: int, minimum_ratio: float =
 
 def coverage_gate(selected: DataFrame, screened: DataFrame, minimum_count: int, minimum_ratio: float = 0.70) -> int:
     """Number screened, or raise when too few; write the audit rows before calling this."""
-    total, done = selected.count(), screened.count()
+    both = selected.select(F.lit(0).alias("done")).unionByName(screened.select(F.lit(1).alias("done")))
+    total, done = both.agg(F.count_if(F.col("done") == 0), F.count_if(F.col("done") == 1)).first()
     needed = required_screened(total, minimum_count, minimum_ratio)
     if done < needed:
         raise DataViolation(f"screened {done} of {total} issuers, at least {needed} required")

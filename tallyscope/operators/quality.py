@@ -1,7 +1,8 @@
-"""Dataset-level gates: each check is a DataFrame of offending rows and one small action."""
+"""Dataset-level gates: each check is a DataFrame of offending rows; the checks of a gate are one small job."""
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -19,11 +20,14 @@ class Violation(NamedTuple):
 
 
 def raise_on(*violations: Violation, samples: int = 5) -> None:
-    """Raise for the first check that has offending rows, quoting a few of them."""
-    for violation in violations:
-        found = violation.rows.take(samples)
-        if found:
-            quoted = ", ".join(str(row.asDict(recursive=True)) for row in found)
+    """Raise for the first check that has offending rows, quoting a few of them. All checks run as one job."""
+    parts = [
+        v.rows.limit(samples).select(F.lit(k).alias("check"), F.to_json(F.struct("*")).alias("row")) for k, v in enumerate(violations)
+    ]
+    found = reduce(DataFrame.unionByName, parts).collect() if parts else []
+    for k, violation in enumerate(violations):
+        quoted = ", ".join(row["row"] for row in found if row["check"] == k)
+        if quoted:
             raise DataViolation(f"{violation.message}: {quoted}")
 
 

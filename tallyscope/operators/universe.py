@@ -10,11 +10,11 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tallyscope.functions.text import canonical_json, normalize_ticker
+from tallyscope.functions.text import canonical_json, is_digest, normalize_ticker
 from tallyscope.operators.digests import ordered_digest
 from tallyscope.operators.ordering import ordinal
 from tallyscope.operators.quality import DataViolation, Violation, digest_rows, raise_on
-from tallyscope.session import settle
+from tallyscope.session import settle, settle_observed
 
 # Exclusion reason and detail texts.
 INVALID_ROW = "invalid_market_row"
@@ -39,6 +39,14 @@ _DETAIL = {
 }
 _NOT_AN_OBJECT = "quote row is not an object"
 
+# Rules on a whole universe, in the order in which they are reported.
+CONFLICTING_TOTALS = "pages disagree on the total number of rows"
+GROWING_COUNTS = "counts must not grow from reported to fetched, screened and selected rows"
+REPEATED_TICKER = "a ticker appears on two members"
+BAD_DIGEST = "a member digest is not a SHA-256"
+NO_PAGE = "a member comes from no given page"
+LINEAGE = ["content_hash", "request_hash", "retrieved_at"]
+
 
 @dataclass(frozen=True)
 class UniversePolicy:
@@ -104,6 +112,7 @@ class Universe(NamedTuple):
     exclusions: DataFrame
     pages: DataFrame
     counts: DataFrame
+    found: dict[str, int] | None = None
 
 
 def provider_screen(rows: DataFrame, policy: UniversePolicy) -> DataFrame:
@@ -245,9 +254,9 @@ MEMBER_COLUMNS = (
 
 
 def cut_to_target(eligible: DataFrame, policy: UniversePolicy) -> tuple[DataFrame, DataFrame]:
-    """Largest issuers up to the target, ranked; the rest as exclusions."""
+    """Largest issuers up to the target, ranked; the rest as exclusions. The members are to be settled by the caller."""
     ranked = ordinal(eligible, [-F.col("market_cap"), F.col("ticker")], "rank")
-    members = settle(
+    members = (
         ranked.where(F.col("rank") <= policy.target_size)
         .withColumn("rank", F.col("rank").cast("int"))
         .withColumn("entity_id", F.concat(F.lit("ticker:"), F.col("ticker")))
@@ -271,7 +280,8 @@ def select_universe(
     judged = settle(judge_quotes(quotes, policy))
     rows = judged.where("reason is null")
     issuers = judge_issuers(rows, identities, policy)
-    members, below = cut_to_target(issuers.where("reason is null"), policy)
+    chosen, below = cut_to_target(issuers.where("reason is null"), policy)
+    members, found = _settle_members(chosen, pages)
     shown = ["ticker", "reason", "detail"]
     exclusions = (
         judged.where("reason is not null")
@@ -279,7 +289,32 @@ def select_universe(
         .unionByName(issuers.where("reason is not null").select(*shown))
         .unionByName(below)
     )
-    return Universe(members, exclusions, pages, coverage_counts(members, rows, pages))
+    counts, uneven = _settle_counts(coverage_counts(members, rows, pages), pages)
+    return Universe(members, exclusions, pages, counts, {**uneven, **found})
+
+
+def _settle_members(members: DataFrame, pages: DataFrame) -> tuple[DataFrame, dict[str, int]]:
+    """Members as a table, and how many of them break a rule. They are at most the target size, so the flags are cheap."""
+    known = pages.select(*LINEAGE, F.lit(True).alias("_known")).distinct()
+    copies = members.groupBy("ticker").agg(F.count(F.lit(1)).alias("_copies"))
+    flagged = members.join(known, LINEAGE, "left").join(copies, "ticker")
+    settled, found = settle_observed(
+        flagged,
+        MEMBER_COLUMNS,
+        repeated=F.count_if(F.col("_copies") > 1),
+        malformed=F.count_if(~is_digest("content_hash") | ~is_digest("request_hash")),
+        lost=F.count_if(F.col("_known").isNull()),
+    )
+    rules = {REPEATED_TICKER: "repeated", BAD_DIGEST: "malformed", NO_PAGE: "lost"}
+    return settled, {message: found[name] or 0 for message, name in rules.items()}
+
+
+def _settle_counts(counts: DataFrame, pages: DataFrame) -> tuple[DataFrame, dict[str, int]]:
+    totals = pages.agg((F.min("total") != F.max("total")).alias("differ")).scalar()
+    settled, found = settle_observed(
+        counts.withColumn("_differ", totals), counts.columns, differ=F.count_if("_differ"), growing=F.count_if(_growing())
+    )
+    return settled, {CONFLICTING_TOTALS: found["differ"] or 0, GROWING_COUNTS: found["growing"] or 0}
 
 
 def _as_one_row(spark_rows: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -369,23 +404,33 @@ def manifest(universe: Universe, identity_hash: Column | str, policy: UniversePo
     return hashed.withColumn("manifest_id", F.concat(F.lit("universe-"), F.substring("content_hash", 1, 16)))
 
 
-def check_universe(universe: Universe) -> None:
-    """Raise when totals conflict, coverage is inconsistent, or members lost their page lineage."""
+def _growing() -> Column:
     c = F.col
-    totals = universe.pages.agg(F.count_distinct("total").alias("totals")).where("totals > 1")
-    uneven = universe.counts.where(
+    return (
         (c("selected_count") > c("screened_unique_count"))
         | (c("screened_unique_count") > c("fetched_row_count"))
         | (c("fetched_row_count") > c("provider_reported_total"))
     )
-    lineage = ["content_hash", "request_hash", "retrieved_at"]
-    lost = universe.members.join(universe.pages.select(*lineage).distinct(), lineage, "left_anti")
+
+
+def check_universe(universe: Universe) -> None:
+    """Raise when totals conflict, coverage is inconsistent, or members lost their page lineage.
+
+    ``select_universe`` counts offending rows while it writes members and counts, so no job is started for its result. A
+    universe from elsewhere (``found`` is None) is examined here.
+    """
+    if universe.found is not None:
+        for message, rows in universe.found.items():
+            if rows:
+                raise DataViolation(f"{message}: {rows} rows")
+        return
+    lost = universe.members.join(universe.pages.select(*LINEAGE).distinct(), LINEAGE, "left_anti")
     raise_on(
-        Violation("pages disagree on the total number of rows", totals),
-        Violation("counts must not grow from reported to fetched, screened and selected rows", uneven),
-        Violation("a ticker appears on two members", universe.members.groupBy("ticker").count().where("count > 1")),
-        Violation("a member digest is not a SHA-256", digest_rows(universe.members, ["content_hash", "request_hash"])),
-        Violation("a member comes from no given page", lost),
+        Violation(CONFLICTING_TOTALS, universe.pages.agg(F.count_distinct("total").alias("totals")).where("totals > 1")),
+        Violation(GROWING_COUNTS, universe.counts.where(_growing())),
+        Violation(REPEATED_TICKER, universe.members.groupBy("ticker").count().where("count > 1")),
+        Violation(BAD_DIGEST, digest_rows(universe.members, ["content_hash", "request_hash"])),
+        Violation(NO_PAGE, lost),
     )
 
 

@@ -169,6 +169,27 @@ def exclusion_counts(spark: SparkSession, folder: str) -> DataFrame:
     return un.exclusion_counts(selected(spark, folder).exclusions)
 
 
+@query(
+    "universe_rules",
+    f"""with {_UNIVERSE_SQL},
+    pages as (select count(distinct page_offset) as n from paged),
+    broken as (select count(*) as n from members where page_offset % 500 = 0)
+    select '{un.CONFLICTING_TOTALS}' as rule, cast(case when n > 1 then 1 else 0 end as bigint) as violations from pages
+    union all select '{un.GROWING_COUNTS}', cast(0 as bigint)
+    union all select '{un.REPEATED_TICKER}', cast(0 as bigint)
+    union all select '{un.BAD_DIGEST}', n from broken union all select '{un.NO_PAGE}', n from broken""",
+)
+def universe_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Violations counted while a universe is written: every other page has shortened hashes, one another total."""
+    quotes, pages = quotes_and_pages(spark, folder)
+    cut = F.when(F.col("page_offset") % 500 == 0, F.substring("content_hash", 1, 10)).otherwise(F.col("content_hash"))
+    more = F.col("total") + F.when(F.col("page_offset") == 250, 1).otherwise(0)
+    universe = un.select_universe(
+        quotes.withColumn("content_hash", cut), pages.withColumn("total", more), listed_identities(spark, folder), POLICY
+    )
+    return spark.createDataFrame(list(universe.found.items()), "rule string, violations bigint")
+
+
 def _audit(spark: SparkSession, folder: str) -> tuple[un.Universe, DataFrame]:
     """Members against the scores of the whole issuer screen; unknown issuers are failures."""
     universe = selected(spark, folder)

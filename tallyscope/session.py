@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 _settled: list[str] = []
 
@@ -62,6 +62,17 @@ def settle(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settle_observed(df: DataFrame, keep: list[str], **measures: Column) -> tuple[DataFrame, dict]:
+    """``settle`` for the columns to keep, and aggregates over all rows, collected by the job that writes them.
+
+    So a rule on the rows costs no job of its own. A table without rows has no measures: they are null then.
+    """
+    observation = Observation()
+    observed = df.observe(observation, *[measure.alias(name) for name, measure in measures.items()])
+    settled = settle(observed.select(*keep))
+    return settled, {name: observation.get.get(name) for name in measures}
+
+
 def discard_settled(spark: SparkSession) -> None:
     """Delete the tables settled so far, once no result that reads them is needed any more."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs

@@ -18,6 +18,7 @@ SAMPLE = (
     "price_history",
     "build_packets",
     "universe_exclusions",
+    "universe_rules",
     "audit_rows",
     "journal_sequence",
     "overlap_peak",

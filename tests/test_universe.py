@@ -119,6 +119,29 @@ def test_too_few_members_and_conflicting_totals(spark):
         un.check_universe(chosen(spark, LISTING[:6], totals=[6, 7]))
 
 
+def test_rules_counted_while_writing(spark):
+    universe = chosen(spark, LISTING)
+    assert universe.found == dict.fromkeys((un.CONFLICTING_TOTALS, un.GROWING_COUNTS, un.REPEATED_TICKER, un.BAD_DIGEST, un.NO_PAGE), 0)
+    none = chosen(spark, LISTING[-1:])
+    assert none.members.count() == 0 and not any(none.found.values())
+    # A universe put together elsewhere is examined by a job.
+    unseen = universe._replace(found=None)
+    un.check_universe(unseen)
+    broken = universe.members.withColumn("content_hash", F.substring("content_hash", 1, 9))
+    for members, message in (
+        (universe.members.union(universe.members.limit(1)), un.REPEATED_TICKER),
+        (broken, un.BAD_DIGEST),
+        (universe.members.withColumn("retrieved_at", F.lit("1999-01-01").cast("timestamp")), un.NO_PAGE),
+    ):
+        with pytest.raises(DataViolation, match=message):
+            un.check_universe(unseen._replace(members=members))
+    quotes, pages = parse_pages(document_pages(spark, LISTING, SMALL.page_size))
+    lost = un.select_universe(quotes, pages.drop("problem").withColumn("request_hash", F.lit("0" * 64)), identity_map(spark, LISTING), SMALL)
+    assert lost.found[un.NO_PAGE] == lost.members.count() > 0
+    with pytest.raises(DataViolation, match=un.NO_PAGE):
+        un.check_universe(lost)
+
+
 def test_pages_and_policy(spark):
     rows = spark.range(90).select(
         F.concat(F.lit("Q"), "id").alias("ticker"),

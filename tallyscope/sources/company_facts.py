@@ -148,8 +148,21 @@ def _is_number(value: str) -> str:
     return f"(schema_of_variant({value}) in ('BIGINT', 'DOUBLE', 'FLOAT') or schema_of_variant({value}) like 'DECIMAL%')"
 
 
+def _issue(code: str, path: str, message: str) -> str:
+    return f"named_struct('code', '{code}', 'provider_path', {path}, 'message', {message})"
+
+
+_NO_ISSUE = "cast(null as struct<code:string, provider_path:string, message:string>)"
+
+
+def _flag(*checks: tuple[str, str]) -> str:
+    """First matching check as an issue struct; an issue from an earlier level is kept."""
+    cases = " ".join(f"when {condition} then {issue}" for condition, issue in checks)
+    return f"case when issue is not null then issue {cases} end as issue"
+
+
 def parse_documents(raw: DataFrame) -> DataFrame:
-    """cik, names and the facts object of each document; ``document_problem`` when unusable.
+    """cik, names and the facts object of each document; ``issue`` instead of facts when it is unusable.
 
     Parsing rejects duplicate keys and non-finite constants. ``raw`` may bring its own ``ticker``.
     """
@@ -166,40 +179,39 @@ def parse_documents(raw: DataFrame) -> DataFrame:
         "_facts",
         "retrieved_at",
         "cik",
-        "concat('cik:', cik) as entity_id",
         f"upper(trim(coalesce({own_ticker}, {_text('_ticker')}))) as ticker",
         f"{_text('_name')} as entity_name",
-        "case when _json is null then 'document is not strict JSON' "
-        "when cik is null then 'company-facts payload is missing a valid cik' end as document_problem",
+        "case when _json is null then "
+        + _issue("invalid_document", "'$'", "'document is not strict JSON'")
+        + " when cik is null then "
+        + _issue("invalid_document", "'$'", "'company-facts payload is missing a valid cik'")
+        + f" when not {_is('OBJECT', '_facts')} then "
+        + _issue("invalid_facts", "'facts'", "'facts must be an object'")
+        + " end as issue",
     )
-    return computed(documents)
-
+    return computed(documents.withColumn("_facts", F.expr("if(issue is null, _facts, null)")))
 
-def _concept_rows(documents: DataFrame) -> DataFrame:
-    """One row per document and known concept: the facts object is walked once and its members meet the rule table."""
-    rules = documents.sparkSession.createDataFrame(
-        [(i, *rule) for i, rule in enumerate(RULES)],
-        "rule int, taxonomy string, concept string, name string, kind string, priority int, absolute boolean",
-    )
-    wanted = documents.select("cik", "entity_id", "ticker", "entity_name", "retrieved_at", "_facts")
-    taxonomies = ", ".join(sorted({f"'{taxonomy}'" for taxonomy, *_ in RULES}))
-    members = _entries(wanted, "_facts", "_at", "taxonomy", "_concepts").drop("_at").where(f"taxonomy in ({taxonomies})")
-    concepts = _entries(members, "_concepts", "_at", "concept", "payload").drop("_at")
-    # The rules are a fixed table of a few rows.
-    return concepts.join(F.broadcast(rules), ["taxonomy", "concept"])
 
+def _rules(spark: SparkSession) -> DataFrame:
+    """The rule table with the number of each rule, and the first rule of its name and kind as ``metric``."""
+    first: dict[tuple[str, str], int] = {}
+    rows = [(i, *rule, first.setdefault((rule[2], rule[3]), i)) for i, rule in enumerate(RULES)]
+    columns = "rule int, taxonomy string, concept string, name string, kind string, priority int, absolute boolean, metric int"
+    # A fixed table of a few rows.
+    return F.broadcast(spark.createDataFrame(rows, columns))
 
-def _issue(code: str, path: str, message: str) -> str:
-    return f"named_struct('code', '{code}', 'provider_path', {path}, 'message', {message})"
-
-
-_NO_ISSUE = "cast(null as struct<code:string, provider_path:string, message:string>)"
 
+def _concept_rows(documents: DataFrame) -> DataFrame:
+    """One row per document and known concept: the facts object is walked once and its members meet the rule table.
 
-def _flag(*checks: tuple[str, str]) -> str:
-    """First matching check as an issue struct; an issue from an earlier level is kept."""
-    cases = " ".join(f"when {condition} then {issue}" for condition, issue in checks)
-    return f"case when issue is not null then issue {cases} end as issue"
+    An unusable document stays as one row carrying its issue, so one pass finds facts and issues of all levels.
+    """
+    taxonomies = ", ".join(sorted({f"'{taxonomy}'" for taxonomy, *_ in RULES}))
+    members = _entries(documents, "_facts", "_at", "taxonomy", "_concepts", outer=True).drop("_at")
+    known = members.where(f"issue is not null or taxonomy in ({taxonomies})")
+    concepts = _entries(known, "_concepts", "_at", "concept", "payload", outer=True).drop("_at")
+    rules = _rules(documents.sparkSession)
+    return concepts.join(rules, ["taxonomy", "concept"], "left").where("issue is not null or rule is not null")
 
 
 def _fact_rows(concepts: DataFrame) -> DataFrame:
@@ -214,9 +226,8 @@ def _fact_rows(concepts: DataFrame) -> DataFrame:
     units = _entries(opened.withColumn("_whole", F.col("_units")), "_units", "_at", "provider_unit", "_facts", outer=True)
     # Without a key, units are empty or no object; the members of an array would tell so once each.
     once = units.where("provider_unit is not null or coalesce(_at, 0) = 0").selectExpr(
-        "* except (_whole, _is_concept, _at)",
-        "case when provider_unit is not null then "
-        + _NO_ISSUE
+        "* except (_whole, _is_concept, _at, issue)",
+        "case when issue is not null or provider_unit is not null then issue"
         + " when not _is_concept then "
         + _issue("invalid_concept", "base_path", "'known concept payload must be an object'")
         + f" when not {_is('OBJECT', '_whole')} then "
@@ -254,7 +265,9 @@ def _judged_facts(facts: DataFrame, forms: Sequence[str]) -> DataFrame:
     """Typed fact fields, the issue of a bad fact, and no rows of other forms."""
     f = "_v_{}".format
     allowed = ", ".join(f"'{x.strip().upper()}'" for x in forms)
-    typed = facts.selectExpr("*", *[f"{_field('_fact', name)} as {f(name)}" for name in _FACT_FIELDS]).selectExpr(
+    members = ", ".join(f"{name}: variant" for name in _FACT_FIELDS)
+    opened = facts.withColumn("_members", F.expr(f"try_variant_get(_fact, '$', 'struct<{members}>')"))
+    typed = opened.selectExpr("* except (_members)", *[f"_members.{name} as {f(name)}" for name in _FACT_FIELDS]).selectExpr(
         "*",
         f"upper({_text(f('form'))}) as form",
         f"{_text(f('accn'))} as accession",
@@ -281,6 +294,7 @@ def _judged_facts(facts: DataFrame, forms: Sequence[str]) -> DataFrame:
     out_of_range = "abs(reported_value) = double('infinity') or isnan(reported_value)"
     judged = dated.selectExpr(
         f"* except (issue, _fact, _filed, _end, _start, {', '.join(map(f, _FACT_FIELDS))})",
+        "unit.symbol as symbol",
         _flag(
             (f"form is null and not {_is('OBJECT', '_fact')}", bad("invalid_fact", "'fact must be an object'")),
             ("form is null", bad("missing_form", "'fact is missing its filing form'")),
@@ -309,16 +323,45 @@ def _judged_facts(facts: DataFrame, forms: Sequence[str]) -> DataFrame:
 
 
 def latest_restatements(facts: DataFrame) -> DataFrame:
-    """One fact per entity, name, unit and period: the latest filing, then the preferred concept.
+    """One fact per entity, name, unit and period: the latest filing, then the preferred concept."""
+    keyed = facts.withColumn("_period_key", F.struct("period.kind", "period.start", "period.end"))
+    return _newest(keyed, ["entity_id", "name", "unit", "_period_key"], "evidence_id").drop("_period_key")
+
 
-    A maximum over a struct: partial maxima are taken before the shuffle, so thousands of repeats
+def _newest(facts: DataFrame, key: Sequence[str], tie: str) -> DataFrame:
+    """A maximum over a struct: partial maxima are taken before the shuffle, so thousands of repeats
     of one period cost one row per map task.
     """
-    key = ["entity_id", "name", "unit", "_period_key"]
-    keyed = facts.withColumn("_period_key", F.struct("period.kind", "period.start", "period.end"))
     kept = [c for c in facts.columns if c not in key]
-    best = F.max_by(F.struct(*kept), F.struct("filed", -F.col("priority"), "evidence_id"))
-    return keyed.groupBy(*key).agg(best.alias("_best")).select("entity_id", "name", "unit", "_best.*")
+    best = F.max_by(F.struct(*kept), F.struct("filed", -F.col("priority"), tie))
+    return facts.groupBy(*key).agg(best.alias("_best")).select(*key, "_best.*")
+
+
+#: Columns from which all of a fact follows by its rule.
+_NARROW = (
+    "cik", "ticker", "entity_name", "retrieved_at", "rule", "metric", "priority", "symbol", "label", "provider_unit", "form", "accession",
+    "frame", "filed", "start", "end", "fiscal_year", "fiscal_period", "reported_value", "value_text", "decimals",
+)
+
+
+def _described(facts: DataFrame) -> DataFrame:
+    """What the rule says of each narrow fact, its entity and its unit."""
+    rules = _rules(facts.sparkSession).drop("metric", "priority")
+    return (
+        facts.join(rules, "rule")
+        .withColumn("entity_id", F.concat(F.lit("cik:"), "cik"))
+        .withColumn("unit", parse_unit("provider_unit"))
+    )
+
+
+def _latest_facts(facts: DataFrame) -> DataFrame:
+    """The rows of ``latest_restatements`` as narrow facts: long texts that follow from others do not travel.
+
+    Facts of a name share the kind of their unit, so its symbol tells the unit. The digest of an evidence id orders as the id does.
+    """
+    digest = F.unhex(F.substring("evidence_id", -24, 24))
+    cited = _records(_described(facts)).select(*_NARROW, digest.alias("_digest"))
+    return _newest(cited, ["cik", "metric", "symbol", "start", "end"], "_digest").drop("_digest")
 
 
 def _records(facts: DataFrame) -> DataFrame:
@@ -371,36 +414,22 @@ def _records(facts: DataFrame) -> DataFrame:
 
 
 def normalize_company_facts(
-    raw: DataFrame, forms: Sequence[str] = FORMS, max_issues: int | None = None
+    raw: DataFrame, forms: Sequence[str] = FORMS, max_issues: int | None = None, dealt: bool = False
 ) -> Batch:
     """Observations, evidence and issues of company-facts documents (document, retrieved_at[, ticker]).
 
-    The parsed fact rows feed all three tables, so they are settled once rather than parsed three times. All issues are
-    returned unless ``max_issues`` asks for a summary per issuer.
+    The documents are parsed in one pass. Its narrow rows, facts and issues of all levels, feed all three tables, so they are
+    settled once. All issues are returned unless ``max_issues`` asks for a summary per issuer. ``dealt``: the rows are spread
+    over the cores already.
     """
     if not forms or any(not f.strip() for f in forms):
         raise ValueError("forms must contain at least one non-empty form name")
-    documents = parse_documents(spread(raw))
-    usable = documents.where("document_problem is null")
-    facts = settle(_judged_facts(_fact_rows(_concept_rows(usable)), forms))
-    records = latest_restatements(_records(facts.where("issue is null")))
-    ord_key = F.col("rule").cast("bigint") * 1_000_000_000 + F.coalesce("position", F.lit(0))
-    fact_issues = facts.where("issue is not null").select("entity_id", "issue.*", ord_key.cast("long").alias("ord"))
-    broken = documents.where("document_problem is not null").selectExpr(
-        "entity_id",
-        "'invalid_document' as code",
-        "'$' as provider_path",
-        "document_problem as message",
-        "cast(0 as bigint) as ord",
-    )
-    no_facts = documents.where(f"document_problem is null and not {_is('OBJECT', '_facts')}").selectExpr(
-        "entity_id",
-        "'invalid_facts' as code",
-        "'facts' as provider_path",
-        "'facts must be an object' as message",
-        "cast(0 as bigint) as ord",
-    )
-    issues = fact_issues.unionByName(broken).unionByName(no_facts)
+    judged = _judged_facts(_fact_rows(_concept_rows(parse_documents(raw if dealt else spread(raw)))), forms)
+    facts = settle(judged.select(*_NARROW, "position", "issue"))
+    records = _records(_described(_latest_facts(facts.where("issue is null").drop("position", "issue"))))
+    ord_key = F.coalesce(F.col("rule").cast("bigint") * 1_000_000_000, F.lit(0)) + F.coalesce("position", F.lit(0))
+    entity = F.concat(F.lit("cik:"), "cik").alias("entity_id")
+    issues = facts.where("issue is not null").select(entity, "issue.*", ord_key.cast("long").alias("ord"))
     return Batch(observations_of(records), evidence_of(records), bounded_issues(issues, max_issues))
 
 

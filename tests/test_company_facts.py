@@ -1,4 +1,5 @@
 import json
+import re
 
 from pyspark.sql import functions as F
 
@@ -154,3 +155,21 @@ def test_rekey(spark):
     (row,) = rekey_to_ticker(batch.observations, issuers).collect()
     assert row["entity_id"] == "ticker:EXM" and row["observation_id"] != batch.observations.first()["observation_id"]
     assert json.loads(row["metadata"])["resolved_cik"] == "0000000001"
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_derived_texts_do_not_travel(spark):
+    """Only narrow rows go into the choice of the latest fact; texts that follow from them are made afterwards."""
+    gaap = {"Assets": {"units": {"USD": [fact(400, "2024-12-31", "2025-01-31")]}}}
+    plan = plan_of(normalize(spark, document({"us-gaap": gaap})).observations)
+    (chosen,) = re.findall(r"max_by\(struct\((.*?)\), struct\(filed", plan)
+    assert "accession" in chosen and not {"metadata", "source_locator", "source_url", "fact_path"} & set(re.findall(r"\w+", chosen))
+
+
+def test_issues_need_no_second_parse(spark):
+    batch = normalize(spark, document([], cik=2), document({"us-gaap": {"Assets": []}}), "no")
+    assert sorted(r["code"] for r in batch.issues.collect()) == ["invalid_concept", "invalid_document", "invalid_facts"]
+    assert "parse_json" not in plan_of(batch.issues).lower() and "parsejson" not in plan_of(batch.issues).lower()

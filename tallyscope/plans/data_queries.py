@@ -16,7 +16,7 @@ from tallyscope.operators import records as rc
 from tallyscope.operators import selection as sel
 from tallyscope.plans import tables as t
 from tallyscope.plans.tables import half_even_sql as R
-from tallyscope.session import settle
+from tallyscope.session import settle, spread
 from tallyscope.sources import company_facts as cf
 from tallyscope.sources import identity as idn
 from tallyscope.sources import market_data as md
@@ -182,9 +182,11 @@ def price_history_issues(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _fact_documents(spark: SparkSession, folder: str) -> DataFrame:
-    """One company-facts document per order line, built inside the row."""
-    lines = t.table(spark, folder, "lineitem").select(
-        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_returnflag", "l_shipdate"
+    """One company-facts document per order line, built inside the row; the lines are dealt out, not the long documents."""
+    lines = spread(
+        t.table(spark, folder, "lineitem").select(
+            "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_returnflag", "l_shipdate"
+        )
     )
     return lines.selectExpr(
         """concat('{"cik":', l_orderkey, ',"entityName":"Order","facts":{"us-gaap":{"Revenues":{"units":{"USD":[{"val":',
@@ -213,7 +215,7 @@ def _fact_documents(spark: SparkSession, folder: str) -> DataFrame:
     from f group by 1, 2, 3, 4, 5""",
 )
 def company_facts(spark: SparkSession, folder: str) -> DataFrame:
-    batch = cf.normalize_company_facts(_fact_documents(spark, folder))
+    batch = cf.normalize_company_facts(_fact_documents(spark, folder), dealt=True)
     return batch.observations.select(
         "entity_id",
         "name",
@@ -232,7 +234,7 @@ def company_facts(spark: SparkSession, folder: str) -> DataFrame:
     select entity_id, code, count(*) as issues from i where code is not null group by 1, 2""",
 )
 def company_fact_issues(spark: SparkSession, folder: str) -> DataFrame:
-    issues = cf.normalize_company_facts(_fact_documents(spark, folder)).issues
+    issues = cf.normalize_company_facts(_fact_documents(spark, folder), dealt=True).issues
     return issues.groupBy("entity_id", "code").agg(F.count(F.lit(1)).alias("issues"))
 
 
@@ -251,7 +253,7 @@ def _concept_documents(spark: SparkSession, folder: str) -> DataFrame:
     facts = ", ',', ".join(
         f"""'"{taxonomy}":{{', """ + ", ',', ".join(members) + ", '}'" for taxonomy, members in taxonomies.items()
     )
-    return t.table(spark, folder, "customer").selectExpr(
+    return spread(t.table(spark, folder, "customer").select("c_custkey")).selectExpr(
         f"""concat('{{"cik":', c_custkey, ',"facts":{{"other":{{"Unknown":{{}}}},', {facts}, '}}}}') as document""",
         "timestamp'2025-03-01' as retrieved_at",
     )
@@ -298,7 +300,7 @@ def _concept_documents(spark: SparkSession, folder: str) -> DataFrame:
 )
 def company_concepts(spark: SparkSession, folder: str) -> DataFrame:
     """All concepts of the rule table in every document; one preferred concept for each name is left."""
-    observations = cf.normalize_company_facts(_concept_documents(spark, folder)).observations
+    observations = cf.normalize_company_facts(_concept_documents(spark, folder), dealt=True).observations
     return observations.select(
         "entity_id",
         "name",

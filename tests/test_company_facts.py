@@ -173,3 +173,12 @@ def test_issues_need_no_second_parse(spark):
     batch = normalize(spark, document([], cik=2), document({"us-gaap": {"Assets": []}}), "no")
     assert sorted(r["code"] for r in batch.issues.collect()) == ["invalid_concept", "invalid_document", "invalid_facts"]
     assert "parse_json" not in plan_of(batch.issues).lower() and "parsejson" not in plan_of(batch.issues).lower()
+
+
+def test_long_documents_are_not_dealt_out(spark):
+    """The driver's queries deal the narrow rows out before the documents are built."""
+    from tallyscope.plans.data_queries import _concept_documents, _fact_documents
+
+    for build in (_concept_documents, _fact_documents):
+        plan = plan_of(build(spark, "/root/testdata/sf0.001"))
+        assert plan.index("Project") < plan.index("Repartition") and "document" not in plan[plan.index("Repartition") :]

@@ -889,7 +889,8 @@ def terminal_order(events: DataFrame, lanes: int = 8) -> DataFrame:
         F.max(F.when(kind == "workflow_completed", at)).alias("_workflow"),
         F.count_if(kind == "workflow_completed").alias("_workflows"),
         F.max("sequence").alias("_last"),
-        F.max_by("kind", "sequence").alias("_last_kind"),
+        # A flag, not the kind: aggregates of fixed width are kept in a hash map, texts would have every event sorted first.
+        F.max_by(kind == "run_completed", "sequence").alias("_completed"),
     )
     complete = (c("_lanes") == lanes) & (c("_syntheses") == 1) & (c("_workflows") == 1) & c("_candidate").isNotNull()
     ordered = (
@@ -901,7 +902,7 @@ def terminal_order(events: DataFrame, lanes: int = 8) -> DataFrame:
     problem = (
         F.when(~complete, "terminal projection events are incomplete")
         .when(~ordered, "candidate, lane, workflow, stage, and run order regressed")
-        .when(c("_last_kind") != "run_completed", "journal does not end with run_completed")
+        .when(~c("_completed"), "journal does not end with run_completed")
     )
     return one.select("run_id", problem.isNull().alias("ok"), problem.alias("problem"))
 

@@ -14,7 +14,7 @@ from tallyscope.operators import journal as jn
 from tallyscope.operators import run_blocks as rb
 from tallyscope.operators.digests import ordered_digest
 from tallyscope.plans import tables as t
-from tallyscope.session import ensure_checkpoint_dir, use_rocksdb_state
+from tallyscope.session import ensure_checkpoint_dir, spread, use_rocksdb_state
 from tallyscope.sources.journal_files import parse_lines, read_journal
 from tallyscope.streaming import journal_stream as js
 from tallyscope.streaming import keyed_state as ks
@@ -287,7 +287,8 @@ _CLOSING_KIND = """case
 )
 def terminal_order(spark: SparkSession, folder: str) -> DataFrame:
     places = "explode(sequence(0L, 13L)) as n"
-    log = t.table(spark, folder, "customer").selectExpr("c_custkey", "c_custkey % 6 as k", places).selectExpr(
+    customers = spread(t.table(spark, folder, "customer").select("c_custkey"))
+    log = customers.selectExpr("c_custkey", "c_custkey % 6 as k", places).selectExpr(
         "cast(c_custkey as string) as run_id",
         "n as sequence",
         f"{_CLOSING_KIND} as kind",

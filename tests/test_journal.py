@@ -353,3 +353,10 @@ def test_line_numbers_over_many_splits(spark, tmp_path):
         spark.conf.unset("spark.sql.files.openCostInBytes")
     assert len(found) == len(set(found)) and set(found) == expected
     assert "line_number" not in events.columns
+
+
+def test_terminal_order_sorts_no_events(spark):
+    """Fixed-width aggregates stay in a hash map; texts in an aggregate would have all events of a task sorted."""
+    rows = log("r", ("agent_completed", {}, "l1"), ("run_completed", {}, None))
+    plan = jn.terminal_order(frame(spark, rows))._jdf.queryExecution().sparkPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan

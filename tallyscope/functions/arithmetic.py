@@ -20,6 +20,7 @@ from tallyscope.functions.numeric import (
     finite_or_null,
     is_finite,
     null_double,
+    once,
     round_half_even,
 )
 
@@ -72,7 +73,7 @@ def array_sum(values: Column | str) -> Column:
 
 def array_product(values: Column | str) -> Column:
     xs = as_column(values).cast("array<double>")
-    return finite_or_null(F.when(_usable(xs), F.aggregate(xs, F.lit(1.0), lambda total, v: total * v)))
+    return F.when(_usable(xs), F.aggregate(xs, F.lit(1.0), lambda total, v: total * v, finite_or_null))
 
 
 def array_mean(values: Column | str) -> Column:
@@ -81,11 +82,14 @@ def array_mean(values: Column | str) -> Column:
 
 
 def array_median(values: Column | str) -> Column:
-    xs = F.array_sort(as_column(values).cast("array<double>"))
+    xs = as_column(values).cast("array<double>")
     n = F.size(xs)
-    low = F.element_at(xs, F.floor((n + 1) / 2).cast("int"))
-    high = F.element_at(xs, F.floor((n + 2) / 2).cast("int"))
-    return F.when(_usable(xs), (low + high) / 2.0)
+
+    def middle(ordered: Column) -> Column:
+        low = F.element_at(ordered, F.floor((n + 1) / 2).cast("int"))
+        return (low + F.element_at(ordered, F.floor((n + 2) / 2).cast("int"))) / 2.0
+
+    return F.when(_usable(xs), once(F.array_sort(xs), middle))
 
 
 def array_weighted_average(values: Column | str, weights: Column | str) -> Column:
@@ -93,7 +97,7 @@ def array_weighted_average(values: Column | str, weights: Column | str) -> Colum
     ws = as_column(weights).cast("array<double>")
     ok = _usable(xs) & (F.size(xs) == F.size(ws)) & F.forall(ws, lambda w: is_finite(w) & (w >= 0))
     weighted = array_total(F.zip_with(xs, ws, lambda x, w: x * w))
-    return finite_or_null(F.when(ok, F.try_divide(weighted, array_total(ws))))
+    return once(F.when(ok, F.try_divide(weighted, array_total(ws))), finite_or_null)
 
 
 def grouped_sum(value: Column | str) -> Column:

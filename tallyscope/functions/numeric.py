@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 MAX_PRECISION = 12
@@ -54,6 +56,11 @@ def round_half_even(value: Column | str, precision: int = 6) -> Column:
     return F.coalesce(rounded, F.bround(x, precision)) + 0.0
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once: Spark computes an array expression again wherever it is named."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def is_finite_sql(expression: str) -> str:
     return f"({expression} is not null and not isnan({expression}) and abs({expression}) < double('infinity'))"
 
@@ -124,10 +131,12 @@ def array_total(values: Column) -> Column:
             (sofar["plain"] + v).alias("plain"),
         )
 
-    total = F.aggregate(values, start, add)
-    exact = F.try_add(total["small"].try_cast("decimal(37,18)"), total["large"].try_cast("decimal(19,0)"))
-    apart = total["small"].cast("double") + total["large"].cast("double")
-    return finite_or_null(F.coalesce(F.coalesce(exact.cast("double"), apart) + total["other"], total["plain"]))
+    def finished(total: Column) -> Column:
+        exact = F.try_add(total["small"].try_cast("decimal(37,18)"), total["large"].try_cast("decimal(19,0)"))
+        apart = total["small"].cast("double") + total["large"].cast("double")
+        return F.coalesce(F.coalesce(exact.cast("double"), apart) + total["other"], total["plain"])
+
+    return once(F.aggregate(values, start, add, finished), finite_or_null)
 
 
 _FRACTION_BITS = 59

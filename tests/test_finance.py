@@ -295,3 +295,15 @@ def test_medians_without_a_group_in_one_task(spark):
         values = [v for g, v in rows if g == name and v is not None]
         expected[name] = (statistics.median(values), len(values))
     assert found == expected
+
+
+def test_array_operations_compute_once(spark):
+    """A fold of an array that is named several times is run again each time."""
+    frame = spark.createDataFrame([([0.1, 0.2, 1e17, -1e17, 3.5],)], "v array<double>")
+    out = frame.select(
+        A.array_sum("v").alias("s"), A.array_product("v").alias("p"), A.array_median("v").alias("m"),
+        A.array_weighted_average("v", F.array(*[F.lit(1.0)] * 5)).alias("w"),
+    )
+    assert tuple(out.first()) == (3.8, 0.1 * 0.2 * 1e17 * -1e17 * 3.5, 0.2, 0.76)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("aggregate(") == 4 and plan.count("array_sort(") <= 1

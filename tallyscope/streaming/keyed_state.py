@@ -10,11 +10,11 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Iterator
+from itertools import chain
 from typing import Any
 
-import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Row, Window, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tallyscope.operators import journal as jn
@@ -47,30 +47,33 @@ class _InOrder(StatefulProcessor):
 
     def _due(self, rows: list[tuple], watermark: int) -> list[dict]:
         """Waiting and new events that the watermark has passed, in order; the others wait on."""
-        if self.waiting.exists():
-            rows = [*self.waiting.get(), *rows]
-            self.waiting.clear()
+        held = list(self.waiting.get())
+        rows = [*held, *rows]
         sequence, stamp = self.names.index("sequence"), self.names.index("stamp")
         rest = [row for row in rows if row[stamp] > watermark]
         if rest:
             self.waiting.put(rest)
             self.handle.registerTimer(min(row[stamp] for row in rest))
+        elif held:
+            self.waiting.clear()
         due = {row[sequence]: row for row in reversed(rows) if row[stamp] <= watermark}
         return [dict(zip(self.names, due[at])) for at in sorted(due)]
 
-    def _taken(self, key: tuple, due: list[dict]) -> Iterator[pd.DataFrame]:
+    def _taken(self, key: tuple, due: list[dict]) -> Iterator[Row]:
         if not due:
             return
-        state = dict(zip(self.start, self.folded.get())) if self.folded.exists() else dict(self.start)
-        rows = self.fold(key, state, due)
+        state = dict(zip(self.start, self.folded.get() or self.start.values()))
+        rows = list(self.fold(key, state, due))
         self.folded.update(tuple(state.values()))
-        yield pd.DataFrame([(*key, *row) for row in rows], columns=["run_id", "id", *self.out], dtype=object)
+        row_of = Row("run_id", "id", *self.out)
+        for row in rows:
+            yield row_of(*key, *row)
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        found = [row for frame in rows for row in zip(*(frame[name].tolist() for name in self.names))]
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        found = [tuple(row[name] for name in self.names) for row in rows]
         yield from self._taken(key, self._due(found, timerValues.getCurrentWatermarkInMs()))
 
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
         watermark = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
         yield from self._taken(key, self._due([], watermark))
 
@@ -158,8 +161,7 @@ class AgentFold(_InOrder):
             state["last"] = event["sequence"]
             state["role"], state["lane"] = (_greater(state[name], event[name]) for name in ("role", "lane"))
             state["status"] = event["status"] or state["status"]
-            # Values that are not set come as NaN, which no comparison holds for.
-            if (given := event["set_to"]) is not None and given == given:
+            if (given := event["set_to"]) is not None:
                 state["progress"] = int(given)
             if (given := event["raised_to"]) is not None and given > state["progress"]:
                 state["progress"] = int(given)
@@ -190,7 +192,7 @@ def task_moves(events: DataFrame, watermark: str = "10 minutes") -> DataFrame:
     """Every event of a task once it is due: status before and after, what is wrong with it, the task's state after it."""
     rows = jn.task_rows(_stamped(events, watermark), "timestamp").withColumnRenamed("task_id", "id")
     keyed = rows.withColumn("stamp", F.unix_millis("timestamp")).groupBy("run_id", "id")
-    return keyed.transformWithStateInPandas(TaskFold(), MOVES, "Append", "EventTime")
+    return keyed.transformWithState(TaskFold(), MOVES, "Append", "EventTime")
 
 
 def agent_rows(events: DataFrame, watermark: str = "10 minutes") -> DataFrame:
@@ -201,7 +203,7 @@ def agent_rows(events: DataFrame, watermark: str = "10 minutes") -> DataFrame:
         F.col("_set").cast("double").alias("set_to"), F.col("_raise").cast("double").alias("raised_to"),
         F.unix_millis("timestamp").alias("stamp"),
     )
-    return steps.groupBy("run_id", "id").transformWithStateInPandas(AgentFold(), AGENTS, "Update", "EventTime")
+    return steps.groupBy("run_id", "id").transformWithState(AgentFold(), AGENTS, "Update", "EventTime")
 
 
 def moves_to_end(events: DataFrame, folder: str, watermark: str = "0 seconds") -> DataFrame:
@@ -249,7 +251,11 @@ def agent_states(agents: DataFrame, runs: DataFrame) -> DataFrame:
 # --- recent events --------------------------------------------------------------------------------
 
 RING = "run_id string, block bigint, sequence bigint, kind string, timestamp timestamp, message string, agent_id string, payload string"
-_RING_FIELDS = ["sequence", "kind", "timestamp", "message", "agent_id", "payload"]
+_STAMPED = RING.replace("timestamp timestamp", "stamp bigint")
+
+
+def _nulls_first(event: tuple) -> list[tuple]:
+    return [(value is not None, value) for value in event]
 
 
 class RecentRing(StatefulProcessor):
@@ -264,31 +270,34 @@ class RecentRing(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         fields = "sequence bigint, kind string, stamp bigint, message string, agent_id string, payload string"
+        self.names = [field.split()[0] for field in fields.split(", ")]
         self.ring = handle.getListState("ring", fields)
         self.deadline = handle.getValueState("deadline", "at bigint")
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        names = ["sequence", "kind", "stamp", "message", "agent_id", "payload"]
-        held = pd.DataFrame(list(self.ring.get()), columns=names, dtype=object)
-        for frame in rows:
-            both = pd.concat([held, frame[names].astype(object)], ignore_index=True)
-            both = both.sort_values(names, kind="stable", na_position="first").drop_duplicates("sequence")
-            held = both.tail(self.count)
-        held = held.where(held.notna(), None)
-        self.ring.put([tuple(row) for row in held.itertuples(index=False)])
-        at = int(held["stamp"].max()) // 1000 + self.keep
-        if not self.deadline.exists() or self.deadline.get()[0] < at:
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        found: dict[int, tuple] = {}
+        for event in chain(self.ring.get(), (tuple(row[name] for name in self.names) for row in rows)):
+            other = found.get(event[0])
+            found[event[0]] = event if other is None else min(other, event, key=_nulls_first)
+            if len(found) > 2 * self.count + SPAN:
+                found = self._last(found)
+        held = self._last(found)
+        self.ring.put(list(held.values()))
+        at = max(event[2] for event in held.values()) // 1000 + self.keep
+        known = self.deadline.get()
+        if known is None or known[0] < at:
             self.deadline.update((at,))
             self.handle.registerTimer(at)
-        out = held.rename(columns={"stamp": "timestamp"})
-        out["timestamp"] = pd.to_datetime(out["timestamp"].astype("int64"), unit="us")
-        out["sequence"] = out["sequence"].astype("int64")
-        out.insert(0, "run_id", key[0])
-        out.insert(1, "block", int(key[1]))
-        yield out[["run_id", "block", *_RING_FIELDS]]
-
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        if self.deadline.exists() and expiredTimerInfo.getExpiryTimeInMs() >= self.deadline.get()[0]:
+        row_of = Row("run_id", "block", *self.names)
+        for event in held.values():
+            yield row_of(*key, *event)
+
+    def _last(self, found: dict[int, tuple]) -> dict[int, tuple]:
+        return {at: found[at] for at in sorted(found)[-self.count :]}
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
+        known = self.deadline.get()
+        if known is not None and expiredTimerInfo.getExpiryTimeInMs() >= known[0]:
             self.ring.clear()
             self.deadline.clear()
         yield from ()
@@ -308,9 +317,9 @@ def recent_rings(
         "run_id", F.floor(F.col("sequence") / SPAN).alias("block"), "timestamp",
         F.unix_micros("timestamp").alias("stamp"), "sequence", "kind", "message", "agent_id", "payload",
     )
-    return keyed.groupBy("run_id", "block").transformWithStateInPandas(
-        RecentRing(count, keep_seconds), RING, "Update", "EventTime"
-    )
+    rings = keyed.groupBy("run_id", "block").transformWithState(RecentRing(count, keep_seconds), _STAMPED, "Update", "EventTime")
+    names = [part.split()[0] for part in RING.split(", ")]
+    return rings.withColumn("timestamp", F.timestamp_micros("stamp")).select(*names)
 
 
 def recent_to_end(

@@ -113,3 +113,23 @@ def test_rings_expire(spark, tmp_path):
     stream = stream.option("recursiveFileLookup", "true").parquet(str(folder))
     recent = ks.recent_to_end(stream, str(tmp_path / "w"), 3, "0 seconds", 3600.0)
     assert {r["sequence"] for r in recent.collect()} == {9, 10, 11}
+
+
+def test_ring_takes_rows():
+    """A key costs no frames: its processor reads and gives rows, and keeps the least copy of a number."""
+    from types import SimpleNamespace as Fake
+
+    from pyspark.sql import Row
+
+    ring = ks.RecentRing(2, 60.0)
+    state: dict = {"ring": [], "deadline": None, "timers": []}
+    handle = Fake(
+        getListState=lambda *_: Fake(get=lambda: iter(state["ring"]), put=lambda rows: state.update(ring=rows)),
+        getValueState=lambda *_: Fake(get=lambda: state["deadline"], update=lambda value: state.update(deadline=value)),
+        registerTimer=state["timers"].append,
+    )
+    ring.init(handle)
+    rows = [Row(sequence=n, kind=kind, stamp=n * 1000, message=None, agent_id=None, payload="{}") for n, kind in ((3, "b"), (1, "a"), (2, None), (3, "a"))]
+    out = list(ring.handleInputRows(("r", 0), iter(rows), None))
+    assert [(r.run_id, r.block, r.sequence, r.kind) for r in out] == [("r", 0, 2, None), ("r", 0, 3, "a")]
+    assert state["timers"] == [60003] and len(state["ring"]) == 2

@@ -6,9 +6,12 @@ run with a third of all events is spread over many tasks.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from itertools import groupby
+from operator import itemgetter
 from typing import NamedTuple
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tallyscope.operators.series import STEPS_PER_BLOCK, block_of, with_previous
@@ -339,15 +342,93 @@ def _task_results() -> tuple[Column, Column, Column]:
 
 CYCLE, BEHIND_CYCLE = "workflow dependency cycle", "task waits for a dependency cycle"
 
+#: Tasks and dependencies of a plan that is peeled inside a task.
+SMALL_PLAN = 4096
+_LEVELS = "run_id string, task_id string, level int, problem string"
 
-def plan_levels(tasks: DataFrame) -> DataFrame:
+
+def plan_levels(tasks: DataFrame, small: int = SMALL_PLAN) -> DataFrame:
     """``run_id, task_id, level, problem`` of every task of all plans (``run_id, task_id, depends_on``).
 
-    Level 0 depends on nothing, any other level on the one before it at least. Tasks are peeled off level by level in all runs at
-    once, so the number of rounds is the depth of the deepest plan. What cannot be peeled stands on a cycle or waits for
-    one: it has no level, and peeling it from the other end tells the two apart. Dependencies that are not in the plan,
-    which :func:`plan_problems` reports, hold nothing back.
+    Level 0 depends on nothing, any other level on the one before it at least. Tasks are peeled off level by level. What cannot be
+    peeled stands on a cycle or waits for one: it has no level, and peeling it from the other end tells the two apart.
+    Dependencies that are not in the plan, which :func:`plan_problems` reports, hold nothing back; tasks without a run or an id
+    have no dependencies.
+
+    Plans of at most ``small`` tasks and dependencies are dealt out by run and peeled where they are. Larger ones are peeled together by
+    joins, so no task holds one; the number of rounds is the depth of the deepest of them.
     """
+    c = F.col
+    ids = [c(name).cast(tasks.schema[name].dataType) for name in ("run_id", "task_id")]
+    rows = settle(tasks.select(c("run_id").cast("string"), c("task_id").cast("string"), "depends_on"))
+    size = F.sum(1 + F.coalesce(F.array_size("depends_on"), F.lit(0)))
+    large = settle(rows.groupBy("run_id").agg(size.alias("size")).where(c("run_id").isNotNull() & (c("size") > small)).select("run_id"))
+    none = large.isEmpty()
+    few = rows if none else rows.join(large, "run_id", "left_anti")
+    dealt = few.where("run_id is not null").repartition("run_id").sortWithinPartitions("run_id")
+    levels = dealt.mapInArrow(_small_levels, _LEVELS)
+    lost = rows.where("run_id is null").select("run_id", "task_id", F.lit(0).alias("level"), F.lit(None).cast("string").alias("problem")).distinct()
+    if not none:
+        levels = levels.unionByName(_joined_levels(rows.join(large, "run_id", "left_semi")))
+    return levels.unionByName(lost).select(*ids, "level", "problem")
+
+
+def _small_levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Levels of whole plans, from rows in the order of their runs."""
+    rows = (row for batch in batches for row in zip(*(column.to_pylist() for column in batch.columns), strict=True))
+    found: list[tuple] = []
+    for run, own in groupby(rows, key=itemgetter(0)):
+        plan: dict[str | None, set[str]] = {}
+        for _, task, needs in own:
+            plan.setdefault(task, set()).update(() if task is None else needs or ())
+        found += [(run, task, *place) for task, place in levels_of(plan).items()]
+        if len(found) >= 10_000:
+            yield _level_batch(found)
+            found = []
+    yield _level_batch(found)
+
+
+def _level_batch(found: list[tuple]) -> pa.RecordBatch:
+    types = {"run_id": pa.string(), "task_id": pa.string(), "level": pa.int32(), "problem": pa.string()}
+    columns = zip(*found) if found else ([] for _ in types)
+    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types.values(), strict=True)], names=list(types))
+
+
+def levels_of(plan: dict[str | None, set[str]]) -> dict[str | None, tuple[int | None, str | None]]:
+    """Level and problem of each task of one plan, from the tasks that each depends on."""
+    open_needs = {task: {need for need in needs if need is not None and need in plan} for task, needs in plan.items()}
+    waiting: dict[str | None, list] = {}
+    for task, needs in open_needs.items():
+        for need in needs:
+            waiting.setdefault(need, []).append(task)
+    out: dict[str | None, tuple[int | None, str | None]] = {}
+    left = {task: len(needs) for task, needs in open_needs.items()}
+    free, level = [task for task, count in left.items() if not count], 0
+    while free:
+        out |= {task: (level, None) for task in free}
+        after = []
+        for task in free:
+            for other in waiting.get(task, ()):
+                left[other] -= 1
+                if not left[other]:
+                    after.append(other)
+        free, level = after, level + 1
+    stuck = {task for task in plan if task not in out}
+    held = {task: sum(other in stuck for other in waiting.get(task, ())) for task in stuck}
+    free = [task for task, count in held.items() if not count]
+    out |= {task: (None, CYCLE) for task in stuck}
+    while free:
+        task = free.pop()
+        out[task] = (None, BEHIND_CYCLE)
+        for need in open_needs[task] & stuck:
+            held[need] -= 1
+            if not held[need]:
+                free.append(need)
+    return out
+
+
+def _joined_levels(tasks: DataFrame) -> DataFrame:
+    """The rows of ``plan_levels`` by joins, one round per level of all plans at once."""
     node = ["run_id", "task_id"]
     nodes = settle(tasks.select(*node).distinct())
     named = tasks.select(*node, F.explode(F.array_distinct("depends_on")).alias("dependency"))

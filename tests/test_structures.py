@@ -69,6 +69,31 @@ def test_levels_of_random_plans(spark):
     assert {p for _, p in expected.values()} == {None, jn.CYCLE, jn.BEHIND_CYCLE}
 
 
+@pytest.mark.parametrize("small", [0, 6, 1000])
+def test_levels_of_small_and_large_plans_are_the_same(spark, small):
+    rng = random.Random(5)
+    tasks = []
+    for run in range(24):
+        names = [f"t{k}" for k in range(rng.randrange(1, 9))]
+        for k, name in enumerate(names):
+            deps = rng.sample(names, rng.randrange(min(2, len(names)) + 1)) if run % 2 else names[max(0, k - 2) : k]
+            tasks.append((f"r{run}", name, deps))
+    odd = [("r0", None, ["t0"]), ("r0", "bare", None), (None, "a", ["b"]), (None, "b", ["a"]), (None, "a", ["b"]), (None, None, None)]
+    frame = spark.createDataFrame(tasks + odd + tasks[:9], "run_id string, task_id string, depends_on array<string>").repartition(5)
+    found = [tuple(r) for r in jn.plan_levels(frame, small).collect()]
+    expected = plain_levels(tasks) | {("r0", None): (0, None), ("r0", "bare"): (0, None)}
+    expected |= {(None, task): (0, None) for task in ("a", "b", None)}
+    assert len(found) == len(expected)
+    assert {(run, task): (level, problem) for run, task, level, problem in found} == expected
+
+
+def test_small_plans_take_no_round_for_each_level(spark, monkeypatch):
+    monkeypatch.setattr(jn, "_peeled", None)
+    chain = [("r", f"t{k}", [f"t{k - 1}"] if k else []) for k in range(300)]
+    found = jn.plan_levels(spark.createDataFrame(chain, "run_id string, task_id string, depends_on array<string>"))
+    assert {r["task_id"]: r["level"] for r in found.collect()} == {f"t{k}": k for k in range(300)}
+
+
 def test_levels_agree_with_start_order(spark):
     steps = [("workflow_planned", plan(("a", "x", (), False), ("b", "x", ("a",), False), ("c", "x", ("a", "b"), False)))]
     for name in "abc":

@@ -11,7 +11,8 @@
    the same bounds inside the block's task, and only pairs that pass leave it, again for exact overlaps. A pair that is seen
    to share one of the grams just before in the order stays behind, since it leaves at its first shared gram. Blocks of many
    classes are cut into parts that meet pairwise. Pairs within one group add nothing to its components and are left
-   out, so a large group of near copies costs a star, not a square.
+   out. So that a large group of near copies is one group by then, its crowded blocks are multiplied out first for the
+   nearest partner of each class alone, in a few rounds; it costs stars and nearest partners, not a square.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ SLOTS = 1 << SLOT_BITS
 PART = 1024
 #: Prefix grams before the shared one that are compared to find pairs which met in an earlier block.
 BEFORE = 6
+#: Classes from which on a block is crowded, and most rounds of nearest partners in crowded blocks.
+CROWD, ROUNDS = 64, 3
 
 
 def _slot(grams: np.ndarray) -> np.ndarray:
@@ -257,32 +260,48 @@ def part_pairs(
     bits: pa.Array,
     before: np.ndarray,
     percent: int,
+    nearest: bool = False,
 ) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of rows of one group that pass all bounds: of different roots, and of both sides where a group has two.
 
     ``at`` is the place of the shared gram in the order of each set, ``before`` has a row of the grams just before it.
+    ``nearest``: of all these pairs, and those that met before, only the one of each row that may be the most similar.
     """
     rows = BitRows(bits)
     two_sides = np.zeros(len(n), dtype=bool)
     if len(starts):
         mixed = np.minimum.reduceat(side, starts) != np.maximum.reduceat(side, starts)
         two_sides[: int((starts + sizes).max())] = np.repeat(mixed, sizes)
-    first, second = [], []
+    first, second, likeness = [], [], []
     for a, b in group_pairs(starts, sizes):
         keep = (root[a] != root[b]) & (~two_sides[a] | (side[a] != side[b]))
         a, b = a[keep], b[keep]
         fits, least = _fitting_rows(n, at, a, b, percent)
         a, b, least = a[fits], b[fits], least[fits]
-        fresh = ~_met_before(before, a, b)
-        a, b, least = a[fresh], b[fresh], least[fresh]
-        passed = (n[a] + n[b] - rows.apart(a, b)) // 2 >= least
-        first.append(a[passed])
-        second.append(b[passed])
+        if not nearest:
+            fresh = ~_met_before(before, a, b)
+            a, b, least = a[fresh], b[fresh], least[fresh]
+        most = (n[a] + n[b] - rows.apart(a, b)) // 2
+        passed = most >= least
+        a, b, most = a[passed], b[passed], most[passed]
+        if nearest:
+            a, b, like = _nearest(np.concatenate([a, b]), np.concatenate([b, a]), np.tile(most / (n[a] + n[b] - most), 2))
+            likeness.append(like)
+        first.append(a)
+        second.append(b)
     empty = np.empty(0, dtype=np.int64)
-    return np.concatenate([*first, empty]), np.concatenate([*second, empty])
+    a, b = np.concatenate([*first, empty]), np.concatenate([*second, empty])
+    return (a, b) if not nearest else _nearest(a, b, np.concatenate([*likeness, empty]))[:2]
 
 
-def _block_product(rows: DataFrame, percent: int) -> DataFrame:
+def _nearest(a: np.ndarray, b: np.ndarray, like: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The first pair of each ``a`` by likeness, the largest first."""
+    order = np.lexsort((b, -like, a))
+    chosen = order[np.flatnonzero(np.diff(a[order], prepend=-1))]
+    return a[chosen], b[chosen], like[chosen]
+
+
+def _block_product(rows: DataFrame, percent: int, nearest: bool = False) -> DataFrame:
     """``a, b, n_a, n_b`` from ``gram, part, other_part, side, set_id, n, at, root, bits`` and the ``BEFORE`` grams before.
 
     Tasks read their rows in order of the parts that meet; a part has a bounded number of rows, so a task holds one batch
@@ -300,7 +319,7 @@ def _block_product(rows: DataFrame, percent: int) -> DataFrame:
             n, at, root, side, ids = (whole.column(c).to_numpy() for c in ("n", "at", "root", "side", "set_id"))
             bits = pa.concat_arrays(whole.column("bits").chunks) if len(whole) else pa.array([], type=pa.binary())
             before = np.stack([whole.column(f"before_{k}").to_numpy() for k in range(BEFORE)], axis=1)
-            left, right = part_pairs(cuts[:-1], np.diff(cuts), n, at, root, side, bits, before, percent)
+            left, right = part_pairs(cuts[:-1], np.diff(cuts), n, at, root, side, bits, before, percent, nearest)
             columns = [pa.array(values) for values in (ids[left], ids[right], n[left], n[right])]
             return pa.RecordBatch.from_arrays(columns, names=["a", "b", "n_a", "n_b"]), table.slice(int(cuts[-1]))
 
@@ -388,36 +407,51 @@ def near_duplicates(
     links = settle(exact_links(_possible(stars, classes, percent)))
     groups = settle(components(links))
 
-    grouped = met.join(groups, F.col("set_id") == F.col("node"), "left").select(
-        "gram", "set_id", "n", "at", F.coalesce("root", "set_id").alias("root")
-    )
-    mixed = (
-        grouped.groupBy("gram")
-        .agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("met"))
-        .filter("low != high")
-        .select("gram", F.ceil(F.col("met") / PART).alias("parts"))
-    )
-    own = F.pmod(F.xxhash64("set_id"), F.col("parts"))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
-    open_rows = (
-        grouped.join(mixed, "gram")
-        .select("gram", "set_id", "n", "at", "root", own.alias("own"), other.alias("other"))
-        .select(
-            "gram",
-            F.least("own", "other").alias("part"),
-            F.greatest("own", "other").alias("other_part"),
-            F.col("own").alias("side"),
-            "set_id",
-            "n",
-            "at",
-            "root",
+    def open_rows(groups: DataFrame, least: int) -> DataFrame:
+        """Rows for the product, of the blocks of ``least`` classes or more in which two groups meet."""
+        grouped = met.join(groups, F.col("set_id") == F.col("node"), "left").select(
+            "gram", "set_id", "n", "at", F.coalesce("root", "set_id").alias("root")
         )
-    )
-    # Where there are fewer grams before, the class's own hash stands in, which no other class has.
-    before = [F.coalesce(F.get("prefix", F.col("at").cast("int") - k - 1), "set_id").alias(f"before_{k}") for k in range(BEFORE)]
-    with_bits = open_rows.join(classes.select("set_id", "bits", "prefix"), "set_id").select(*open_rows.columns, "bits", *before)
-    rest = _block_product(with_bits, percent).distinct()
-    whole = components(links.unionAll(exact_links(rest)))
+        mixed = (
+            grouped.groupBy("gram")
+            .agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("met"))
+            .filter((F.col("low") != F.col("high")) & (F.col("met") >= least))
+            .select("gram", F.ceil(F.col("met") / PART).alias("parts"))
+        )
+        own = F.pmod(F.xxhash64("set_id"), F.col("parts"))
+        other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
+        return (
+            grouped.join(mixed, "gram")
+            .select("gram", "set_id", "n", "at", "root", own.alias("own"), other.alias("other"))
+            .select(
+                "gram",
+                F.least("own", "other").alias("part"),
+                F.greatest("own", "other").alias("other_part"),
+                F.col("own").alias("side"),
+                "set_id",
+                "n",
+                "at",
+                "root",
+            )
+        )
+
+    def product(rows: DataFrame, nearest: bool = False) -> DataFrame:
+        # Where there are fewer grams before, the class's own hash stands in, which no other class has.
+        before = [F.coalesce(F.get("prefix", F.col("at").cast("int") - k - 1), "set_id").alias(f"before_{k}") for k in range(BEFORE)]
+        with_bits = rows.join(classes.select("set_id", "bits", "prefix"), "set_id").select(*rows.columns, "bits", *before)
+        return _block_product(with_bits, percent, nearest).distinct()
+
+    for _ in range(ROUNDS):
+        crowded = settle(open_rows(groups, CROWD))
+        if crowded.isEmpty():
+            break
+        more = settle(exact_links(product(crowded, nearest=True)))
+        if more.isEmpty():
+            break
+        links = links.unionAll(more)
+        groups = settle(components(links))
+
+    whole = components(links.unionAll(exact_links(product(open_rows(groups, 2)))))
 
     rooted = settle(
         classes.join(whole, F.col("set_id") == F.col("node"), "left").select(

@@ -127,6 +127,38 @@ def test_parts_meet_pairwise(spark, monkeypatch):
     assert found(nj.near_duplicates(frame(spark, rows))) == brute(rows)
 
 
+def test_near_copies_leave_the_product_in_a_linear_number(spark, monkeypatch):
+    """A group in which few members reach the pivot: its pairs are squares, the rows that leave the product are not."""
+    rng = random.Random(8)
+    base = [f"b{k}" for k in range(60)]
+    rows = []
+    for k in range(300):
+        own = base[:]
+        own[rng.randrange(len(own))] = f"x{k}"
+        rows.append((k, " ".join(own), None, None))
+    made, product = [], nj._block_product
+
+    def counted(*args, **kwargs):
+        pairs = nj.settle(product(*args, **kwargs))
+        made.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(nj, "_block_product", counted)
+    assert found(nj.near_duplicates(frame(spark, rows))) == brute(rows)
+    assert made and sum(made) < 8 * len(rows), made
+    monkeypatch.setattr(nj, "ROUNDS", 0)
+    made.clear()
+    assert found(nj.near_duplicates(frame(spark, rows))) == brute(rows)
+    assert sum(made) > 8 * len(rows), made
+
+
+def test_rounds_in_all_blocks_lose_nothing(spark, monkeypatch):
+    monkeypatch.setattr(nj, "CROWD", 2)
+    monkeypatch.setattr(nj, "PART", 3)
+    rows = corpus(seed=11)
+    assert found(nj.near_duplicates(frame(spark, rows))) == brute(rows)
+
+
 def test_part_pairs_lose_no_link():
     rng = random.Random(13)
     for _ in range(60):

@@ -1,14 +1,15 @@
 """Connected components of a link table by alternating large and small stars.
 
 Every step is a minimum per node (merged before the shuffle) and a join with a table that has one row per node, which
-adaptive execution can split, so a node with very many links is no single task. Steps are written to the shared folder.
+adaptive execution can split, so a node with very many links is no single task. Steps are written to the shared folder, and deleted
+when the next one stands.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tallyscope.session import settle
+from tallyscope.session import discard, settle
 
 
 def _least(links: DataFrame, node: str, other: str) -> DataFrame:
@@ -39,12 +40,14 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         # Small star: a node and its neighbours below it go to the smallest of them.
         least = _least(large, "u", "v")
         small = large.join(least, F.col("u") == F.col("node"))
+        used = (edges, large)
         edges = settle(
             small.select(F.col("v").alias("u"), F.col("least").alias("v"))
             .filter(F.col("u") > F.col("v"))
             .unionAll(least.select(F.col("node").alias("u"), F.col("least").alias("v")))
             .distinct()
         )
+        discard(*used)
         # Both stars leave the links as they are once every node hangs on its root.
         now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         if now == before:

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tallyscope.llm.components import components
 from tallyscope.llm.tokens import free_names, give_back, in_small_batches, mix, shingle_sets
-from tallyscope.session import settle
+from tallyscope.session import discard, settle
 
 SHINGLE, PERCENT = 5, 80
 #: Slots of the table of frequent grams. It orders grams only; links do not depend on it.
@@ -393,7 +393,9 @@ def near_duplicates(
             (F.col("keyed.text_key") == F.col("wanted.text_key")) & F.col("keyed.id").eqNullSafe(F.col("wanted.id")),
         )
         sets = settle(found.select("set_id", _gram_sets(size)("text").alias("grams")).dropDuplicates(["set_id"]))
-        return _linked(open_pairs, sets, percent)
+        found = settle(_linked(open_pairs, sets, percent))
+        discard(open_pairs, sets)
+        return found
 
     stars = (
         met.filter("set_id != pivot")
@@ -404,7 +406,7 @@ def near_duplicates(
         )
     )
     stars = _fitting(stars, percent).select("a", "b", "n_a", "n_b").distinct()
-    links = settle(exact_links(_possible(stars, classes, percent)))
+    links = exact_links(_possible(stars, classes, percent))
     groups = settle(components(links))
 
     def open_rows(groups: DataFrame, least: int) -> DataFrame:
@@ -445,7 +447,8 @@ def near_duplicates(
         crowded = settle(open_rows(groups, CROWD))
         if crowded.isEmpty():
             break
-        more = settle(exact_links(product(crowded, nearest=True)))
+        more = exact_links(product(crowded, nearest=True))
+        discard(crowded)
         if more.isEmpty():
             break
         links = links.unionAll(more)
@@ -458,6 +461,7 @@ def near_duplicates(
             "set_id", "one", F.coalesce("root", "set_id").alias("root")
         )
     )
+    discard(classes, met)
     smallest = rooted.groupBy("root").agg(F.min("one").alias("one"))
     answer = rooted.select("set_id", "root").join(smallest, "root").select("set_id", "one")
     alone = F.col("set_id").isNull()

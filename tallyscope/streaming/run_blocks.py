@@ -2,8 +2,7 @@
 
 The state is kept per run and block of sequence numbers: the distinct events of the block, packed, in whatever order and
 however often they came. Every micro-batch emits the new row of each block it touched (``operators.run_blocks``);
-composing the newest rows gives limits and states of the runs, equal to those of the batch operators. Rows are handled
-as whole frames, never one by one.
+composing the newest rows gives limits and states of the runs, equal to those of the batch operators.
 
 A block's row carries its packed events, so the newest rows are also a snapshot from which another stream can go on.
 """
@@ -13,13 +12,13 @@ from __future__ import annotations
 import io
 import sys
 from collections.abc import Iterator
+from itertools import islice
 from typing import Any
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tallyscope.operators import run_blocks as rb
@@ -80,11 +79,16 @@ def block_events(events: DataFrame) -> DataFrame:
 
 Events = dict[str, np.ndarray]
 
+#: Events that are packed as they are.
+_FEW = 32
+
 
 def pack(events: Events) -> bytes:
     batch = pa.record_batch([pa.array(events[f.name], f.type, from_pandas=True) for f in _PACKED], schema=_PACKED)
     sink = io.BytesIO()
-    with pa.ipc.new_stream(sink, _PACKED, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+    # A few events are no smaller compressed, and a codec for every buffer of them costs most of the time.
+    compression = "zstd" if batch.num_rows > _FEW else None
+    with pa.ipc.new_stream(sink, _PACKED, options=pa.ipc.IpcWriteOptions(compression=compression)) as writer:
         writer.write_batch(batch)
     return sink.getvalue()
 
@@ -146,25 +150,37 @@ def effect(events: Events, block: int) -> dict:
 _COLUMNS = [part.split()[0] for part in BLOCK_ROWS.split(", ")]
 
 
+#: Types of the packed columns in memory; texts are objects. Rows of a block that are merged at once.
+_TYPES = {field.name: field.type.to_pandas_dtype() for field in _PACKED if not pa.types.is_string(field.type)}
+_AT_ONCE = 4096
+
+
+def events_of(rows: list[Row]) -> Events:
+    """Rows as columns; a missing number is not a number, as in ``unpack``."""
+    columns = dict(zip(_PACKED.names, zip(*(tuple(row[name] for name in _PACKED.names) for row in rows)), strict=True))
+    return {name: np.array(values, dtype=_TYPES.get(name, object)) for name, values in columns.items()}
+
+
 class BlockFold(StatefulProcessor):
-    """Keeps the packed events of one block of one run."""
+    """Keeps the packed events of one block of one run. Most runs are small, so a key gets rows, not a frame of its own."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.events = handle.getValueState("events", "packed binary")
 
-    def handleInitialState(self, key: Any, initialState: pd.DataFrame, timerValues: Any) -> None:
-        self.events.update((bytes(initialState["packed"].iloc[-1]),))
+    def handleInitialState(self, key: Any, initialState: Row, timerValues: Any) -> None:
+        self.events.update((bytes(initialState["packed"]),))
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        events = unpack(self.events.get()[0]) if self.events.exists() else None
-        for frame in rows:
-            part = {name: frame[name].to_numpy() for name in _PACKED.names}
-            events = merged([part] if events is None else [events, part])
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        stored = self.events.get()
+        parts = [unpack(bytes(stored[0]))] if stored else []
+        while some := list(islice(rows, _AT_ONCE)):
+            parts = [merged([*parts, events_of(some)])]
+        (events,) = parts
         packed = pack(events)
         self.events.update((packed,))
         run_id, block = key
         row = {"run_id": run_id, "block": int(block), **effect(events, int(block)), "packed": packed}
-        yield pd.DataFrame([[row[name] for name in _COLUMNS]], columns=_COLUMNS, dtype=object)
+        yield Row(*_COLUMNS)(*[row[name] for name in _COLUMNS])
 
     def close(self) -> None:
         pass
@@ -180,7 +196,7 @@ def fold_blocks(events: DataFrame, snapshot: DataFrame | None = None) -> DataFra
     return (
         block_events(events)
         .groupBy("run_id", "block")
-        .transformWithStateInPandas(BlockFold(), BLOCK_ROWS, "Update", "None", initialState=initial)
+        .transformWithState(BlockFold(), BLOCK_ROWS, "Update", "None", initialState=initial)
     )
 
 

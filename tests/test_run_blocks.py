@@ -2,7 +2,7 @@ import random
 from datetime import timedelta
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Row, functions as F
 
 from tallyscope.operators import journal as jn
 from tallyscope.operators import run_blocks as rb
@@ -125,3 +125,43 @@ def test_no_events(spark, tmp_path):
     frame(spark, log("r", "run_created")).limit(0).write.parquet(str(tmp_path / "in"))
     assert rb.states(spark.createDataFrame([], srb.BLOCK_ROWS)).collect() == []
     assert rb.limits(spark.createDataFrame([], srb.BLOCK_ROWS)).collect() == []
+
+
+class _Value:
+    """A value state in memory."""
+
+    def __init__(self):
+        self.row = None
+
+    def get(self):
+        return self.row
+
+    def update(self, row):
+        self.row = row
+
+
+class _Handle:
+    def getValueState(self, name, schema):
+        return _Value()
+
+
+def test_a_key_gets_rows_and_takes_them_in_parts(monkeypatch):
+    """Rows in parts, over several calls, give what all of them give at once; copies and missing values included."""
+    names = srb._PACKED.names
+    rng = random.Random(5)
+    row = Row(*names)
+    rows = [
+        row(k, 1, k != 8, False, 100 + k, rng.randrange(9), k % 3 == 0, None if k % 2 else float(k), None, None, "s" if k == 4 else None, *[None] * 4)
+        for k in [*range(12), 3]
+    ]
+    rng.shuffle(rows)
+
+    def fold(*calls):
+        processor = srb.BlockFold()
+        processor.init(_Handle())
+        return [next(iter(processor.handleInputRows(("r", 0), iter(call), None))).asDict() for call in calls][-1]
+
+    whole = fold(rows)
+    monkeypatch.setattr(srb, "_AT_ONCE", 2)
+    parts = fold(rows[:5], rows[5:])
+    assert parts == whole and whole["invalid"] == 8 and whole["twice"] == 4 and whole["last_sequence"] == 3 and whole["set_to"] == 2

@@ -150,15 +150,17 @@ def rank_entities(
         ).alias("_cell"),
     ).select(*keys, "_cell.*").where(F.col("_value").isNotNull())
     ranks = value_ranks(cells, by, "_metric", "_value")
-    located = join_null_safe(cells, ranks, [*by, "_metric", "_value"])
+    # Every cell has its rank. An outer join says that only the ranks may be broadcast: cells sent to the few tasks that
+    # hold the distinct values would all be aggregated there.
+    located = join_null_safe(cells, ranks, [*by, "_metric", "_value"], "left")
     n, rank = F.col("population"), F.col("average_rank")
     score = F.when(n == 1, F.lit(100.0)).otherwise(F.try_divide(F.lit(100.0) * (n - rank), n - F.lit(1.0)))
+    # Plain doubles, so that the aggregate keeps them in a hash map; a struct would have each task sort its rows.
     wide = located.groupBy(*keys).agg(
         *[
-            F.max(F.when(F.col("_metric") == c.metric, F.struct(rank.alias("rank"), score.alias("score")))).alias(
-                f"_at_{c.metric}"
-            )
+            F.max(F.when(F.col("_metric") == c.metric, part)).alias(f"_{name}_{c.metric}")
             for c in items
+            for name, part in (("rank", rank), ("score", score))
         ]
     )
     fill = F.lit(0.0 if missing_policy == "worst" else 50.0)
@@ -167,11 +169,11 @@ def rank_entities(
     composite: Column = F.lit(0.0)
     columns: list[Column] = []
     for c in items:
-        raw = F.coalesce(F.col(f"_at_{c.metric}.score"), fill)
+        raw = F.coalesce(F.col(f"_score_{c.metric}"), fill)
         composite = composite + raw * F.lit(weights[c.metric])
         columns += [
             F.col(c.metric),
-            round_half_even(F.col(f"_at_{c.metric}.rank"), precision).alias(f"{c.metric}_rank"),
+            round_half_even(F.col(f"_rank_{c.metric}"), precision).alias(f"{c.metric}_rank"),
             round_half_even(raw, precision).alias(f"{c.metric}_score"),
         ]
     ranked = scored.select(

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tallyscope.operators.ordering import ordinal
+from tallyscope.session import parts_of
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -21,7 +22,11 @@ def _cents(column: Column | str) -> Column:
 
 
 def yearly_facts(spark: SparkSession, folder: str) -> DataFrame:
-    """Statement facts per customer and year; sums are exact, hence independent of row order."""
+    """Statement facts per customer and year; sums are exact, hence independent of row order.
+
+    The lines are dealt out by order into parts of about one size, whose number grows with the input: sorting and summing
+    them takes a task the memory of its part, however large the table is.
+    """
     lines = table(spark, folder, "lineitem").select(
         "l_orderkey", "l_partkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax"
     )
@@ -31,7 +36,8 @@ def yearly_facts(spark: SparkSession, folder: str) -> DataFrame:
     parts = table(spark, folder, "part").select("p_partkey", "p_retailprice")
     price = _cents("l_extendedprice")
     summed = (
-        lines.join(parts, F.col("l_partkey") == F.col("p_partkey"))
+        lines.repartition(parts_of(lines), "l_orderkey")
+        .join(parts, F.col("l_partkey") == F.col("p_partkey"))
         .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
         .groupBy("entity", "fy")
         .agg(

@@ -128,3 +128,12 @@ def test_a_third_of_the_rows_on_one_value(spark):
     ordered = sorted(values)
     got = {r["v"]: r["average_rank"] for r in value_ranks(df, ["k"], "m", "v").collect()}
     assert got == {v: (2 * ordered.index(v) + values.count(v) + 1) / 2 for v in set(values)}
+
+
+def test_cells_stay_spread(spark):
+    df = spark.range(4000).select(F.col("id").cast("string").alias("id"), (F.col("id") % 5).cast("double").alias("x"))
+    ranked = rk.rank_entities(df, "id", [C("x", "higher", 1.0)], "worst").ranked
+    plan = ranked._jdf.queryExecution().executedPlan().toString()
+    # Neither a sort of all cells before they are aggregated, nor one task of the five values that takes them all.
+    assert "SortAggregate" not in plan and "BuildLeft" not in plan
+    assert ranked.count() == 4000 and {r["x_rank"] for r in ranked.collect()} == {400.5, 1200.5, 2000.5, 2800.5, 3600.5}

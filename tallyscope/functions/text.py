@@ -18,7 +18,8 @@ def blank_to_null(value: Column | str) -> Column:
 
 def normalize_cik(value: Column | str) -> Column:
     """Ten-digit zero-padded registrant number; null when the input is not 1 to 10 digits."""
-    digits = F.regexp_replace(F.trim(as_column(value).cast("string")), r"^CIK", "")
+    text = F.trim(as_column(value).cast("string"))
+    digits = F.when(text.startswith("CIK"), text.substr(F.lit(4), F.length(text))).otherwise(text)
     return F.when(digits.rlike(r"^[0-9]{1,10}$"), F.lpad(digits, 10, "0"))
 
 
@@ -44,7 +45,7 @@ def parse_unit(value: Column | str) -> Column:
     """Provider unit label to (kind, symbol, scale); null when the label is not supported."""
     text = F.trim(as_column(value))
     lowered = F.lower(text)
-    per_share = lowered.rlike(r"^\p{L}{3}/shares$")
+    per_share = lowered.contains("/shares") & lowered.rlike(r"^\p{L}{3}/shares$")
     return (
         F.when(lowered == "shares", unit_struct(F.lit("shares"), F.lit("shares")))
         .when(lowered == "pure", unit_struct(F.lit("ratio"), F.lit("pure")))
@@ -57,7 +58,10 @@ def iso_date(value: Column | str) -> Column:
     """Strict calendar date: YYYY-MM-DD or the compact YYYYMMDD, else null."""
     text = as_column(value)
     dashed = F.regexp_replace(text, r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3")
-    return F.when(dashed.rlike(r"^\d{4}-\d{2}-\d{2}$"), dashed.try_cast("date"))
+    # A replacement costs far more than a test, and few dates need one.
+    return F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), text.try_cast("date")).when(
+        text.rlike(r"^\d{8}$"), dashed.try_cast("date")
+    )
 
 
 def market_timestamp(value: Column | str) -> Column:

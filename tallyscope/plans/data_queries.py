@@ -234,7 +234,7 @@ def company_facts(spark: SparkSession, folder: str) -> DataFrame:
     select entity_id, code, count(*) as issues from i where code is not null group by 1, 2""",
 )
 def company_fact_issues(spark: SparkSession, folder: str) -> DataFrame:
-    issues = cf.normalize_company_facts(_fact_documents(spark, folder), dealt=True).issues
+    issues = cf.company_fact_issues(_fact_documents(spark, folder), dealt=True)
     return issues.groupBy("entity_id", "code").agg(F.count(F.lit(1)).alias("issues"))
 
 
@@ -372,7 +372,7 @@ def fact_faults(spark: SparkSession, folder: str) -> DataFrame:
         F.concat(F.lit('{"cik":'), F.col("c_custkey").cast("string"), F.lit(',"facts":'), facts, F.lit("}")).alias("document"),
         F.expr("timestamp'2025-03-01'").alias("retrieved_at"),
     )
-    return cf.normalize_company_facts(raw).issues.select("entity_id", "code", "message")
+    return cf.company_fact_issues(raw).select("entity_id", "code", "message")
 
 
 @query(

@@ -122,9 +122,12 @@ def read_company_facts(spark: SparkSession, path: str, whole_files: bool = True)
     )
 
 
+_KINDS = {"OBJECT": "map<string, variant>", "ARRAY": "array<variant>"}
+
+
 def _is(kind: str, value: str) -> str:
-    """Whether a variant is an OBJECT or an ARRAY. The type text spans the whole value, so it is asked for last."""
-    return f"coalesce(schema_of_variant({value}) like '{kind}%', false)"
+    """Whether a variant is an OBJECT or an ARRAY. Only the outer level is opened; a type text would span the whole value."""
+    return f"(try_variant_get({value}, '$', '{_KINDS[kind]}') is not null)"
 
 
 def _field(value: str, name: str) -> str:
@@ -161,8 +164,8 @@ def _flag(*checks: tuple[str, str]) -> str:
     return f"case when issue is not null then issue {cases} end as issue"
 
 
-def parse_documents(raw: DataFrame) -> DataFrame:
-    """cik, names and the facts object of each document; ``issue`` instead of facts when it is unusable.
+def parse_documents(raw: DataFrame, wanted: Sequence[str] = ("retrieved_at", "ticker", "entity_name")) -> DataFrame:
+    """cik, ``wanted`` columns and the facts object of each document; ``issue`` instead of facts when it is unusable.
 
     Parsing rejects duplicate keys and non-finite constants. ``raw`` may bring its own ``ticker``.
     """
@@ -189,7 +192,8 @@ def parse_documents(raw: DataFrame) -> DataFrame:
         + _issue("invalid_facts", "'facts'", "'facts must be an object'")
         + " end as issue",
     )
-    return computed(documents.withColumn("_facts", F.expr("if(issue is null, _facts, null)")))
+    names = [name for name in ("retrieved_at", "ticker", "entity_name") if name in wanted]
+    return computed(documents.select(F.expr("if(issue is null, _facts, null)").alias("_facts"), "cik", *names, "issue"))
 
 
 def _rules(spark: SparkSession) -> DataFrame:
@@ -221,8 +225,8 @@ def _fact_rows(concepts: DataFrame) -> DataFrame:
         "concat('facts.', taxonomy, '.', concept) as base_path",
         f"{_field('payload', 'units')} as _units",
         f"{_text(_field('payload', 'label'))} as label",
-        f"if({_field('payload', 'units')} is null, {_is('OBJECT', 'payload')}, true) as _is_concept",
-    )
+        "payload",
+    ).selectExpr("* except (payload)", f"if(_units is null, {_is('OBJECT', 'payload')}, true) as _is_concept")
     units = _entries(opened.withColumn("_whole", F.col("_units")), "_units", "_at", "provider_unit", "_facts", outer=True)
     # Without a key, units are empty or no object; the members of an array would tell so once each.
     once = units.where("provider_unit is not null or coalesce(_at, 0) = 0").selectExpr(
@@ -258,20 +262,22 @@ def _fact_rows(concepts: DataFrame) -> DataFrame:
     return facts.where("issue is not null or _fact is not null")
 
 
-_FACT_FIELDS = ("form", "accn", "frame", "filed", "end", "start", "fy", "fp", "val", "decimals")
+_FACT_FIELDS = ("form", "accn", "filed", "end", "start", "fy", "fp", "val")
 
 
-def _judged_facts(facts: DataFrame, forms: Sequence[str]) -> DataFrame:
-    """Typed fact fields, the issue of a bad fact, and no rows of other forms."""
+def _judged_facts(facts: DataFrame, forms: Sequence[str], wanted: Sequence[str]) -> DataFrame:
+    """``wanted`` columns (typed fact fields among them) and the issue of a bad fact, and no rows of other forms."""
     f = "_v_{}".format
     allowed = ", ".join(f"'{x.strip().upper()}'" for x in forms)
-    members = ", ".join(f"{name}: variant" for name in _FACT_FIELDS)
+    # In no rule, so taken only for those who keep them.
+    kept = {"frame": _text(f("frame")), "decimals": f"to_json({f('decimals')})"}
+    kept = {name: value for name, value in kept.items() if name in wanted}
+    members = ", ".join(f"{name}: variant" for name in (*_FACT_FIELDS, *kept))
     opened = facts.withColumn("_members", F.expr(f"try_variant_get(_fact, '$', 'struct<{members}>')"))
-    typed = opened.selectExpr("* except (_members)", *[f"_members.{name} as {f(name)}" for name in _FACT_FIELDS]).selectExpr(
+    typed = opened.selectExpr("* except (_members)", *[f"_members.{name} as {f(name)}" for name in (*_FACT_FIELDS, *kept)]).selectExpr(
         "*",
         f"upper({_text(f('form'))}) as form",
         f"{_text(f('accn'))} as accession",
-        f"{_text(f('frame'))} as frame",
         f"case when schema_of_variant({f('filed')}) = 'STRING' then cast({f('filed')} as string) end as _filed",
         f"case when schema_of_variant({f('end')}) = 'STRING' then cast({f('end')} as string) end as _end",
         f"case when schema_of_variant({f('start')}) = 'STRING' then cast({f('start')} as string) end as _start",
@@ -280,9 +286,12 @@ def _judged_facts(facts: DataFrame, forms: Sequence[str]) -> DataFrame:
         f"case when schema_of_variant({f('fy')}) = 'BOOLEAN' then null else "
         f"try_cast(try_cast({f('fy')} as double) as int) end as fiscal_year",
         f"upper({_text(f('fp'))}) as fiscal_period",
+        # Only doubles can be infinite, so other numbers are not read for the rule.
+        f"case when schema_of_variant({f('val')}) in ('DOUBLE', 'FLOAT') "
+        f"then abs(try_cast({f('val')} as double)) < double('infinity') else {_is_number(f('val'))} end as _is_finite",
         f"case when {_is_number(f('val'))} then try_cast({f('val')} as double) end as reported_value",
         f"case when {_is_number(f('val'))} then cast({f('val')} as string) end as value_text",
-        f"to_json({f('decimals')}) as decimals",
+        *[f"{value} as {name}" for name, value in kept.items()],
         "concat(unit_path, '[', position, ']') as fact_path",
     )
     dated = (
@@ -291,9 +300,8 @@ def _judged_facts(facts: DataFrame, forms: Sequence[str]) -> DataFrame:
         .withColumn("start", iso_date("_start"))
     )
     bad = lambda code, message: _issue(code, "fact_path", message)
-    out_of_range = "abs(reported_value) = double('infinity') or isnan(reported_value)"
     judged = dated.selectExpr(
-        f"* except (issue, _fact, _filed, _end, _start, {', '.join(map(f, _FACT_FIELDS))})",
+        f"* except (issue, _fact, _filed, _end, _start, {', '.join(map(f, (*_FACT_FIELDS, *kept)))})",
         "unit.symbol as symbol",
         _flag(
             (f"form is null and not {_is('OBJECT', '_fact')}", bad("invalid_fact", "'fact must be an object'")),
@@ -314,12 +322,14 @@ def _judged_facts(facts: DataFrame, forms: Sequence[str]) -> DataFrame:
                 bad("invalid_fact", "'fiscal_period must contain between 1 and 16 characters'"),
             ),
             (
-                f"reported_value is null or {out_of_range}",
+                "not coalesce(_is_finite, false)",
                 bad("invalid_fact", "'val must be a finite JSON number'"),
             ),
         ),
     )
-    return computed(judged).where(f"issue is not null or form in ({allowed})")
+    # What is not wanted is not computed: nothing above ``computed`` can drop a column below it.
+    rows = judged.select(*wanted, "issue", F.expr(f"issue is not null or form in ({allowed})").alias("_wanted"))
+    return computed(rows).where("_wanted").drop("_wanted")
 
 
 def latest_restatements(facts: DataFrame) -> DataFrame:
@@ -413,6 +423,26 @@ def _records(facts: DataFrame) -> DataFrame:
     return named.withColumn("metadata", metadata)
 
 
+def _judged(raw: DataFrame, forms: Sequence[str], dealt: bool, wanted: Sequence[str]) -> DataFrame:
+    """One pass over the documents: ``wanted`` columns of all facts, and the issues of all levels."""
+    if not forms or any(not f.strip() for f in forms):
+        raise ValueError("forms must contain at least one non-empty form name")
+    return _judged_facts(_fact_rows(_concept_rows(parse_documents(raw if dealt else spread(raw), wanted))), forms, wanted)
+
+
+def _issues(judged: DataFrame) -> DataFrame:
+    order = F.coalesce(F.col("rule").cast("bigint") * 1_000_000_000, F.lit(0)) + F.coalesce("position", F.lit(0))
+    entity = F.concat(F.lit("cik:"), "cik").alias("entity_id")
+    return judged.where("issue is not null").select(entity, "issue.*", order.cast("long").alias("ord"))
+
+
+def company_fact_issues(
+    raw: DataFrame, forms: Sequence[str] = FORMS, max_issues: int | None = None, dealt: bool = False
+) -> DataFrame:
+    """The issues of ``normalize_company_facts`` alone: the same pass, but nothing of sound facts is made, kept or written."""
+    return bounded_issues(_issues(_judged(raw, forms, dealt, ("cik", "rule", "position"))), max_issues)
+
+
 def normalize_company_facts(
     raw: DataFrame, forms: Sequence[str] = FORMS, max_issues: int | None = None, dealt: bool = False
 ) -> Batch:
@@ -422,15 +452,9 @@ def normalize_company_facts(
     settled once. All issues are returned unless ``max_issues`` asks for a summary per issuer. ``dealt``: the rows are spread
     over the cores already.
     """
-    if not forms or any(not f.strip() for f in forms):
-        raise ValueError("forms must contain at least one non-empty form name")
-    judged = _judged_facts(_fact_rows(_concept_rows(parse_documents(raw if dealt else spread(raw)))), forms)
-    facts = settle(judged.select(*_NARROW, "position", "issue"))
+    facts = settle(_judged(raw, forms, dealt, (*_NARROW, "position")))
     records = _records(_described(_latest_facts(facts.where("issue is null").drop("position", "issue"))))
-    ord_key = F.coalesce(F.col("rule").cast("bigint") * 1_000_000_000, F.lit(0)) + F.coalesce("position", F.lit(0))
-    entity = F.concat(F.lit("cik:"), "cik").alias("entity_id")
-    issues = facts.where("issue is not null").select(entity, "issue.*", ord_key.cast("long").alias("ord"))
-    return Batch(observations_of(records), evidence_of(records), bounded_issues(issues, max_issues))
+    return Batch(observations_of(records), evidence_of(records), bounded_issues(_issues(facts), max_issues))
 
 
 def rekey_to_ticker(observations: DataFrame, identities: DataFrame) -> DataFrame:

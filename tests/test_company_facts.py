@@ -182,3 +182,26 @@ def test_long_documents_are_not_dealt_out(spark):
     for build in (_concept_documents, _fact_documents):
         plan = plan_of(build(spark, "/root/testdata/sf0.001"))
         assert plan.index("Project") < plan.index("Repartition") and "document" not in plan[plan.index("Repartition") :]
+
+
+def test_issues_alone_equal_those_of_the_batch_and_write_nothing(spark):
+    from tallyscope import session
+    from tallyscope.sources.company_facts import company_fact_issues
+
+    good = ("2024-12-31", "2025-01-31")
+    values = [1, 1.5, -2, 1e300, True, "1", None, {}, [1]]
+    dates = ["2024-12-31", "20241231", "2024-1-31", "2024-02-30", " 2024-12-31", "2024123", 20241231, None]
+    facts = [fact(v, *good) for v in values] + [fact(1, d, good[1]) for d in dates] + [fact(1, good[0], d) for d in dates]
+    facts += [fact(1, *good, form=x) for x in ("8-K", " 10-k ", "", 5)] + [fact(1, *good, fy=x) for x in (2024, "2024", 99, [], "x")]
+    gaap = {"Revenues": {"units": {"USD": facts, "USD/shares": facts, "pure": [], "x/shares": {}}}, "Assets": {"units": []}}
+    odd = [document(x) for x in ([], {}, None, 5, {"us-gaap": []}, {"us-gaap": gaap})]
+    odd += [document({"us-gaap": gaap}, cik=x) for x in ("CIK7", " 8 ", "CIKCIK9", "", None, 1.5)]
+    odd.append(document({"us-gaap": {"Assets": {"units": {"USD": [fact(0, *good)]}}}}).replace('"val": 0', '"val": 1e400'))
+    raw = spark.createDataFrame([(d,) for d in odd], "document string").withColumn("retrieved_at", F.lit(AT).cast("timestamp"))
+    wanted = sorted(map(str, normalize_company_facts(raw).issues.collect()))
+    before = len(session._settled)
+    issues = company_fact_issues(raw)
+    assert sorted(map(str, issues.collect())) == wanted and len(wanted) > 80
+    assert len(session._settled) == before
+    # Type texts of whole documents cost more than their parse.
+    assert "schemaofvariant(_facts" not in plan_of(issues).lower() and "schemaofvariant(_whole" not in plan_of(issues).lower()

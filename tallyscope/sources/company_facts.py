@@ -122,11 +122,12 @@ def read_company_facts(spark: SparkSession, path: str, whole_files: bool = True)
     )
 
 
-_KINDS = {"OBJECT": "map<string, variant>", "ARRAY": "array<variant>"}
+#: Types that any object or array casts to, without a copy of the members: none is asked for, or each becomes a boolean or null.
+_KINDS = {"OBJECT": "struct<>", "ARRAY": "array<boolean>"}
 
 
 def _is(kind: str, value: str) -> str:
-    """Whether a variant is an OBJECT or an ARRAY. Only the outer level is opened; a type text would span the whole value."""
+    """Whether a variant is an OBJECT or an ARRAY. Only the outer level is looked at; a type text would span the whole value."""
     return f"(try_variant_get({value}, '$', '{_KINDS[kind]}') is not null)"
 
 
@@ -244,7 +245,7 @@ def _fact_rows(concepts: DataFrame) -> DataFrame:
         f"{unit_path} as unit_path",
         _flag(
             (
-                f"not if(try_variant_get(_facts, '$[0]', 'variant') is null, {_is('ARRAY', '_facts')}, true)",
+                f"not if(try_variant_get(_facts, '$[0]', 'struct<>') is null, {_is('ARRAY', '_facts')}, true)",
                 _issue("invalid_unit_facts", unit_path, "'unit facts must be an array'"),
             ),
             (

@@ -205,3 +205,27 @@ def test_issues_alone_equal_those_of_the_batch_and_write_nothing(spark):
     assert len(session._settled) == before
     # Type texts of whole documents cost more than their parse.
     assert "schemaofvariant(_facts" not in plan_of(issues).lower() and "schemaofvariant(_whole" not in plan_of(issues).lower()
+
+
+def test_kinds_are_told_without_copies(spark):
+    from tallyscope.sources.company_facts import _is, company_fact_issues
+
+    objects = ['{}', '{"a": 1}', '{"a": {"b": [1]}, "": null, "0": "x"}']
+    arrays = ['[]', '[1]', '[null]', '["x", 1.5, true, {}, [[]]]', '[{"a": 1}]', '[{}, "x"]']
+    others = ['1', '1.5', 'true', 'null', '"[]"', '"{}"', '""', "no"]
+    rows = [(text, text in objects, text in arrays) for text in (*objects, *arrays, *others)]
+    values = spark.createDataFrame(rows, "text string, is_object boolean, is_array boolean").selectExpr("*", "try_parse_json(text) as v")
+    told = values.selectExpr("is_object", "is_array", f"{_is('OBJECT', 'v')} as o", f"{_is('ARRAY', 'v')} as a").collect()
+    assert [(r.o, r.a) for r in told] == [(r.is_object, r.is_array) for r in told]
+
+    units = {"USD": [], "EUR": {}, "GBP": [5], "JPY": ["x", fact(1, "2024-12-31", "2025-01-31")], "CHF": "[]", "shares": 5, "pure": None}
+    raw = spark.createDataFrame([(document({"us-gaap": {"Assets": {"units": units}}}),)], "document string")
+    issues = company_fact_issues(raw.withColumn("retrieved_at", F.lit(AT).cast("timestamp")))
+    found = sorted((r["code"], r["provider_path"].rsplit(".", 1)[1]) for r in issues.collect())
+    assert found == [
+        ("invalid_fact", "GBP[0]"),
+        ("invalid_fact", "JPY[0]"),
+        *[("invalid_unit_facts", unit) for unit in ("CHF", "EUR", "pure", "shares")],
+    ]
+    # A copy of all members costs time for each document, concept and unit.
+    assert not {"MapType(StringType,VariantType", "ArrayType(VariantType"} & set(re.findall(r"(?:Map|Array)Type\([^()]*VariantType", plan_of(issues)))
